@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, warc
+from . import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_sharding, op5_fingerprints, op6_mixing, op7_line_dedup, op8_warc, op9_pii, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_sharding, op4_embedding_dedup, op5_fingerprints, op6_mixing, op7_line_dedup, op8_warc, op9_pii, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
