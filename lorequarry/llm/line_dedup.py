@@ -10,29 +10,29 @@ from ._shared import materialize
 WINDOW = 3
 #: A line: up to WRAP words of one physical line, with the white space around them. All lines of a text make up the text.
 WRAP = 16
-#: Windows of fewer words than this are too short to be called a passage.
-MIN_WORDS = 8
+#: Windows whose lines have fewer bytes than this are too short to be called a passage.
+MIN_BYTES = 40
 
 
 def line_pattern(wrap: int = WRAP) -> str:
-    return rf"\s*(?:\S+[^\S\n]+){{0,{wrap - 1}}}\S+\s*"
+    return rf"\s*+(?:\S++[^\S\n]++){{0,{wrap - 1}}}\S++\s*+"
 
 
 def lines(text: Column, wrap: int = WRAP) -> Column:
     return F.regexp_extract_all(text, F.lit(line_pattern(wrap)), F.lit(0))
 
 
-def window_hashes(found: Column, min_words: int = MIN_WORDS) -> Column:
+def window_hashes(found: Column, min_bytes: int = MIN_BYTES) -> Column:
     """At each window's first line the hash of its lines without the white space around them, or null if it is short."""
-    bare = F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    marks = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w")))
+    bare = F.transform(found, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    marks = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("w")))
 
     def window(marks: Column) -> Column:
         at = lambda i, k: F.get(marks, i + k)
-        words = lambda i: sum((at(i, k)["w"] for k in range(1, WINDOW)), at(i, 0)["w"])
+        size = lambda i: sum((at(i, k)["w"] for k in range(1, WINDOW)), at(i, 0)["w"])
         hashed = lambda i: F.xxhash64(*[at(i, k)["h"] for k in range(WINDOW)])
         starts = F.when(F.size(marks) >= WINDOW, F.sequence(F.lit(0), F.size(marks) - WINDOW)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.when(words(i) >= min_words, hashed(i)))
+        return F.transform(starts, lambda i: F.when(size(i) >= min_bytes, hashed(i)))
 
     return _let(marks, window)
 
@@ -85,8 +85,8 @@ def without(found: Column, spans: Column) -> Column:
     return _let(spans, lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: gap(s, i)), ""))
 
 
-def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text rewritten, and n_lines, n_removed (lines) and removed (spans of lines) added.
+def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """docs with text rewritten, and n_removed (lines) and removed (spans of lines) added.
 
     Physical lines of more than `wrap` words are wrapped first, so that a passage kept on one physical line is still
     several lines. Every window of three consecutive lines is hashed. Of the windows with one hash, all in documents
@@ -94,32 +94,31 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_words: int = MIN_WORDS) -
     document unless they overlap the first there. The lines that later occurrences cover are removed.
 
     Null, empty and white-space texts, and those of fewer than three lines, stay as they are. Windows of fewer than
-    min_words words are no passage. Rows equal in doc_id and text are one document: they get the same result. Rows
-    that share only doc_id are not compared with each other, and what either repeats goes from both. A null doc_id
-    comes after all others. An empty table gives an empty table. Further columns stay, but for the three added names.
+    min_bytes bytes are no passage. Rows equal in doc_id and text are one document: they get the same result. Rows
+    that share only doc_id are not compared with each other. A null doc_id comes after all others. An empty table
+    gives an empty table. Further columns stay, but for the added names.
 
     Only hashes, ids and positions are grouped. The grouped minimum is combined before the shuffle, and the join that
     follows is one that Spark splits where a passage is very common; texts are shuffled once, for their rewriting.
     """
-    order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    numbered = docs.select(order.alias("_key"), F.col("text"))
-    hashed = numbered.select("_key", window_hashes(lines(F.col("text"), wrap), min_words).alias("h"))
-    windows = materialize(hashed.select("_key", F.posexplode("h").alias("p", "h")).where("h is not null"), "line-windows")
-
-    first = windows.groupBy("h").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last").drop("last")
-    later = windows.join(first, "h").where("_key > first").groupBy("_key").agg(F.collect_set("p").alias("_later"))
-
-    clash = [c for c in ("n_lines", "n_removed", "removed", "_later", "_key") if c in docs.columns]
-    joined = docs.drop(*clash).withColumn("_key", order).join(later, "_key", "left")
-    found = lines(F.col("text"), wrap)
-    split = joined.withColumn("_lines", F.coalesce(found, F.array().cast("array<string>")))
-    spans = merged(F.concat(F.coalesce("_later", F.array().cast("array<int>")), own_repeats(window_hashes(F.col("_lines"), min_words))))
-    # spans of another row with the same doc_id may lie beyond this row's lines
-    fitted = F.filter(F.transform(spans, lambda s: F.struct(s["first"].alias("first"), F.least(s["end"], F.size("_lines")).alias("end"))), lambda s: s["first"] < s["end"])
-    marked = split.withColumn("removed", fitted)
+    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_key")
+    mark = F.hash("text").alias("_mark")
+    hashed = docs.select(key, mark, window_hashes(lines(F.col("text"), wrap), min_bytes).alias("h"))
+    listed = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("p"), F.lit(False).alias("own")))
+    own = F.transform(own_repeats(F.col("h")), lambda p: F.struct(F.lit(None).cast("long").alias("h"), p.alias("p"), F.lit(True).alias("own")))
+    windows = materialize(hashed.select("_key", "_mark", F.inline(F.concat(listed, own))).where("h is not null or own"), "line-windows")
+
+    first = windows.where("not own").groupBy("h").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last").drop("last")
+    later = windows.where("not own").join(first, "h").where("_key > first").select("_key", "_mark", "p")
+    later = later.union(windows.where("own").select("_key", "_mark", "p")).groupBy("_key", "_mark").agg(F.collect_set("p").alias("_later"))
+
+    clash = [c for c in ("n_removed", "removed", "_later", "_key", "_mark") if c in docs.columns]
+    joined = docs.drop(*clash).withColumns({"_key": key, "_mark": mark}).join(later, ["_key", "_mark"], "left")
+    no_spans = F.array().cast("array<struct<first:int,end:int>>")
+    marked = joined.withColumn("removed", F.when(F.col("_later").isNull(), no_spans).otherwise(merged(F.col("_later"))))
+    rewritten = _let(lines(F.col("text"), wrap), lambda found: without(found, F.col("removed")))
     return (
-        marked.withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]))
-        .withColumn("text", F.when(F.size("removed") > 0, without(F.col("_lines"), F.col("removed"))).otherwise(F.col("text")))
-        .select(*[c for c in docs.columns if c not in clash], "n_lines", "n_removed", "removed")
+        marked.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]))
+        .withColumn("text", F.when(F.col("_later").isNotNull(), rewritten).otherwise(F.col("text")))
+        .select(*[c for c in docs.columns if c not in clash], "n_removed", "removed")
     )
