@@ -1 +1 @@
-
+"""Functions as columns, for use in any DataFrame."""

@@ -1 +1,113 @@
+"""Sources: files, folders, URLs, inline and base64 text as rows (title, source, source_type, raw, file_title)."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+from pathlib import Path
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config
+from ..errors import KnowledgeError
+from ..functions import text
+
+SCHEMA = "title string, source string, source_type string, raw string, file_title string"
+
+
+def check_allowed(path: str, config: Config) -> None:
+    """A local path must be in one of upload.allowed_dirs, if there are any, once links are resolved."""
+    if not config.upload.allowed_dirs:
+        return
+    try:
+        real = Path(path).resolve(strict=not any(c in path for c in "*?[{"))
+        allowed = [Path(d).resolve(strict=True) for d in config.upload.allowed_dirs]
+    except OSError as e:
+        raise KnowledgeError("E_IO", f"resolve path: {e}") from e
+    if not any(real.is_relative_to(d) for d in allowed):
+        raise KnowledgeError("E_VALIDATION", f"path not in allowed directories: {real}")
+
+
+def from_files(spark: SparkSession, paths: str | Sequence[str], config: Config, recursive: bool = False, title: str | None = None) -> DataFrame:
+    """Whole text files: paths, globs, or folders. Larger files than upload.max_file_mb, and invalid UTF-8, are errors."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    for p in paths:
+        check_allowed(p.removeprefix("file://"), config)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    files = reader.load(paths)
+    limit = config.upload.max_file_mb << 20
+    path = F.regexp_replace("path", r"^file:(//)?(?=/)", "")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    pdf = F.lower("path").endswith(".pdf")
+    checked = (
+        F.when(F.col("length") > limit, F.raise_error(F.concat(F.lit("E_VALIDATION: file exceeds max file size: "), "path")))
+        .when(pdf, F.raise_error(F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), "path")))
+        .when(~F.is_valid_utf8(F.col("content").cast("string")), F.raise_error(F.concat(F.lit("E_IO: not UTF-8: "), "path")))
+        .otherwise(F.col("content").cast("string"))
+    )
+    return files.select(F.coalesce(F.lit(title), name).alias("title"), path.alias("source"), F.lit("file").alias("source_type"), checked.alias("raw"), name.alias("file_title"))
+
+
+def from_text(spark: SparkSession, contents: Sequence[str], title: str | None = None) -> DataFrame:
+    return spark.createDataFrame([(title or "inline", "inline", "text", c, "inline") for c in contents], SCHEMA)
+
+
+def from_base64(spark: SparkSession, encoded: Sequence[str], title: str | None = None) -> DataFrame:
+    rows = spark.createDataFrame([(title or "base64", "base64", "text", c, "base64") for c in encoded], SCHEMA)
+    decoded = text.decode_base64(F.col("raw"))
+    return rows.withColumn("raw", F.coalesce(decoded, F.raise_error(F.lit("E_VALIDATION: base64 of UTF-8 text expected"))))
+
+
+def from_urls(spark: SparkSession, urls: Sequence[str], config: Config, timeout: float = 30.0) -> DataFrame:
+    """Pages by HTTP or HTTPS, fetched on the executors; at most upload.max_file_mb each."""
+    for u in urls:
+        if urlsplit(u).scheme not in ("http", "https"):
+            raise KnowledgeError("E_VALIDATION", f"not an http(s) URL: {u}")
+    limit = config.upload.max_file_mb << 20
+
+    def fetch(batches):
+        import urllib.request
+
+        for batch in batches:
+            raw = []
+            for url in batch["source"]:
+                with urllib.request.urlopen(url, timeout=timeout) as answer:
+                    data = answer.read(limit + 1)
+                    if len(data) > limit:
+                        raise ValueError(f"E_VALIDATION: response exceeds max file size: {url}")
+                    if url.lower().endswith(".pdf") or "application/pdf" in answer.headers.get("content-type", ""):
+                        raise ValueError(f"E_UNSUPPORTED_FORMAT: {url}")
+                    raw.append(data.decode("utf-8"))
+            yield batch.assign(raw=raw)
+
+    rows = spark.createDataFrame([(u, u, "url", "", u) for u in urls], SCHEMA)
+    return rows.repartition(max(1, len(urls))).mapInPandas(fetch, SCHEMA)
+
+
+def from_request(spark: SparkSession, config: Config, path=None, url=None, content=None, content_base64=None, title=None) -> DataFrame:
+    """The first of path, url, content and content_base64 that is given; each one value or a list."""
+    many = lambda x: [x] if isinstance(x, str) else list(x)
+    if path is not None:
+        return from_files(spark, many(path), config, title=title)
+    if url is not None:
+        rows = from_urls(spark, many(url), config)
+        return rows if title is None else rows.withColumn("title", F.lit(title))
+    if content is not None:
+        return from_text(spark, many(content), title)
+    if content_base64 is not None:
+        return from_base64(spark, many(content_base64), title)
+    raise KnowledgeError("E_VALIDATION", "one of path, url, content and content_base64 is needed")
+
+
+def extracted(rows: DataFrame, tags: Sequence[str] = (), metadata: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the table document, without an order: text extracted, hashed and typed."""
+    content = text.extract_text(F.col("raw"), F.col("source"))
+    meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]).cast("map<string,string>")
+    typed = rows.withColumn("content", content).withColumn("sha256", text.content_hash(F.col("content")))
+    return typed.select(
+        F.col("sha256").alias("document_id"), "title", "source", "source_type",
+        text.mime_type(F.col("source"), F.col("title"), F.col("file_title")).alias("mime"),
+        "sha256", "content", F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"), meta.alias("metadata"),
+        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+    )
