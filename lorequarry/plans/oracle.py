@@ -102,7 +102,7 @@ SELECT doc_id, sha256, 'old' AS version FROM s WHERE sha256 NOT IN (SELECT sha25
         "new_documents": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0')",
         "mock_embeddings": f"""WITH {_chunks("documents", "doc_id", "text")}
 SELECT id || '#' || idx AS chunk_id, repeat('0', (idx % 32 % 8)::INT) || '1' || repeat('0', (7 - idx % 32 % 8)::INT) AS bits FROM chunk""",
-        "l2_normalize": f"""SELECT vec_id, (unnest(range(len(embedding))))::INT AS pos, unnest(list_transform(a.embedding::DOUBLE[], lambda x: round(x * 3 / (3 * {NORM.format("a")}), 5))) AS value FROM embeddings a""",
+        "l2_normalize": f"""SELECT vec_id, (unnest(range(len(embedding))))::INT AS pos, unnest(list_transform(a.embedding::DOUBLE[], lambda x: round(x * 3 / (3 * {NORM.format("a")}), 5) + 0.0)) AS value FROM embeddings a""",
         "vector_topk": f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS id, round({COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0) QUALIFY rank <= 10",
         "vector_topk_batch": f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, round({COSINE}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) QUALIFY rank <= 10",
         "bm25_terms": r"""WITH b AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|\p{N}+') AS t FROM documents))

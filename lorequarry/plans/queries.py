@@ -103,7 +103,7 @@ def mock_embeddings(spark, d):
 
 
 def l2_normalize(spark, d):
-    v = F.transform(vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)), lambda x: F.round(x, 5))
+    v = F.transform(vectors.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)), lambda x: F.round(x, 5) + 0.0)  # no negative zeros
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("pos", "value"))
 
 
