@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,24 +101,26 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bits: int = T
     document in ascending doc_id; after the last comes the first.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Null text: as an empty one; a text without words has no terms, and is like any other such text (1) and no text
-    with words (0). A null doc_id comes first. Where rows share a doc_id each has its row here, and as somebody's next
+    with words (0). A null doc_id comes first, as the id -2**63, which is returned as null too. Where rows share a doc_id each has its row here, and as somebody's next
     document the one with the least text, or fingerprint, counts. A single document is its own next. An empty table
     gives an empty table. Other columns are ignored.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(math.floor(-(2**63))))
-    base = docs.select(key.alias("_key"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    none = F.lit(-(2**63)).cast("long")
+    key = F.coalesce(F.col("doc_id").cast("long"), none)
+    # read by both sides of the join below with the same columns, so its shuffle is made once and reused
+    base = docs.select(key.alias("_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     lengths = docs.select(key.alias("_key"), F.floor(F.length(F.coalesce(F.col("text"), F.lit(""))) / 4).alias("_quarter"))
     pairs = materialize(following(lengths), "following")
 
     wanted = pairs.select(F.col("_next").alias("_key"), F.col("_key").alias("_of"), "_need")
     heads = base.join(wanted, "_key").select(F.col("_of").alias("_key"), F.substring(F.col("text"), F.lit(1), F.col("_need").cast("int")).alias("_head"))
     heads = heads.groupBy("_key").agg(F.min("_head").alias("_head"))
-    joined = base.join(heads, "_key", "left").select("_key", "doc_id", "text", "_head", F.length("text").cast("int").alias("_n"))
+    joined = base.join(heads, "_key", "left").select("_key", "text", "_head", F.length("text").cast("int").alias("_n"))
     quarter = F.floor(F.col("_n") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("_n") - quarter), F.substring(F.coalesce("_head", F.lit("")), F.lit(1), quarter))
-    both = joined.select("_key", "doc_id", F.monotonically_increasing_id().alias("_row"), "_n", "text", edited.alias("_edited"))
+    both = joined.select("_key", F.monotonically_increasing_id().alias("_row"), "_n", "text", edited.alias("_edited"))
     both = both.withColumn("_sha", F.unhex(F.sha2("_edited", 256)))
-    keys = ["_key", "doc_id", "_row", "_n", "_sha"]
+    keys = ["_key", "_row", "_n", "_sha"]
     kinds = both.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("_kind"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_kind"), F.col("_edited").alias("_text")))))
     signed = signatures(kinds, [*keys, "_kind"], "_text", samples, bits)
     of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("fingerprint")))
@@ -129,7 +129,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bits: int = T
     next_ones = found.groupBy("_key").agg(F.min("fingerprint").alias("_next_fingerprint"))
     ahead = pairs.select("_key", "_next").join(next_ones.withColumnRenamed("_key", "_next"), "_next").select("_key", "_next_fingerprint")
     return found.join(ahead, "_key").select(
-        "doc_id",
+        F.nullif("_key", none).alias("doc_id"),
         F.col("_n").cast("long").alias("n_chars"),
         F.lower(F.hex("_sha")).alias("edited_sha256"),
         "fingerprint",
