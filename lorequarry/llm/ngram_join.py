@@ -16,6 +16,8 @@ Steps
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from ._shared import connected_components, materialize
 SHINGLE = 5
 #: A pair links when NEED[0] * union <= NEED[1] * intersection, that is, at 0.8.
 NEED = (80, 100)
-SKETCH_BITS = 18
+#: Shingles are counted over all documents in 2**SKETCH_BITS buckets, which are summed in blocks of 2**BLOCK_BITS.
+SKETCH_BITS, BLOCK_BITS = 22, 14
 MINIMA = 8
 #: Estimated cost of scanning a posting against that of enumerating a subset.
 SCAN_COST = 8
@@ -103,17 +106,17 @@ def links(a, b) -> bool:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """A row per document; and, with doc_id null and bucket set, counts of the shingle buckets that a partition has often."""
+    """A row per document; and, with block set, the partition's counts of shingles in that block of buckets."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        words, counts, size = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64), 1 << SKETCH_BITS
+        words, counts, size = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32), 1 << SKETCH_BITS
         odd = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(MINIMA)], np.uint64)[:, None]
-        names = ["doc_id", "n", "d1", "d2", "minima", "bitmap", "bucket", "hits"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int64()]
+        names = ["doc_id", "n", "d1", "d2", "minima", "bitmap", "block", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
 
         def table(columns):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
@@ -131,13 +134,12 @@ def profile(docs: DataFrame) -> DataFrame:
                 rows.append((doc, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), least.view(np.int64).tolist(), parity_bitmap(s), None, None))
             if rows:
                 yield table(zip(*rows))
-        often = np.flatnonzero(counts >= max(4, 8 * counts.mean()))
-        if len(often):
-            none = [None] * len(often)
-            yield table([none, none, none, none, none, none, often.tolist(), counts[often].tolist()])
+        for block, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            if part.any():
+                yield table([[x] for x in (None, None, None, None, None, None, block, zlib.compress(part.tobytes(), 1))])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(
-        run, "doc_id long, n long, d1 long, d2 long, minima array<long>, bitmap binary, bucket int, hits long"
+        run, "doc_id long, n long, d1 long, d2 long, minima array<long>, bitmap binary, block int, counts binary"
     )
 
 
@@ -327,7 +329,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     everything = materialize(profile(docs), "ngram-profile")
-    rows = everything.where("bucket is null")
+    rows = everything.where("block is null")
     named = rows.where("n > 0 and doc_id is not null")
     classes = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = materialize(rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left"), "ngram-classes")
@@ -342,7 +344,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     united = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")), "ngram-united")
     united = materialize(united, "ngram-united")
 
-    weights = _weights(everything)
+    weights = shingle_counts(everything)
     sizes = {int(r["size"]): r["count"] for r in reps.select(_size_bin().alias("size")).groupBy("size").count().collect()}
     boundary = choose_boundary(sizes)
     known = reps.select("doc_id").distinct().join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
@@ -361,14 +363,29 @@ def _size_bin():
     return F.when(F.col("n") <= 512, F.col("n")).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("n").cast("double")))).cast("long"))
 
 
-def _weights(everything: DataFrame):
-    """How often the shingles of each bucket were counted, 0 where no partition had the bucket often: 2**SKETCH_BITS numbers."""
+def shingle_counts(everything: DataFrame):
+    """In how many documents the shingles of each bucket are, over all documents: 2**SKETCH_BITS numbers.
+
+    Every task adds up what it gets of a block in one array, so its memory hangs on the sketch's size alone.
+    """
     import numpy as np
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in everything.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).collect():
-        out[r["bucket"]] = r["hits"]
-    return out
+    def run(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(counts), np.int32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        for block, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int32)
+    parts = everything.where("block is not null").select("block", "counts").repartition("block")
+    for r in parts.mapInArrow(run, "block int, counts binary").collect():
+        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int32)
+    return out.reshape(-1)
 
 
 def _same_id(member: DataFrame) -> DataFrame:
