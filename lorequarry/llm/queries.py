@@ -56,7 +56,3 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_quality, op3_sharding, op4_embedding_dedup, op5_fingerprints, op6_mixing, op7_line_dedup, op8_warc, op9_pii, op10_ngram_join)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
