@@ -16,7 +16,7 @@ from .errors import KnowledgeError
 class Storage:
     mode: str = "embedded"
     path: str = "./data"
-    namespace: str = "skb"
+    namespace: str = "lorequarry"
     database: str = "knowledge"
 
 
@@ -106,17 +106,17 @@ def from_toml(text: str) -> Config:
 
 
 def default_paths() -> list[Path]:
-    return [Path("skb.toml"), Path.home() / ".config" / "skb" / "config.toml"]
+    return [Path("lorequarry.toml"), Path.home() / ".config" / "lorequarry" / "config.toml"]
 
 
 def load(path: str | Path | None = None, env: Mapping[str, str] | None = None) -> Config:
-    """The given file, else the first of default_paths() that exists, else the defaults; then variables SKB_SECTION__KEY."""
+    """The given file, else the first of default_paths() that exists, else the defaults; then variables LOREQUARRY_SECTION__KEY."""
     found = Path(path) if path else next((p for p in default_paths() if p.exists()), None)
     if path and not found.exists():
         raise KnowledgeError("E_CONFIG", f"no such file: {path}")
     config = from_toml(found.read_text()) if found else Config()
     for name, value in sorted((os.environ if env is None else env).items()):
-        m = re.fullmatch(r"SKB_([A-Z]+)__([A-Z0-9_]+)", name)
+        m = re.fullmatch(r"LOREQUARRY_([A-Z]+)__([A-Z0-9_]+)", name)
         if m:
             config = _built(config, {m[1].lower(): {m[2].lower(): parse_scalar(value)}})
     return config

@@ -8,7 +8,7 @@ def test_defaults_and_toml(tmp_path):
     assert config.Config().chunking == config.Chunking(512, 64)
     path = tmp_path / "c.toml"
     path.write_text('search = { rrf_k = 10 }\n[embedding]\nonnx_path = "mock"\ndimension = 8\nunknown = 1\n[upload]\nallowed_dirs = ["/a"]\n')
-    c = config.load(path, env={"SKB_SEARCH__TOP_K": "7", "SKB_STORAGE__PATH": "/x"})
+    c = config.load(path, env={"LOREQUARRY_SEARCH__TOP_K": "7", "LOREQUARRY_STORAGE__PATH": "/x"})
     assert (c.search.rrf_k, c.search.top_k, c.embedding.dimension, c.storage.path, c.upload.allowed_dirs) == (10, 7, 8, "/x", ("/a",))
 
 

@@ -8,7 +8,7 @@ from lorequarry.errors import KnowledgeError
 from lorequarry.functions.embedders import HashingEmbedder
 from lorequarry.streaming import watch
 
-MD = "# SurrealDB\n\nMulti-model database. [HNSW](https://hns.wiki). #database"
+MD = "# PebbleStore\n\nMulti-model database. [HNSW](https://hns.wiki). #database"
 
 
 def mock(path, **more):
@@ -28,7 +28,7 @@ def test_upload_states(base):
     first = rows(base.upload(content=["one two three", "one two three", "", MD], title="t", tags=["test"], metadata={"k": "v"}))
     assert [r["status"] for r in first] == ["created", "skipped", "empty", "created"]
     assert first[1]["document_id"] is None and first[2]["document_id"] is None
-    assert first[3]["entities"] == ["HNSW", "SurrealDB", "database"] and (first[0]["chunks"], first[0]["tokens"]) == (1, 3)
+    assert first[3]["entities"] == ["HNSW", "PebbleStore", "database"] and (first[0]["chunks"], first[0]["tokens"]) == (1, 3)
     assert [r["status"] for r in rows(base.upload(content="one two three"))] == ["skipped"]
     assert [r["status"] for r in rows(base.upload(content="one two three", title="new", force=True))] == ["updated"]
     doc = rows(base.get(first[0]["document_id"], with_chunks=True))[0]
@@ -95,7 +95,7 @@ def test_graph_from_a_document(base):
     base.link_entities("HNSW", "graph", "uses")
     base.upsert_entity("graph", "topic", "a graph")
     nodes, edges = base.graph_query(f"document:{doc}", depth=2)
-    assert {(r["name"], r["kind"], r["depth"]) for r in rows(nodes)} == {("inline", "document", 0), ("HNSW", "reference", 1), ("database", "tag", 1), ("SurrealDB", "section", 1), ("graph", "topic", 2)}
+    assert {(r["name"], r["kind"], r["depth"]) for r in rows(nodes)} == {("inline", "document", 0), ("HNSW", "reference", 1), ("database", "tag", 1), ("PebbleStore", "section", 1), ("graph", "topic", 2)}
     assert {r["relation"] for r in rows(edges)} == {"mentions", "uses"}
     assert base.graph_query(f"document:{doc}", depth=0)[0].count() == 1
 
@@ -109,7 +109,7 @@ def test_entities_keep_kind_and_description(base):
     r = rows(base.table("entity").where("entity_id = 'HNSW'"))[0]
     assert (r["kind"], r["description"]) == ("index", "new")
     doc = base.list().first().document_id
-    assert {r["name"] for r in rows(base.extract_and_save_entities(doc))} == {"HNSW", "database", "SurrealDB"}
+    assert {r["name"] for r in rows(base.extract_and_save_entities(doc))} == {"HNSW", "database", "PebbleStore"}
 
 
 def test_list_delete(base):

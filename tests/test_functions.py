@@ -82,9 +82,9 @@ def test_file_tokenizer_cuts_at_offsets(spark):
 
 
 def test_entities(spark):
-    md = "# SurrealDB\n\nMulti-model database. [HNSW](https://hns.wiki). #database"
+    md = "# PebbleStore\n\nMulti-model database. [HNSW](https://hns.wiki). #database"
     got = [tuple(r) for r in value(spark, text.entities(F.col("c")), c=md)]
-    assert got == [("HNSW", "reference"), ("database", "tag"), ("SurrealDB", "section")]
+    assert got == [("HNSW", "reference"), ("database", "tag"), ("PebbleStore", "section")]
 
 
 @pytest.mark.parametrize(
