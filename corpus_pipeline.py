@@ -28,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = ngram_join.near_groups(docs).where("component_id < doc_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(materialize(gone, "near-duplicates"), "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    named = named.withColumn("__row", F.row_number().over(first)).where("__row = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

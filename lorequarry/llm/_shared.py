@@ -44,14 +44,14 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, buckets: int
     groups x buckets rows) gives each bucket its first position, and rows are counted within their bucket.
     df is read twice, so pass a stored table. Only rows that agree in all order columns are interchangeable.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("bucket")), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(F.col(group).alias("_group"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_group", F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(group, "_bucket").orderBy(*order)
-    placed = dealt.withColumn("_row", F.row_number().over(within) - 1)
-    joined = placed.join(F.broadcast(starts), placed[group].eqNullSafe(starts["_group"]) & (placed["_bucket"] == starts["_b"]))
-    return joined.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_group", "_b", "_start", "_row")
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit("bucket")), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(F.col(group).alias("__group"), "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__group", F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(group, "__bucket").orderBy(*order)
+    placed = dealt.withColumn("__row", F.row_number().over(within) - 1)
+    joined = placed.join(F.broadcast(starts), placed[group].eqNullSafe(starts["__group"]) & (placed["__bucket"] == starts["__b"]))
+    return joined.withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__bucket", "__group", "__b", "__start", "__row")
 
 
 def local_table(spark: SparkSession, rows: str, schema: str) -> DataFrame:

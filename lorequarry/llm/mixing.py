@@ -95,15 +95,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     plan = phases({s: -(-n // block) for s, n in counts.items()}, weight, units)
     short = {s: -n % block for s, n in counts.items() if n % block}
 
-    order = base.withColumn("_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    ranked = gapless(order, "mix_source", ["doc_id", "_text"], "_rank").drop("_text")
-    numbered = ranked.withColumn("mix_block", F.floor(F.col("_rank") / block))
+    order = base.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    ranked = gapless(order, "mix_source", ["doc_id", "__text"], "__rank").drop("__text")
+    numbered = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block))
     fields = "source string, phase bigint, first bigint, end bigint, share bigint, period bigint, slots array<bigint>"
     table = local_table(spark, json.dumps(plan), fields)
-    table = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in table.columns]))
-    placed = numbered.join(table, (F.col("mix_source") == F.col("_source")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_end")))
-    turn = F.col("mix_block") - F.col("_first")
-    slot = F.col("_phase") + F.floor(turn / F.col("_share")) * F.col("_period") + F.get("_slots", (turn % F.col("_share")).cast("int"))
+    table = F.broadcast(table.select(*[F.col(c).alias(f"__{c}") for c in table.columns]))
+    placed = numbered.join(table, (F.col("mix_source") == F.col("__source")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end")))
+    turn = F.col("mix_block") - F.col("__first")
+    slot = F.col("__phase") + F.floor(turn / F.col("__share")) * F.col("__period") + F.get("__slots", (turn % F.col("__share")).cast("int"))
     placed = placed.withColumn("mix_slot", slot.cast("long"))
     gaps = [{"slot": slot_of(plan, s, counts[s] // block), "missing": n} for s, n in short.items()]
     before = _missing_before(F.col("mix_slot"), gaps)
@@ -112,9 +112,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
         "mix_source",
         "mix_block",
         "mix_slot",
-        F.col("_phase").alias("mix_phase"),
-        (F.col("_share") / F.col("_period")).alias("mix_weight"),
-        (F.col("mix_slot") * block + F.col("_rank") % block - before).alias("mix_position"),
+        F.col("__phase").alias("mix_phase"),
+        (F.col("__share") / F.col("__period")).alias("mix_weight"),
+        (F.col("mix_slot") * block + F.col("__rank") % block - before).alias("mix_position"),
     )
 
 
