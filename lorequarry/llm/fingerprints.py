@@ -39,9 +39,9 @@ def log_sample(term: Column, sample: Column, weight: Column) -> Column:
 
 
 def sample_table(spark: SparkSession, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
-    """(term, single): for each term its ln a for all samples at weight 1; 2**bits rows."""
-    made = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: log_sample(F.col("term"), j, F.lit(1.0)))
-    return spark.range(1 << bits).select(F.col("id").cast("int").alias("term")).select("term", made.alias("single"))
+    """(term, single, double): for each term its ln a for all samples at weights 1 and 2, which nearly all terms have; 2**bits rows."""
+    made = lambda w: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: log_sample(F.col("term"), j, F.lit(w)))
+    return spark.range(1 << bits).select(F.col("id").cast("int").alias("term")).select("term", made(1.0).alias("single"), made(2.0).alias("double"))
 
 
 def weighted_terms(text: Column, bits: int = TERM_BITS) -> Column:
@@ -69,7 +69,7 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
     rows = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text), bits)).alias("_t")).select(*keys, F.col("_t.term").alias("term"), F.col("_t.times").alias("times"))
     table = F.broadcast(sample_table(spark, samples, bits))
     several = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: log_sample(F.col("term"), j, F.col("times").cast("double")))
-    sampled = rows.join(table, "term", "left").select(*keys, F.when(F.col("times") == 1, F.col("single")).when(F.col("times") > 1, several).alias("_v"))
+    sampled = rows.join(table, "term", "left").select(*keys, F.when(F.col("times") == 1, F.col("single")).when(F.col("times") == 2, F.col("double")).when(F.col("times") > 2, several).alias("_v"))
     least = sampled.groupBy(*keys).agg(*[F.min(F.get("_v", F.lit(j))).alias(f"_m{j}") for j in range(samples)])
     digits = lambda m: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(m), F.lit(16**DIGITS)))), DIGITS, "0")
     return least.select(*keys, F.array_join(F.transform(F.array(*[f"_m{j}" for j in range(samples)]), digits), "").alias("fingerprint"))
