@@ -3,15 +3,18 @@
 Steps
 1. Every whole text becomes the set of its distinct 5-word shingles (64-bit hashes). Per document the size, a digest
    of the set, eight minima and a parity bitmap are stored. Documents with equal sets are one class from here on.
-2. Large groups of near copies are joined first: classes that share a minimum are compared with the smallest class
-   there, and the pairs that hold exactly are united. This finds no more than some of the links, in linear time.
+2. Large groups of near copies are joined first: classes that share a minimum are compared with one class there, that
+   whose minima are the most common, and the pairs that hold exactly are united. This finds some of the links, in
+   linear time.
 3. The join proper finds every link between classes that aren't united yet. Sets up to a boundary (light) enumerate
    all pairs of elements of their prefix, larger ones (heavy) put single elements of their prefix into inverted
    lists, which are scanned; light sets near the boundary join those lists as possible partners of heavy ones. The
    boundary is where the estimated cost of both, over the sizes of all documents, is least. Prefixes follow an order
    in which shingles counted often come last, so common passages seldom meet. Both filters lose no pair.
-4. A parity bitmap bounds the symmetric difference of a pair from below and drops most false candidates; what is left
-   is compared set by set. Components come from the links of both steps.
+4. A parity bitmap bounds the symmetric difference of a pair from below and drops most false candidates: in long lists
+   before a pair is put out at all. What is left is compared set by set. Components come from the links of both steps.
+   A list is scanned in one task only up to a size; a token that is counted more often has its documents dealt into
+   blocks, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ SKETCH_BITS, BLOCK_BITS = 22, 14
 MINIMA = 8
 #: Estimated cost of scanning a posting against that of enumerating a subset.
 SCAN_COST = 8
+#: Inverted lists up to SHORT documents give their pairs at once; in longer ones pairs are tested by bitmap first.
+SHORT = 4
+#: A token counted far more often than PART times is dealt out over groups of about two PART documents each.
+PART = 4096
 
 
 class WordHashes(dict):
@@ -83,10 +90,8 @@ def parity_bitmap(tokens) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
-    """False only if the bitmaps prove that the sets are less alike than asked for."""
-    if NEED[1] * min(na, nb) < NEED[0] * max(na, nb):
-        return False
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference, by their bitmaps."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
     long, short = len(a), len(b)
     if long < short:
@@ -94,8 +99,14 @@ def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
     while long > short:
         long //= 2
         x = (x >> (8 * long)) ^ (x & ((1 << (8 * long)) - 1))
-    apart = (x ^ y).bit_count()
-    return (NEED[1] + NEED[0]) * apart <= (NEED[1] - NEED[0]) * (na + nb)
+    return (x ^ y).bit_count()
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    """False only if sizes and bitmaps prove that the sets are less alike than asked for."""
+    if NEED[1] * min(na, nb) < NEED[0] * max(na, nb):
+        return False
+    return (NEED[1] + NEED[0]) * apart(a, b) <= (NEED[1] - NEED[0]) * (na + nb)
 
 
 def links(a, b) -> bool:
@@ -163,14 +174,40 @@ def choose_boundary(sizes: dict[int, int]) -> int:
 
 def postings(texts: DataFrame, weights, boundary: int) -> DataFrame:
     """(token, doc, comp, n, kind) for the prefixes of all sets. kind: 0 a pair of a light set; 1 an element of a light
-    set near the boundary, or early enough in a heavy one to meet larger sets; 2 another element of a heavy one."""
+    set near the boundary, or early enough in a heavy one to meet larger sets; 2 another element of a heavy one; plus 4
+    or 8 for the two sides where a token's documents are dealt into blocks, and only those of different sides meet."""
+    import numpy
+
+    mean = float(numpy.mean(weights))
+    usual = mean + 6 * mean**0.5  # of counts that chance alone brings together in a bucket
     weights = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
+        import math
+
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         words, often, low = WordHashes(), weights.value, np.uint64((1 << SKETCH_BITS) - 1)
+
+        def dealt(doc, tokens, kinds, counts):
+            if not len(counts) or counts.max() <= usual + PART:
+                return tokens, kinds
+            out_t, out_k = [], []
+            for t, k, c in zip(tokens, kinds, counts):
+                blocks = max(1, math.ceil((float(c) - usual) / PART))
+                if blocks == 1:
+                    out_t.append(t)
+                    out_k.append(k)
+                    continue
+                own = xxhash.xxh3_64_intdigest(b"%d" % doc) % blocks
+                for other in range(blocks):
+                    pair = min(own, other) * blocks + max(own, other)
+                    out_t.append(mixed(t + np.uint64(pair + 1) * np.uint64(0xD1342543DE82EF95)))
+                    out_k.append(k + (0 if own == other else 4 if own < other else 8))
+            return np.array(out_t, np.uint64), np.array(out_k, np.int8)
+
         for batch in batches:
             tokens, docs, comps, sizes, kinds = [], [], [], [], []
             for doc, comp, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -184,15 +221,16 @@ def postings(texts: DataFrame, weights, boundary: int) -> DataFrame:
                     p = s[: prefix_length(n, 2)]
                     i, j = np.triu_indices(len(p), 1)
                     a, b = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-                    parts.append((mixed(a * np.uint64(0x9E3779B97F4A7C15) + b), np.zeros(len(a), np.int8)))
+                    count = np.minimum(often[(p[i] & low).astype(np.int64)], often[(p[j] & low).astype(np.int64)])
+                    parts.append(dealt(doc, mixed(a * np.uint64(0x9E3779B97F4A7C15) + b), np.zeros(len(a), np.int8), count))
                     if NEED[1] * n >= NEED[0] * boundary:
                         p = s[: prefix_length(n, 1, True)]
-                        parts.append((p, np.ones(len(p), np.int8)))
+                        parts.append(dealt(doc, p, np.ones(len(p), np.int8), often[(p & low).astype(np.int64)]))
                 else:
                     p = s[: prefix_length(n, 1)]
                     kind = np.full(len(p), 2, np.int8)
                     kind[: prefix_length(n, 1, True)] = 1
-                    parts.append((p, kind))
+                    parts.append(dealt(doc, p, kind, often[(p & low).astype(np.int64)]))
                 for t, k in parts:
                     tokens.append(t)
                     kinds.append(k)
@@ -208,74 +246,148 @@ def postings(texts: DataFrame, weights, boundary: int) -> DataFrame:
     return texts.select("doc_id", "comp", F.col("text").cast("binary")).mapInArrow(run, "token long, doc long, comp long, n long, kind byte")
 
 
-def candidates(rows: DataFrame, boundary: int) -> DataFrame:
-    """Distinct pairs (a, b) of documents of different components that share a token and can link by their sizes."""
-    ordered = rows.repartition("token").sortWithinPartitions("token", "kind", "n")
+def grouped(batches):
+    """The columns of all rows with one value in the first column, group by group; batches come sorted by it.
+
+    Yields runs of columns, and the (start, stop) of the groups of more than one row in them. Only the last group of a
+    batch is held over to the next.
+    """
+    import numpy as np
+
+    held = None
+
+    def runs(columns):
+        token = columns[0]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        stops = np.r_[starts[1:], len(token)]
+        several = stops - starts > 1
+        return columns, list(zip(starts[several].tolist(), stops[several].tolist()))
+
+    for columns in batches:
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        held = [c[last:] for c in columns]
+        if last:
+            yield runs([c[:last] for c in columns])
+    if held is not None:
+        yield runs(held)
+
+
+def pairs_of(doc, comp, n, kind, boundary: int):
+    """(i, places j) of the rows of one token that can link by component and size: of light sets, or of a heavy set and one no larger.
+
+    Rows come sorted by n. The pair's smaller set has the token among its first elements (kind 0 or 1).
+    """
+    import numpy as np
+
+    side, kind = kind >> 2, kind & 3
+    begins, ends = np.searchsorted(n, n, "left"), np.searchsorted(n, n * NEED[1] // NEED[0], "right")
+    for i in np.flatnonzero(kind < 2):
+        j = np.arange(begins[i], ends[i])  # with those of equal size on either side
+        fits = (kind[j] == 0) if kind[i] == 0 else (kind[j] > 0) & (n[j] > boundary)
+        j = j[(comp[j] != comp[i]) & fits & ((side[j] != side[i]) | (side[i] == 0))]
+        if len(j):
+            yield i, j
+
+
+def by_list(rows: DataFrame, boundary: int) -> DataFrame:
+    """Of the inverted lists that hold more than one component: the pairs (a, b) of short ones; the postings of longer ones."""
+    ordered = rows.repartition("token").sortWithinPartitions("token")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held = None
-        found: list = []
-        amount = 0
-
-        def pairs_of(doc, comp, n, kind):
-            """Pairs of one token's rows, which are sorted by kind and size: of light sets, or of a heavy set and one no larger."""
-            light = kind[0] == 0
-            order = np.argsort(n, kind="stable")
-            doc, comp, n, kind = doc[order], comp[order], n[order], kind[order]
-            begins, ends = np.searchsorted(n, n, "left"), np.searchsorted(n, n * NEED[1] // NEED[0], "right")
-            for i in np.flatnonzero(kind < 2):
-                j = np.arange(begins[i], ends[i])  # with those of equal size on either side
-                j = j[(comp[j] != comp[i]) & (light | (n[j] > boundary))]
-                if len(j):
-                    yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-
-        def flush():
-            a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        def groups(token, doc, comp, n, kind):
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            stops = np.r_[starts[1:], len(token)]
-            for s, e in zip(starts[stops - starts > 1], stops[stops - starts > 1]):
-                if (comp[s:e] != comp[s]).any():
-                    split = s + int(np.searchsorted(kind[s:e], 1))
-                    for x, y in ((s, split), (split, e)):
-                        if y - x > 1:
-                            yield from pairs_of(doc[x:y], comp[x:y], n[x:y], kind[x:y])
-
-        def used(columns):
-            nonlocal found, amount
-            for pair in groups(*columns):
-                found.append(pair)
-                amount += len(pair[0])
-                if amount >= 500_000:
-                    yield flush()
-                    found, amount = [], 0
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("doc", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("kind", pa.int8())])
+
+        def made(pairs, long):
+            if pairs:
+                both = np.unique(np.array(pairs, np.int64), axis=0)
+                nothing = [pa.nulls(len(both), f.type) for f in list(schema)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *nothing], schema=schema)
+            if long:
+                columns = [np.concatenate(c) for c in zip(*long)]
+                nothing = [pa.nulls(len(columns[0]), f.type) for f in list(schema)[:2]]
+                yield pa.RecordBatch.from_arrays([*nothing, *map(pa.array, columns)], schema=schema)
+
+        for columns, groups in grouped([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches):
+            pairs, long = [], []  # put out for each batch: slices would hold on to whole batches
+            for s, e in groups:
+                token, doc, comp, n, kind = own = [c[s:e] for c in columns]
+                if (comp == comp[0]).all():
+                    continue
+                if e - s > SHORT:
+                    long.append(own)
+                    continue
+                order = np.argsort(n, kind="stable")
+                doc = doc[order]
+                for i, js in pairs_of(doc, comp[order], n[order], kind[order], boundary):
+                    pairs += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in js]
+            yield from made(pairs, long)
+
+    return ordered.mapInArrow(run, "a long, b long, token long, doc long, comp long, n long, kind byte")
 
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            token = columns[0]
-            if not len(token):
-                continue
-            last = int(np.searchsorted(token, token[-1], "left"))
-            held = [c[last:] for c in columns]
-            yield from used([c[:last] for c in columns])
-        if held is not None:
-            yield from used(held)
-        if found:
-            yield flush()
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+def long_pairs(rows: DataFrame, reps: DataFrame, boundary: int) -> DataFrame:
+    """The pairs (a, b) of longer lists whose bitmaps allow a link. Pairs that don't pass are never put out."""
+    maps = reps.groupBy(F.col("doc_id").alias("doc"), "n").agg(F.min("bitmap").alias("bitmap"))
+    ordered = rows.join(maps, ["doc", "n"]).select("token", "doc", "comp", "n", "kind", "bitmap").repartition("token").sortWithinPartitions("token")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def read(batch):
+            bitmaps = np.empty(batch.num_rows, object)
+            bitmaps[:] = batch.column(5).to_pylist()
+            return [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]), bitmaps]
+
+        def folded(bitmaps, words):
+            """Those of `words` or twice as many words, at `words`; others are left zero."""
+            out = np.zeros((len(bitmaps), words), np.uint64)
+            for i, m in enumerate(bitmaps):
+                if len(m) == 8 * words:
+                    out[i] = np.frombuffer(m, "<u8")
+                elif len(m) == 16 * words:
+                    out[i] = np.frombuffer(m[: 8 * words], "<u8") ^ np.frombuffer(m[8 * words :], "<u8")
+            return out
+
+        pairs: set = set()
+        for columns, groups in grouped(map(read, batches)):
+            for s, e in groups:
+                doc, comp, n, kind, bitmaps = (c[s:e] for c in columns[1:])
+                order = np.argsort(n, kind="stable")
+                doc, comp, n, kind, bitmaps = doc[order], comp[order], n[order], kind[order], bitmaps[order]
+                words = np.array([len(m) // 8 for m in bitmaps])
+                tables = {int(w): folded(bitmaps, int(w)) for w in np.unique(words)}
+                for i, j in pairs_of(doc, comp, n, kind, boundary):
+                    # the smaller set's bitmap is as long as the other's, or half as long
+                    table = tables[int(words[i])]
+                    least = np.bitwise_count(table[j] ^ table[i]).sum(1, dtype=np.int64)
+                    j = j[(NEED[1] + NEED[0]) * least <= (NEED[1] - NEED[0]) * (n[i] + n[j])]
+                    one = int(doc[i])
+                    pairs.update((min(one, x), max(one, x)) for x in doc[j].tolist())
+                if len(pairs) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+                    pairs = set()
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def candidates(rows: DataFrame, reps: DataFrame, boundary: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a token, can link by their sizes, and aren't ruled out by bitmaps."""
+    lists = materialize(by_list(rows, boundary), "ngram-lists")
+    short = pruned(lists.where("token is null").select("a", "b").distinct(), reps)
+    return short.select("a", "b").union(long_pairs(lists.where("token is not null").drop("a", "b"), reps, boundary)).distinct()
 
 
 def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps don't rule them out."""
+    """The pairs (a, b) whose bitmaps don't rule them out, and the share of elements in which they differ at least."""
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
 
     def run(batches):
@@ -283,10 +395,24 @@ def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
         for batch in batches:
             a, b, na, ma, nb, mb = (batch.column(i).to_pylist() for i in range(6))
-            keep = [may_link(*x) for x in zip(ma, na, mb, nb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows = [(x, y, apart(p, q) / (i + j)) for x, y, i, p, j, q in zip(a, b, na, ma, nb, mb) if may_link(p, i, q, j)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "apart"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long, apart double")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(run, "a long, b long")
+
+def stars(reps: DataFrame) -> DataFrame:
+    """A pair (a, b) for each class at most: b is the most common class of one of a's minima, and the nearest of these by bitmap."""
+    marks = reps.select("doc_id", F.posexplode("minima").alias("i", "value"))
+    sizes = marks.groupBy("i", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    weighed = materialize(marks.join(sizes, ["i", "value"]), "ngram-marks")
+    common = weighed.groupBy("doc_id").agg(F.sum("size").alias("common"))
+    held = weighed.join(common, "doc_id")
+    centres = held.groupBy("i", "value").agg(F.max(F.struct("common", F.negative("doc_id").alias("low"))).alias("c")).select("i", "value", F.negative(F.col("c.low")).alias("b"))
+    near = weighed.join(materialize(centres, "ngram-centres"), ["i", "value"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    best = pruned(near, reps).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"))
+    return best.select("a", F.col("best.b").alias("b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, filter_bits: int = 18) -> DataFrame:
@@ -336,11 +462,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     held = classes.select(F.col("rep").alias("doc_id"), "d1", "d2")
     reps = materialize(named.join(held, ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "d1", "d2", "n", "minima", "bitmap").dropDuplicates(["doc_id", "d1"]), "ngram-reps")
 
-    marks = reps.select("doc_id", F.posexplode("minima").alias("i", "value"))
-    centres = marks.groupBy("i", "value").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("b < other").drop("other")
-    star = marks.join(centres, ["i", "value"]).where("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("times"))
-    best = star.groupBy("a").agg(F.max(F.struct("times", F.negative("b").alias("low"))).alias("best")).where("best.times >= 2").select("a", F.negative(F.col("best.low")).alias("b"))
-    first = materialize(verified(materialize(pruned(best, reps), "ngram-star"), docs), "ngram-first")
+    first = materialize(verified(materialize(stars(reps), "ngram-star"), docs), "ngram-first")
     united = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")), "ngram-united")
     united = materialize(united, "ngram-united")
 
@@ -348,8 +470,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sizes = {int(r["size"]): r["count"] for r in reps.select(_size_bin().alias("size")).groupBy("size").count().collect()}
     boundary = choose_boundary(sizes)
     known = reps.select("doc_id").distinct().join(united.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    found = candidates(postings(docs.join(known, "doc_id"), weights, boundary), boundary)
-    second = materialize(verified(materialize(pruned(found, reps), "ngram-pairs"), docs), "ngram-second")
+    found = candidates(postings(docs.join(known, "doc_id"), weights, boundary), reps, boundary)
+    second = materialize(verified(materialize(found, "ngram-pairs"), docs), "ngram-second")
 
     edges = first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     edges = edges.union(_same_id(member))
