@@ -101,24 +101,24 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = MIN_BYTES) -
     Only hashes, ids and positions are grouped. The grouped minimum is combined before the shuffle, and the join that
     follows is one that Spark splits where a passage is very common; texts are shuffled once, for their rewriting.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_key")
-    mark = F.hash("text").alias("_mark")
+    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("__key")
+    mark = F.hash("text").alias("__mark")
     hashed = docs.select(key, mark, window_hashes(lines(F.col("text"), wrap), min_bytes).alias("h"))
     listed = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("p"), F.lit(False).alias("own")))
     own = F.transform(own_repeats(F.col("h")), lambda p: F.struct(F.lit(None).cast("long").alias("h"), p.alias("p"), F.lit(True).alias("own")))
-    windows = materialize(hashed.select("_key", "_mark", F.inline(F.concat(listed, own))).where("h is not null or own"), "line-windows")
+    windows = materialize(hashed.select("__key", "__mark", F.inline(F.concat(listed, own))).where("h is not null or own"), "line-windows")
 
-    first = windows.where("not own").groupBy("h").agg(F.min("_key").alias("first"), F.max("_key").alias("last")).where("first < last").drop("last")
-    later = windows.where("not own").join(first, "h").where("_key > first").select("_key", "_mark", "p")
-    later = later.union(windows.where("own").select("_key", "_mark", "p")).groupBy("_key", "_mark").agg(F.collect_set("p").alias("_later"))
+    first = materialize(windows.where("not own").groupBy("h").agg(F.min("__key").alias("first"), F.max("__key").alias("last")).where("first < last").drop("last"), "line-repeats")
+    later = windows.where("not own").join(first, "h").where("__key > first").select("__key", "__mark", "p")
+    later = later.union(windows.where("own").select("__key", "__mark", "p")).groupBy("__key", "__mark").agg(F.collect_set("p").alias("__later"))
 
-    clash = [c for c in ("n_removed", "removed", "_later", "_key", "_mark") if c in docs.columns]
-    joined = docs.drop(*clash).withColumns({"_key": key, "_mark": mark}).join(later, ["_key", "_mark"], "left")
+    clash = [c for c in ("n_removed", "removed", "__later", "__key", "__mark") if c in docs.columns]
+    joined = docs.drop(*clash).withColumns({"__key": key, "__mark": mark}).join(later, ["__key", "__mark"], "left")
     no_spans = F.array().cast("array<struct<first:int,end:int>>")
-    marked = joined.withColumn("removed", F.when(F.col("_later").isNull(), no_spans).otherwise(merged(F.col("_later"))))
+    marked = joined.withColumn("removed", F.when(F.col("__later").isNull(), no_spans).otherwise(merged(F.col("__later"))))
     rewritten = _let(lines(F.col("text"), wrap), lambda found: without(found, F.col("removed")))
     return (
         marked.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]))
-        .withColumn("text", F.when(F.col("_later").isNotNull(), rewritten).otherwise(F.col("text")))
+        .withColumn("text", F.when(F.col("__later").isNotNull(), rewritten).otherwise(F.col("text")))
         .select(*[c for c in docs.columns if c not in clash], "n_removed", "removed")
     )
