@@ -179,8 +179,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
     links. Vectors of different lengths don't link. Rows that share a vec_id are one node of the components; each row
     counts the links of its own vector. An empty table gives an empty table. Other columns are ignored.
 
-    A shard that grows beyond a chunk is split, and its members search all its chunks, in tasks of their own: what is
-    gathered in one place is a chunk. The links of a large group of near copies are counted, never listed.
+    A shard that grows beyond a chunk is split, and its members search all its chunks, in groups of their own: what is
+    gathered in one place is a chunk and as many members that ask. The links of a large group of near copies are counted, never listed.
     """
     rows = usable(vectors)
     marked = rows.withColumn("key", F.concat_ws(":", F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit(1), "embedding"))))
@@ -209,8 +209,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
 
     weights = nodes.select(F.col("vec_id").alias("id"), "copies")
     members = parts.join(united, "id").join(weights, "id")
-    indexed = members.select(*place, F.lit(False).alias("asks"), "id", "vector", "neighbours", "copies")
-    asking = members.where("main").select("label", "length", "shard", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"), "id", "vector", "neighbours", "copies")
+    # the members that ask in a chunk are dealt into as many parts as the shard has chunks, each with the chunk's graph
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("chunks")).cast("int")
+    held = ["id", "vector", "neighbours", "copies"]
+    indexed = members.select(*place, every.alias("part"), F.lit(False).alias("asks"), *held)
+    asking = members.where("main").select("label", "length", "shard", every.alias("chunk"), own.alias("part"), F.lit(True).alias("asks"), *held)
 
     def search(group):
         import numpy as np
@@ -247,7 +251,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
         return pd.DataFrame({"id": touched, "links": [int(links.get(i, 0)) for i in touched], "root": [find(i) for i in touched]}).astype("int64")
 
     both = indexed.union(asking)
-    found = materialize(both.groupBy(*place).applyInPandas(search, "id long, links long, root long"), "vector-links")
+    found = materialize(both.groupBy(*place, "part").applyInPandas(search, "id long, links long, root long"), "vector-links")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     same_id = stored.groupBy("vec_id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("label").alias("a"), F.max("label").alias("b")).where("low < high or a < b").select("vec_id")
     owned = stored.select("vec_id", "label", "key").join(nodes.select("label", "key", F.col("vec_id").alias("node"), "copies"), ["label", "key"])
