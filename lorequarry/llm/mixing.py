@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     A null source is a source of its own, mix_source "null"; one named so counts as the same. Null ids and texts are
     allowed; rows equal in doc_id and text are interchangeable. An empty table gives an empty table. Other columns
     stay, but for the added names. Only the numbers of rows by source reach the driver, and only the plan, of at most
-    sources x sources rows, is broadcast. Rows are counted off within hash buckets of a source, never in one task.
+    sources x sources rows, is broadcast: this is for up to some thousands of sources. Rows are counted off within hash buckets of a source, never in one task.
     """
     spark = docs.sparkSession
     names = ["mix_source", "mix_block", "mix_slot", "mix_phase", "mix_weight", "mix_position"]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ._shared import fresh_path, materialize
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Tasks that read archives, at most; a task reads several archives one after the other.
+MAX_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -217,7 +219,7 @@ def read_archives(files: DataFrame, payload: bool = False) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    n = max(1, files.count())
+    n = max(1, min(files.count(), MAX_TASKS))
     return files.select("file").repartition(n).mapInArrow(run, READ_SCHEMA)
 
 
