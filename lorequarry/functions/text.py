@@ -82,15 +82,20 @@ def windows(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column:
     """Overlapping windows as (idx, content, token_count): content is the exact stretch of text, without white space at its end."""
     check_windows(max_tokens, overlap_tokens)
     step = max_tokens - overlap_tokens
-    count = window_count(F.size(tokens), max_tokens, overlap_tokens)
-    numbers = F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    def window(i: Column) -> Column:
-        part = F.slice(tokens, i * step + 1, F.lit(max_tokens))
-        content = F.regexp_replace(F.array_join(part, ""), r"\s+$", "")
-        return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"))
+    def cut(tokens: Column) -> Column:
+        count = window_count(F.size(tokens), max_tokens, overlap_tokens)
+        numbers = F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(numbers, window)
+        def window(i: Column) -> Column:
+            part = F.slice(tokens, i * step + 1, F.lit(max_tokens))
+            content = F.regexp_replace(F.array_join(part, ""), r"\s+$", "")
+            return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"))
+
+        return F.transform(numbers, window)
+
+    # tokens become a variable of a lambda: they are made once for a row, not once for each window
+    return F.get(F.transform(F.array(tokens), cut), F.lit(0))
 
 
 def clean_name(name: Column) -> Column:
