@@ -54,11 +54,6 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, buckets: int
     return joined.withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__bucket", "__group", "__b", "__start", "__row")
 
 
-def local_table(spark: SparkSession, rows: str, schema: str) -> DataFrame:
-    """A small table from a JSON list, planned in the JVM as a literal."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{schema}>>")))
-
-
 def connected_components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges (src, dst: long); component is the smallest node reachable.
 

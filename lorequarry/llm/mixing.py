@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import math
+from array import array
 from collections.abc import Mapping
-from heapq import heappop, heappush
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import gapless, local_table, materialize
+from ._shared import gapless
 
-#: Weights are kept as shares of so many slots, after which the schedule of a phase repeats.
+#: A row of the plan has the slots of so many blocks of a source at most.
 UNITS = 512
+#: A plan of so many blocks, of 8 bytes each, is broadcast; a longer one is joined as Spark sees fit.
+BROADCAST = 4_000_000
 
 
 def shares(weights: Mapping[str, float], units: int) -> dict[str, int]:
@@ -27,53 +32,71 @@ def shares(weights: Mapping[str, float], units: int) -> dict[str, int]:
     return out
 
 
-def pfair(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in a period of sum(share) slots.
+def phase(left: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, array]:
+    """The slots of each source from now until the slot that would need a block of a source that has none left.
 
-    Block i of a source with share q of m slots is released at floor(i m / q) and due at ceil((i + 1) m / q). Of the
-    blocks that are released the one due first gets the slot, ties by name. The shares fill the period, so every
-    block meets its time, and after any number t of slots each source is less than one block off t q / m.
+    With w the source's share of all weights, exactly, block i is released at floor(i / w) and due at
+    ceil((i + 1) / w). Of the blocks that are released the one due first gets the slot, ties by name. The weights fill
+    all slots, so every block meets its time, and after any number t of slots each source is less than one block off t w.
     """
-    m, slots = sum(share.values()), {s: [] for s in share}
-    later = [(0, s) for s in share]
-    later.sort()
-    ready: list[tuple[int, str]] = []
-    for t in range(m):
+    exact = {s: Fraction(weights[s]) for s in left}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: x.numerator * (unit // x.denominator) for s, x in exact.items()}
+    total, slots, t = sum(parts.values()), {s: array("q") for s in left}, 0
+    later: list[tuple[int, str]] = []
+    ready = [(-(-total // parts[s]), s) for s in left]
+    heapify(ready)
+    while True:
         while later and later[0][0] <= t:
             _, s = heappop(later)
-            heappush(ready, (-(-(len(slots[s]) + 1) * m // share[s]), s))
+            heappush(ready, (-(-(len(slots[s]) + 1) * total // parts[s]), s))
         due, s = heappop(ready)
         if t >= due:
             raise AssertionError("a block is late")
+        if len(slots[s]) == left[s]:
+            return slots
         slots[s].append(t)
-        if len(slots[s]) < share[s]:
-            heappush(later, (len(slots[s]) * m // share[s], s))
-    return slots
+        heappush(later, (len(slots[s]) * total // parts[s], s))
+        t += 1
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], units: int = UNITS) -> list[dict]:
-    """The plan: for each phase and source the blocks [first, end) it places, and where.
+    """The plan: for each phase and source the blocks [first, end) it places, and where, `units` blocks in a row at most.
 
     A phase lasts until the slot that would need a block of a source that has none left. The next one goes on with the
     other sources, their weights in the same proportions, so every block is placed and no slot stays empty.
     """
     left, used, begin, plan = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     while left := {s: n for s, n in left.items() if n}:
-        share = shares({s: weights[s] for s in left}, units if len(left) > 1 else 1)
-        m, slots = sum(share.values()), pfair(share)
-        length = min(n // share[s] * m + slots[s][n % share[s]] for s, n in left.items())
+        slots, total = phase(left, weights), math.fsum(weights[s] for s in left)
         for s in sorted(left):
-            n = length // m * share[s] + sum(t < length % m for t in slots[s])
-            if n:
-                plan.append({"source": s, "phase": begin, "first": used[s], "end": used[s] + n, "share": share[s], "period": m, "slots": slots[s]})
-            used[s] += n
-            left[s] -= n
-        begin += length
+            first, end = used[s], used[s] + len(slots[s])
+            for at in range(first - first % units, end, units):
+                f, e = max(at, first), min(at + units, end)
+                plan.append({"source": s, "phase": begin, "first": f, "end": e, "share": weights[s], "period": total, "slots": slots[s][f - first : e - first]})
+            used[s] = end
+            left[s] -= len(slots[s])
+        begin += sum(map(len, slots.values()))
     return plan
 
 
+def plan_table(spark: SparkSession, plan: list[dict], units: int) -> DataFrame:
+    """The plan as a table; a row's blocks all have the same number of whole `units`, its __part."""
+    import pyarrow as pa
+
+    kinds = {"source": pa.string(), "phase": pa.int64(), "first": pa.int64(), "end": pa.int64(), "share": pa.float64(), "period": pa.float64()}
+    columns = {f"__{c}": pa.array([p[c] for p in plan], t) for c, t in kinds.items()}
+    columns["__part"] = pa.array([p["first"] // units for p in plan], pa.int64())
+    bounds = pa.array([0, *accumulate(len(p["slots"]) for p in plan)], pa.int32())
+    flat = array("q")
+    for p in plan:
+        flat.extend(p["slots"])
+    columns["__slots"] = pa.ListArray.from_arrays(bounds, pa.array(flat, pa.int64()))
+    return spark.createDataFrame(pa.table(columns))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block: int = 8, units: int = UNITS) -> DataFrame:
-    """docs with mix_source, mix_block, mix_slot, mix_phase, mix_weight (the source's share in that phase) and mix_position.
+    """docs with mix_source, mix_block, mix_slot, mix_phase, mix_weight (the source's target share in that phase) and mix_position.
 
     Each source's rows are dealt into blocks of `block` rows in a fixed order that looks random, and the blocks get
     slots by phases(). mix_position counts 0, 1, ... over all rows in the mixed order. No row is dropped or repeated.
@@ -82,8 +105,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
 
     A null source is a source of its own, mix_source "null"; one named so counts as the same. Null ids and texts are
     allowed; rows equal in doc_id and text are interchangeable. An empty table gives an empty table. Other columns
-    stay, but for the added names. Only the numbers of rows by source reach the driver, and only the plan, of at most
-    sources x sources rows, is broadcast: this is for up to some thousands of sources. Rows are counted off within hash buckets of a source, never in one task.
+    stay, but for the added names. Only the numbers of rows by source reach the driver, which makes the plan:
+    a slot, of 8 bytes, for each block, in at most sources x sources rows and one for each `units` blocks. This is for up
+    to some thousands of sources. Rows are counted off within hash buckets of a source, never in one task.
     """
     spark = docs.sparkSession
     names = ["mix_source", "mix_block", "mix_slot", "mix_phase", "mix_weight", "mix_position"]
@@ -98,14 +122,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     order = base.withColumn("__text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     ranked = gapless(order, "mix_source", ["doc_id", "__text"], "__rank").drop("__text")
     numbered = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block))
-    fields = "source string, phase bigint, first bigint, end bigint, share bigint, period bigint, slots array<bigint>"
-    table = local_table(spark, json.dumps(plan), fields)
-    table = F.broadcast(table.select(*[F.col(c).alias(f"__{c}") for c in table.columns]))
-    placed = numbered.join(table, (F.col("mix_source") == F.col("__source")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end")))
-    turn = F.col("mix_block") - F.col("__first")
-    slot = F.col("__phase") + F.floor(turn / F.col("__share")) * F.col("__period") + F.get("__slots", (turn % F.col("__share")).cast("int"))
+    table = plan_table(spark, plan, units)
+    if sum(-(-n // block) for n in counts.values()) <= BROADCAST:
+        table = F.broadcast(table)
+    placed = numbered.withColumn("__turn", F.floor(F.col("mix_block") / units))
+    placed = placed.join(table, (F.col("mix_source") == F.col("__source")) & (F.col("__turn") == F.col("__part")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end")))
+    slot = F.col("__phase") + F.get("__slots", (F.col("mix_block") - F.col("__first")).cast("int"))
     placed = placed.withColumn("mix_slot", slot.cast("long"))
-    gaps = [{"slot": slot_of(plan, s, counts[s] // block), "missing": n} for s, n in short.items()]
+    last = {p["source"]: p for p in plan}
+    gaps = [{"slot": slot_of([last[s]], s, counts[s] // block), "missing": n} for s, n in short.items()]
     before = _missing_before(F.col("mix_slot"), gaps)
     return placed.select(
         *[c for c in docs.columns if c not in names],
@@ -120,8 +145,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
 
 def slot_of(plan: list[dict], source: str, block: int) -> int:
     p = next(p for p in plan if p["source"] == source and p["first"] <= block < p["end"])
-    turn = block - p["first"]
-    return p["phase"] + turn // p["share"] * p["period"] + p["slots"][turn % p["share"]]
+    return p["phase"] + p["slots"][block - p["first"]]
 
 
 def _missing_before(slot: Column, gaps: list[dict]) -> Column:

@@ -38,6 +38,35 @@ def test_shares_add_up_and_follow_weights():
     assert sum(share.values()) == 100 and share["c"] == 1 and abs(share["a"] / share["b"] - 5 / 3) < 0.1
 
 
+@pytest.mark.parametrize("blocks, weights", [({f"s{i}": 40_000 if i == 0 else 3 + 700 * (i < 20) for i in range(600)}, {f"s{i}": (i + 1) ** -1.2 for i in range(600)}), ({f"s{i}": 100_000 if i == 0 else 9_000 for i in range(20)}, {f"s{i}": 3.0 if i == 0 else 0.97 for i in range(20)}), ({f"s{i}": 5000 // (i + 1) + 1 for i in range(300)}, {f"s{i}": 1 / (i + 1) for i in range(300)})])
+def test_the_given_weights_are_met_at_every_slot_by_skewed_weights_and_many_sources(blocks, weights):
+    plan, at = mixing.phases(blocks, weights), {}
+    for p in plan:
+        at.setdefault(p["phase"], {}).setdefault(p["source"], []).extend(p["slots"])
+    assert sum(len(x) for of in at.values() for x in of.values()) == sum(blocks.values())
+    left = dict(blocks)
+    for begin in sorted(at):
+        total = sum(weights[s] for s, n in left.items() if n)
+        length = sum(map(len, at[begin].values()))
+        for s in [s for s, n in left.items() if n]:
+            share, slots = weights[s] / total, at[begin].get(s, [])
+            # just before and just after each of its blocks, and at the end of the phase
+            assert all(abs(i - t * share) < 1 + 1e-6 and abs(i + 1 - (t + 1) * share) < 1 + 1e-6 for i, t in enumerate(slots))
+            assert abs(len(slots) - length * share) < 1 + 1e-6
+            left[s] -= len(slots)
+    assert not any(left.values())
+
+
+def test_many_sources_get_their_weights(spark):
+    df = spark.range(12_000).selectExpr("id as doc_id", "cast(id as string) as text", "concat('s', if(id % 2 = 0, 0, id % 1200)) as source")
+    n = {r["source"]: r["count"] for r in df.groupBy("source").count().collect()}
+    assert len(n) > 512
+    weights = {s: 100.0 if s == "s0" else 1.0 for s in n}
+    out = mixing.mix(df, weights, block=1).where("mix_phase = 0").select("mix_source", "mix_weight", "mix_slot").collect()
+    assert abs(sum(r.mix_source == "s0" for r in out) - len(out) * 100 / (99 + len(n))) < 1
+    assert all(abs(r.mix_weight - weights[r.mix_source] / (99 + len(n))) < 1e-12 for r in out)
+
+
 def test_every_row_once_in_a_gapless_order(spark):
     rng = random.Random(1)
     rows = [(i, f"t{i}", rng.choice(["hot"] * 5 + ["a", "b", None])) for i in range(3000)]
