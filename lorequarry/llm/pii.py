@@ -26,7 +26,16 @@ LOOSE = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{2,64} ?(?:\[at\]|\(at\)|\{at\}) ?[\w-]{2,64}(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[\w-]{2,64})+", re.IGNORECASE)),
     ("phone", re.compile(r"(?<![\w.+(-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-]|\.[0-9])")),
 )
-DOC_SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, mentions array<struct<kind:int,start:int,end:int,value:string,seed:boolean,contexts:array<string>>>"
+#: What may stand in the slot of a pattern: a run of tokens with a digit, an @ or a bracketed at or dot, or with punctuation alone between such.
+_TOKEN = r"(?:[^\s0-9@\[({]*+(?:[0-9@]|[\[({](?:at|dot)[\])}]|[\[({](?!(?:at|dot)[\])}]))[^\s]*+)"
+SLOT = re.compile(rf"(?<!\S){_TOKEN}(?:[^\S\n]+(?:[-/().:]+[^\S\n]+)?{_TOKEN})*+", re.IGNORECASE)
+#: Words around an at: dots are words too, or stand within the last word.
+SPELT = re.compile(r"(?<!\S)\S{1,64}[^\S\n]+at[^\S\n]+(?:\S{1,64}(?:[^\S\n]+dot[^\S\n]+\S{1,64})+|[\w-]+(?:\.[\w-]+)+)", re.IGNORECASE)
+AT = re.compile(r"@|[\[({]at[\])}]", re.IGNORECASE)
+#: No e-mail address is longer.
+LONGEST = 254
+OPEN, CLOSE = "([{<\"'", ".,;:!?)]}>\"'"
+DOC_SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, mentions array<struct<kind:int,start:int,end:int,value:string,seed:boolean,slot:boolean,contexts:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -76,6 +85,51 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def bare(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without punctuation at its ends; brackets that are closed or opened within it stay."""
+    pairs = dict(zip(")]}>", "([{<"))
+    while start < end and text[start] in OPEN and not any(b == text[start] and a in text[start:end] for a, b in pairs.items()):
+        start += 1
+    while start < end and text[end - 1] in CLOSE and not (text[end - 1] in pairs and pairs[text[end - 1]] in text[start:end]):
+        end -= 1
+    return start, end
+
+
+def slot_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end), by each kind that it may be, of what patterns may hold, in the gaps between the sorted spans in taken.
+
+    An e-mail address has an at; a phone or card number has five digits; an IP address has a digit and a dot or colon.
+    """
+    runs = [m.span() for m in SLOT.finditer(text)]
+    if " at " in text.lower():
+        runs += [m.span() for m in SPELT.finditer(text)]
+    out, i = set(), 0
+    for start, end in sorted(runs):
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        cuts, j = [start], i
+        while j < len(taken) and taken[j][0] < end:
+            cuts += [taken[j][0], taken[j][1]]
+            j += 1
+        cuts.append(end)
+        for a, b in zip(cuts[::2], cuts[1::2]):
+            while a < b and text[a].isspace():
+                a += 1
+            while a < b and text[b - 1].isspace():
+                b -= 1
+            a, b = bare(text, a, b)
+            if not 0 < b - a <= LONGEST:
+                continue
+            value = text[a:b]
+            digits = len(NOT_DIGIT.sub("", value))
+            if AT.search(value) or SPELT.fullmatch(value):
+                out.add((a, 0, b))
+            elif digits:
+                out |= {(a, 1, b)} if "." in value or ":" in value else set()
+                out |= {(a, 2, b), (a, 3, b)} if digits >= 5 else set()
+    return sorted(out)
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: two words before; one before and one after; two after."""
     clean = lambda words: [w.strip(".,;:!?()[]{}<>\"'").lower() for w in words]
@@ -94,12 +148,16 @@ def mentions(text: str) -> tuple[list, str, list]:
     """Base spans, the hash of their list, and all mentions that contexts may speak for: seeds and candidates."""
     good, failed = base_spans(text)
     said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in good)
-    found = [(k, s, e, text[s:e].lower(), True, contexts(text, s, e)) for s, k, e in good]
+    found = [(k, s, e, text[s:e].lower(), True, False, contexts(text, s, e)) for s, k, e in good]
     free, taken = 0, [(s, e) for s, _, e in good]
     for s, k, e in sorted(failed + loose_spans(text)):
         if s >= free and not any(s < y and x < e for x, y in taken):
-            found.append((k, s, e, text[s:e].lower(), False, contexts(text, s, e)))
+            found.append((k, s, e, text[s:e].lower(), False, False, contexts(text, s, e)))
             free = e
+    known = {(k, s, e) for k, s, e, *_ in found}
+    for s, k, e in slot_spans(text, taken):
+        if (k, s, e) not in known and (around := contexts(text, s, e)):
+            found.append((k, s, e, text[s:e].lower(), False, True, around))
     return good, hashlib.sha256(said.encode()).hexdigest(), found
 
 
@@ -112,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        said = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("contexts", pa.list_(pa.string()))]))
+        said = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("contexts", pa.list_(pa.string()))]))
         types = [pa.int64()] * 6 + [span, pa.string(), said]
         names = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "mentions"]
         for batch in batches:
@@ -120,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 good, sha, found = mentions(text.as_py() or "")
                 n = [sum(k == i for _, k, _ in good) for i in range(4)]
-                rows.append((row, doc, *n, [dict(zip(("start", "kind", "end"), g)) for g in good], sha, [dict(zip(("kind", "start", "end", "value", "seed", "contexts"), m)) for m in found]))
+                rows.append((row, doc, *n, [dict(zip(("start", "kind", "end"), g)) for g in good], sha, [dict(zip(("kind", "start", "end", "value", "seed", "slot", "contexts"), m)) for m in found]))
                 row += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -128,8 +186,8 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DOC_SCHEMA)
 
 
-def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support: float = 3.0) -> DataFrame:
-    """(kind, value) of the candidates that confident patterns speak for.
+def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(kind, value, score) of the candidates that confident patterns speak for, and the (pattern, kind) that do.
 
     said: (kind, value, seed, pattern), a stored table. A pattern's confidence for a kind is the sum of the scores of
     its different values of that kind over the number of all its different values plus one; seeds score 1. A value's
@@ -140,7 +198,7 @@ def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
     wanted = values.where("not seed").select("pattern").distinct()
     graph = materialize(values.join(wanted, "pattern", "left_semi"), "pii-graph")
     links = graph.where("not seed")
-    fixed = materialize(graph.groupBy("pattern").agg(*[F.sum(((F.col("kind") == k) & F.col("seed")).cast("double")).alias(f"s{k}") for k in range(len(KINDS))], F.count(F.lit(1)).alias("n")), "pii-patterns")
+    fixed = materialize(graph.groupBy("pattern").agg(*[F.sum(((F.col("kind") == k) & F.col("seed")).cast("double")).alias(f"s{k}") for k in range(len(KINDS))], F.count_distinct("value").alias("n")), "pii-patterns")
     scores = None
     for _ in range(rounds):
         known = fixed
@@ -152,25 +210,36 @@ def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
         good = known.select("pattern", F.posexplode(sums).alias("kind", "sum"), "n").select("pattern", "kind", "sum", (F.col("sum") / (F.col("n") + 1)).alias("conf"))
         good = good.where((F.col("sum") >= support) & (F.col("conf") >= 0.5))
         made = links.join(good, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score"))
+        held = good
         scores = materialize(made.where(F.col("score") >= confidence), "pii-scores")
-    return scores.select("kind", "value")
+    return scores.select("kind", "value", "score"), materialize(held.select("pattern", "kind"), "pii-confident")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: float = 3.0) -> DataFrame:
     """doc_id, the numbers of base spans by kind, base_sha256, spans and n_found (spans that contexts added) per row.
 
     Base spans are those of the four rules. They are seeds: the words around them make patterns, and candidates -
-    matches that failed a rule's check, and looser shapes - are added where patterns of enough confidence, scored
-    against all documents, hold them. Added spans never overlap base ones.
+    matches that failed a rule's check, looser shapes, and whatever has the signs of slot_spans() - are added where
+    patterns of enough confidence, scored against all documents, hold them; the last only where such a pattern is
+    around them in that very place. Added spans never overlap base ones or each other: the longest stays, and of one
+    span the kind of the best score.
     Null text: as an empty one, no spans. Null doc_id: kept. Equal rows have equal results each; an empty table gives
     an empty table. Columns other than doc_id and text are ignored.
     Whole texts are scanned once; only mentions with their few words around are stored and grouped.
     """
     seen = materialize(scan(docs), "pii-scan")
-    said = seen.select("row", F.inline("mentions")).select("row", "kind", "start", "end", "value", "seed", F.explode("contexts").alias("pattern"))
-    good = accepted(said.select("kind", "value", "seed", "pattern"), rounds, confidence, support)
-    spoken = seen.select("row", F.inline("mentions")).where("not seed").join(good, ["kind", "value"], "left_semi")
-    added = spoken.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("_added"))
+    said = seen.select(F.inline("mentions")).select("kind", "value", "seed", F.explode("contexts").alias("pattern"))
+    good, held = accepted(said, rounds, confidence, support)
+    spoken = seen.select("row", F.inline("mentions")).where("not seed").join(good, ["kind", "value"])
+    place = ["row", "kind", "start", "end", "score"]
+    here = spoken.where("slot").select(*place, F.explode("contexts").alias("pattern")).join(held, ["pattern", "kind"], "left_semi").select(*place).distinct()
+    every = spoken.where("not slot").select(*place).union(here)
+    added = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("score")).alias("rank"), "start", "kind", "end"))).alias("_found"))
+
+    def apart(kept, x):
+        return F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.array_append(kept, F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+
+    added = added.select("row", F.aggregate("_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"), apart).alias("_added"))
     names = F.array(*[F.lit(k) for k in KINDS])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     every = F.array_sort(F.concat("base", F.coalesce("_added", none)))

@@ -61,6 +61,30 @@ def test_contexts_add_what_the_rules_miss(spark):
     assert out[50].spans == f"email:{s}:{s + len('jo (at) mail (dot) org')}"
 
 
+def test_patterns_extract_what_stands_in_their_slot(spark):
+    rng = random.Random(2)
+    number = lambda: f"+49 30 {rng.randrange(10**6, 10**7)}"
+    rows = [(i, f"word{i} please call {number()} for help{i}") for i in range(30)]
+    rows += [(100 + i, f"word{i} please write to jo{i}@mail.example.org for help{i}") for i in range(30)]
+    phones = ["0301234567", "030 1234567", "12 34 56 78 90", "123-45-6789", "(030) 1234567", "030 / 1234567"]
+    addresses = ["jane at example dot org", "j[at]example.org", "jane at example.org"]
+    rows += [(200 + i, f"now please call {x}, or wait") for i, x in enumerate(phones)]
+    rows += [(300 + i, f"now please write to {x}. Then wait") for i, x in enumerate(addresses)]
+    rows += [(400 + i, f"the article number {x.replace('1', '9')} is sold out") for i, x in enumerate(phones)]
+    rows += [(500, "now please call 5 people or wait"), (501, "now please call somebody or wait")]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for first, kind, values in ((200, "phone", phones), (300, "email", addresses)):
+        for i, x in enumerate(values):
+            s = texts[first + i].index(x)
+            assert out[first + i].spans == f"{kind}:{s}:{s + len(x)}" and out[first + i].n_found == 1
+    assert all(out[i].n_found == 0 for i in out if i >= 400 or i < 200)
+
+
+def test_slots_of_long_runs_take_linear_time():
+    assert len(pii.mentions("1 " * 100_000 + "a" * 300_000 + " at" * 50_000 + " (" * 100_000 + "x " * 50_000)[2]) < 10
+
+
 def test_odd_rows(odd, odd_rows):
     out = pii.find_personal_data(odd).collect()
     assert len(out) == len(odd_rows)
