@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,8 +11,6 @@ from ._shared import materialize
 SHINGLE = 5
 #: Samples of a fingerprint, of four hexadecimal digits each.
 SAMPLES = 64
-#: Terms are 5-word shingles hashed to 2**TERM_BITS values; this bounds the table of samples that is broadcast.
-TERM_BITS = 16
 DIGITS = 4
 
 
@@ -21,9 +19,19 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def uniform(*of: Column) -> Column:
-    """A number in (0, 1) that hangs on the arguments alone."""
-    return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) / float(1 << 53)
+def draw(term: Column, sample: Column, i: int = 0) -> Column:
+    """52 bits, as a number from 0, that hang on the arguments alone."""
+    return F.shiftrightunsigned(F.xxhash64(term, sample, F.lit(i)), 12)
+
+
+def level(drawn: Column) -> Column:
+    """A draw as a number in (0, 1)."""
+    return (drawn.cast("double") + 0.5) / float(1 << 52)
+
+
+def exponential(drawn: Column) -> Column:
+    """An exponential variable, the less the larger the draw is; never 0."""
+    return -F.log(level(drawn))
 
 
 def log_sample(term: Column, sample: Column, weight: Column) -> Column:
@@ -32,20 +40,17 @@ def log_sample(term: Column, sample: Column, weight: Column) -> Column:
     r and c are gamma (2, 1) and b is uniform, all fixed by term and sample. With t = floor(ln weight / r + b) and
     ln y = r (t - b), ln a = ln c - ln y - r. Two sets agree in a sample's least a with a probability that is the sum
     of the smaller weights of all terms over that of the larger ones. a stands for the term and y at once.
-    """
-    u = [uniform(term, sample, F.lit(i)) for i in range(5)]
-    r, log_c, b = -F.log(u[0] * u[1]), F.log(-F.log(u[2] * u[3])), u[4]
-    return (log_c - r * (F.floor(F.log(weight) / r + b) - b + 1)).cast("float")
-
 
-def sample_table(spark: SparkSession, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
-    """(term, single, double): for each term its ln a for all samples at weights 1 and 2, which nearly all terms have; 2**bits rows."""
-    made = lambda w: F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: log_sample(F.col("term"), j, F.lit(w)))
-    return spark.range(1 << bits).select(F.col("id").cast("int").alias("term")).select("term", made(1.0).alias("single"), made(2.0).alias("double"))
+    They are drawn from exponential variables x, e and f, which gives them these very distributions: c = x + e,
+    r = ln(c / x) + f and b = f / r. So t = floor((ln weight + f) / r), and ln a = ln x - r t: at weight 1 it is ln x.
+    """
+    x, e, f = [exponential(draw(term, sample, i)) for i in range(3)]
+    r = F.log1p(e / x) + f
+    return F.log(x) - r * F.floor((F.log(weight) + f) / r)
 
 
-def weighted_terms(text: Column, bits: int = TERM_BITS) -> Column:
-    """The text's 5-word shingles as (term, times); of fewer words the sequence of all; none without words."""
+def weighted_terms(text: Column) -> Column:
+    """The text's 5-word shingles, hashed to 64 bits, as (term, times); of fewer words the sequence of all; none without words."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def shingled(h: Column) -> Column:
@@ -54,7 +59,7 @@ def weighted_terms(text: Column, bits: int = TERM_BITS) -> Column:
         return F.when(F.size(h) >= SHINGLE, many).otherwise(few)
 
     hashed = _let(F.transform(words, lambda w: F.xxhash64(w)), shingled)
-    terms = F.sort_array(F.transform(hashed, lambda x: F.pmod(x, F.lit(1 << bits)).cast("int")))
+    terms = F.sort_array(hashed)
 
     def counted(s: Column) -> Column:
         ends = F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i + 1)), F.lit(None).cast("int")).otherwise(i)), lambda e: e.isNotNull())
@@ -63,16 +68,23 @@ def weighted_terms(text: Column, bits: int = TERM_BITS) -> Column:
     return _let(terms, counted)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
-    """keys and fingerprint for each row of texts. keys must tell rows apart; where texts is dealt by some of them, nothing is shuffled."""
-    spark = texts.sparkSession
-    rows = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text), bits)).alias("_t")).select(*keys, F.col("_t.term").alias("term"), F.col("_t.times").alias("times"))
-    table = F.broadcast(sample_table(spark, samples, bits))
-    several = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda j: log_sample(F.col("term"), j, F.col("times").cast("double")))
-    sampled = rows.join(table, "term", "left").select(*keys, F.when(F.col("times") == 1, F.col("single")).when(F.col("times") == 2, F.col("double")).when(F.col("times") > 2, several).alias("_v"))
-    least = sampled.groupBy(*keys).agg(*[F.min(F.get("_v", F.lit(j))).alias(f"_m{j}") for j in range(samples)])
+def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
+    """keys and fingerprint for each row of texts. keys must tell rows apart; where texts is dealt by some of them, nothing is shuffled.
+
+    Kept is the largest exp(-a) of a sample: at weight 1, which nearly all terms have, that is the draw itself.
+    """
+    rows = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text))).alias("_t")).select(*keys, F.col("_t.term").alias("term"), F.col("_t.times").alias("times"))
+    term, times = F.col("term"), F.col("times")
+
+    def lifted(j: Column) -> Column:
+        drawn = draw(term, j)
+        return _let(log_sample(term, j, times.cast("double")), lambda a: F.when(a == F.log(exponential(drawn)), level(drawn)).otherwise(F.exp(-F.exp(a))))
+
+    several = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lifted)
+    rows = rows.select(*keys, "term", "times", F.when(times > 1, several).alias("_v"))
+    most = rows.groupBy(*keys).agg(*[F.max(F.when(times == 1, level(draw(term, F.lit(j)))).otherwise(F.get("_v", F.lit(j)))).alias(f"_m{j}") for j in range(samples)])
     digits = lambda m: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(m), F.lit(16**DIGITS)))), DIGITS, "0")
-    return least.select(*keys, F.array_join(F.transform(F.array(*[f"_m{j}" for j in range(samples)]), digits), "").alias("fingerprint"))
+    return most.select(*keys, F.array_join(F.transform(F.array(*[f"_m{j}" for j in range(samples)]), digits), "").alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -94,7 +106,7 @@ def following(docs: DataFrame) -> DataFrame:
     return joined.select("_key", F.coalesce("_in_part", "_ahead", "_least").alias("_next"), "_need")
 
 
-def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bits: int = TERM_BITS) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and how alike they, and neighbours, are.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
@@ -122,7 +134,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, bits: int = T
     both = both.withColumn("_sha", F.unhex(F.sha2("_edited", 256)))
     keys = ["_key", "_row", "_n", "_sha"]
     kinds = both.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("_kind"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_kind"), F.col("_edited").alias("_text")))))
-    signed = signatures(kinds, [*keys, "_kind"], "_text", samples, bits)
+    signed = signatures(kinds, [*keys, "_kind"], "_text", samples)
     of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("fingerprint")))
     found = materialize(signed.groupBy(*keys).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "fingerprints")
 

@@ -63,6 +63,25 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     assert abs(same - expected) < 0.03
 
 
+def test_very_long_texts(spark):
+    """100,000 words: unrelated texts aren't alike, and an edited text is no more alike than it is."""
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 100_000)) for i in range(3)]
+    rows.append((3, " ".join(sentence(rng, 2500) for _ in range(20)) + " " + " ".join([sentence(rng, 2500)] * 20)))
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].near_next < 0.05 for i in range(4))
+    errors = [out[doc].near_edited - jaccard(weights(dict(rows)[doc]), weights(edited)) for doc, _, _, edited, _ in neighbours(rows)]
+    assert abs(np.mean(errors)) < 0.08
+
+
+def test_the_least_sample_of_single_and_repeated_terms_is_that_of_log_sample(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t, float(w)) for t in range(300) for w in (1, 2, 5)], "term long, w double")
+    got = df.select("w", fingerprints.log_sample(F.col("term"), F.lit(7), F.col("w")).alias("a"), F.log(fingerprints.exponential(fingerprints.draw(F.col("term"), F.lit(7)))).alias("x")).collect()
+    assert all(r.a == r.x if r.w == 1 else r.a <= r.x for r in got) and any(r.a == r.x for r in got if r.w == 5)
+
+
 def test_a_single_document_and_equal_texts(spark):
     one = fingerprints.fingerprint_documents(spark.createDataFrame([(5, "abcd efgh")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest()
