@@ -1,4 +1,18 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph."""
+"""Near-duplicate embeddings by a robust-pruned flat graph.
+
+Steps
+1. Equal vectors become one node. Centroids are fitted on a bounded sample; cells that are large are divided again by
+   centroids of their own, fitted on a sample of the cell, so that the number of shards grows with the table.
+2. A node is at home in the shard of its nearest centroid. It is a guest of each further shard whose border is so near
+   that a vector it links with may lie behind it.
+3. Nodes are built into robust-pruned graphs on overlapping shards (the nearest and the next), and the adjacency lists
+   that a node has from all its shards are united: one flat graph over all nodes.
+4. The search runs over that graph for two shards at a time: those at home in one that are guests of the other, and
+   the other way round; and for each shard with itself. It starts from medoids and goes on best first, with a beam;
+   the range then grows from everything found within it, along the united lists, whichever shard an edge came from.
+   What either end of a pair finds counts for both, so links are symmetric, and a pair meets in one place only.
+5. Every link's cosine is computed in double precision before it is counted.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +21,19 @@ from pyspark.sql import functions as F
 
 from ._shared import connected_components, materialize
 
-#: Vectors that the centroids are fitted on, at most: those with the least hash.
-SAMPLE = 8192
-#: Vectors of a shard, about; a shard of more than CHUNK is searched in chunks.
-SHARD, CHUNK = 400, 1024
+#: Vectors that the first centroids, and those of a large cell, are fitted on, about, at most.
+SAMPLE, CELL_SAMPLE = 8192, 4096
+#: Nodes of one label that are at home in a shard, about; a cell of more than twice as many is divided.
+SHARD = 400
+#: Nodes of one side that are searched together, and nodes that a graph is built on, at most, about.
+CHUNK, BUILD = 512, 1024
 OVERLAP = 2
-DEGREE, ALPHA, BEAM = 24, 1.2, 16
+DEGREE, ALPHA, BEAM, SLACK = 24, 1.2, 16, 0.03
+#: A shard's border is near up to so many standard deviations of a random chord of the threshold's length.
+REACH = 3.0
 EDGE_SCHEMA = "id long, neighbours array<long>"
+#: Shards of a cell.
+SUBS = 1024
 
 
 def unit(rows):
@@ -32,52 +52,135 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(finite & some)
 
 
-def fit_centroids(rows: DataFrame, sample: int = SAMPLE, rounds: int = 6) -> dict:
-    """Centroids by vector length, from at most `sample` vectors; about one for each SHARD vectors of all, at most one for 8 of the sample."""
+def centroids_of(x, k: int, rounds: int = 6):
+    """k unit centroids of unit vectors, by spherical k-means from evenly spaced rows."""
     import numpy as np
 
-    total = rows.count()
-    got = rows.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(sample).select("embedding").collect()
+    c = x[:: max(1, len(x) // k)][:k].copy()
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T, 1)
+        for j in np.unique(near):
+            m = x[near == j].sum(0)
+            c[j] = m / max(1e-12, np.linalg.norm(m))
+    return c
+
+
+def fit_centroids(nodes: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> dict:
+    """The first centroids by vector length, on at most `sample` vectors: those with the least hash. About one for each
+    `shard` nodes of the largest label, at most one for 8 of the sample; cells that this leaves large are divided later."""
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    got = nodes.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(sample).select("embedding").collect()
     by: dict = {}
     for r in got:
         by.setdefault(len(r[0]), []).append(r[0])
-    out = {}
-    for length, own in by.items():
-        x = unit(own)
-        k = max(1, min(len(x) // 8, -(-total * len(x) // (len(got) * SHARD))))
-        c = x[:: max(1, len(x) // k)][:k].copy()
-        for _ in range(rounds):
-            near = np.argmax(x @ c.T, 1)
-            for j in np.unique(near):
-                m = x[near == j].sum(0)
-                c[j] = m / max(1e-12, np.linalg.norm(m))
-        out[length] = c
-    return out
+    return {length: centroids_of(unit(own), max(1, min(len(own) // 8, -(-largest // shard)))) for length, own in by.items()}
+
 
+def places(x, c, reach: float):
+    """For each row of x the nearest centroid, the next one (or -1), and a matrix of those whose border is within reach.
+
+    A row's distance from the border between its nearest centroid a and another one, b, is (x a - x b) / |a - b|.
+    """
+    import numpy as np
 
-def assign(rows: DataFrame, centroids: dict, overlap: int = OVERLAP) -> DataFrame:
-    """Each vector in the shards of its nearest centroids; main marks the nearest one's."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
+    sims = x @ c.T
+    order = np.argsort(-sims, 1, kind="stable")
+    home = order[:, 0]
+    after = order[:, 1] if len(c) > 1 else np.full(len(x), -1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
+    near = sims[np.arange(len(x)), home][:, None] - sims <= reach * apart
+    near[np.arange(len(x)), home] = True
+    return home, after, near
+
+
+def reach_of(length: int, threshold: float) -> float:
+    """How far behind a border a vector is looked for. Linked vectors are a chord of sqrt(2 - 2 threshold) apart at
+    most; in a random direction it has a standard deviation of that over the root of the dimension."""
+    chord = max(0.0, 2 - 2 * threshold) ** 0.5
+    return chord * min(1.0, REACH / length**0.5)
+
+
+def assign(nodes: DataFrame, centroids: dict, threshold: float) -> DataFrame:
+    """(id, label, length, cell, rank, vector): each node in all cells within reach. rank 0: at home; 1: the next one; 2: others."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.float64())]
         for batch in batches:
             ids, labels, vectors = (c.to_pylist() for c in batch.columns)
             out = []
-            for length in {len(v) for v in vectors}:
+            for length in sorted({len(v) for v in vectors}):
                 at = [i for i, v in enumerate(vectors) if len(v) == length]
                 x = unit([vectors[i] for i in at])
                 c = shared.value.get(length)
-                near = np.zeros((len(at), 1), np.int64) if c is None else np.argsort(-(x @ c.T), 1, kind="stable")[:, :overlap]
+                if c is None:  # a length that the sample lacks
+                    out += [(ids[i], str(labels[i]), length, 0, 0, True, x[row].tolist()) for row, i in enumerate(at)]
+                    continue
+                home, after, near = places(x, c, reach_of(length, threshold))
                 for row, i in enumerate(at):
-                    out += [(ids[i], str(labels[i]), length, int(shard), n == 0, x[row].tolist()) for n, shard in enumerate(near[row])]
+                    vector = x[row].tolist()
+                    cells = {int(j): True for j in np.flatnonzero(near[row])}
+                    if after[row] >= 0:
+                        cells.setdefault(int(after[row]), False)
+                    out += [(ids[i], str(labels[i]), length, j, 0 if j == home[row] else 1 if j == after[row] else 2, within, vector) for j, within in cells.items()]
             if out:
-                types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "label", "length", "shard", "main", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["id", "label", "length", "cell", "rank", "within", "vector"])
+
+    return nodes.select("vec_id", "label", "embedding").mapInArrow(run, "id long, label string, length int, cell long, rank int, within boolean, vector array<double>")
+
 
-    return rows.select("vec_id", "label", "embedding").mapInArrow(run, "id long, label string, length int, shard int, main boolean, vector array<double>")
+def divided(dealt: DataFrame, threshold: float, shard: int = SHARD, part: int = 16_384) -> DataFrame:
+    """dealt with `shard` for `cell`: cells in which more than twice `shard` nodes of a label are at home are divided by
+    centroids of their own. A cell's rows are dealt into parts of about `part` rows, so no task gathers a cell."""
+    place = ["label", "length", "cell"]
+    sizes = dealt.groupBy(*place).agg(F.sum((F.col("rank") == 0).cast("long")).alias("own"), F.count(F.lit(1)).alias("all"))
+    large = materialize(sizes.where(F.col("own") > 2 * shard), "vector-large-cells")
+    whole = F.col("cell") * SUBS
+    if large.isEmpty():
+        return dealt.withColumn("shard", whole).drop("cell")
+    kept = dealt.join(large.select(*place), place, "left_anti").withColumn("shard", whole).drop("cell")
+
+    sampled = dealt.where("rank = 0").join(large, place).where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) * F.col("own") < F.lit(CELL_SAMPLE << 30))
+
+    def fit(group):
+        import numpy as np
+        import pandas as pd
+
+        group = group.sort_values("id")
+        x = np.stack(group["vector"].to_list())
+        c = centroids_of(x, int(max(1, min(len(x) // 8, SUBS, -(-int(group["own"].iloc[0]) // shard)))))
+        return pd.DataFrame([(*(group[p].iloc[0] for p in place), c.ravel().tolist())], columns=[*place, "centres"])
+
+    centres = materialize(sampled.select(*place, "id", "own", "vector").groupBy(*place).applyInPandas(fit, "label string, length int, cell long, centres array<double>"), "vector-sub-centroids")
+
+    parts = F.ceil(F.col("all") / part).cast("int")
+    rows = dealt.join(large, place).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")).drop("own", "all")
+    every = centres.join(large, place).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*place, "part", "centres")
+
+    def deal(rows, every):
+        import numpy as np
+        import pandas as pd
+
+        if not len(rows) or not len(every):
+            return pd.DataFrame({"id": [], "label": [], "length": [], "shard": [], "rank": [], "within": [], "vector": []})
+        x = np.stack(rows["vector"].to_list())
+        length, cell = int(rows["length"].iloc[0]), int(rows["cell"].iloc[0])
+        c = np.asarray(every["centres"].iloc[0]).reshape(-1, length)
+        home, after, near = places(x, c, reach_of(length, threshold))
+        out = []
+        for i, (one, label, rank, within, vector) in enumerate(zip(rows["id"], rows["label"], rows["rank"], rows["within"], rows["vector"])):
+            for j in np.flatnonzero(near[i]) if within else [home[i]]:
+                out.append((one, label, length, cell * SUBS + int(j), rank if j == home[i] else 1 if rank == 0 and j == after[i] else 2, within, vector))
+            if rank == 0 and after[i] >= 0 and not near[i][after[i]]:
+                out.append((one, label, length, cell * SUBS + int(after[i]), 1, False, vector))
+        return pd.DataFrame(out, columns=["id", "label", "length", "shard", "rank", "within", "vector"])
+
+    keys = [*place, "part"]
+    made = rows.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(deal, "id long, label string, length int, shard long, rank int, within boolean, vector array<double>")
+    return kept.select(*made.columns).union(made)
 
 
 def robust_prune(near, sims, degree: int, alpha: float) -> list[int]:
@@ -127,72 +230,142 @@ def medoid(x) -> int:
     return int(np.argmax(x @ x.mean(0)))
 
 
-def range_search(query, x, adjacency, start: int, threshold: float, beam: int = BEAM, slack: float = 0.03):
-    """Places of the rows of x that a search from start finds at least `threshold` alike.
+def joined_graph(ids, lists):
+    """A symmetric 0/1 matrix of the united lists among the sorted ids; edges to other nodes are left out."""
+    import numpy as np
+
+    out = np.zeros((len(ids), len(ids)), np.float32)
+    owner = np.repeat(np.arange(len(ids)), [len(o) for o in lists])
+    other = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+    here = ids[at] == other
+    out[owner[here], at[here]] = out[at[here], owner[here]] = 1
+    return out
 
-    Greedy best-first search with a beam; the range then grows from everything found within threshold - slack, along
-    all edges, until no further vector within it turns up.
-    """
+
+def parts_of(graph):
+    """For each row of a symmetric matrix the least row that can be reached from it."""
     import numpy as np
 
-    seen = np.zeros(len(x), bool)
-    seen[start] = True
-    places, values = np.array([start]), np.array([x[start] @ query])
-    expanded: set[int] = set()
+    n = len(graph)
+    least = np.arange(n)
+    linked = graph > 0
     while True:
-        order = np.argsort(-values, kind="stable")[:beam]
-        todo = [int(places[i]) for i in order if int(places[i]) not in expanded]
-        if not todo:
-            break
-        todo = todo[:4]
-        expanded.update(todo)
-        new = np.unique(np.concatenate([adjacency[t] for t in todo])) if todo else np.empty(0, np.int64)
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            places, values = np.concatenate([places, new]), np.concatenate([values, x[new] @ query])
-    close = places[values >= threshold - slack]
-    frontier = np.array([p for p in close if int(p) not in expanded], np.int64)
-    while len(frontier):
-        new = np.unique(np.concatenate([adjacency[t] for t in frontier]))
-        new = new[~seen[new]]
-        if not len(new):
-            break
-        seen[new] = True
-        sims = x[new] @ query
-        places, values = np.concatenate([places, new]), np.concatenate([values, sims])
-        frontier = new[sims >= threshold - slack]
-    return places[values >= threshold]
+        new = np.minimum(least, np.where(linked, least[None, :], n).min(1, initial=n))
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def range_search(queries, x, graph, threshold: float, beam: int = BEAM, slack: float = SLACK):
+    """A matrix of which rows of x (the graph's nodes) a search finds at least `threshold` alike to each query.
+
+    In each connected part of the graph the search starts at the medoid. It expands, best first, the `beam` best nodes
+    seen, and everything seen that is at least threshold - slack alike, along all edges, until none is left. Only the
+    cosines of nodes that an edge leads to are computed. All queries take their steps together.
+    """
+    import numpy as np
+
+    found = np.zeros((len(queries), len(x)), bool)
+    least = parts_of(graph)
+    for part in np.unique(least):
+        own = np.flatnonzero(least == part)
+        base, edges = x[own], graph[np.ix_(own, own)]
+        n, most = len(own), min(beam, len(own))
+        sims = np.full((len(queries), n), -3.0)
+        seen, expanded = np.zeros(sims.shape, bool), np.zeros(sims.shape, bool)
+        start = medoid(base)
+        sims[:, start], seen[:, start] = queries @ base[start], True
+        active = np.arange(len(queries))
+        while len(active):
+            s, open_ = sims[active], seen[active] & ~expanded[active]
+            kth = np.partition(s, n - most, axis=1)[:, n - most][:, None]
+            todo = open_ & ((s >= kth) | (s >= threshold - slack))
+            active, todo = active[todo.any(1)], todo[todo.any(1)]
+            if not len(active):
+                break
+            expanded[active] |= todo
+            new = (todo.astype(np.float32) @ edges > 0) & ~seen[active]
+            seen[active] |= new
+            rows, cols = np.nonzero(new)
+            for at in range(0, len(rows), 100_000):
+                r, c = active[rows[at : at + 100_000]], cols[at : at + 100_000]
+                sims[r, c] = np.einsum("ij,ij->i", queries[r], base[c])
+        found[:, own] = sims >= threshold
+    return found
+
+
+def linked_within(ids, x, lists, side, threshold: float):
+    """A symmetric matrix of the links that the search finds among nodes; if side has both values, only links across."""
+    import numpy as np
+
+    graph = joined_graph(ids, lists)
+    hit = np.zeros(graph.shape, bool)
+    one, two = np.flatnonzero(~side), np.flatnonzero(side)
+    if len(one) and len(two):
+        hit[np.ix_(one, two)] = range_search(x[one], x[two], graph[np.ix_(two, two)], threshold)
+        hit[np.ix_(two, one)] = range_search(x[two], x[one], graph[np.ix_(one, one)], threshold)
+    else:
+        hit = range_search(x, x, graph, threshold)
+    hit |= hit.T
+    np.fill_diagonal(hit, False)
+    return hit
+
 
+def meetings(dealt: DataFrame, homes: DataFrame, chunk: int) -> DataFrame:
+    """(id, label, length, lo, hi, a, b, side): the groups in which a node is searched with others.
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int = OVERLAP, chunk: int = CHUNK) -> DataFrame:
+    Shards lo <= hi meet if nodes at home in either are guests of the other; only those come. Each side is dealt into
+    chunks by a hash, and every chunk a of lo meets every chunk b of hi. A pair of nodes meets in one group only.
+    """
+    home = homes.select("id", F.col("shard").alias("home"))
+    rows = dealt.where("within").select("id", "label", "length", "shard").join(home, "id")
+    rows = rows.select("id", "label", "length", F.least("home", "shard").alias("lo"), F.greatest("home", "shard").alias("hi"), (F.col("home") > F.col("shard")).alias("side"))
+    rows = materialize(rows, "vector-meetings")
+    place = ["label", "length", "lo", "hi"]
+    sizes = rows.groupBy(*place).agg(F.sum((~F.col("side")).cast("long")).alias("n0"), F.sum(F.col("side").cast("long")).alias("n1"))
+    sizes = sizes.where("lo = hi or (n0 > 0 and n1 > 0)").select(*place, F.ceil(F.col("n0") / chunk).cast("int").alias("c0"), F.ceil(F.when(F.col("lo") == F.col("hi"), F.col("n0")).otherwise(F.col("n1")) / chunk).cast("int").alias("c1"))
+    known = rows.join(sizes, place)
+    mine, theirs = F.when(F.col("side"), F.col("c1")).otherwise(F.col("c0")), F.when(F.col("side"), F.col("c0")).otherwise(F.col("c1"))
+    known = known.select("id", *place, "side", F.pmod(F.xxhash64("id", F.lit("chunk")), mine).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("j"))
+    same, swapped = F.col("lo") == F.col("hi"), F.col("i") > F.col("j")
+    return known.select(
+        "id", *place,
+        F.when(F.when(same, swapped).otherwise(F.col("side")), F.col("j")).otherwise(F.col("i")).alias("a"),
+        F.when(F.when(same, swapped).otherwise(F.col("side")), F.col("i")).otherwise(F.col("j")).alias("b"),
+        F.when(same, swapped).otherwise(F.col("side")).alias("side"),
+    )
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable) and kept, per row of vectors.
 
-    Vectors of equal, non-null labels link where their cosine in double precision is at least the threshold. Equal
-    vectors are one node. Nodes are dealt into overlapping shards around centroids; each shard's chunks build a
-    robust-pruned graph, the adjacency lists of a node from all its shards are united, and each node searches the
-    graphs of the shard it is nearest to, from their medoids, with a range that expands. A link is counted only after
-    its cosine was computed. So links between vectors that lie in no shard together may be missed; audit() measures
-    the recall against brute force.
+    Vectors of equal, non-null labels link where their cosine in double precision is at least the threshold. The steps
+    are those of this module. A link is counted only after its cosine was computed, and at both ends or at none. The
+    search is approximate: a link may be missed where both vectors lie farther behind the border between their shards
+    than reach_of() says, or where no path of the graph leads from a medoid to them; audit() measures the recall.
 
     Null, empty and zero vectors, those with null or non-finite components, and rows without label or id have no
     links. Vectors of different lengths don't link. Rows that share a vec_id are one node of the components; each row
     counts the links of its own vector. An empty table gives an empty table. Other columns are ignored.
 
-    A shard that grows beyond a chunk is split, and its members search all its chunks, in groups of their own: what is
-    gathered in one place is a chunk and as many members that ask. The links of a large group of near copies are counted, never listed.
+    What is gathered in one place is two chunks at most, or the nodes of one graph. The links of a large group of near
+    copies are counted, never listed.
     """
     rows = usable(vectors)
     marked = rows.withColumn("key", F.concat_ws(":", F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit(1), "embedding"))))
     stored = materialize(marked, "vectors")
     classes = stored.groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding"))
-    nodes = materialize(classes.select(F.col("node").alias("vec_id"), "label", "embedding", "copies", "key"), "vector-nodes")
+    # a vec_id that several rows share may be the least of several classes, so a class is known by a hash of its own
+    nodes = materialize(classes.select(F.xxhash64("label", "key").alias("vec_id"), "label", "key", "node", "copies", "embedding"), "vector-nodes")
 
-    dealt = materialize(assign(nodes, fit_centroids(nodes), overlap), "vector-shards")
-    sizes = dealt.groupBy("label", "length", "shard").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    parts = dealt.join(sizes, ["label", "length", "shard"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int"))
-    parts = materialize(parts, "vector-chunks")
-    place = ["label", "length", "shard", "chunk"]
+    first = materialize(assign(nodes, fit_centroids(nodes, shard), threshold), "vector-cells")
+    dealt = materialize(divided(first, threshold, shard), "vector-shards")
+    place = ["label", "length", "shard"]
+    built = dealt.where(F.col("rank") < OVERLAP)
+    sizes = built.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BUILD).cast("int").alias("chunks"))
+    built = built.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("build")), F.col("chunks")).cast("int"))
 
     def build(group):
         import numpy as np
@@ -203,63 +376,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, overlap: int =
         lists = build_graph(np.stack(group["vector"].to_list()))
         return pd.DataFrame({"id": ids, "neighbours": [ids[o].tolist() for o in lists]})
 
-    edges = parts.groupBy(*place).applyInPandas(build, EDGE_SCHEMA)
+    edges = built.select(*place, "chunk", "id", "vector").groupBy(*place, "chunk").applyInPandas(build, EDGE_SCHEMA)
     united = edges.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    united = materialize(united, "vector-graph")
-
+    homes = dealt.where("rank = 0")
     weights = nodes.select(F.col("vec_id").alias("id"), "copies")
-    members = parts.join(united, "id").join(weights, "id")
-    # the members that ask in a chunk are dealt into as many parts as the shard has chunks, each with the chunk's graph
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("chunks")).cast("int")
-    held = ["id", "vector", "neighbours", "copies"]
-    indexed = members.select(*place, every.alias("part"), F.lit(False).alias("asks"), *held)
-    asking = members.where("main").select("label", "length", "shard", every.alias("chunk"), own.alias("part"), F.lit(True).alias("asks"), *held)
+    graph = materialize(homes.select("id", "vector").join(united, "id").join(weights, "id"), "vector-graph")
 
     def search(group):
         import numpy as np
         import pandas as pd
 
-        base = group[~group["asks"]].sort_values("id")
-        ids = base["id"].to_numpy()
-        ask = group[group["asks"]]
-        if not len(base) or not len(ask):
-            return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        x = np.stack(base["vector"].to_list())
-        copies = base["copies"].to_numpy()
-        at = {int(v): i for i, v in enumerate(ids)}
-        adjacency = [np.array([at[n] for n in own if n in at], np.int64) for own in base["neighbours"]]
-        start = medoid(x)
-        parent: dict[int, int] = {}
-
-        def find(a):
-            while parent.setdefault(a, a) != a:
-                parent[a] = a = parent[parent[a]]
-            return a
-
-        out = []
-        for one, vector in zip(ask["id"].to_numpy(), ask["vector"]):
-            found = range_search(np.asarray(vector), x, adjacency, start, threshold)
-            others = found[ids[found] != one]
-            out.append((int(one), int(copies[others].sum())))
-            for other in {find(int(v)) for v in ids[others]}:
-                a, b = find(int(one)), other
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        links = pd.DataFrame(out, columns=["id", "links"]).set_index("id")["links"]
-        touched = sorted(set(links.index) | set(parent))
-        return pd.DataFrame({"id": touched, "links": [int(links.get(i, 0)) for i in touched], "root": [find(i) for i in touched]}).astype("int64")
-
-    both = indexed.union(asking)
-    found = materialize(both.groupBy(*place, "part").applyInPandas(search, "id long, links long, root long"), "vector-links")
+        group = group.sort_values("id")
+        ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
+        side = group["side"].to_numpy(bool)
+        hit = linked_within(ids, np.stack(group["vector"].to_list()), group["neighbours"].to_list(), side, threshold)
+        at = np.flatnonzero(hit.any(1))
+        return pd.DataFrame({"id": ids[at], "links": hit[at] @ copies, "root": ids[parts_of(hit)[at]]}).astype("int64")
+
+    together = ["label", "length", "lo", "hi", "a", "b"]
+    met = meetings(dealt, homes, chunk).join(graph, "id")
+    found = materialize(met.groupBy(*together).applyInPandas(search, "id long, links long, root long"), "vector-links")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    same_id = stored.groupBy("vec_id").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("label").alias("a"), F.max("label").alias("b")).where("low < high or a < b").select("vec_id")
-    owned = stored.select("vec_id", "label", "key").join(nodes.select("label", "key", F.col("vec_id").alias("node"), "copies"), ["label", "key"])
-    shared = owned.join(same_id, "vec_id", "left_semi").select(F.col("vec_id").alias("src"), F.col("node").alias("dst"))
-    parts_of = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")).union(shared), "vector-components")
-
-    per = owned.join(counted.withColumnRenamed("id", "node"), "node", "left").join(parts_of, "node", "left")
-    per = per.select(F.col("vec_id").alias("_id"), F.col("label").alias("_label"), F.col("key").alias("_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_component")).distinct()
+    named = nodes.select(F.col("vec_id").alias("id"), "label", "key", "node", "copies")
+    owned = stored.select("vec_id", "label", "key").distinct().join(named, ["label", "key"])
+    # rows of one vec_id in several classes tie these together, as do links between classes
+    several = owned.groupBy("vec_id").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    shared = owned.join(several, "vec_id", "left_semi").select(F.col("vec_id").alias("src"), F.col("node").alias("dst"))
+    to_node = named.select("id", "node")
+    across = found.select("id", "root").join(to_node, "id").select("root", F.col("node").alias("src")).join(to_node.withColumnRenamed("id", "root").withColumnRenamed("node", "dst"), "root").select("src", "dst")
+    parts = connected_components(across.union(shared), "vector-components")
+
+    per = owned.join(counted, "id", "left").join(parts, "node", "left")
+    per = per.select(F.col("vec_id").alias("_id"), F.col("label").alias("_label"), F.col("key").alias("_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_component"))
     keyed = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     keyed = keyed.withColumn("key", F.concat_ws(":", F.hex(F.xxhash64("embedding")), F.hex(F.xxhash64(F.lit(1), "embedding"))))
     out = keyed.join(per, (F.col("vec_id") == F.col("_id")) & (F.col("label") == F.col("_label")) & (F.col("key") == F.col("_key")), "left")

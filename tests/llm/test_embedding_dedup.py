@@ -95,6 +95,48 @@ def test_audit_measures_recall(spark):
 def test_graphs_are_connected_enough_for_the_search(n):
     x = np.random.default_rng(n).normal(0, 1, (n, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = [np.array(a, np.int64) for a in e.build_graph(x)]
-    for i in range(n):
-        assert i in e.range_search(x[i], x, lists, e.medoid(x), 0.999)
+    ids = np.arange(n)
+    found = e.range_search(x, x, e.joined_graph(ids, [ids[o] for o in e.build_graph(x)]), 0.999)
+    assert found.diagonal().all()
+
+
+def dense(n=6000, dim=32, seed=9):
+    """Vectors of one label around one direction, so that they fill many shards that lie side by side."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 1, dim)
+    x = centre + rng.normal(0, 1, (n, dim)) * rng.uniform(0.05, 0.2, (n, 1))
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    return x, unit @ unit.T >= 0.98
+
+
+def test_links_across_shards_are_found(spark):
+    x, hit = dense()
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "k") for i, v in enumerate(x)], SCHEMA).repartition(4)
+    out = {r.vec_id: r for r in e.near_duplicates(df).collect()}
+    found = np.array([out[i].n_links for i in range(len(x))])
+    assert (found <= hit.sum(1)).all() and found.sum() >= 0.95 * hit.sum()
+    # a link counts at both ends or at none
+    assert found.sum() % 2 == 0
+    alone = hit.any(1) & (found == 0)
+    assert alone.sum() <= 0.005 * len(x)
+
+
+def test_large_cells_are_divided(spark):
+    """Few first cells, and small shards: most cells are divided, and links across all borders are found."""
+    x, hit = dense(800, 16, 3)
+    np.fill_diagonal(hit, False)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA)
+    first = e.assign(e.usable(df), {16: e.centroids_of(e.unit(x), 3)}, 0.98)
+    dealt = e.divided(first, 0.98, shard=40, part=100)
+    got = dealt.where("rank = 0").groupBy("shard").count().collect()
+    assert len(got) >= 12 and sum(r["count"] for r in got) == 800
+    home = {r.id: r.shard for r in dealt.where("rank = 0").collect()}
+    within = {(r.id, r.shard) for r in dealt.where("within").collect()}
+    pairs = [(a, b) for a, b in zip(*np.nonzero(hit)) if a < b]
+    met = sum((a, home[b]) in within and (b, home[a]) in within for a, b in pairs)
+    assert len(pairs) > 100 and met >= 0.97 * len(pairs)
+    out = e.near_duplicates(df, shard=40, chunk=32).collect()
+    assert sum(r.n_links for r in out) >= 0.95 * hit.sum()
