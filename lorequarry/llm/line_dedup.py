@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, private
 
 WINDOW = 3
-#: A line: up to WRAP words of one physical line, with the white space around them. All lines of a text make up the text.
+#: A line ends where the text says so: at a line break, or after a word that ends a sentence; at the latest after WRAP words.
 WRAP = 16
-#: Windows whose lines have fewer bytes than this are too short to be called a passage.
-MIN_BYTES = 40
+#: The marks that end a sentence.
+ENDS = ".!?"
+SPACE = " \t\n\x0b\f\r"
 
 
 def line_pattern(wrap: int = WRAP) -> str:
-    return rf"\s*+(?:\S++[^\S\n]++){{0,{wrap - 1}}}\S++\s*+"
+    """A line with the white space around it; all lines of a text make up the text."""
+    return rf"\s*+(?:\S++(?<![{ENDS}])[^\S\n]++){{0,{wrap - 1}}}\S++\s*+"
 
 
 def lines(text: Column, wrap: int = WRAP) -> Column:
     return F.regexp_extract_all(text, F.lit(line_pattern(wrap)), F.lit(0))
 
 
-def window_hashes(found: Column, min_bytes: int = MIN_BYTES) -> Column:
-    """At each window's first line the hash of its lines without the white space around them, or null if it is short."""
-    bare = F.transform(found, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+def window_hashes(found: Column, min_bytes: int = 0) -> Column:
+    """At each window's first line the hash of its lines without the white space around them, or null if it has fewer bytes than min_bytes."""
+    bare = F.transform(found, lambda x: F.btrim(x, F.lit(SPACE)))
     marks = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("w")))
 
     def window(marks: Column) -> Column:
@@ -32,7 +34,7 @@ def window_hashes(found: Column, min_bytes: int = MIN_BYTES) -> Column:
         size = lambda i: sum((at(i, k)["w"] for k in range(1, WINDOW)), at(i, 0)["w"])
         hashed = lambda i: F.xxhash64(*[at(i, k)["h"] for k in range(WINDOW)])
         starts = F.when(F.size(marks) >= WINDOW, F.sequence(F.lit(0), F.size(marks) - WINDOW)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.when(size(i) >= min_bytes, hashed(i)))
+        return F.transform(starts, lambda i: F.when(size(i) >= min_bytes, hashed(i)) if min_bytes else hashed(i))
 
     return _let(marks, window)
 
@@ -46,19 +48,18 @@ def own_repeats(hashes: Column) -> Column:
     """Positions of windows that occur before in the same text, and don't overlap the first of their kind there."""
 
     def later(pairs: Column) -> Column:
-        first = F.transform(pairs, lambda x, i: F.when((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"]), F.lit(None).cast("int")).otherwise(x["p"]))
-        # the first position of each run of equal hashes, carried along the sorted list
-        carried = F.aggregate(
-            F.arrays_zip(pairs.alias("x"), first.alias("f")),
-            F.struct(F.lit(0).alias("head"), F.array().cast("array<int>").alias("out")),
-            lambda acc, y: F.struct(
-                F.coalesce(y["f"], acc["head"]).alias("head"),
-                F.when(y["f"].isNull() & (y["x"]["p"] >= acc["head"] + WINDOW), F.array_append(acc["out"], y["x"]["p"])).otherwise(acc["out"]).alias("out"),
-            ),
-        )
-        return carried["out"]
-
-    pairs = F.array_sort(F.filter(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda x: x["h"].isNotNull()))
+        """Runs of equal hashes in the sorted list, each compared with its first position only."""
+        other = lambda x, i: (i == 0) | (F.get(pairs, i - 1)["h"] != x["h"])
+        begins = F.filter(F.transform(pairs, lambda x, i: F.when(other(x, i), i)), lambda i: i.isNotNull())
+
+        def run(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(pairs))
+            rest = lambda b, k: F.transform(F.slice(pairs, b + 1, end(k) - b), lambda x: x["p"])
+            return F.flatten(F.transform(begins, lambda b, k: F.filter(rest(b, k), lambda p: p >= F.get(pairs, b)["p"] + WINDOW)))
+
+        return _let(begins, run)
+
+    pairs = F.sort_array(F.filter(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))), lambda x: x["h"].isNotNull()))
     known = F.filter(hashes, lambda h: h.isNotNull())
     return F.when(F.size(F.array_distinct(known)) < F.size(known), _let(pairs, later)).otherwise(F.array().cast("array<int>"))
 
@@ -71,7 +72,7 @@ def merged(positions: Column) -> Column:
         ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) > x + WINDOW))
         return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + WINDOW).alias("end")))
 
-    return _let(F.array_sort(F.array_distinct(positions)), spans)
+    return _let(F.sort_array(F.array_distinct(positions)), spans)
 
 
 def without(found: Column, spans: Column) -> Column:
@@ -85,40 +86,45 @@ def without(found: Column, spans: Column) -> Column:
     return _let(spans, lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: gap(s, i)), ""))
 
 
-def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = 0) -> DataFrame:
     """docs with text rewritten, and n_removed (lines) and removed (spans of lines) added.
 
-    Physical lines of more than `wrap` words are wrapped first, so that a passage kept on one physical line is still
-    several lines. Every window of three consecutive lines is hashed. Of the windows with one hash, all in documents
-    with a larger doc_id than the smallest that has it are later occurrences, and so are those further down the same
+    Lines are those of the text, cut further after each word that ends a sentence, so that a passage in the middle of
+    a paragraph is made of the same lines wherever it stands. What has neither is cut after `wrap` words; only there
+    does a line hang on what is before it. Every window of three consecutive lines is hashed. Of the windows with one
+    hash, all but those of the first document that has it are later occurrences, and so are those further down in that
     document unless they overlap the first there. The lines that later occurrences cover are removed.
 
-    Null, empty and white-space texts, and those of fewer than three lines, stay as they are. Windows of fewer than
-    min_bytes bytes are no passage. Rows equal in doc_id and text are one document: they get the same result. Rows
-    that share only doc_id are not compared with each other. A null doc_id comes after all others. An empty table
-    gives an empty table. Further columns stay, but for the added names.
+    Documents go by doc_id, those without one last; rows that share a doc_id, or have none, by a hash of their text,
+    and are documents of their own. Rows equal in doc_id and text are one document: they get the same result.
+    Null, empty and white-space texts, and those of fewer than three lines, stay as they are. With min_bytes, windows
+    of fewer bytes are no passage. An empty table gives an empty table. Further columns stay, but for the two added
+    names, which are replaced.
 
     Only hashes, ids and positions are grouped. The grouped minimum is combined before the shuffle, and the join that
     follows is one that Spark splits where a passage is very common; texts are shuffled once, for their rewriting.
+    Work is linear in a text's length, but for sorting its hashes.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("__key")
-    mark = F.hash("text").alias("__mark")
-    hashed = docs.select(key, mark, window_hashes(lines(F.col("text"), wrap), min_bytes).alias("h"))
+    own = private([*docs.columns, "n_removed", "removed"])
+    key, mark, later = own("key"), own("mark"), own("later")
+    place = {key: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), mark: F.xxhash64("text")}
+    hashed = docs.select(*[c.alias(n) for n, c in place.items()], window_hashes(lines(F.col("text"), wrap), min_bytes).alias("h"))
     listed = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("p"), F.lit(False).alias("own")))
-    own = F.transform(own_repeats(F.col("h")), lambda p: F.struct(F.lit(None).cast("long").alias("h"), p.alias("p"), F.lit(True).alias("own")))
-    windows = materialize(hashed.select("__key", "__mark", F.inline(F.concat(listed, own))).where("h is not null or own"), "line-windows")
+    repeats = F.transform(own_repeats(F.col("h")), lambda p: F.struct(F.lit(None).cast("long").alias("h"), p.alias("p"), F.lit(True).alias("own")))
+    windows = materialize(hashed.select(key, mark, F.inline(F.concat(listed, repeats))).where("h is not null or own"), "line-windows")
 
-    first = materialize(windows.where("not own").groupBy("h").agg(F.min("__key").alias("first"), F.max("__key").alias("last")).where("first < last").drop("last"), "line-repeats")
-    later = windows.where("not own").join(first, "h").where("__key > first").select("__key", "__mark", "p")
-    later = later.union(windows.where("own").select("__key", "__mark", "p")).groupBy("__key", "__mark").agg(F.collect_set("p").alias("__later"))
+    at = F.struct(key, mark)
+    first = windows.where("not own").groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").drop("last")
+    covered = windows.where("not own").join(materialize(first, "line-repeats"), "h").where(at > F.col("first")).select(key, mark, "p")
+    covered = covered.union(windows.where("own").select(key, mark, "p")).groupBy(key, mark).agg(F.collect_set("p").alias(later))
 
-    clash = [c for c in ("n_removed", "removed", "__later", "__key", "__mark") if c in docs.columns]
-    joined = docs.drop(*clash).withColumns({"__key": key, "__mark": mark}).join(later, ["__key", "__mark"], "left")
+    kept = [c for c in docs.columns if c.lower() not in ("n_removed", "removed")]
+    joined = docs.select(*kept, *[c.alias(n) for n, c in place.items()]).join(covered, [key, mark], "left")
     no_spans = F.array().cast("array<struct<first:int,end:int>>")
-    marked = joined.withColumn("removed", F.when(F.col("__later").isNull(), no_spans).otherwise(merged(F.col("__later"))))
+    marked = joined.withColumn("removed", F.when(F.col(later).isNull(), no_spans).otherwise(merged(F.col(later))))
     rewritten = _let(lines(F.col("text"), wrap), lambda found: without(found, F.col("removed")))
     return (
         marked.withColumn("n_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]))
-        .withColumn("text", F.when(F.col("__later").isNotNull(), rewritten).otherwise(F.col("text")))
-        .select(*[c for c in docs.columns if c not in clash], "n_removed", "removed")
+        .withColumn("text", F.when(F.col(later).isNotNull(), rewritten).otherwise(F.col("text")))
+        .select(*kept, "n_removed", "removed")
     )

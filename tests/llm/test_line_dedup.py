@@ -1,38 +1,51 @@
 import random
 import re
+import time
+
+import xxhash
 
 from lorequarry.llm import line_dedup
 
 from .conftest import paragraphs, sentence
 
-LINE = re.compile(r"[ \t\n\x0b\f\r]*(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]+){0,15}[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
+LINE = re.compile(r"[ \t\n\x0b\f\r]*(?:[^ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r.!?][ \t\x0b\f\r]+){0,15}[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
+
 
+def place(doc, text):
+    """Documents go by id, those without one last, and then by Spark's hash of the text."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return (2**63 - 1 if doc is None else doc, h - (h >> 63 << 64))
 
-def brute(rows):
-    """rows (doc_id, text) -> (doc_id, text, removed lines), compared window by window in order of doc_id."""
+
+def brute(rows, min_bytes=0):
+    """rows (doc_id, text) -> (doc_id, text, removed lines), compared window by window in order of documents."""
     split = [(doc, text, LINE.findall(text or "")) for doc, text in rows]
     least = {}
     windows = []
     for doc, text, found in split:
         bare = [x.strip(" \t\n\x0b\f\r") for x in found]
-        own = [(i, tuple(bare[i : i + 3])) for i in range(len(bare) - 2) if sum(len(b.encode()) for b in bare[i : i + 3]) >= 40]
+        own = [(i, tuple(bare[i : i + 3])) for i in range(len(bare) - 2) if sum(len(b.encode()) for b in bare[i : i + 3]) >= min_bytes]
         windows.append(own)
-        key = float("inf") if doc is None else doc
         for _, w in own:
-            least[w] = min(least.get(w, key), key)
+            least[w] = min(least.get(w, place(doc, text)), place(doc, text))
     out = []
     for (doc, text, found), own in zip(split, windows):
-        key, gone, first = float("inf") if doc is None else doc, set(), {}
+        gone, first = set(), {}
         for i, w in own:
             first.setdefault(w, i)
-            if key > least[w] or i >= first[w] + 3:
+            if place(doc, text) > least[w] or i >= first[w] + 3:
                 gone |= {i, i + 1, i + 2}
         out.append((doc, "".join(x for i, x in enumerate(found) if i not in gone) if gone else text, len(gone)))
     return sorted(out, key=str)
 
 
-def result(df):
-    return sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(df).collect()), key=str)
+def result(df, **how):
+    return sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(df, **how).collect()), key=str)
+
+
+def prose(rng, sentences):
+    """Sentences of 3 to 14 words in one paragraph."""
+    return " ".join(sentence(rng, rng.randrange(3, 15)).capitalize() + rng.choice([".", ".", "!", "?"]) for _ in range(sentences))
 
 
 def test_equals_brute_force(spark):
@@ -46,7 +59,48 @@ def test_equals_brute_force(spark):
         rows.append((i, "\n".join(p for p in parts if p)))
     line = sentence(rng, 6)
     rows += [(100, "\n".join([line] * 30)), (101, "\n".join([line, line[::-1]] * 20)), (102, rows[3][1]), (103, rows[3][1]), (104, sentence(rng, 300) * 2)]
-    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    rows += [(200 + i, prose(rng, rng.randrange(1, 9)) + (" " + prose(random.Random(i % 4), 6) + " " if i % 2 else "\n") + prose(rng, 3)) for i in range(30)]
+    rows += [(300, "a\nb\nc"), (301, "a\nb\nc"), (302, "x a\nb\nc\nd"), (None, "q. r. s. t."), (None, "u. q. r. s."), (303, "u v w\n" + rows[7][1]), (303, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows)
+    assert result(df, min_bytes=40) == brute(rows, 40)
+
+
+def test_short_passages_and_rows_without_id_count_too(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (None, "one two\nthree four\nfive six\nseven"), (None, "zero\none two\nthree four\nfive six")]
+    out = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(n for _, _, n in out) == 6 and (2, "", 3) in out
+
+
+def test_a_passage_is_found_wherever_it_stands_in_a_paragraph(spark):
+    rng = random.Random(21)
+    rows, passages = [], []
+    for i in range(100):
+        passages.append(prose(rng, 8))
+        rows += [(2 * i, prose(rng, rng.randrange(1, 6)) + " " + passages[-1] + " " + prose(rng, 2)), (2 * i + 1, prose(rng, rng.randrange(1, 6)) + " " + passages[-1] + " " + prose(rng, 2))]
+    assert min(len(p.split()) for p in passages) > 40
+    out = dict((d, t) for d, t, _ in result(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(out[2 * i] == rows[2 * i][1] for i in range(100))
+    assert sum(passages[i] in out[2 * i + 1] for i in range(100)) == 0
+
+
+def test_very_long_texts_take_linear_time(spark):
+    rows = [(1, "the same line again\n" * 250_000), (2, "".join(f"line {i % 1000}\n" for i in range(250_000)))]
+    began = time.time()
+    out = dict((d, n) for d, _, n in result(spark.createDataFrame(rows, "doc_id long, text string")))
+    # of the first all but the first window and what overlaps it, of the second all but the first round
+    assert out[1] == 250_000 - 3 and out[2] >= 249_000 - 2
+    assert time.time() - began < 60
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["__key", "__mark", "__later", "h", "p", "own", "first", "last"]
+    rows = [(i, "a b c\nd e f\ng h i", *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_removed", "removed"]
+    assert sorted(r[2 : 2 + len(names)] for r in out.collect()) == [tuple(f"{n}{i}" for n in names) for i in range(3)]
+    assert sorted(r.n_removed for r in out.collect()) == [0, 3, 3]
 
 
 def test_a_passage_on_one_physical_line_goes_and_the_rest_stays(spark):

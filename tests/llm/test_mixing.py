@@ -15,7 +15,7 @@ def test_phases_deviate_by_less_than_a_block(seed):
     slots = {}
     for p in plan:
         for block in range(p["first"], p["end"]):
-            slot = mixing.slot_of(plan, p["source"], block)
+            slot = p["phase"] + p["slots"][block - p["first"]]
             assert slot not in slots
             slots[slot] = (p["source"], block, p["phase"], p["share"] / p["period"])
     assert sorted(slots) == list(range(sum(blocks.values())))
@@ -33,11 +33,6 @@ def test_phases_deviate_by_less_than_a_block(seed):
     assert placed == Counter({s: n for s, n in blocks.items() if n})
 
 
-def test_shares_add_up_and_follow_weights():
-    share = mixing.shares({"a": 5.0, "b": 3.0, "c": 0.001}, 100)
-    assert sum(share.values()) == 100 and share["c"] == 1 and abs(share["a"] / share["b"] - 5 / 3) < 0.1
-
-
 @pytest.mark.parametrize("blocks, weights", [({f"s{i}": 40_000 if i == 0 else 3 + 700 * (i < 20) for i in range(600)}, {f"s{i}": (i + 1) ** -1.2 for i in range(600)}), ({f"s{i}": 100_000 if i == 0 else 9_000 for i in range(20)}, {f"s{i}": 3.0 if i == 0 else 0.97 for i in range(20)}), ({f"s{i}": 5000 // (i + 1) + 1 for i in range(300)}, {f"s{i}": 1 / (i + 1) for i in range(300)})])
 def test_the_given_weights_are_met_at_every_slot_by_skewed_weights_and_many_sources(blocks, weights):
     plan, at = mixing.phases(blocks, weights), {}
@@ -100,5 +95,25 @@ def test_odd_rows(odd, odd_rows):
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r[0], r[1]) for r in odd_rows)
 
 
+def test_blocks_grow_so_that_the_plan_stays_small(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 50)
+    df = spark.range(4001).selectExpr("id as doc_id", "cast(id as string) as text", "concat('s', id % 3) as source")
+    rows = mixing.mix(df, {"s0": 3.0, "s1": 2.0, "s2": 1.0}).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(4001))
+    assert max(r.mix_slot for r in rows) < 55
+    at = [r.mix_source for r in sorted(rows, key=lambda r: r.mix_position) if r.mix_phase == 0]
+    n = Counter(at)
+    assert all(abs(n[s] - len(at) * w / 6) <= 2 * 81 for s, w in (("s0", 3), ("s1", 2), ("s2", 1)))
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["__row", "__bucket", "__text", "__source", "__rank", "__n", "__slots", "n"]
+    df = spark.range(60).selectExpr("id as doc_id", "cast(id as string) as text", "concat('s', id % 3) as source", *[f"concat('{n}', id) as {n}" for n in names], "id * 2 as mix_position", "id as mix_slot")
+    for out in (mixing.mix(df), mixing.in_mixed_order(df)):
+        rows = out.collect()
+        assert len(rows) == 60 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert out.columns == df.columns and all((r.mix_position, r.mix_slot) == (2 * r.doc_id, r.doc_id) for r in rows)
+
+
 def test_empty_table(none):
     assert mixing.mix(none).count() == 0
