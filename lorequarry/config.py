@@ -52,6 +52,12 @@ class Upload:
     allowed_dirs: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class Graph:
+    #: Wiki links, front matter and the order of headings make entities and edges too.
+    extended: bool = False
+
+
 @dataclass(frozen=True)
 class Config:
     storage: Storage = field(default_factory=Storage)
@@ -59,6 +65,7 @@ class Config:
     chunking: Chunking = field(default_factory=Chunking)
     search: Search = field(default_factory=Search)
     upload: Upload = field(default_factory=Upload)
+    graph: Graph = field(default_factory=Graph)
 
     def __post_init__(self):
         check_windows(self.chunking.max_tokens, self.chunking.overlap_tokens)

@@ -13,8 +13,8 @@ from .errors import KnowledgeError
 from .functions import text
 from .functions.embedders import Embedder, Tokenizer, embedder_for, tokenizer_for
 from .operators import documents as manage
-from .operators import graph, ingest, search
-from .schema import all_of, check_chunks, check_documents
+from .operators import graph, index, ingest, search
+from .schema import SCHEMA_VERSION, TABLES, all_of, check_chunks, check_documents
 from .store import Store
 
 
@@ -24,6 +24,7 @@ class KnowledgeBase:
         self.spark, self.config = spark, config or Config()
         self.embedder, self.tokenizer = embedder or embedder_for(self.config), tokenizer or tokenizer_for(self.config)
         self.store = Store(spark, self.config.storage.path)
+        self.migrate()
         meta = self.store.meta()
         known = (meta.get("embedding_model"), meta.get("embedding_dimension"))
         if check_model and meta and known != (self.embedder.name, str(self.embedder.dimension)):
@@ -31,8 +32,26 @@ class KnowledgeBase:
         if not meta:
             self.store.commit({"meta": self._meta()})
 
+    def migrate(self) -> bool:
+        """Brings a store of an earlier schema to this one, in one commit; whether that was needed. Its old files stay."""
+        state = self.store.pointer()
+        if not state["version"] or state["schema"] == SCHEMA_VERSION:
+            return False
+        tables = {name: df for name, df in self.store.tables(state).items() if state["tables"].get(name)}
+        if "chunk" in tables:
+            tables["chunk"] = ingest.indexed(tables["chunk"])
+            tables["posting"] = ingest.posted(tables["chunk"])
+        if "meta" in tables:
+            tables["meta"] = tables["meta"].where("key <> 'schema_version'").unionByName(self.store.meta_table(schema_version=SCHEMA_VERSION))
+        self.store.commit(replace=tables, migrating=True, since=state["version"])
+        return True
+
+    def compact(self) -> int:
+        """Writes all tables anew, without what was deleted, as one part each; the new version."""
+        return self.store.compacted()
+
     def _meta(self) -> DataFrame:
-        return self.store.meta_table(embedding_model=self.embedder.name, embedding_dimension=self.embedder.dimension, tokenizer=self.tokenizer.name)
+        return self.store.meta_table(schema_version=SCHEMA_VERSION, embedding_model=self.embedder.name, embedding_dimension=self.embedder.dimension, tokenizer=self.tokenizer.name)
 
     def table(self, name: str) -> DataFrame:
         return self.store.table(name)
@@ -45,62 +64,80 @@ class KnowledgeBase:
     # documents in
 
     def upload(self, path=None, url=None, content=None, content_base64=None, title: str | None = None, tags: Sequence[str] = (), metadata: Mapping[str, str] | None = None, force: bool = False) -> DataFrame:
-        """Uploads files, pages or texts, one or many, in one commit; a row of status for each (see upload_rows)."""
+        """Uploads files, pages or texts, one or many, in one commit; a row of status for each (see upload_rows).
+
+        Of several, those that can't be taken are reported and the others stored. One that can't is an exception.
+        """
         rows = sources.from_request(self.spark, self.config, path, url, content, content_base64, title)
-        return self.upload_rows(sources.extracted(rows, tags, dict(metadata or {})), force)
+        done = self.upload_rows(sources.extracted(rows, tags, dict(metadata or {})), force)
+        first = done.limit(2).collect()
+        if len(first) == 1 and first[0]["status"] == "failed":
+            code, _, message = first[0]["error"].partition(": ")
+            raise KnowledgeError(code, message)
+        return done
 
     def upload_rows(self, rows: DataFrame, force: bool = False) -> DataFrame:
-        """Uploads rows of the table document.
+        """Uploads rows of the table document; a row with an error (column error, if there is one) is not taken.
 
-        Returns document_id, title, sha256, status, chunks, tokens, entities: "created"; "skipped", where the same
-        content is stored already or came first in rows; "updated", with force; "empty", where there are no tokens,
-        which is not stored and replaces nothing.
+        Returns document_id, title, sha256, status, chunks, tokens, entities, error: "created"; "skipped", where the
+        same content is stored already or came first in rows; "updated", with force; "empty", where there are no
+        tokens, which is not stored and replaces nothing; "failed", with the error, which the table failure has too.
+        Only new rows are written, and the ids of documents that they replace.
         """
-        check_documents(rows)
         pointer = self.store.pointer()
-        stored = self.store.tables()
+        stored = self.store.tables(pointer)
         # written once, so ids and times are the same in all that follows
-        version = pointer["version"]
-        staged = f"{self.store.path}/staged-{version + 1}"
-        numbered = rows.withColumn("_order", F.monotonically_increasing_id())
-        numbered.write.mode("overwrite").parquet(f"{staged}/rows")
-        batch = self.spark.read.parquet(f"{staged}/rows")
+        staged = self.store.scratch()
+        given = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+        given.withColumn("_order", F.monotonically_increasing_id()).write.parquet(f"{staged}/rows")
+        every = self.spark.read.parquet(f"{staged}/rows")
+        failed, batch = every.where("error is not null"), every.where("error is null").drop("error")
+        check_documents(batch)
         first = ingest.first_of_each(batch, "_order")
         known = stored["document"].select("sha256", F.lit(True).alias("_known"))
         marked = first.join(known, "sha256", "left")
+        marked.write.parquet(f"{staged}/marked")
+        marked = self.spark.read.parquet(f"{staged}/marked")
         taken = marked if force else marked.where(F.col("_known").isNull())
-        chunks = ingest.embedded(ingest.chunk_rows(taken, self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens), self.embedder)
-        chunks.write.mode("overwrite").parquet(f"{staged}/chunks")
+        chunks = ingest.indexed(ingest.embedded(ingest.chunk_rows(taken, self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens), self.embedder))
+        chunks.write.parquet(f"{staged}/chunks")
         chunks = self.spark.read.parquet(f"{staged}/chunks")
         check_chunks(chunks, self.embedder.dimension)
-        new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_known", "_order")
-        entities, mentions = ingest.entities_of(chunks)
-        summary = ingest.upload_summary(taken, chunks, mentions)
+        new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_order")
+        replaced = new.where(F.col("_known").isNotNull()).select("document_id")
+        entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
+
+        added = {"document": new, "chunk": chunks, "mentions": mentions, "entity": entities, "posting": ingest.posted(chunks)}
+        if self.config.graph.extended:
+            added["related_to"] = graph.part_of(new, "document_id").withColumn("weight", F.lit(1.0))
+        bad = not failed.isEmpty()
+        if bad:
+            added["failure"] = failed.select("source", "error", F.current_timestamp().alias("failed_at"))
+        if not new.isEmpty() or bad:
+            self.store.commit({t: df for t, df in added.items() if t == "failure" or not new.isEmpty()}, deleted=None if not force or replaced.isEmpty() else replaced, since=pointer["version"])
 
-        kept_docs, kept_chunks, kept_mentions = manage.without(stored["document"], stored["chunk"], stored["mentions"], new)
-        self.store.commit(
-            {
-                "document": kept_docs.unionByName(new.select(*kept_docs.columns)),
-                "chunk": kept_chunks.unionByName(chunks.select(*kept_chunks.columns)),
-                "mentions": kept_mentions.unionByName(mentions),
-                "entity": graph.upsert(stored["entity"], entities),
-            },
-            since=version,
-        )
         state = F.when(F.col("chunks") == 0, "empty").when(F.col("_known").isNotNull(), "updated").otherwise("created")
+        summary = ingest.upload_summary(taken, chunks, mentions)
         done = summary.join(marked.select("document_id", "_known", "_order"), "document_id").withColumn("status", state)
-        again = batch.select("_order", "title", "sha256").join(done.select("_order"), "_order", "left_anti")
-        columns = ["document_id", "title", "sha256", "status", "chunks", "tokens", "entities"]
-        skipped = again.select("_order", F.lit(None).cast("string").alias("document_id"), "title", "sha256", F.lit("skipped").alias("status"), F.lit(0).alias("chunks"), F.lit(0).alias("tokens"), F.array().cast("array<string>").alias("entities"))
-        done = done.withColumn("document_id", F.when(F.col("status") != "empty", F.col("document_id")))
-        return done.select("_order", *columns).unionByName(skipped).orderBy("_order").select(*columns)
+        done = done.withColumn("document_id", F.when(F.col("status") != "empty", F.col("document_id"))).withColumn("error", F.lit(None).cast("string"))
+        others = batch.join(done.select("_order"), "_order", "left_anti").withColumns({"error": F.lit(None).cast("string"), "status": F.lit("skipped")})
+        others = others.unionByName(failed.withColumns({"status": F.lit("failed"), "sha256": F.lit(None).cast("string")}), allowMissingColumns=True)
+        others = others.withColumns({"document_id": F.lit(None).cast("string"), "chunks": F.lit(0).cast("long"), "tokens": F.lit(0).cast("long"), "entities": F.array().cast("array<string>")})
+        columns = ["document_id", "title", "sha256", "status", "chunks", "tokens", "entities", "error"]
+        result = done.select("_order", *columns).unionByName(others.select("_order", *columns))
+        # a row for each given one, without its text; it outlives the folder
+        told = self.store.scratch().replace("/staged/", "/uploads/")
+        result.write.parquet(told)
+        self.store.remove(staged)
+        return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
     # answers out
 
     def search(self, query: str | Sequence[str], mode: str | None = None, top_k: int | None = None, graph_expand: int = 0, filter: Mapping[str, str] | None = None, prefilter: bool = False) -> DataFrame:
-        """query_id, rank, document_id, chunk_id, chunk_idx, content, score, title, source for one query or many.
+        """query_id, rank, document_id, chunk_id, chunk_idx, content, score, title, source, highlights (stretches around
+        query terms, but for vector mode) and matched_entities (of chunks that graph_expand adds) for one query or many.
 
-        The filter is applied after the top k, so fewer rows may come; with prefilter before, to all chunks. Chunks
+        Keywords are looked up in the stored postings; of the text only that of the hits is read. The filter is applied after the top k, so fewer rows may come; with prefilter before, to all chunks. Chunks
         that graph_expand adds come after the hits.
         """
         mode, k = mode or self.config.search.default_mode, top_k or self.config.search.top_k
@@ -109,25 +146,39 @@ class KnowledgeBase:
         given = search.check_filter(filter)
         queries = [query] if isinstance(query, str) else list(query)
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-        documents, chunks = self.table("document"), self.table("chunk")
+        now = self.store.pointer()
+        documents, chunks, posted = (self.store.table(t, now) for t in ("document", "chunk", "posting"))
         if prefilter and given:
-            chunks = chunks.join(documents.where(all_of([F.col(c) == v for c, v in given.items()])).select("document_id"), "document_id", "left_semi")
+            keep = documents.where(all_of([F.col(c) == v for c, v in given.items()])).select("document_id")
+            chunks, posted = (t.join(keep, "document_id", "left_semi") for t in (chunks, posted))
         terms = asked.select("query_id", F.explode(text.analyzed(F.col("query"))).alias("term"))
         vectors = asked.select("query_id", self.embedder.embed(F.col("query"), F.lit(0)).alias("vector"))
         how = {"k1": self.config.search.bm25_k1, "b": self.config.search.bm25_b}
+        by_vector = lambda k: search.vector_search(chunks, vectors, k)
+        by_term = lambda k: search.top_k(index.stored_scores(posted, chunks.select("terms"), terms, **how), k)
         if mode == "vector":
-            hits = search.vector_search(chunks, vectors, k)
+            hits = by_vector(k)
         elif mode == "keyword":
-            hits = search.keyword_search(chunks, terms, k, **how)
+            hits = by_term(k)
         else:
-            hits = search.hybrid_search(chunks, vectors, terms, k, self.config.search.rrf_k, **how)
+            hits = search.fused(by_vector(3 * k), by_term(3 * k), k, self.config.search.rrf_k)
+        nothing = F.array().cast("array<string>")
+        matched = hits.select("query_id", "id", nothing.alias("matched")).limit(0)
         if graph_expand > 0:
-            hits = graph.appended(hits, graph.expand_hits(hits, self.table("mentions"), graph_expand))
+            more = graph.expand_hits(hits, self.store.table("mentions", now), graph_expand)
+            hits, matched = graph.appended(hits, more), more.select("query_id", "id", "matched")
+        few = len(queries) * (k + graph_expand) <= search.MAX_HITS
         told = chunks.select(F.col("chunk_id").alias("id"), "document_id", F.col("idx").alias("chunk_idx"), "content")
-        full = told.join(F.broadcast(hits), "id")
+        full = told.join(F.broadcast(hits) if few else hits, "id")
         full = search.filtered(full, documents, given)
-        named = documents.select("document_id", "title", "source").join(F.broadcast(full), "document_id")
-        return named.select("query_id", "rank", "document_id", F.col("id").alias("chunk_id"), "chunk_idx", "content", "score", "title", "source").orderBy("query_id", "rank")
+        named = documents.select("document_id", "title", "source").join(F.broadcast(full) if few else full, "document_id")
+        words = asked.select("query_id", F.array_distinct(text.analyzed(F.col("query"))).alias("_words"))
+        named = named.join(F.broadcast(search.check_queries(words)), "query_id").join(matched, ["query_id", "id"], "left")
+        marks = nothing if mode == "vector" else text.highlights(F.col("content"), F.col("_words"))
+        return named.select(
+            "query_id", "rank", "document_id", F.col("id").alias("chunk_id"), "chunk_idx", "content", "score", "title", "source",
+            marks.alias("highlights"), F.coalesce("matched", nothing).alias("matched_entities"),
+        ).orderBy("query_id", "rank")
 
     def list(self, limit: int = 50, offset: int = 0, order: str = "created_desc") -> DataFrame:
         return manage.listed(self.table("document"), self.table("chunk"), limit, offset, order)
@@ -136,13 +187,14 @@ class KnowledgeBase:
         return manage.got(self.table("document"), self.table("chunk"), document_id, with_chunks)
 
     def delete(self, document_id: str | Sequence[str]) -> DataFrame:
-        """document_id, chunks_deleted for each id that was given, in one commit; an unknown one has 0."""
+        """document_id, chunks_deleted for each id that was given, in one commit; an unknown one has 0. Only the ids are written."""
         ids = [document_id] if isinstance(document_id, str) else [*document_id]
         gone = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "document_id string")
-        pointer, stored = self.store.pointer(), self.store.tables()
-        counts = stored["chunk"].join(gone, "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_deleted"))
-        d, c, m = manage.without(stored["document"], stored["chunk"], stored["mentions"], gone)
-        self.store.commit({"document": d, "chunk": c, "mentions": m}, since=pointer["version"])
+        pointer = self.store.pointer()
+        chunks = self.store.table("chunk", pointer)
+        counts = chunks.join(gone, "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_deleted"))
+        if not self.store.table("document", pointer).join(gone, "document_id", "left_semi").isEmpty():
+            self.store.commit(deleted=gone, since=pointer["version"])
         return gone.join(counts, "document_id", "left").select("document_id", F.coalesce("chunks_deleted", F.lit(0)).cast("long").alias("chunks_deleted"))
 
     def stats(self) -> dict:
@@ -164,12 +216,13 @@ class KnowledgeBase:
     def upsert_entity(self, name: str, kind: str, description: str | None = None) -> str:
         key = graph.parse_start(name if ":" not in name else f"entity:{name}")[1]
         new = self.spark.createDataFrame([(key, name, kind, description)], "entity_id string, name string, kind string, description string")
-        self.store.commit({"entity": graph.upsert(self.table("entity"), new)})
+        self.store.commit({"entity": new})
         return key
 
     def link_entities(self, src: str, dst: str, relation: str, weight: float = 1.0) -> None:
         ends = [graph.parse_start(x if ":" not in x else f"entity:{x}")[1] for x in (src, dst)]
-        self.store.commit({"related_to": graph.link(self.table("related_to"), *ends, relation, weight)})
+        none = self.spark.createDataFrame([], TABLES["related_to"])
+        self.store.commit({"related_to": graph.link(none, *ends, relation, weight)})
 
     def graph_query(self, start: str, relation: str | None = None, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
         t = self.store.tables()
@@ -178,8 +231,8 @@ class KnowledgeBase:
     def extract_and_save_entities(self, document_id: str) -> DataFrame:
         """Entities of the whole text of one document, saved; name, kind."""
         own = manage.got(self.table("document"), self.table("chunk"), document_id)
-        found = graph.entity_rows(graph.extract(own, "document_id"))
-        self.store.commit({"entity": graph.upsert(self.table("entity"), found)})
+        found = graph.entity_rows(graph.extract(own, "document_id", extended=self.config.graph.extended))
+        self.store.commit({"entity": found})
         return found.select("name", "kind")
 
     def reindex(self, dry_run: bool = False) -> dict:
@@ -192,9 +245,9 @@ class KnowledgeBase:
         chunks = ingest.chunk_rows(stored["document"], self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens)
         if dry_run:
             return reindex_counts(stored["document"], chunks)
-        entities, mentions = ingest.entities_of(chunks)
-        new = ingest.embedded(chunks, self.embedder)
-        self.store.commit({"chunk": new, "mentions": mentions, "entity": graph.upsert(stored["entity"], entities), "meta": self._meta()}, since=pointer["version"])
+        entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
+        new = ingest.indexed(ingest.embedded(chunks, self.embedder))
+        self.store.commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, "posting": ingest.posted(chunks)}, since=pointer["version"])
         done = self.table("chunk").agg(F.count_distinct("document_id").alias("d"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("t")).first()
         return {"dry_run": False, "documents_processed": done["d"], "chunks_created": done["c"], "tokens_total": done["t"], "entities_extracted": self.table("mentions").count()}
 

@@ -50,22 +50,19 @@ class HashingEmbedder:
         dimension = self.dimension
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def hashed(terms):
-            import zlib
-
+        def summed(codes):
             import numpy as np
             import pandas as pd
 
-            out = []
-            for own in terms:
-                v = np.zeros(dimension)
-                codes = np.fromiter((zlib.crc32(t.encode()) for t in (own if own is not None else ())), np.int64)
-                np.add.at(v, codes % dimension, 1.0 - 2.0 * (codes // dimension % 2))
-                size = np.linalg.norm(v)
-                out.append((v / size if size else v).astype(np.float32))
-            return pd.Series(out)
+            lists = [np.asarray(c if c is not None else (), np.int64) for c in codes]
+            owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+            flat = np.concatenate([*lists, np.empty(0, np.int64)])
+            v = np.bincount(owner * dimension + flat % dimension, 1.0 - 2.0 * (flat // dimension % 2), len(lists) * dimension).reshape(-1, dimension)
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            return pd.Series(list((v / np.where(size > 0, size, 1)).astype(np.float32)))
 
-        return hashed(text.analyzed(content))
+        # terms are hashed in the JVM; of a batch all are summed at once
+        return summed(F.transform(text.analyzed(content), lambda t: F.crc32(F.encode(t, "UTF-8"))))
 
 
 class OnnxEmbedder:

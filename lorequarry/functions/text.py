@@ -26,6 +26,11 @@ LINK = ("reference", r"\[([^\]]+)\]\(([^)]+)\)")
 TAG = ("tag", r"(?U)(?:^|\s)#([a-zA-Z][\w-]{1,})")
 HEADING = ("section", r"(?Udm)^#{1,6}\s+(.+)")
 
+#: What the extended rules extract besides.
+WIKI_LINK = ("reference", r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]")
+FRONT = r"\A---\s*\n([\s\S]*?)\n---\s*(?:\n|\z)"
+FRONT_KEYS = {"tags": "tag", "aliases": "alias"}
+
 
 def html_to_text(html: Column) -> Column:
     """Without tags, white space collapsed. A stray > goes, an unclosed < takes the rest; entities stay as they are."""
@@ -110,3 +115,37 @@ def entities(text: Column) -> Column:
     headings = F.transform(F.filter(pick(HEADING), lambda h: F.octet_length(h) > 2), lambda h: F.regexp_replace(h, r"(?U)^\s+|\s+$", ""))
     every = F.concat(named(pick(LINK), LINK[0]), named(pick(TAG), TAG[0]), named(headings, HEADING[0]))
     return F.filter(every, lambda e: clean_name(e["name"]) != "")
+
+
+def front_matter(text: Column, key: str) -> Column:
+    """The values of a key of YAML front matter: [a, b], a list of lines - a, or one value; without quotes."""
+    block = F.regexp_extract(text, FRONT, 1)
+    inline = F.regexp_extract(block, rf"(?m)^{key}:[^\S\n]*\[([^\]]*)\]", 1)
+    one = F.regexp_extract(block, rf"(?m)^{key}:[^\S\n]*([^\s\[][^\n]*)$", 1)
+    listed = F.regexp_extract_all(F.regexp_extract(block, rf"(?m)^{key}:[^\S\n]*\n((?:[^\S\n]*-[^\n]*(?:\n|\z))+)", 1), F.lit(r"(?m)^[^\S\n]*-[^\S\n]*([^\n]*)$"), F.lit(1))
+    every = F.concat(F.split(inline, ","), F.array(one), listed)
+    bare = F.transform(every, lambda v: F.regexp_replace(v, r"^[\s\"']+|[\s\"']+$", ""))
+    return F.filter(bare, lambda v: v != "")
+
+
+def extended_entities(text: Column) -> Column:
+    """entities(), then those of [[wiki links]], then the tags and aliases of front matter, each once."""
+    named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+    trimmed = F.transform(F.regexp_extract_all(text, F.lit(WIKI_LINK[1]), F.lit(1)), lambda n: F.btrim(n))
+    more = F.concat(named(trimmed, WIKI_LINK[0]), *[named(front_matter(text, key), kind) for key, kind in FRONT_KEYS.items()])
+    return F.array_distinct(F.concat(entities(text), F.filter(more, lambda e: clean_name(e["name"]) != "")))
+
+
+def headings(text: Column) -> Column:
+    """(level, name) of the Markdown headings that entities() takes, in order."""
+    lines = F.regexp_extract_all(text, F.lit(r"(?Udm)^(#{1,6}\s+.+)"), F.lit(1))
+    split = F.transform(lines, lambda h: F.struct(F.length(F.regexp_extract(h, r"^(#+)", 1)).alias("level"), F.regexp_replace(h, r"(?U)^#+\s+|\s+$", "").alias("name")))
+    return F.filter(split, lambda h: (F.octet_length(h["name"]) > 2) & (clean_name(h["name"]) != ""))
+
+
+def highlights(text: Column, terms: Column, most: int = 3, around: int = 40) -> Column:
+    """Up to `most` stretches of text around occurrences of index terms (letters or digits alone), with `around` characters on either side."""
+    edge = r"[\p{L}\p{N}]"
+    any_term = F.concat(F.lit(rf"(?isU).{{0,{around}}}(?<!{edge})(?:"), F.array_join(terms, "|"), F.lit(rf")(?!{edge}).{{0,{around}}}"))
+    found = F.regexp_extract_all(text, any_term, F.lit(0))
+    return F.when(F.size(terms) > 0, F.slice(found, 1, most)).otherwise(F.array().cast("array<string>"))

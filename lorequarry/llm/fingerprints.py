@@ -20,8 +20,8 @@ def _let(value: Column, use) -> Column:
 
 
 def draw(term: Column, sample: Column, i: int = 0) -> Column:
-    """52 bits, as a number from 0, that hang on the arguments alone."""
-    return F.shiftrightunsigned(F.xxhash64(term, sample, F.lit(i)), 12)
+    """52 bits, as a number from 0, that hang on the arguments alone. For a sample that is a literal it takes one hash."""
+    return F.shiftrightunsigned(F.xxhash64(term.bitwiseXOR(F.xxhash64(sample, F.lit(i)))), 12)
 
 
 def level(drawn: Column) -> Column:
@@ -68,12 +68,30 @@ def weighted_terms(text: Column) -> Column:
     return _let(terms, counted)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys and fingerprint for each row of texts. keys must tell rows apart; where texts is dealt by some of them, nothing is shuffled.
+def shared_terms(pairs: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
+    """keys, _kind, term, times for the terms of two texts of each row of pairs; _kind: 0 of one, 1 of two, 2 of both.
+
+    Terms that occur once in either text, which are nearly all that two versions of a text share, come once. A row
+    whose texts have no terms comes once, with nulls.
+    """
+    once = lambda t: F.transform(F.filter(t, lambda x: x["times"] == 1), lambda x: x["term"])
+    more = lambda t: F.filter(t, lambda x: x["times"] > 1)
+    # step by step, so that each column is computed once
+    rows = pairs.select(*keys, weighted_terms(F.col(one)).alias("_a"), weighted_terms(F.col(two)).alias("_b"))
+    rows = rows.select(*keys, once(F.col("_a")).alias("_a1"), once(F.col("_b")).alias("_b1"), more(F.col("_a")).alias("_am"), more(F.col("_b")).alias("_bm"))
+    rows = rows.select(*keys, F.array_except("_a1", "_b1").alias("_a1"), F.array_except("_b1", "_a1").alias("_b1"), F.array_intersect("_a1", "_b1").alias("_ab"), "_am", "_bm")
+    single = lambda c, kind: F.transform(c, lambda t: F.struct(F.lit(kind).alias("_kind"), t.alias("term"), F.lit(1).alias("times")))
+    several = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("_kind"), x["term"].alias("term"), x["times"].alias("times")))
+    return rows.select(*keys, F.inline_outer(F.concat(single("_ab", 2), single("_a1", 0), single("_b1", 1), several("_am", 0), several("_bm", 1))))
+
+
+def signatures(pairs: DataFrame, keys: list[str], one: str, two: str, samples: int = SAMPLES) -> DataFrame:
+    """keys, _one and _two, the fingerprints of two texts, for each row of pairs. keys must tell rows apart; where pairs
+    is dealt by some of them, nothing is shuffled.
 
     Kept is the largest exp(-a) of a sample: at weight 1, which nearly all terms have, that is the draw itself.
     """
-    rows = texts.select(*keys, F.explode_outer(weighted_terms(F.col(text))).alias("_t")).select(*keys, F.col("_t.term").alias("term"), F.col("_t.times").alias("times"))
+    rows = shared_terms(pairs, keys, one, two)
     term, times = F.col("term"), F.col("times")
 
     def lifted(j: Column) -> Column:
@@ -81,10 +99,15 @@ def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMP
         return _let(log_sample(term, j, times.cast("double")), lambda a: F.when(a == F.log(exponential(drawn)), level(drawn)).otherwise(F.exp(-F.exp(a))))
 
     several = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lifted)
-    rows = rows.select(*keys, "term", "times", F.when(times > 1, several).alias("_v"))
-    most = rows.groupBy(*keys).agg(*[F.max(F.when(times == 1, level(draw(term, F.lit(j)))).otherwise(F.get("_v", F.lit(j)))).alias(f"_m{j}") for j in range(samples)])
+    rows = rows.select(*keys, "_kind", "term", "times", F.when(times > 1, several).alias("_v"))
+    most = rows.groupBy(*keys, "_kind").agg(*[F.max(F.when(times == 1, level(draw(term, F.lit(j)))).otherwise(F.get("_v", F.lit(j)))).alias(f"_m{j}") for j in range(samples)])
+    held = most.select(*keys, "_kind", F.array(*[f"_m{j}" for j in range(samples)]).alias("_m"))
+    of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_m"))).alias(f"_k{kind}")
+    each = held.groupBy(*keys).agg(of(0), of(1), of(2))
     digits = lambda m: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(m), F.lit(16**DIGITS)))), DIGITS, "0")
-    return most.select(*keys, F.array_join(F.transform(F.array(*[f"_m{j}" for j in range(samples)]), digits), "").alias("fingerprint"))
+    places = F.sequence(F.lit(0), F.lit(samples - 1))
+    sign = lambda own: F.array_join(F.transform(places, lambda j: digits(F.greatest(F.get(own, j), F.get("_k2", j)))), "")
+    return each.select(*keys, sign("_k0").alias("_one"), sign("_k1").alias("_two"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -132,11 +155,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("_n") - quarter), F.substring(F.coalesce("_head", F.lit("")), F.lit(1), quarter))
     both = joined.select("_key", F.monotonically_increasing_id().alias("_row"), "_n", "text", edited.alias("_edited"))
     both = both.withColumn("_sha", F.unhex(F.sha2("_edited", 256)))
-    keys = ["_key", "_row", "_n", "_sha"]
-    kinds = both.select(*keys, F.inline(F.array(F.struct(F.lit(0).alias("_kind"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_kind"), F.col("_edited").alias("_text")))))
-    signed = signatures(kinds, [*keys, "_kind"], "_text", samples)
-    of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("fingerprint")))
-    found = materialize(signed.groupBy(*keys).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")), "fingerprints")
+    signed = signatures(both, ["_key", "_row", "_n", "_sha"], "text", "_edited", samples)
+    found = materialize(signed.withColumnsRenamed({"_one": "fingerprint", "_two": "edited_fingerprint"}), "fingerprints")
 
     next_ones = found.groupBy("_key").agg(F.min("fingerprint").alias("_next_fingerprint"))
     ahead = pairs.select("_key", "_next").join(next_ones.withColumnRenamed("_key", "_next"), "_next").select("_key", "_next_fingerprint")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ._shared import materialize, private
 
 WINDOW = 3
-#: A line ends where the text says so: at a line break, or after a word that ends a sentence; at the latest after WRAP words.
-WRAP = 16
+#: A line ends where the text says so: at a line break, or, from LEAST words on, after a word that ends a sentence; at the
+#: latest after WRAP words.
+LEAST, WRAP = 3, 16
 #: The marks that end a sentence.
 ENDS = ".!?"
 SPACE = " \t\n\x0b\f\r"
@@ -17,7 +18,8 @@ SPACE = " \t\n\x0b\f\r"
 
 def line_pattern(wrap: int = WRAP) -> str:
     """A line with the white space around it; all lines of a text make up the text."""
-    return rf"\s*+(?:\S++(?<![{ENDS}])[^\S\n]++){{0,{wrap - 1}}}\S++\s*+"
+    least = min(LEAST, wrap)
+    return rf"\s*+(?:\S++[^\S\n]++){{0,{least - 1}}}(?:\S++(?<![{ENDS}])[^\S\n]++){{0,{wrap - least}}}\S++\s*+"
 
 
 def lines(text: Column, wrap: int = WRAP) -> Column:
@@ -89,8 +91,8 @@ def without(found: Column, spans: Column) -> Column:
 def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = 0) -> DataFrame:
     """docs with text rewritten, and n_removed (lines) and removed (spans of lines) added.
 
-    Lines are those of the text, cut further after each word that ends a sentence, so that a passage in the middle of
-    a paragraph is made of the same lines wherever it stands. What has neither is cut after `wrap` words; only there
+    Lines are those of the text, cut further after each word that ends a sentence, unless that makes a line of less
+    than LEAST words; so a passage in the middle of a paragraph is made of the same lines wherever it stands. What has neither is cut after `wrap` words; only there
     does a line hang on what is before it. Every window of three consecutive lines is hashed. Of the windows with one
     hash, all but those of the first document that has it are later occurrences, and so are those further down in that
     document unless they overlap the first there. The lines that later occurrences cover are removed.

@@ -19,7 +19,7 @@ e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.label = b.label AND a.i
 SELECT n.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = n.id) AS n_links, min(r.b) AS component_id, n.id = min(r.b) AS kept FROM n JOIN r ON r.a = n.id GROUP BY n.id"""
 
 LINES = r"""WITH
-l AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:\S*[^\s.!?][^\S\n]+){0,15}\S+\s*') AS ls FROM documents),
+l AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:\S+[^\S\n]+){0,2}(?:\S*[^\s.!?][^\S\n]+){0,13}\S+\s*') AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
 t AS (SELECT doc_id, i, line, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS s FROM x),
 c AS (SELECT doc_id, i, s, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),

@@ -21,8 +21,9 @@ class TierPacker:
     A document gives whole windows of the longest size, and a rest that is routed to the shortest tier that can hold
     it. At a flush the tiers are packed from the longest: each piece opens a window, whose gap is filled with the
     longest fitting pieces of the shorter tiers, and at last with a cut from the next piece, so the window is full.
-    What is left at the end is split at powers of two, so nothing is padded. Sequences of a flush are dealt to step
-    groups of one tier in turns of falling and rising attention cost.
+    What is left at the end is split at the tiers' sizes; only the very last sequence, of less than the shortest tier,
+    is to be padded. Sequences of a flush are dealt to step groups of one tier in turns of falling and rising
+    attention cost.
     """
 
     def __init__(self, window: int = 1024, tiers: int = 4, flush_windows: int = 256, group: int = 8, first: int = 0):
@@ -97,10 +98,10 @@ class TierPacker:
                     return
 
     def split(self, pieces: list[tuple]) -> None:
-        """The last pieces as sequences whose lengths are the powers of two that their sum consists of."""
+        """The last pieces as sequences of the tiers' sizes, and what is left then as one of the shortest tier."""
         left = sum(p[0] for p in pieces)
         while left:
-            size = 1 << (left.bit_length() - 1)
+            size = next((x for x in self.sizes if x <= left), left)
             left -= size
             own, room = [], size
             while room:
@@ -110,7 +111,7 @@ class TierPacker:
                 room -= cut
                 if cut < length:
                     pieces.insert(0, self.piece(doc, start + cut, ids[cut:], whole))
-            self.ready.append((size, own))
+            self.ready.append((max(size, self.sizes[-1]), own))
 
     def emit(self) -> list[tuple]:
         rows: list[tuple] = []
@@ -130,31 +131,45 @@ class TierPacker:
         return rows
 
 
-def load_encoder(ranks_path: str, pattern: str):
-    """A function from text to ids as numpy uint32."""
-    import base64
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones of Latin-1 stand for themselves, the
+    others, in order, for those from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def load_encoder(path: str, pattern: str):
+    """A function from text to ids as numpy uint32: those of the byte-level tokenizer in the file, without tokens that
+    mark begin or end. Its added tokens are found in the text, as the file's own library does by default."""
+    import json
 
     import tiktoken
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    alphabet = byte_alphabet()
+    added = {t["content"]: t["id"] for t in rules["added_tokens"]}
+    ranks = {bytes(alphabet[c] for c in token): rank for token, rank in rules["model"]["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
-def pack(docs: DataFrame, window: int = 1024, tiers: int = 4, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, tiers: int = 4, tokenizer_path: str | None = None, pattern: str | None = None, end_id: int = 0) -> DataFrame:
     """Packs whole documents into sequences of at most `window` tokens; a row for each piece (see SCHEMA).
 
-    Each document is its ids and then end_id. The ids are those of the tokenizer byte_bpe_50k.json; they come from
-    the same vocabulary as ranks, which a faster library encodes equally (tests compare both). ranks_path must be
-    readable on every executor; it defaults to the installed tokenizer package's file.
-    A partition of the input is packed by itself, in its order, without a shuffle: only the last window of a
-    partition isn't full, and is split at powers of two. Sequence numbers are unique over all partitions.
+    Each document is its ids and then end_id. The ids are those of the tokenizer in tokenizer_path, byte_bpe_50k.json
+    unless another byte-level one is named; a faster library encodes by its vocabulary (tests compare both). The
+    string of an added token within a text, such as <|endoftext|>, gives that token. The file must be readable on
+    every executor; it defaults to the installed tokenizer package's.
+    A partition of the input is packed by itself, in its order, without a shuffle: only the last sequence of a
+    partition, of less than the shortest tier, is to be padded. Sequence numbers are unique over all partitions.
     Null text: as an empty one, a single end_id. Null doc_id: kept. Equal rows are packed each. An empty table gives
-    no rows. Columns other than doc_id and text are ignored.
+    no rows. Very long texts are cut. Columns other than doc_id and text are ignored, whatever their names.
     """
     import public_tokenizers
 
-    ranks_path, pattern = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    tokenizer_path, pattern = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     names = [field.split()[0] for field in SCHEMA.split(", ")]
 
     def run(batches):
@@ -162,7 +177,7 @@ def pack(docs: DataFrame, window: int = 1024, tiers: int = 4, ranks_path: str |
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = load_encoder(ranks_path, pattern)
+        encode = load_encoder(tokenizer_path, pattern)
         packer = TierPacker(window, tiers, first=TaskContext.get().partitionId() << 40)
         types = [pa.int32() if name == "tier" else pa.int64() for name in names]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ SPELT = re.compile(r"(?<!\S)\S{1,64}[^\S\n]+at[^\S\n]+(?:\S{1,64}(?:[^\S\n]+dot[
 AT = re.compile(r"@|[\[({]at[\])}]", re.IGNORECASE)
 #: No e-mail address is longer.
 LONGEST = 254
+#: A secret is a long string that a text assigns to a name for such.
+SECRET = re.compile(r"(?<![A-Za-z])(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?[^\S\n]{0,8}[:=][^\S\n]{0,8}[\"']?([A-Za-z0-9+/_.=-]{16,512})", re.IGNORECASE)
 OPEN, CLOSE = "([{<\"'", ".,;:!?)]}>\"'"
-DOC_SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, mentions array<struct<kind:int,start:int,end:int,value:string,seed:boolean,slot:boolean,contexts:array<string>>>"
+DOC_SCHEMA = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base array<struct<start:int,kind:int,end:int>>, base_sha256 string, mentions array<struct<kind:int,start:int,end:int,value:binary,seed:boolean,slot:boolean,contexts:array<binary>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -144,14 +147,36 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def overlapping(spans: list[tuple], taken: list[tuple[int, int]]) -> list[bool]:
+    """For each of the spans (start, ..., end), sorted, whether it overlaps one of the sorted, disjoint spans in taken."""
+    out, i = [], 0
+    for start, *_, end in spans:
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        out.append(i < len(taken) and taken[i][0] < end)
+    return out
+
+
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones merged."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def mentions(text: str) -> tuple[list, str, list]:
     """Base spans, the hash of their list, and all mentions that contexts may speak for: seeds and candidates."""
     good, failed = base_spans(text)
     said = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in good)
     found = [(k, s, e, text[s:e].lower(), True, False, contexts(text, s, e)) for s, k, e in good]
-    free, taken = 0, [(s, e) for s, _, e in good]
-    for s, k, e in sorted(failed + loose_spans(text)):
-        if s >= free and not any(s < y and x < e for x, y in taken):
+    free, taken = 0, apart([(s, e) for s, _, e in good])
+    loose = sorted(failed + loose_spans(text))
+    for (s, k, e), over in zip(loose, overlapping(loose, taken)):
+        if s >= free and not over:
             found.append((k, s, e, text[s:e].lower(), False, False, contexts(text, s, e)))
             free = e
     known = {(k, s, e) for k, s, e, *_ in found}
@@ -162,7 +187,12 @@ def mentions(text: str) -> tuple[list, str, list]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row (DOC_SCHEMA) per document."""
+    """A row (DOC_SCHEMA) per document.
+
+    Identifiers and the words around them leave the worker only as hashes under a key of this run, which isn't kept,
+    so what is stored on the way tells nobody's data.
+    """
+    key = secrets.token_bytes(32)
 
     def run(batches):
         import pyarrow as pa
@@ -170,15 +200,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        said = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("contexts", pa.list_(pa.string()))]))
-        types = [pa.int64()] * 6 + [span, pa.string(), said]
-        names = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "mentions"]
+        said = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary()), ("seed", pa.bool_()), ("slot", pa.bool_()), ("contexts", pa.list_(pa.binary()))]))
+        types = [pa.int64()] * 7 + [span, pa.string(), said]
+        names = [field.split()[0] for field in DOC_SCHEMA.split(", ")]
+        hidden = lambda x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                good, sha, found = mentions(text.as_py() or "")
-                n = [sum(k == i for _, k, _ in good) for i in range(4)]
-                rows.append((row, doc, *n, [dict(zip(("start", "kind", "end"), g)) for g in good], sha, [dict(zip(("kind", "start", "end", "value", "seed", "slot", "contexts"), m)) for m in found]))
+                text = text.as_py() or ""
+                good, sha, found = mentions(text)
+                n = [sum(k == i for _, k, _ in good) for i in range(4)] + [len(SECRET.findall(text))]
+                told = [{"kind": k, "start": s, "end": e, "value": hidden(v), "seed": seed, "slot": slot, "contexts": [hidden(c) for c in around]} for k, s, e, v, seed, slot, around in found]
+                rows.append((row, doc, *n, [dict(zip(("start", "kind", "end"), g)) for g in good], sha, told))
                 row += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -216,7 +249,8 @@ def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: float = 3.0) -> DataFrame:
-    """doc_id, the numbers of base spans by kind, base_sha256, spans and n_found (spans that contexts added) per row.
+    """doc_id, the numbers of base spans by kind, base_sha256, spans, n_found (spans that contexts added), n_secret
+    (strings assigned to names for tokens, keys and passwords) and n_private (all of these together) per row.
 
     Base spans are those of the four rules. They are seeds: the words around them make patterns, and candidates -
     matches that failed a rule's check, looser shapes, and whatever has the signs of slot_spans() - are added where
@@ -225,7 +259,8 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8
     span the kind of the best score.
     Null text: as an empty one, no spans. Null doc_id: kept. Equal rows have equal results each; an empty table gives
     an empty table. Columns other than doc_id and text are ignored.
-    Whole texts are scanned once; only mentions with their few words around are stored and grouped.
+    Whole texts are scanned once, in linear time; only mentions with their few words around are stored, as keyed
+    hashes, and grouped.
     """
     seen = materialize(scan(docs), "pii-scan")
     said = seen.select(F.inline("mentions")).select("kind", "value", "seed", F.explode("contexts").alias("pattern"))
@@ -236,12 +271,14 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8
     every = spoken.where("not slot").select(*place).union(here)
     added = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("score")).alias("rank"), "start", "kind", "end"))).alias("_found"))
 
-    def apart(kept, x):
+    def longest_apart(kept, x):
         return F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.array_append(kept, F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
-    added = added.select("row", F.aggregate("_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"), apart).alias("_added"))
+    added = added.select("row", F.aggregate("_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"), longest_apart).alias("_added"))
     names = F.array(*[F.lit(k) for k in KINDS])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     every = F.array_sort(F.concat("base", F.coalesce("_added", none)))
     spans = F.array_join(F.transform(every, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-    return seen.join(added, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.coalesce(F.size("_added"), F.lit(0)).cast("long").alias("n_found"))
+    n_found = F.when(F.col("_added").isNull(), F.lit(0)).otherwise(F.size("_added")).cast("long")
+    n_private = F.size(every).cast("long") + F.col("n_secret")
+    return seen.join(added, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), n_found.alias("n_found"), "n_secret", n_private.alias("n_private"))

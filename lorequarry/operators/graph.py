@@ -13,9 +13,10 @@ from ..functions import text
 MAX_DEPTH = 5
 
 
-def extract(rows: DataFrame, id: str, content: str = "content") -> DataFrame:
-    """(id, at, name, kind): entity mentions of a row, in the order of extraction."""
-    found = rows.select(F.col(id).alias("id"), F.posexplode(text.entities(F.col(content))).alias("at", "e"))
+def extract(rows: DataFrame, id: str, content: str = "content", extended: bool = False) -> DataFrame:
+    """(id, at, name, kind): entity mentions of a row, in the order of extraction; extended: by all rules."""
+    rule = text.extended_entities if extended else text.entities
+    found = rows.select(F.col(id).alias("id"), F.posexplode(rule(F.col(content))).alias("at", "e"))
     return found.select("id", "at", F.col("e.name").alias("name"), F.col("e.kind").alias("kind"))
 
 
@@ -41,6 +42,18 @@ def upsert(entities: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select("entity_id", F.col("e.name").alias("name"), F.col("e.kind").alias("kind"), F.col("d.description").alias("description"))
 
 
+def part_of(rows: DataFrame, id: str, content: str = "content") -> DataFrame:
+    """(src, dst, relation): each Markdown heading is part of the nearest one before it in its text that has a lower level."""
+    heads = rows.select(F.col(id).alias("id"), F.posexplode(text.headings(F.col(content))).alias("at", "h")).select("id", "at", F.col("h.level").alias("level"), text.clean_name(F.col("h.name")).alias("name"))
+    before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("level") == k, F.struct("at", "name"))).over(before) for k in range(1, 6)]
+    for k, column in enumerate(last, 1):
+        heads = heads.withColumn(f"l{k}", column)
+    above = F.greatest(*[F.when(F.col("level") > k, F.col(f"l{k}")) for k in range(1, 6)])
+    found = heads.select(F.col("name").alias("src"), above["name"].alias("dst"))
+    return found.where("dst is not null and src <> dst and src <> '' and dst <> ''").distinct().select("src", "dst", F.lit("part-of").alias("relation"))
+
+
 def link(edges: DataFrame, src: str, dst: str, relation: str, weight: float = 1.0) -> DataFrame:
     """One edge more; equal ones may repeat."""
     row = edges.sparkSession.range(1).select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(relation).alias("relation"), F.lit(float(weight)).alias("weight"))
@@ -68,7 +81,8 @@ def bfs(starts: DataFrame, edges: DataFrame, depth: int = 1, relation: str | Non
     """(start, node, depth, parent) of all nodes within depth hops of starts (start, node, depth), along edges src to dst.
 
     Breadth first: a node has its least depth, and of several ways there the least parent. Starts are part of the
-    result. A hop is one equi join, and what was visited is anti-joined.
+    result. A hop is one equi join, and what was visited is anti-joined. Each level is stored before the next one is
+    made from it, so the plan of a hop doesn't hold those before. More hops than MAX_DEPTH are as many as that.
     """
     depth = min(depth, MAX_DEPTH)
     way = edges if relation is None else edges.where(F.col("relation") == relation)
@@ -79,17 +93,31 @@ def bfs(starts: DataFrame, edges: DataFrame, depth: int = 1, relation: str | Non
         step = level.where(F.col("depth") == d - 1).select("start", F.col("node").alias("src")).join(way, "src")
         new = step.groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("parent")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
         level = new.select("start", "node", F.lit(d).alias("depth"), "parent")
+        if d < depth:
+            level = stored(level)
         seen = seen.unionByName(level)
     return seen
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a checkpoint in the folder that the cluster names, which survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    return df.checkpoint()
+
+
 def traverse(start: str, documents: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, edges: DataFrame, relation: str | None = None, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, kind, depth) and edges (from, to, relation) around a document or an entity.
 
-    A document's neighbours are the entities that its chunks mention; depth 0 is the start alone. At most `limit`
-    nodes besides the start, nearest first, then by id.
+    A document's neighbours are the entities that its chunks mention; depth 0 is the start alone. An entity is the one
+    of that id, or else of that name. At most `limit` nodes besides the start, nearest first, then by id.
     """
     kind, key = parse_start(start)
+    if kind == "entity":
+        name = start.partition(":")[2] if ":" in start else start
+        own = entities.where((F.col("entity_id") == key) | (F.col("name") == name)).orderBy(F.col("entity_id") != key, "entity_id").first()
+        key = own["entity_id"] if own else key
     spark = entities.sparkSession
     depth = min(depth, MAX_DEPTH)
     if kind == "document":
@@ -117,25 +145,27 @@ def traverse(start: str, documents: DataFrame, chunks: DataFrame, entities: Data
 
 
 def expand_hits(hits: DataFrame, mentions: DataFrame, max_expand: int, first: int = 3) -> DataFrame:
-    """(query_id, id, score) of chunks that share entities with the first hits (query_id, id, rank), and are no hits.
+    """(query_id, id, score, matched) of chunks that share entities with the first hits (query_id, id, rank), and are no hits.
 
     At most max_expand chunks for each entity, by id, then max_expand in all for a query; each chunk once, score 1.
+    matched: the entities by which it came, sorted. Of an entity with very many chunks each task keeps max_expand
+    before anything is shuffled. Sides are broadcast where Spark finds them small.
     """
     seeds = hits.where(F.col("rank") <= first).select("query_id", F.col("id").alias("chunk_id"))
     entities = seeds.join(mentions, "chunk_id").select("query_id", "entity_id").distinct()
-    near = mentions.select("entity_id", F.col("chunk_id").alias("id")).join(F.broadcast(entities), "entity_id")
+    near = mentions.select("entity_id", F.col("chunk_id").alias("id")).join(entities, "entity_id")
     per = Window.partitionBy("query_id", "entity_id").orderBy("id")
     held = near.withColumn("n", F.row_number().over(per)).where(F.col("n") <= max_expand)
-    new = held.select("query_id", "id").distinct().join(F.broadcast(hits.select("query_id", "id")), ["query_id", "id"], "left_anti")
+    new = held.groupBy("query_id", "id").agg(F.sort_array(F.collect_set("entity_id")).alias("matched")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
     best = Window.partitionBy("query_id").orderBy("id")
-    return new.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_expand).select("query_id", "id", F.lit(1.0).alias("score"))
+    return new.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_expand).select("query_id", "id", F.lit(1.0).alias("score"), "matched")
 
 
 def appended(hits: DataFrame, more: DataFrame) -> DataFrame:
     """hits (query_id, id, score, rank) and then more, whose ranks go on after them."""
     last = hits.groupBy("query_id").agg(F.max("rank").alias("last"))
     order = Window.partitionBy("query_id").orderBy("id")
-    ranked = more.withColumn("n", F.row_number().over(order)).join(F.broadcast(last), "query_id", "left")
+    ranked = more.withColumn("n", F.row_number().over(order)).join(last, "query_id", "left")
     return hits.select("query_id", "id", "score", "rank").unionByName(ranked.select("query_id", "id", "score", (F.coalesce("last", F.lit(0)) + F.col("n")).alias("rank")))
 
 

@@ -25,7 +25,7 @@ class Index:
 
 def postings(rows: DataFrame, id: str, content: str) -> DataFrame:
     """(term, id, tf, length) for each different term of a row. Counted within the row, so nothing is shuffled."""
-    terms = rows.select(F.col(id).alias("id"), F.array_sort(text.analyzed(F.col(content))).alias("all"))
+    terms = rows.select(F.col(id).alias("id"), F.sort_array(text.analyzed(F.col(content))).alias("all"))
     ends = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i == F.size("all")) | (F.get("all", i - 1) != F.get("all", i)))
     held = terms.where(F.size("all") > 0).withColumn("ends", ends)
     runs = F.transform("ends", lambda e, i: F.struct(F.get("all", e - 1).alias("term"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("tf")))
@@ -44,25 +44,53 @@ def bm25(tf: Column, df: Column, length: Column, n: Column, average: Column, k1:
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def keyword_scores(rows: DataFrame, queries: DataFrame, id: str = "chunk_id", content: str = "content", k1: float = 1.2, b: float = 0.75, match_all: bool = True) -> DataFrame:
-    """(query_id, id, score) of all rows that match a query of queries (query_id, term): all its terms, or any.
-
-    Rows that hold no query term are dropped where they are read, so what is shuffled is as large as the matches, not
-    as the text. The queries' terms are broadcast, at most MAX_TERMS of them.
-    """
+def check_terms(queries: DataFrame) -> DataFrame:
+    """The different (query_id, term) of queries, if there aren't too many to be broadcast."""
     wanted = queries.select("query_id", "term").distinct()
     if wanted.limit(MAX_TERMS + 1).count() > MAX_TERMS:
         raise KnowledgeError("E_VALIDATION", f"more than {MAX_TERMS} query terms at once")
-    terms = wanted.select("term").distinct()
-    counted = rows.select(F.col(id).alias("id"), text.analyzed(F.col(content)).alias("all"))
-    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("all")).alias("average"))
-    kept = counted.select("id", F.size("all").cast("long").alias("length"), F.explode("all").alias("term")).join(F.broadcast(terms), "term")
-    hits = kept.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return wanted
+
+
+def scored(hits: DataFrame, totals: DataFrame, wanted: DataFrame, k1: float = 1.2, b: float = 0.75, match_all: bool = True) -> DataFrame:
+    """(query_id, id, score) from hits (term, id, tf, length), all of the postings of the terms of wanted."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     of_query = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).join(F.broadcast(wanted), "term")
+    joined = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).join(F.broadcast(wanted), "term")
     score = bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("average"), k1, b)
-    summed = scored.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matched"))
+    summed = joined.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matched"))
     if match_all:
         summed = summed.join(F.broadcast(of_query), "query_id").where("matched = terms")
     return summed.select("query_id", "id", "score")
+
+
+def keyword_scores(rows: DataFrame, queries: DataFrame, id: str = "chunk_id", content: str = "content", k1: float = 1.2, b: float = 0.75, match_all: bool = True) -> DataFrame:
+    """(query_id, id, score) of all rows that match a query of queries (query_id, term): all its terms, or any.
+
+    For rows without an index: they are read and analysed. Rows that hold no query term are dropped where they are
+    read, so what is shuffled is as large as the matches, not as the text. A row's frequencies are counted within it.
+    The queries' terms are broadcast, at most MAX_TERMS of them.
+    """
+    wanted = check_terms(queries)
+    counted = rows.select(F.col(id).alias("id"), text.analyzed(F.col(content)).alias("all"))
+    totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("all")).alias("average"))
+    terms = F.broadcast(wanted.select("term").distinct())
+    kept = counted.select("id", F.size("all").cast("long").alias("length"), F.explode("all").alias("term")).join(terms, "term")
+    hits = kept.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return scored(hits, totals, wanted, k1, b, match_all)
+
+
+#: A search for so many terms at most names them in the scan, which then skips what can't hold them.
+NAMED_TERMS = 2_000
+
+
+def stored_scores(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, match_all: bool = True) -> DataFrame:
+    """(query_id, id, score) as keyword_scores() gives them, from stored postings (term, chunk_id, tf, length) and the
+    lengths (terms) of all rows. No text is read, and of the postings only those parts that may hold a term."""
+    wanted = check_terms(queries)
+    terms = wanted.select("term").distinct()
+    named = [r["term"] for r in terms.limit(NAMED_TERMS + 1).collect()]
+    held = posted.where(F.col("term").isin(named)) if len(named) <= NAMED_TERMS else posted.join(F.broadcast(terms), "term")
+    hits = held.select("term", F.col("chunk_id").alias("id"), "tf", "length")
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("terms").alias("average"))
+    return scored(hits, totals, wanted, k1, b, match_all)

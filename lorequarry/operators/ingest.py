@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.embedders import Embedder, Tokenizer
-from . import graph
+from . import graph, index
 
 
 def first_of_each(documents: DataFrame, order: str) -> DataFrame:
@@ -35,9 +36,20 @@ def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return chunks.withColumn("embedding", embedder.embed(F.col("content"), F.col("idx")))
 
 
-def entities_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def indexed(chunks: DataFrame) -> DataFrame:
+    """chunks with their number of index terms."""
+    return chunks.withColumn("terms", F.size(text.analyzed(F.col("content"))).cast("long"))
+
+
+def posted(chunks: DataFrame) -> DataFrame:
+    """Rows of the table posting."""
+    made = index.postings(chunks, "chunk_id", "content")
+    return made.select("term", F.col("id").alias("chunk_id"), F.regexp_replace("id", "#[0-9]+$", "").alias("document_id"), "tf", "length")
+
+
+def entities_of(chunks: DataFrame, extended: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows of entity and of mentions that the chunks make."""
-    found = graph.extract(chunks, "chunk_id")
+    found = graph.extract(chunks, "chunk_id", extended=extended)
     return graph.entity_rows(found), graph.mention_edges(found)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Chunking, Config, Embedding, Storage
+from ..engine import KnowledgeBase
 from ..functions import text
 from ..functions.embedders import WhitespaceTokenizer
 from ..operators import ingest
@@ -42,6 +46,20 @@ def with_vectors(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(v, "doc_id").withColumnRenamed("doc_id", "id")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or in the warehouse where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def knowledge_base(spark: SparkSession, d: str) -> KnowledgeBase:
+    """A new knowledge base of all documents, in one upload."""
+    base = KnowledgeBase(spark, Config(storage=Storage(path=scratch(spark)), embedding=Embedding(onnx_path="mock", dimension=8), chunking=Chunking(MAX_TOKENS, OVERLAP)))
+    docs = documents(spark, d)
+    base.upload_rows(docs.select(F.col("sha256").alias("document_id"), "title", "source", "source_type", "mime", "sha256", "content", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), "created_at", "updated_at"))
+    return base
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, relation): languages to sources, sources to their first document, and each document to the next."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")

@@ -71,6 +71,7 @@ def _mime(name: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    _once = "once AS (SELECT sha256(text) AS sha256, any_value(text) AS text, arg_min(source, doc_id) AS source FROM documents GROUP BY sha256(text))"
     entity = f"SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM f WHERE kind = '{{}}' GROUP BY name"
     clean = r"regexp_replace(name, '[⟨⟩\\'']', '', 'g')"
     return {
@@ -97,6 +98,22 @@ FROM documents LEFT JOIN c ON id = doc_id ORDER BY title DESC, document_id LIMIT
 SELECT id AS doc_id, 'Doc ' || id AS title, string_agg(idx || ':' || token_count || ':' || md5(content), ',' ORDER BY idx) AS chunk_list FROM chunk GROUP BY id""",
         "delete_cascade": f"""WITH {_chunks("documents", "doc_id", "text")}, c AS (SELECT id, count(*) AS n FROM chunk GROUP BY id)
 SELECT doc_id, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN c ON id = doc_id WHERE source <> 'src0'""",
+        "delete_mentions": f"WITH {MENTIONS} SELECT DISTINCT doc_id, {clean} AS entity_id FROM f JOIN documents USING (doc_id) WHERE source <> 'src0'",
+        "graph_traverse_limit": f"""WITH RECURSIVE {EDGES}, r AS (SELECT 'en' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN edge ON src = node WHERE depth < 3),
+m AS (SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node),
+k AS (SELECT * FROM m WHERE depth > 0 ORDER BY depth, node LIMIT 25)
+SELECT 'entity:' || node AS id, node AS name, 'node' AS kind, depth FROM (SELECT * FROM k UNION ALL SELECT * FROM m WHERE depth = 0)""",
+        "graph_link": f"""WITH {EDGES}, w AS (SELECT src, relation, 1.0::DOUBLE AS weight FROM edge UNION ALL SELECT 'en', 'has', 0.5 UNION ALL SELECT 'en', 'has', 1.0)
+SELECT src, relation, count(*) AS n, sum(weight) AS weight FROM w GROUP BY ALL""",
+        "part_of_edges": "SELECT DISTINCT 'Lang ' || lang AS src, 'Doc ' || doc_id AS dst, 'part-of' AS relation FROM documents",
+        "extended_entities": f"""WITH {MENTIONS}, x AS (SELECT doc_id, name, kind FROM f UNION SELECT doc_id, source, 'reference' FROM documents
+  UNION SELECT doc_id, 'news', 'tag' FROM documents UNION SELECT doc_id, lang, 'tag' FROM documents UNION SELECT doc_id, 'Text ' || doc_id, 'alias' FROM documents)
+SELECT name, kind, count(*) AS n FROM x GROUP BY ALL""",
+        "kb_keyword": f"""WITH {_once}, {_chunks("once", "sha256", "text")}, c AS (SELECT id || '#' || idx AS id, content FROM chunk),
+{_bm25(PROBE, "c", "id", "content")} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 10""",
+        "kb_reindex": f"WITH {_once}, {_chunks('once', 'sha256', 'text', 64, 8)} SELECT id AS sha256, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM chunk GROUP BY id",
+        "kb_delete": rf"""WITH {_once}, {_chunks("once", "sha256", "text")}
+SELECT sha256, count(*) AS n_chunks, coalesce(sum(len(regexp_extract_all(lower(content), '\p{{L}}+|\p{{N}}+'))), 0)::BIGINT AS terms FROM chunk JOIN once ON sha256 = id WHERE source <> 'src1' GROUP BY sha256""",
         "force_replace": """WITH s AS (SELECT doc_id, sha256(text) AS sha256 FROM documents), n AS (SELECT min(doc_id) AS doc_id, sha256 FROM s WHERE doc_id % 3 = 0 GROUP BY sha256)
 SELECT doc_id, sha256, 'old' AS version FROM s WHERE sha256 NOT IN (SELECT sha256 FROM n) UNION ALL SELECT doc_id, sha256, 'new' FROM n""",
         "new_documents": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0')",

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Chunking
+from ..engine import KnowledgeBase
 from ..functions import text, vectors
 from ..functions.embedders import FileTokenizer, HashingEmbedder, MockEmbedder
 from ..operators import documents as manage
@@ -86,6 +89,16 @@ def delete_cascade(spark, d):
     return left.join(counts, "document_id", "left").select("doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
+def delete_mentions(spark, d):
+    """The mentions that are left when documents go; a document is one chunk here."""
+    md = fixtures.markdown(spark, d).withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("#0")))
+    docs = md.select(F.col("doc_id").cast("string").alias("document_id"), "source")
+    chunks = md.select("chunk_id", F.col("doc_id").cast("string").alias("document_id"))
+    mentions = graph.mention_edges(graph.extract(md, "chunk_id", "md"))
+    _, _, left = manage.without(docs, chunks, mentions, docs.where(F.col("source") == "src0"))
+    return left.select(F.regexp_replace("chunk_id", "#0$", "").cast("long").alias("doc_id"), "entity_id")
+
+
 def force_replace(spark, d):
     docs = fixtures.documents(spark, d).select("doc_id", "sha256", F.lit("old").alias("version"))
     new = ingest.first_of_each(docs.where(F.col("doc_id") % 3 == 0), "doc_id").withColumn("version", F.lit("new"))
@@ -210,6 +223,58 @@ def graph_bfs_relation(spark, d):
     return graph.bfs(starts, fixtures.edges(spark, d), 2, "next").select("start", "node", F.col("depth").cast("long").alias("depth"), "parent")
 
 
+def graph_traverse_limit(spark, d):
+    """The 25 nodes nearest to a language, and the language."""
+    edges = fixtures.edges(spark, d)
+    names = edges.select("src").union(edges.select("dst")).distinct()
+    entities = names.select(F.col("src").alias("entity_id"), F.col("src").alias("name"), F.lit("node").alias("kind"), F.lit(None).cast("string").alias("description"))
+    none = spark.createDataFrame([], "document_id string, title string"), spark.createDataFrame([], "chunk_id string, document_id string"), spark.createDataFrame([], "chunk_id string, entity_id string")
+    nodes, _ = graph.traverse("entity:en", none[0], none[1], entities, none[2], edges, depth=3, limit=25)
+    return nodes.select("id", "name", "kind", F.col("depth").cast("long").alias("depth"))
+
+
+def graph_link(spark, d):
+    edges = fixtures.edges(spark, d).withColumn("weight", F.lit(1.0))
+    more = graph.link(graph.link(edges, "en", "src0", "has", 0.5), "en", "src0", "has")
+    return more.groupBy("src", "relation").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+def part_of_edges(spark, d):
+    return graph.part_of(fixtures.markdown(spark, d), "doc_id", "md")
+
+
+def extended_entities(spark, d):
+    """Wiki links and front matter as well."""
+    md = fixtures.markdown(spark, d)
+    front = F.concat(F.lit("---\ntags: [news, '"), "lang", F.lit("']\naliases:\n  - Text "), F.col("doc_id").cast("string"), F.lit("\n---\nSee [["), "source", F.lit("|shown]].\n"), "md")
+    found = graph.extract(md.withColumn("md", front), "doc_id", "md", extended=True)
+    return found.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kb_keyword(spark, d):
+    """Search of a knowledge base's stored postings."""
+    hits = fixtures.knowledge_base(spark, d).search(" ".join(TERMS), mode="keyword", top_k=10)
+    return hits.select(F.col("chunk_id").alias("id"), "score", "rank")
+
+
+def kb_reindex(spark, d):
+    """The chunks of a knowledge base that was filled with one window and indexed anew with another."""
+    base = fixtures.knowledge_base(spark, d)
+    other = KnowledgeBase(spark, replace(base.config, chunking=Chunking(64, 8)))
+    other.reindex()
+    return other.table("chunk").groupBy(F.col("document_id").alias("sha256")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
+
+
+def kb_delete(spark, d):
+    """What is left of a knowledge base once the documents of one source are deleted."""
+    base = fixtures.knowledge_base(spark, d)
+    gone = base.table("document").where("source = 'src1'").select("document_id")
+    base.store.commit(deleted=gone)
+    chunks = base.table("chunk").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    terms = base.table("posting").groupBy("document_id").agg(F.sum("tf").alias("terms"))
+    return base.table("document").join(chunks, "document_id").join(terms, "document_id", "left").select("sha256", "n_chunks", F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
 def graph_expand_hits(spark, d):
     mentions = graph.mention_edges(graph.extract(fixtures.markdown(spark, d), "doc_id", "md"))
     hits = search.keyword_search(table(spark, d, "documents"), _terms(spark, {0: TERMS, 1: ("the", "and")}), 5, id="doc_id", content="text")
@@ -260,7 +325,8 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     list_title_page, get_with_chunks, delete_cascade, force_replace, new_documents, mock_embeddings, l2_normalize, vector_topk, vector_topk_batch,
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
-    conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk,
+    conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
+    extended_entities, kb_keyword, kb_reindex, kb_delete,
 ]
 
 

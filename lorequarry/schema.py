@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from .errors import KnowledgeError
 
-SCHEMA_VERSION = "1"
+SCHEMA_VERSION = "2"
 
 TABLES = {
     "document": "document_id string, title string, source string, source_type string, mime string, sha256 string, content string, tags array<string>, metadata map<string,string>, created_at timestamp, updated_at timestamp",
-    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>",
+    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>, terms long",
     "entity": "entity_id string, name string, kind string, description string",
     "mentions": "chunk_id string, entity_id string",
     "related_to": "src string, dst string, relation string, weight double",
     "meta": "key string, meta_value string",
+    "posting": "term string, chunk_id string, document_id string, tf long, length long",
+    "failure": "source string, error string, failed_at timestamp",
 }
+#: Tables whose rows go when their document goes, and how a row tells its document.
+OWNED = {"document": "document_id", "chunk": "document_id", "mentions": "regexp_replace(chunk_id, '#[0-9]+$', '')", "posting": "document_id"}
 #: Fixed values.
 SOURCE_TYPES = ["file", "url", "text", "stdin"]
 FILTER_FIELDS = ["title", "source", "source_type", "mime", "sha256"]

@@ -1,8 +1,11 @@
-"""Sources: files, folders, URLs, inline and base64 text as rows (title, source, source_type, raw, file_title)."""
+"""Sources: files, folders, URLs, inline and base64 text as rows (title, source, source_type, raw, file_title, error).
+
+A source that can't be taken has no raw text, but an error: its code and message. raised() makes that an exception.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 from urllib.parse import urlsplit
 
@@ -13,7 +16,9 @@ from ..config import Config
 from ..errors import KnowledgeError
 from ..functions import text
 
-SCHEMA = "title string, source string, source_type string, raw string, file_title string"
+SCHEMA = "title string, source string, source_type string, raw string, file_title string, error string"
+#: Readers of formats that aren't text, by the ending of the name: functions from bytes to text, run on the executors.
+READERS: dict[str, Callable[[bytes], str]] = {}
 
 
 def check_allowed(path: str, config: Config) -> None:
@@ -29,34 +34,66 @@ def check_allowed(path: str, config: Config) -> None:
         raise KnowledgeError("E_VALIDATION", f"path not in allowed directories: {real}")
 
 
+def taken(files: DataFrame, config: Config, title: str | None = None) -> DataFrame:
+    """Rows of SCHEMA of files (path, length, content). Larger ones than upload.max_file_mb, PDFs without a reader in
+    READERS, and invalid UTF-8 have errors."""
+    limit = config.upload.max_file_mb << 20
+    path = F.regexp_replace("path", r"^file:(//)?(?=/)", "")
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    read = files.withColumn("_text", F.col("content").cast("string")).withColumn("_failed", F.lit(None).cast("string"))
+    for ending, reader in READERS.items():
+        read = _read_by(read, ending, reader)
+    known = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*READERS) if READERS else F.lit(False)
+    error = (
+        F.when(F.col("length") > limit, F.concat(F.lit("E_VALIDATION: file exceeds max file size: "), path))
+        .when(F.lower("path").endswith(".pdf") & ~known, F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), path))
+        .when(F.col("_failed").isNotNull(), F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), path, F.lit(": "), F.col("_failed")))
+        .when(~F.is_valid_utf8(F.col("_text")), F.concat(F.lit("E_IO: not UTF-8: "), path))
+    )
+    rows = read.select(F.coalesce(F.lit(title), name).alias("title"), path.alias("source"), F.lit("file").alias("source_type"), F.col("_text").alias("raw"), name.alias("file_title"), error.alias("error"))
+    return rows.withColumn("raw", F.when(F.col("error").isNull(), F.col("raw")))
+
+
+def _read_by(files: DataFrame, ending: str, reader: Callable[[bytes], str]) -> DataFrame:
+    @F.pandas_udf("text string, failed string")
+    def run(contents):
+        import pandas as pd
+
+        out = []
+        for data in contents:
+            try:
+                out.append((None if data is None else reader(bytes(data)), None))
+            except Exception as e:
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["text", "failed"])
+
+    mine = F.lower("path").endswith(f".{ending}")
+    made = files.withColumn("_made", run(F.when(mine, F.col("content"))))
+    return made.withColumn("_text", F.when(mine, F.col("_made.text")).otherwise(F.col("_text"))).withColumn("_failed", F.when(mine, F.col("_made.failed")).otherwise(F.col("_failed"))).drop("_made")
+
+
+def raised(rows: DataFrame) -> DataFrame:
+    """rows, such that reading one with an error raises it."""
+    return rows.withColumn("raw", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("raw"))).drop("error")
+
+
 def from_files(spark: SparkSession, paths: str | Sequence[str], config: Config, recursive: bool = False, title: str | None = None) -> DataFrame:
-    """Whole text files: paths, globs, or folders. Larger files than upload.max_file_mb, and invalid UTF-8, are errors."""
+    """Whole text files: paths, globs, or folders. A path that isn't there, or isn't allowed, is an exception."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         check_allowed(p.removeprefix("file://"), config)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(paths)
-    limit = config.upload.max_file_mb << 20
-    path = F.regexp_replace("path", r"^file:(//)?(?=/)", "")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    pdf = F.lower("path").endswith(".pdf")
-    checked = (
-        F.when(F.col("length") > limit, F.raise_error(F.concat(F.lit("E_VALIDATION: file exceeds max file size: "), "path")))
-        .when(pdf, F.raise_error(F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), "path")))
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), F.raise_error(F.concat(F.lit("E_IO: not UTF-8: "), "path")))
-        .otherwise(F.col("content").cast("string"))
-    )
-    return files.select(F.coalesce(F.lit(title), name).alias("title"), path.alias("source"), F.lit("file").alias("source_type"), checked.alias("raw"), name.alias("file_title"))
+    return taken(reader.load(paths), config, title)
 
 
 def from_text(spark: SparkSession, contents: Sequence[str], title: str | None = None) -> DataFrame:
-    return spark.createDataFrame([(title or "inline", "inline", "text", c, "inline") for c in contents], SCHEMA)
+    return spark.createDataFrame([(title or "inline", "inline", "text", c, "inline", None) for c in contents], SCHEMA)
 
 
 def from_base64(spark: SparkSession, encoded: Sequence[str], title: str | None = None) -> DataFrame:
-    rows = spark.createDataFrame([(title or "base64", "base64", "text", c, "base64") for c in encoded], SCHEMA)
-    decoded = text.decode_base64(F.col("raw"))
-    return rows.withColumn("raw", F.coalesce(decoded, F.raise_error(F.lit("E_VALIDATION: base64 of UTF-8 text expected"))))
+    rows = spark.createDataFrame([(title or "base64", "base64", "text", c, "base64", None) for c in encoded], SCHEMA)
+    rows = rows.withColumn("raw", text.decode_base64(F.col("raw")))
+    return rows.withColumn("error", F.when(F.col("raw").isNull(), F.lit("E_VALIDATION: base64 of UTF-8 text expected")))
 
 
 def from_urls(spark: SparkSession, urls: Sequence[str], config: Config, timeout: float = 30.0) -> DataFrame:
@@ -66,22 +103,26 @@ def from_urls(spark: SparkSession, urls: Sequence[str], config: Config, timeout:
             raise KnowledgeError("E_VALIDATION", f"not an http(s) URL: {u}")
     limit = config.upload.max_file_mb << 20
 
-    def fetch(batches):
+    def one(url: str) -> tuple[str | None, str | None]:
         import urllib.request
 
+        try:
+            with urllib.request.urlopen(url, timeout=timeout) as answer:
+                data = answer.read(limit + 1)
+                if len(data) > limit:
+                    return None, f"E_VALIDATION: response exceeds max file size: {url}"
+                if url.lower().endswith(".pdf") or "application/pdf" in answer.headers.get("content-type", ""):
+                    return None, f"E_UNSUPPORTED_FORMAT: {url}"
+                return data.decode("utf-8"), None
+        except (OSError, ValueError) as e:
+            return None, f"E_IO: {url}: {e}"
+
+    def fetch(batches):
         for batch in batches:
-            raw = []
-            for url in batch["source"]:
-                with urllib.request.urlopen(url, timeout=timeout) as answer:
-                    data = answer.read(limit + 1)
-                    if len(data) > limit:
-                        raise ValueError(f"E_VALIDATION: response exceeds max file size: {url}")
-                    if url.lower().endswith(".pdf") or "application/pdf" in answer.headers.get("content-type", ""):
-                        raise ValueError(f"E_UNSUPPORTED_FORMAT: {url}")
-                    raw.append(data.decode("utf-8"))
-            yield batch.assign(raw=raw)
-
-    rows = spark.createDataFrame([(u, u, "url", "", u) for u in urls], SCHEMA)
+            got = [one(u) for u in batch["source"]]
+            yield batch.assign(raw=[x for x, _ in got], error=[x for _, x in got])
+
+    rows = spark.createDataFrame([(u, u, "url", "", u, None) for u in urls], SCHEMA)
     return rows.repartition(max(1, len(urls))).mapInPandas(fetch, SCHEMA)
 
 
@@ -101,7 +142,7 @@ def from_request(spark: SparkSession, config: Config, path=None, url=None, conte
 
 
 def extracted(rows: DataFrame, tags: Sequence[str] = (), metadata: dict[str, str] | None = None) -> DataFrame:
-    """Rows of the table document, without an order: text extracted, hashed and typed."""
+    """Rows of the table document, without an order: text extracted, hashed and typed; and error, where rows have one."""
     content = text.extract_text(F.col("raw"), F.col("source"))
     meta = F.create_map(*[F.lit(x) for kv in (metadata or {}).items() for x in kv]).cast("map<string,string>")
     typed = rows.withColumn("content", content).withColumn("sha256", text.content_hash(F.col("content")))
@@ -109,5 +150,5 @@ def extracted(rows: DataFrame, tags: Sequence[str] = (), metadata: dict[str, str
         F.col("sha256").alias("document_id"), "title", "source", "source_type",
         text.mime_type(F.col("source"), F.col("title"), F.col("file_title")).alias("mime"),
         "sha256", "content", F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"), meta.alias("metadata"),
-        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), *(["error"] if "error" in rows.columns else []),
     )

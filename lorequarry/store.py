@@ -1,85 +1,178 @@
-"""Tables as immutable snapshots, and a pointer file that is replaced in one step: a commit changes all its tables or none."""
+"""Tables as appended parts, and a log of commits: a commit changes all its tables or none, and rewrites no old row."""
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import KnowledgeError
-from .schema import SCHEMA_VERSION, TABLES, shaped
+from .schema import OWNED, SCHEMA_VERSION, TABLES, shaped
+
+#: Times that a commit which doesn't hang on what was read is tried again after another one came in between.
+TRIES = 5
 
 
 class Store:
-    """Snapshots under path, which may be in any store that Spark reads.
+    """Parts under path, which may be in any store that Spark reads.
 
-    A commit writes the tables it changes to v=N/, and then the pointer CURRENT, which says where each table is. What
-    a running query reads is never overwritten. One writer at a time: a commit fails if another came in between.
+    A commit writes its new rows to tables/NAME/v=N/u=UNIQUE, and then log/N.json, which lists all parts that the tables
+    have from then on. The entry is made in one step that fails if it is there already (a link, or a rename that
+    doesn't overwrite), so of several writers just one makes version N; what the others wrote is never read. Documents
+    are deleted by a part of their ids: rows of such a document in older parts are left out when the table is read.
+    compacted() writes what is left anew.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark._jvm
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._hadoop.Path(f"{self.path}/{name}")
 
-    def pointer(self) -> dict:
-        """{"version": n, "tables": {table: folder}}; version 0 and no tables before the first commit."""
-        at = self._at("CURRENT")
-        fs = at.getFileSystem(self._conf)
-        if not fs.exists(at):
-            return {"version": 0, "tables": {}}
-        stream = fs.open(at)
+    def _read(self, at) -> dict:
+        stream = at.getFileSystem(self._conf).open(at)
         try:
-            data = self._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)
+            return json.loads(bytes(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())
         finally:
             stream.close()
-        return json.loads(bytes(data).decode())
 
-    def table(self, name: str) -> DataFrame:
+    def pointer(self) -> dict:
+        """{"version": n, "schema": s, "tables": {table: [part]}, "deleted": [part]} as of the last commit; version 0 before the first."""
+        log = self._at("log")
+        fs = log.getFileSystem(self._conf)
+        names = [x.getPath().getName() for x in fs.listStatus(log)] if fs.exists(log) else []
+        versions = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+        if versions:
+            return self._read(self._at(f"log/{max(versions):012d}.json"))
+        return self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": []}
+
+    def _first_layout(self) -> dict | None:
+        """The pointer of a store of schema 1, whose commits wrote whole tables and replaced a file CURRENT."""
+        at = self._at("CURRENT")
+        if not at.getFileSystem(self._conf).exists(at):
+            return None
+        old = self._read(at)
+        return {"version": old["version"], "schema": "1", "tables": {t: [f] for t, f in old["tables"].items()}, "deleted": []}
+
+    def rows(self, name: str, state: dict | None = None) -> DataFrame:
+        """All rows of a table that aren't deleted, and v, the version that each came with."""
+        state = state or self.pointer()
+        parts = state["tables"].get(name, [])
+        if not parts:
+            return self.spark.createDataFrame([], f"{TABLES[name]}, v long")
+        if state["schema"] == "1":
+            return shaped(self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts]), name).withColumn("v", F.lit(0).cast("long"))
+        read = self._parts(parts, f"{self.path}/tables/{name}", TABLES[name])
+        if name in OWNED and state["deleted"]:
+            gone = self._parts(state["deleted"], f"{self.path}/tables/_deleted", "document_id string")
+            gone = gone.groupBy(F.col("document_id").alias("_id")).agg(F.max("v").alias("_v"))
+            read = read.join(gone, (F.expr(OWNED[name]) == F.col("_id")) & (F.col("v") < F.col("_v")), "left_anti")
+        return read
+
+    def _parts(self, parts: list[str], base: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, v long, u string").option("basePath", base).parquet(*[f"{self.path}/{p}" for p in parts]).drop("u")
+
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        """A table as it is now: an entity has its first name and kind and its last description, a key of meta its last value."""
         if name not in TABLES:
             raise KnowledgeError("E_DB", f"no table {name}")
-        folder = self.pointer()["tables"].get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES}
-
-    def commit(self, changed: dict[str, DataFrame], since: int | None = None) -> int:
-        """Writes the tables and points to them; since: the version that the caller has read, if that matters."""
-        before = self.pointer()
-        if since is not None and before["version"] != since:
-            raise KnowledgeError("E_DB", f"version {since} was replaced by {before['version']}")
-        version = before["version"] + 1
-        for name, df in changed.items():
-            shaped(df, name).write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
-        if self.pointer()["version"] != before["version"]:
-            raise KnowledgeError("E_DB", "another commit came in between")
-        tables = before["tables"] | {name: f"v={version}/{name}" for name in changed}
-        self._write_pointer({"version": version, "tables": tables}, version)
-        return version
-
-    def _write_pointer(self, value: dict, version: int) -> None:
-        new, at = self._at(f"CURRENT.{version}"), self._at("CURRENT")
+        rows = self.rows(name, state)
+        if name == "entity":
+            merged = rows.groupBy("entity_id").agg(F.min_by(F.struct("name", "kind"), F.struct("v", "kind", "name")).alias("e"), F.max(F.when(F.col("description").isNotNull(), F.struct("v", "description"))).alias("d"))
+            return merged.select("entity_id", "e.name", "e.kind", F.col("d.description").alias("description"))
+        if name == "meta":
+            return rows.groupBy("key").agg(F.max_by("meta_value", "v").alias("meta_value"))
+        return rows.drop("v")
+
+    def tables(self, state: dict | None = None) -> dict[str, DataFrame]:
+        state = state or self.pointer()
+        return {name: self.table(name, state) for name in TABLES}
+
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None, since: int | None = None, migrating: bool = False) -> int:
+        """Appends rows to tables, replaces whole ones, and deletes documents (document_id) from all older parts.
+
+        since: the version that what is written was made from; the commit fails if there is a later one. Without it the
+        commit is made after whatever came in between. A commit that is migrating replaces all tables that there are.
+        """
+        for left in reversed(range(TRIES)):
+            before = self.pointer()
+            if since is not None and before["version"] != since:
+                raise KnowledgeError("E_DB", f"version {since} was replaced by {before['version']}")
+            if before["schema"] != SCHEMA_VERSION and before["version"] and not migrating:
+                raise KnowledgeError("E_DB", f"the store has schema {before['schema']}; migrate it first")
+            version = before["version"] + 1
+            if self._logged(self._written(before, version, append or {}, replace or {}, deleted)):
+                return version
+            if since is not None or not left:
+                raise KnowledgeError("E_DB", "another commit came in between")
+        raise AssertionError
+
+    def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None) -> dict:
+        own = f"v={version}/u={uuid.uuid4().hex}"
+        tables = {**before["tables"], **{name: [] for name in replace}}
+        for name, df in [*replace.items(), *append.items()]:
+            self.write(shaped(df, name), name, own)
+            tables[name] = [*tables.get(name, []), f"tables/{name}/{own}"]
+        gone = before["deleted"]
+        if deleted is not None:
+            deleted.select("document_id").distinct().write.parquet(f"{self.path}/tables/_deleted/{own}")
+            gone = [*gone, f"tables/_deleted/{own}"]
+        return {"version": version, "schema": SCHEMA_VERSION, "tables": tables, "deleted": gone}
+
+    def write(self, df: DataFrame, name: str, part: str) -> None:
+        """Postings are written in order of their terms, so that a search reads only what may hold its terms."""
+        if name == "posting":
+            df = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
+        df.write.parquet(f"{self.path}/tables/{name}/{part}")
+
+    def _logged(self, state: dict) -> bool:
+        """Whether the entry was made; not, if there is one of that version."""
+        new, at = self._at(f"log/.{uuid.uuid4().hex}"), self._at(f"log/{state['version']:012d}.json")
         fs = at.getFileSystem(self._conf)
         stream = fs.create(new, True)
         try:
-            stream.write(bytearray(json.dumps(value).encode()))
+            stream.write(bytearray(json.dumps(state).encode()))
         finally:
             stream.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self._conf)
-        overwrite = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(new), fs.makeQualified(at), overwrite)
+        try:
+            if fs.getScheme() == "file":  # a local rename would overwrite
+                os.link(urlsplit(fs.makeQualified(new).toString()).path, urlsplit(fs.makeQualified(at).toString()).path)
+                return True
+            if fs.exists(at):
+                return False
+            return fs.rename(new, at)
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(new, False)
+
+    def compacted(self) -> int:
+        """Every table written anew as one part without deleted rows."""
+        state = self.pointer()
+        version = state["version"] + 1
+        now = {name: self.table(name, state) for name, parts in state["tables"].items() if parts}
+        written = self._written({**state, "deleted": []}, version, {}, now, None)
+        if not self._logged(written):
+            raise KnowledgeError("E_DB", "another commit came in between")
+        return version
+
+    def scratch(self) -> str:
+        """A folder for what one operation writes on its way; remove() it afterwards."""
+        return f"{self.path}/staged/{uuid.uuid4().hex}"
+
+    def remove(self, folder: str) -> None:
+        at = self._hadoop.Path(folder)
+        at.getFileSystem(self._conf).delete(at, True)
 
     def meta(self) -> dict[str, str]:
         return {r["key"]: r["meta_value"] for r in self.table("meta").collect()}
 
     def meta_table(self, **values: str) -> DataFrame:
-        """The table meta with these values set."""
-        merged = self.meta() | {"schema_version": SCHEMA_VERSION} | {k: str(v) for k, v in values.items()}
-        return self.spark.createDataFrame(sorted(merged.items()), TABLES["meta"])
+        """Rows of meta that set these values."""
+        return self.spark.createDataFrame(sorted((k, str(v)) for k, v in values.items()), TABLES["meta"])

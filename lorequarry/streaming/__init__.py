@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import sources
@@ -10,15 +9,14 @@ from ..engine import KnowledgeBase
 
 
 def watch(base: KnowledgeBase, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Uploads each file of folder when it appears. A batch that is repeated after a failure adds nothing: its content is known."""
+    """Uploads each file of folder when it appears. A batch that is repeated after a failure adds nothing: its content is known.
+
+    A file that can't be taken (too large, a format without a reader, not UTF-8) is noted in the table failure.
+    """
     stream = base.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def upload(batch, _):
-        path = F.regexp_replace("path", r"^file:(//)?(?=/)", "")
-        name = F.regexp_extract("path", r"([^/]*)$", 1)
-        valid = batch.where(F.is_valid_utf8(F.col("content").cast("string")))
-        rows = valid.select(name.alias("title"), path.alias("source"), F.lit("file").alias("source_type"), F.col("content").cast("string").alias("raw"), name.alias("file_title"))
-        base.upload_rows(sources.extracted(rows))
+        base.upload_rows(sources.extracted(sources.taken(batch, base.config)))
 
     writer = stream.writeStream.foreachBatch(upload).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -8,7 +8,7 @@ from lorequarry.llm import line_dedup
 
 from .conftest import paragraphs, sentence
 
-LINE = re.compile(r"[ \t\n\x0b\f\r]*(?:[^ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r.!?][ \t\x0b\f\r]+){0,15}[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
+LINE = re.compile(r"[ \t\n\x0b\f\r]*(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]+){0,2}(?:[^ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r.!?][ \t\x0b\f\r]+){0,13}[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
 
 
 def place(doc, text):

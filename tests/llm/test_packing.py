@@ -15,7 +15,6 @@ from .conftest import paragraphs
 
 def encode(texts):
     rules = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rules.encode_special_tokens = True
     return [np.array([*e.ids, 0], "<u4") for e in rules.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -71,12 +70,18 @@ def test_pack_equals_the_tokenizer_and_covers_every_id(spark, odd, odd_rows):
 
 
 @pytest.mark.parametrize("window,tiers,flush", [(16, 3, 2), (1024, 4, 8), (64, 1, 1)])
-def test_packer_leaves_no_padding(window, tiers, flush):
+def test_packer_pads_the_last_sequence_only(window, tiers, flush):
     rng = random.Random(window)
     packer = TierPacker(window, tiers, flush, group=4)
     wanted = {i: np.arange(rng.choice([1, 2, 5, window // 2, window, window + 1, 3 * window - 1, rng.randrange(1, 4 * window)]), dtype="<u4") for i in range(300)}
     rows = [r for i, ids in wanted.items() for out in packer.add(i, ids) for r in out] + [r for out in packer.finish() for r in out]
-    assert check_pieces([r[:7] for r in rows], wanted, window) == 0
+    assert check_pieces([r[:7] for r in rows], wanted, window) < window
+    total, lengths = sum(map(len, wanted.values())), defaultdict(int)
+    for r in rows:
+        lengths[r[5], r[7]] += r[2]
+    sizes = [window >> i for i in range(tiers)]
+    assert all(tier in sizes and n <= tier for (_, tier), n in lengths.items())
+    assert sorted(tier - n for (_, tier), n in lengths.items() if n < tier) == ([sizes[-1] - total % sizes[-1]] if total % sizes[-1] else [])
     costs = defaultdict(int)
     for doc, start, length, _, _, sequence, _, tier, step in rows:
         costs[tier, step] += length**2
@@ -93,15 +98,18 @@ def test_sequence_numbers_are_unique_over_partitions(spark):
     rows = packing.pack(docs).collect()
     wanted = dict(zip((r.doc_id for r in docs.collect()), encode([r.text for r in docs.collect()])))
     padding = check_pieces([tuple(r)[:7] for r in rows], wanted, 1024)
-    assert padding == 0
-
-
-def test_special_strings_are_text(spark):
-    text = "a <|endoftext|> b"
-    rows = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    ids = encode([text])[0]
-    assert rows[0].doc_tokens == len(ids) and sum(r.length for r in rows) == len(ids)
-    assert 50256 not in ids
+    assert padding < 4 * 1024
+
+
+def test_ids_are_those_of_the_tokenizer():
+    encode_one = packing.load_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    alphabet = "abc DE\t\n  .,'s'll 0123 é漢字😀\u200b\xa0\x00\u0301<|>"
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "<|endoftext|>|>", "", "x" * 3000, "=" * 700, paragraphs(rng, 30)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(200))) for _ in range(300)]
+    for text, ids in zip(texts, encode(texts)):
+        assert encode_one(text).tolist() == ids[:-1].tolist()
+    assert encode_one("a<|endoftext|>b").tolist() == [64, 50256, 65]
 
 
 def test_empty_table(none):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -85,6 +86,26 @@ def test_slots_of_long_runs_take_linear_time():
     assert len(pii.mentions("1 " * 100_000 + "a" * 300_000 + " at" * 50_000 + " (" * 100_000 + "x " * 50_000)[2]) < 10
 
 
+def test_many_mentions_take_linear_time():
+    began = time.time()
+    text = "a@b.cc 555 123 4567 4111111111111112 x 1.2.3.4 " * 40_000  # 1.9 MB
+    good, _, found = pii.mentions(text)
+    assert len(good) >= 80_000 and len(found) > 80_000 and time.time() - began < 30
+
+
+def test_secrets_count_and_leave_the_spans_alone(spark):
+    rows = [(1, 'api_key = "24be64439e3e49cf46b2d7c9"'), (2, "token: 24be64439e3e49cf46b2d7c9 and mail a@b.cc"), (3, "the token was lost in 24be64439e3e49cf46b2d7c9"), (4, "password=short")]
+    out = {r.doc_id: (r.n_secret, r.n_private, r.spans) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (1, 1, ""), 2: (1, 2, "email:41:47"), 3: (0, 0, ""), 4: (0, 0, "")}
+
+
+def test_nothing_personal_is_stored(spark):
+    """Intermediate tables hold no identifier and no word around one."""
+    docs = spark.createDataFrame([(i, f"word{i} please call +49 30 {1234567 + i} for help{i}") for i in range(5)], "doc_id long, text string")
+    stored = str(pii.scan(docs).select("mentions").collect())
+    assert "1234567" not in stored and "please" not in stored
+
+
 def test_odd_rows(odd, odd_rows):
     out = pii.find_personal_data(odd).collect()
     assert len(out) == len(odd_rows)

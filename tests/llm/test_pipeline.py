@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .conftest import paragraphs, sentence
@@ -46,3 +48,20 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, odd, odd_rows, tmp_path):
+    """Clashing columns come back from every stage but the last, and nothing crashes."""
+    names = ["__row", "__rank", "__key", "__mark", "__text", "__source", "__bucket", "n_removed", "removed", "component_id", "mix_slot"]
+    docs = odd.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        rows = out.collect()
+        assert len(rows) >= 8
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+            docs = out

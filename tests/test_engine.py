@@ -1,11 +1,17 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lorequarry import sources
-from lorequarry.config import Chunking, Config, Embedding, Search, Storage, Upload
+from lorequarry.config import Chunking, Config, Embedding, Graph, Search, Storage, Upload
 from lorequarry.engine import KnowledgeBase
 from lorequarry.errors import KnowledgeError
 from lorequarry.functions.embedders import HashingEmbedder
+from lorequarry.operators import graph, index, search
+from lorequarry.schema import TABLES
+from lorequarry.store import Store
 from lorequarry.streaming import watch
 
 MD = "# PebbleStore\n\nMulti-model database. [HNSW](https://hns.wiki). #database"
@@ -90,6 +96,15 @@ def test_graph_queries(base):
         assert e.value.code == code
 
 
+def test_a_start_may_be_a_name(spark):
+    entities = spark.createDataFrame([("k1", "Long name", "x", None), ("k2", "b", "x", None), ("b", "other", "x", None)], "entity_id string, name string, kind string, description string")
+    edges = spark.createDataFrame([("k1", "k2", "r", 1.0)], TABLES["related_to"])
+    none = [spark.createDataFrame([], TABLES[t]) for t in ("document", "chunk", "mentions")]
+    walk = lambda start: {(r["id"], r["name"], r["depth"]) for r in rows(graph.traverse(start, none[0], none[1], entities, none[2], edges)[0])}
+    assert walk("Long name") == walk("entity:k1") == {("entity:k1", "Long name", 0), ("entity:k2", "b", 1)}
+    assert walk("b") == {("entity:b", "other", 0)}  # an id comes first
+
+
 def test_graph_from_a_document(base):
     doc = rows(base.upload(content=MD))[0]["document_id"]
     base.link_entities("HNSW", "graph", "uses")
@@ -181,10 +196,10 @@ def test_sources(spark, tmp_path):
     assert e.value.code == "E_VALIDATION"
     (d / "x.pdf").write_bytes(b"%PDF")
     with pytest.raises(Exception, match="E_UNSUPPORTED_FORMAT"):
-        sources.from_files(spark, str(d / "x.pdf"), c).collect()
+        sources.raised(sources.from_files(spark, str(d / "x.pdf"), c)).collect()
     (d / "bad.txt").write_bytes(b"\xff\xfe")
     with pytest.raises(Exception, match="E_IO"):
-        sources.from_files(spark, str(d / "bad.txt"), c).collect()
+        sources.raised(sources.from_files(spark, str(d / "bad.txt"), c)).collect()
     with pytest.raises(KnowledgeError):
         sources.from_urls(spark, ["ftp://x/y"], c)
     with pytest.raises(KnowledgeError):
@@ -192,7 +207,7 @@ def test_sources(spark, tmp_path):
     assert rows(sources.from_request(spark, c, content="c", content_base64="eA=="))[0]["raw"] == "c"
     assert rows(sources.from_request(spark, c, content_base64="aGVs bG8="))[0]["raw"] == "hello"
     with pytest.raises(Exception, match="E_VALIDATION"):
-        sources.from_base64(spark, ["%%"]).collect()
+        sources.raised(sources.from_base64(spark, ["%%"])).collect()
 
 
 def test_inbox(spark, base, tmp_path):
@@ -208,3 +223,136 @@ def test_defaults_come_from_the_configuration(spark, tmp_path):
     kb = KnowledgeBase(spark, mock(tmp_path / "s", search=Search(default_mode="keyword", top_k=1)))
     kb.upload(content=["same word", "word same too"])
     assert kb.search("word").count() == 1
+
+
+def test_of_two_writers_one_wins(spark, base):
+    """Both have read the same version; the second to log its commit fails, and what it wrote is never read."""
+    first, second = Store(spark, base.config.storage.path), Store(spark, base.config.storage.path)
+    version = first.pointer()["version"]
+    edge = lambda dst: graph.link(spark.createDataFrame([], TABLES["related_to"]), "a", dst, "r")
+    late = second._written(second.pointer(), version + 1, {"related_to": edge("late")}, {}, None)
+    assert first.commit({"related_to": edge("early")}, since=version) == version + 1
+    assert not second._logged(late)
+    with pytest.raises(KnowledgeError) as e:
+        second.commit({"related_to": edge("late")}, since=version)
+    assert e.value.code == "E_DB" and [r["dst"] for r in rows(base.table("related_to"))] == ["early"]
+    # one that doesn't hang on what was read comes after
+    assert second.commit({"related_to": edge("third")}) == version + 2
+    assert {r["dst"] for r in rows(base.table("related_to"))} == {"early", "third"}
+
+
+def test_writers_at_the_same_time(spark, base):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(i):
+        base.link_entities("A", f"n{i}", "r")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(one, range(3)))
+    assert {r["dst"] for r in rows(base.table("related_to"))} == {"n0", "n1", "n2"} and base.store.pointer()["version"] == 4
+
+
+def test_an_upload_writes_no_old_row(spark, base):
+    base.upload(content=[f"old text number {i}" for i in range(50)])
+    before = base.store.pointer()
+    base.upload(content="one more text")
+    after = base.store.pointer()
+    for name in ("document", "chunk", "mentions", "posting"):
+        assert after["tables"][name][:-1] == before["tables"][name]
+        new = spark.read.schema(TABLES[name]).parquet(f"{base.store.path}/{after['tables'][name][-1]}")
+        assert new.count() == {"document": 1, "chunk": 1, "mentions": 0, "posting": 3}[name]
+    gone = base.list(1).first().document_id
+    base.delete(gone)
+    assert base.store.pointer()["tables"] == after["tables"] and base.stats()["document_count"] == 50
+    base.compact()
+    assert all(len(p) == 1 for p in base.store.pointer()["tables"].values()) and base.store.pointer()["deleted"] == []
+    assert base.stats()["document_count"] == 50 and base.search("number", mode="keyword", top_k=100).count() >= 49
+    assert [r["status"] for r in rows(base.upload(content="old text number 3"))] == ["skipped"]
+
+
+def test_deleted_documents_can_come_back(base):
+    doc = rows(base.upload(content="here and gone"))[0]["document_id"]
+    base.delete(doc)
+    assert base.search("gone", mode="keyword").count() == 0 and base.search("gone", mode="vector").count() == 0
+    assert rows(base.upload(content="here and gone"))[0]["status"] == "created"
+    assert base.search("gone", mode="keyword").count() == 1
+
+
+def test_stored_postings_give_what_a_scan_gives(base):
+    rng = random.Random(5)
+    words = ["w" + "abcdefghijklmnopqrstuvwxyzäöüé"[i] for i in range(30)]
+    base.upload(content=[" ".join(rng.choices(words, range(1, 31), k=rng.randrange(1, 40))) for _ in range(60)])
+    base.delete(base.list(1).first().document_id)
+    asked = [["wa"], ["wz", "wä"], ["wf", "wy"], ["nothing"]]
+    queries = base.spark.createDataFrame([(i, t) for i, ts in enumerate(asked) for t in ts], "query_id long, term string")
+    chunks = base.table("chunk")
+    scan = {tuple(r) for r in search.top_k(index.keyword_scores(chunks, queries), 100).collect()}
+    kept = {tuple(r) for r in search.top_k(index.stored_scores(base.table("posting"), chunks.select("terms"), queries), 100).collect()}
+    assert scan == kept and len(scan) > 30
+
+
+def test_failed_files_are_reported_and_the_others_stored(spark, base, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.txt").write_text("a good file")
+    (d / "b.txt").write_bytes(b"\xff\xfe\xfa")
+    (d / "c.pdf").write_bytes(b"%PDF-1.4 text")
+    done = {r["title"]: r for r in rows(base.upload(path=str(d)))}
+    assert {t: r["status"] for t, r in done.items()} == {"a.txt": "created", "b.txt": "failed", "c.pdf": "failed"}
+    assert done["b.txt"]["error"].startswith("E_IO") and done["c.pdf"]["error"].startswith("E_UNSUPPORTED_FORMAT")
+    assert base.stats()["document_count"] == 1 and base.table("failure").count() == 2
+    with pytest.raises(KnowledgeError) as e:
+        base.upload(path=str(d / "c.pdf"))
+    assert e.value.code == "E_UNSUPPORTED_FORMAT"
+    some = rows(base.upload(content_base64=["eA==", "%%"]))
+    assert [r["status"] for r in some] == ["created", "failed"]
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "x.bin").write_bytes(b"\xff")
+    (inbox / "y.txt").write_text("fine and new")
+    watch(base, str(inbox), str(tmp_path / "cp"), once=True).awaitTermination(60)
+    assert base.stats()["document_count"] == 3 and base.table("failure").where("source like '%x.bin'").count() == 1
+
+
+def test_a_reader_for_another_format_plugs_in(base, tmp_path, monkeypatch):
+    monkeypatch.setitem(sources.READERS, "pdf", lambda data: data.removeprefix(b"%PDF").decode())
+    (tmp_path / "good.pdf").write_bytes(b"%PDFtext of it")
+    (tmp_path / "bad.pdf").write_bytes(b"\xff")
+    done = {r["title"]: r["status"] for r in rows(base.upload(path=[str(tmp_path / "good.pdf"), str(tmp_path / "bad.pdf")]))}
+    assert done == {"good.pdf": "created", "bad.pdf": "failed"}
+    assert base.search("text", mode="keyword").first().content == "text of it"
+
+
+def test_hits_tell_where_and_why(base):
+    base.upload(content=["the Alpha text is long and has alpha twice #shared", "other words #shared #more"])
+    hits = rows(base.search("alpha", mode="keyword", graph_expand=5))
+    assert len(hits[0]["highlights"]) >= 1 and "Alpha" in hits[0]["highlights"][0] and hits[0]["matched_entities"] == []
+    assert hits[1]["matched_entities"] == ["shared"] and hits[1]["highlights"] == []
+
+
+def test_a_store_of_the_first_schema_is_migrated(spark, tmp_path):
+    """Whole tables in v=N/, and a pointer CURRENT."""
+    path = tmp_path / "old"
+    new = KnowledgeBase(spark, mock(tmp_path / "new"))
+    new.upload(content=["alpha beta", MD])
+    for name in ("document", "chunk", "entity", "mentions", "related_to"):
+        new.table(name).drop("terms").write.parquet(f"{path}/v=3/{name}")
+    spark.createDataFrame([("schema_version", "1"), ("embedding_model", "mock"), ("embedding_dimension", "8"), ("tokenizer", "whitespace")], TABLES["meta"]).write.parquet(f"{path}/v=3/meta")
+    (path / "CURRENT").write_text(json.dumps({"version": 3, "tables": {t: f"v=3/{t}" for t in ("document", "chunk", "entity", "mentions", "related_to", "meta")}}))
+    kb = KnowledgeBase(spark, mock(path))
+    assert kb.store.pointer()["version"] == 4 and kb.store.meta()["schema_version"] == "2"
+    assert kb.stats()["document_count"] == 2 and kb.search("alpha", mode="keyword").count() == 1 and kb.table("entity").count() == 3
+    assert not KnowledgeBase(spark, mock(path)).migrate() and kb.store.pointer()["version"] == 4
+
+
+def test_extended_rules(spark, tmp_path):
+    kb = KnowledgeBase(spark, mock(tmp_path / "x", graph=Graph(extended=True)))
+    text = "---\ntags: [one, 'two']\naliases:\n  - Other Name\n  - \"Third\"\n---\n# Top\n\n## Middle A\n\nSee [[Wiki Page]] and [[Page|shown]] and [link](x).\n\n#### Deep\n\n## Middle B\n"
+    done = rows(kb.upload(content=text))[0]
+    assert {"Wiki Page", "Page", "link", "one", "two", "Other Name", "Third", "Top"} <= set(done["entities"])
+    kinds = {r["name"]: r["kind"] for r in rows(kb.table("entity"))}
+    assert (kinds["one"], kinds["Other Name"], kinds["Wiki Page"], kinds["Top"]) == ("tag", "alias", "reference", "section")
+    edges = {(r["src"], r["dst"]) for r in rows(kb.table("related_to").where("relation = 'part-of'"))}
+    assert edges == {("Middle A", "Top"), ("Deep", "Middle A"), ("Middle B", "Top")}
+    plain = KnowledgeBase(spark, mock(tmp_path / "y"))
+    assert set(rows(plain.upload(content=text))[0]["entities"]) == {"link", "Top", "Middle A", "Deep", "Middle B"}
