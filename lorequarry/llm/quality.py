@@ -197,7 +197,8 @@ def surety(p, y, label: int, confident: float) -> float | None:
     order = np.argsort(-q, kind="stable")
     share = (np.cumsum(right[order]) + 1) / (np.arange(len(q)) + 3)
     good = np.flatnonzero(share >= need)
-    return float(q[order][good[-1]]) if len(good) else None
+    # more likely than not, so that no document is given both labels
+    return max(float(q[order][good[-1]]), float(np.nextafter(0.5, 1))) if len(good) else None
 
 
 def pseudo_counts(model: Model, limits: dict, words, dense, metas) -> dict:

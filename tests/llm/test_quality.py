@@ -127,3 +127,13 @@ def test_odd_rows_with_and_without_labels(spark, odd, odd_rows, made):
 def test_empty_table(none, made):
     assert quality.classify(none, made[1]).count() == 0
     assert quality.keep_wanted(none, made[1]).count() == 0
+
+
+def test_no_row_is_sure_to_be_both():
+    rng = np.random.default_rng(2)
+    y = (rng.random(500) < 0.2).astype(float)
+    p = np.clip(0.5 + (y - 0.5) * 0.9 + rng.normal(0, 0.1, 500), 0, 1)
+    p[:5] = 0.5  # a few that it can't tell don't spoil its record
+    bad, good = (quality.surety(p, y, label, 0.9) for label in (1, 0))
+    assert bad > 0.5 and good > 0.5
+    assert not ((p >= bad) & (1 - p >= good)).any()
