@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import secrets
@@ -90,11 +91,15 @@ def loose_spans(text: str) -> list[tuple[int, int, int]]:
 
 def bare(text: str, start: int, end: int) -> tuple[int, int]:
     """The span without punctuation at its ends; brackets that are closed or opened within it stay."""
-    pairs = dict(zip(")]}>", "([{<"))
-    while start < end and text[start] in OPEN and not any(b == text[start] and a in text[start:end] for a, b in pairs.items()):
-        start += 1
-    while start < end and text[end - 1] in CLOSE and not (text[end - 1] in pairs and pairs[text[end - 1]] in text[start:end]):
-        end -= 1
+    if start < end and text[start] in OPEN:
+        # which marks are in the span doesn't change while the others are taken off, so each is looked for once
+        kept = {a for a, b in zip("([{<", ")]}>") if text.find(b, start, end) >= 0}
+        while start < end and text[start] in OPEN and text[start] not in kept:
+            start += 1
+    if start < end and text[end - 1] in CLOSE:
+        kept = {b for a, b in zip("([{<", ")]}>") if text.find(a, start, end) >= 0}
+        while start < end and text[end - 1] in CLOSE and text[end - 1] not in kept:
+            end -= 1
     return start, end
 
 
@@ -248,6 +253,36 @@ def accepted(said: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
     return scores.select("kind", "value", "score"), materialize(held.select("pattern", "kind"), "pii-confident")
 
 
+def best_apart(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """Of spans (start, kind, end, score) those that stay, sorted: the longest first, of one length the best score, then the first.
+
+    None overlaps one that stays. Those are kept in order, so a span is compared with its neighbours there only.
+    """
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    for s, k, e, _ in sorted(found, key=lambda x: (x[0] - x[2], -x[3], x[0], x[1])):
+        i = bisect.bisect_left(starts, s)
+        if (i == 0 or kept[i - 1][2] <= s) and (i == len(kept) or e <= starts[i]):
+            starts.insert(i, s)
+            kept.insert(i, (s, k, e))
+    return kept
+
+
+def longest_apart(rows: DataFrame) -> DataFrame:
+    """(row, _added) of rows (row, found): best_apart() for each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        fields = ("start", "kind", "end")
+        for batch in batches:
+            kept = [[dict(zip(fields, x)) for x in best_apart([tuple(x.values()) for x in found.as_py()])] for found in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, span)], ["row", "_added"])
+
+    return rows.mapInArrow(run, "row long, _added array<struct<start:int,kind:int,end:int>>")
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: float = 3.0) -> DataFrame:
     """doc_id, the numbers of base spans by kind, base_sha256, spans, n_found (spans that contexts added), n_secret
     (strings assigned to names for tokens, keys and passwords) and n_private (all of these together) per row.
@@ -259,7 +294,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8
     span the kind of the best score.
     Null text: as an empty one, no spans. Null doc_id: kept. Equal rows have equal results each; an empty table gives
     an empty table. Columns other than doc_id and text are ignored.
-    Whole texts are scanned once, in linear time; only mentions with their few words around are stored, as keyed
+    Whole texts are scanned once, in linear time, and a text's added spans are sorted, never compared in pairs; only mentions with their few words around are stored, as keyed
     hashes, and grouped.
     """
     seen = materialize(scan(docs), "pii-scan")
@@ -269,12 +304,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.8
     place = ["row", "kind", "start", "end", "score"]
     here = spoken.where("slot").select(*place, F.explode("contexts").alias("pattern")).join(held, ["pattern", "kind"], "left_semi").select(*place).distinct()
     every = spoken.where("not slot").select(*place).union(here)
-    added = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("size"), (-F.col("score")).alias("rank"), "start", "kind", "end"))).alias("_found"))
-
-    def longest_apart(kept, x):
-        return F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.array_append(kept, F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-
-    added = added.select("row", F.aggregate("_found", F.array().cast("array<struct<start:int,kind:int,end:int>>"), longest_apart).alias("_added"))
+    added = longest_apart(every.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "score")).alias("found")))
     names = F.array(*[F.lit(k) for k in KINDS])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     every = F.array_sort(F.concat("base", F.coalesce("_added", none)))

@@ -93,6 +93,46 @@ def test_many_mentions_take_linear_time():
     assert len(good) >= 80_000 and len(found) > 80_000 and time.time() - began < 30
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_added_spans_equal_the_plain_rule(seed):
+    rng = random.Random(seed)
+    found = [(s, rng.randrange(4), s + rng.randrange(1, 9), rng.choice([0.8, 0.9, 1.0])) for s in (rng.randrange(120) for _ in range(80))]
+    plain = []
+    for s, k, e, _ in sorted(found, key=lambda x: (x[0] - x[2], -x[3], x[0], x[1])):
+        if not any(a < e and s < b for a, _, b in plain):
+            plain.append((s, k, e))
+    assert pii.best_apart(found) == sorted(plain)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_bare_equals_the_plain_rule(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        text = "".join(rng.choice("([{<)]}>\"'.,a1") for _ in range(rng.randrange(12)))
+        start, end, pairs = 0, len(text), dict(zip(")]}>", "([{<"))
+        while start < end and text[start] in pii.OPEN and not any(b == text[start] and a in text[start:end] for a, b in pairs.items()):
+            start += 1
+        while start < end and text[end - 1] in pii.CLOSE and not (text[end - 1] in pairs and pairs[text[end - 1]] in text[start:end]):
+            end -= 1
+        assert pii.bare(text, 0, len(text)) == (start, end)
+
+
+def test_many_added_spans_and_long_brackets_take_linear_time():
+    began = time.time()
+    assert len(pii.best_apart([(10 * i, i % 4, 10 * i + 5 + i % 7, 0.9) for i in range(200_000)])) > 100_000
+    assert pii.bare("(" * 500_000 + "1" + "]" * 500_000, 0, 1_000_001) == (500_000, 500_001)
+    assert time.time() - began < 20
+
+
+def test_many_spans_are_added_to_one_text(spark):
+    """Contexts add spans to a text of 1 MB that holds thousands of them."""
+    rows = [(i, f"word{i} please call +49 30 {1234567 + i} for help{i}") for i in range(30)]
+    rows += [(99, " ".join(f"now please call 030{1000000 + i % 5}, or wait" for i in range(26_000)))]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[-1][1]) > 800_000
+    assert out[99].n_found == out[99].spans.count("phone:") == 26_000 and out[0].n_found == 0
+
+
 def test_secrets_count_and_leave_the_spans_alone(spark):
     rows = [(1, 'api_key = "24be64439e3e49cf46b2d7c9"'), (2, "token: 24be64439e3e49cf46b2d7c9 and mail a@b.cc"), (3, "the token was lost in 24be64439e3e49cf46b2d7c9"), (4, "password=short")]
     out = {r.doc_id: (r.n_secret, r.n_private, r.spans) for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
