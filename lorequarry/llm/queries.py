@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, warc
+from . import embedding_dedup, filter_audit, fingerprints, line_dedup, manifest, mixing, ngram_join, packing, pii, quality, sharding, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +55,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = manifest.lower_cased_thirds(F.col("doc_id"), F.col("text"))
+    return manifest.verify(table(spark, sf_dir, "documents"), tampered)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_sharding, op4_embedding_dedup, op5_fingerprints, op6_mixing, op7_line_dedup, op8_warc, op9_pii, op10_ngram_join)}
+    every = (
+        op1_packing, op2_quality, op3_sharding, op4_embedding_dedup, op5_fingerprints, op6_mixing, op7_line_dedup,
+        op8_warc, op9_pii, op10_ngram_join, op11_token_counts, op12_manifest, op13_filter_audit,
+    )
+    return {f.__name__: f for f in every}
