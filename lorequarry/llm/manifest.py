@@ -74,7 +74,7 @@ def numbered(nodes: DataFrame, name: str) -> DataFrame:
     is the number of nodes that each tree has in each range. The last key is a row's own number, so that even rows that
     are equal otherwise fall into several ranges.
     """
-    keys = ["tree", *[c for c in nodes.columns if c.startswith("key")]]
+    keys = ["tree", *sorted(c for c in nodes.columns if c.startswith("key"))]
     ordered = nodes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
     stored = materialize(ordered.drop(*keys[1:]), name)
     part = F.shiftright("at", 33)
