@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_by_value(spark: SparkSession, value) -> Callable:
+    """A function that gives value on an executor, whatever classes of this library it is made of: a broadcast alone
+    would look them up by their names there, where the library need not be installed."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(shared.value)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

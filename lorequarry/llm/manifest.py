@@ -14,6 +14,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import materialize, private
 
@@ -79,11 +80,10 @@ def numbered(nodes: DataFrame, name: str) -> DataFrame:
     stored = materialize(ordered.drop(*keys[1:]), name)
     part = F.shiftright("at", 33)
     runs = stored.groupBy("tree", part.alias("part")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
-    # the ranges of one tree are as many as tasks, at most
-    lists = runs.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("part", "first", "size"))).alias("runs"))
-    summed = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["size"])
-    before = lambda i: F.aggregate(F.slice("runs", 1, i), F.lit(0).cast("long"), lambda s, r: s + r["size"])
-    starts = lists.select("tree", summed.alias("n"), F.inline(F.transform("runs", lambda r, i: F.struct(r["part"].alias("part"), r["first"].alias("first"), before(i).alias("before")))))
+    # of one tree there are as many ranges as tasks, at most
+    of_tree = Window.partitionBy("tree")
+    before = F.coalesce(F.sum("size").over(of_tree.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.select("tree", "part", "first", F.sum("size").over(of_tree).alias("n"), before.alias("before"))
     joined = stored.withColumn("part", part).join(starts, ["tree", "part"])
     return joined.withColumn("position", F.col("before") + F.col("at") - F.col("first")).drop("part", "at", "first", "before")
 

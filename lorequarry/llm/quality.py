@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import broadcast_by_value, materialize
 
 WORD_BITS = 18
 META = 512
@@ -123,7 +123,7 @@ FEATURES_SCHEMA = "doc_id long, words binary, dense binary, meta binary"
 
 
 class Model:
-    """Both views and their combination; plain arrays, so it travels to executors as one broadcast."""
+    """Both views and their combination; it travels to executors as one broadcast by value."""
 
     def __init__(self, chosen=None, prior: float = 0.0):
         import numpy as np
@@ -328,7 +328,7 @@ def exchanged(features: DataFrame, model: Model, limits: dict) -> dict:
     """pseudo_counts() over all rows of features. A task gives a row for each count that isn't 0; they are summed by key."""
     import numpy as np
 
-    shared = features.sparkSession.sparkContext.broadcast((model, limits))
+    shared = broadcast_by_value(features.sparkSession, (model, limits))
     receivers = [(view, label) for view in VIEWS for label in (0, 1)]
 
     def run(batches):
@@ -336,9 +336,10 @@ def exchanged(features: DataFrame, model: Model, limits: dict) -> dict:
         import pyarrow as pa
 
         sums: dict = {}
+        given = shared()
         for batch in batches:
             if batch.num_rows:
-                for key, counts in pseudo_counts(*shared.value, *unpacked(*(c.to_pylist() for c in batch.columns[1:]))).items():
+                for key, counts in pseudo_counts(*given, *unpacked(*(c.to_pylist() for c in batch.columns[1:]))).items():
                     sums[key] = sums[key] + counts if key in sums else counts
         for key, counts in sums.items():
             at = np.flatnonzero(counts)
@@ -395,15 +396,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 10_000, vocab
 
 def score(features: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """SCHEMA for every row of features: probabilities of being unwanted, and keep, where the combined one is below the threshold."""
-    shared = features.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast_by_value(features.sparkSession, model)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        model = shared()
         for batch in batches:
             if batch.num_rows:
-                found = shared.value.scores(*unpacked(*(c.to_pylist() for c in batch.columns[1:])))
+                found = model.scores(*unpacked(*(c.to_pylist() for c in batch.columns[1:])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.asarray(x, np.float64)) for x in found], pa.array(np.asarray(found[2]) < threshold)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
     return features.mapInArrow(run, SCHEMA)
@@ -430,14 +432,14 @@ def keep_wanted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **ho
     Rows are scored where they are: nothing is joined or shuffled.
     """
     model, _ = train(docs, labels, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast_by_value(docs.sparkSession, model)
     columns = {c: docs.columns.index(c) if c in docs.columns else None for c in ("text", "lang", "source", "n_chars")}
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids, model = WordIds(), shared.value
+        ids, model = WordIds(), shared()
         vocabulary = [] if model.chosen is None else model.chosen
         for batch in batches:
             if not batch.num_rows:
