@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from ._shared import materialize, private
 
 WINDOW = 3
-#: A line ends where the text says so: at a line break, or, from LEAST words on, after a word that ends a sentence; at the
-#: latest after WRAP words.
+#: A line ends where the text says so: at a line break, or, from LEAST words on, after a word that ends a sentence. Where
+#: neither comes within WRAP words, it ends after the first word, from LEAST words on, that ends with one of CUTS.
 LEAST, WRAP = 3, 16
 #: The marks that end a sentence.
 ENDS = ".!?"
+#: Every fourth letter of the Latin, Greek and Cyrillic alphabets: about every fifth word ends with one.
+CUTS = "dhlptxDHLPTXδθμπυωΔΘΜΠΥΩгзлпучыяГЗЛПУЧЫЯ"
 SPACE = " \t\n\x0b\f\r"
 
 
 def line_pattern(wrap: int = WRAP) -> str:
     """A line with the white space around it; all lines of a text make up the text."""
-    least = min(LEAST, wrap)
-    return rf"\s*+(?:\S++[^\S\n]++){{0,{least - 1}}}(?:\S++(?<![{ENDS}])[^\S\n]++){{0,{wrap - least}}}\S++\s*+"
+    space, gap = r"\x20\t\n\x0b\f\r", r"[\x20\t\x0b\f\r]"
+    word, least = f"[^{space}]++", min(LEAST, wrap)
+    first, more = f"(?:{word}{gap}++)", f"{{0,{wrap - least}}}"
+    within = lambda marks: f"(?:{word}(?<![{marks}]){gap}++){more}"
+    sentence = f"{first}{{{least - 1}}}{within(ENDS)}{word}(?<=[{ENDS}])[{space}]*+"
+    broken = rf"{first}{{0,{least - 1}}}{within(ENDS)}{word}{gap}*+(?:\n[{space}]*+|\z)"
+    cut = f"{first}{{{least - 1}}}{within(CUTS)}{word}[{space}]*+"
+    return f"[{space}]*+(?:{sentence}|{broken}|{cut})"
 
 
 def lines(text: Column, wrap: int = WRAP) -> Column:
@@ -92,8 +100,9 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = 0) -> DataFr
     """docs with text rewritten, and n_removed (lines) and removed (spans of lines) added.
 
     Lines are those of the text, cut further after each word that ends a sentence, unless that makes a line of less
-    than LEAST words; so a passage in the middle of a paragraph is made of the same lines wherever it stands. What has neither is cut after `wrap` words; only there
-    does a line hang on what is before it. Every window of three consecutive lines is hashed. Of the windows with one
+    than LEAST words. A stretch of more than `wrap` words without either is cut after words that end with one of CUTS,
+    as far apart. So a passage in the middle of a paragraph is made of the same lines wherever it stands, but for a few
+    at its beginning. Only where no such word comes is a line cut after `wrap` words, and hangs on what is before it. Every window of three consecutive lines is hashed. Of the windows with one
     hash, all but those of the first document that has it are later occurrences, and so are those further down in that
     document unless they overlap the first there. The lines that later occurrences cover are removed.
 
@@ -116,7 +125,7 @@ def dedup_lines(docs: DataFrame, wrap: int = WRAP, min_bytes: int = 0) -> DataFr
     windows = materialize(hashed.select(key, mark, F.inline(F.concat(listed, repeats))).where("h is not null or own"), "line-windows")
 
     at = F.struct(key, mark)
-    first = windows.where("not own").groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").drop("last")
+    first = windows.where("not own").groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     covered = windows.where("not own").join(materialize(first, "line-repeats"), "h").where(at > F.col("first")).select(key, mark, "p")
     covered = covered.union(windows.where("own").select(key, mark, "p")).groupBy(key, mark).agg(F.collect_set("p").alias(later))
 

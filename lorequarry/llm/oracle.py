@@ -18,10 +18,16 @@ e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.label = b.label AND a.i
 {REACH}
 SELECT n.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = n.id) AS n_links, min(r.b) AS component_id, n.id = min(r.b) AS kept FROM n JOIN r ON r.a = n.id GROUP BY n.id"""
 
-LINES = r"""WITH
-l AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:\S+[^\S\n]+){0,2}(?:\S*[^\s.!?][^\S\n]+){0,13}\S+\s*') AS ls FROM documents),
+#: What a line is, without looking around: the white space, the words before its last one, and the three ways to end.
+_S, _GAP = r"\x20\t\n\x0b\f\r", r"[\x20\t\x0b\f\r]+"
+_CUTS = "dhlptxDHLPTXδθμπυωΔΘΜΠΥΩгзлпучыяГЗЛПУЧЫЯ"
+_SENTENCE = rf"(?:[^{_S}]+{_GAP}){{2}}(?:[^{_S}]*[^{_S}.!?]{_GAP}){{0,13}}[^{_S}]*[.!?](?:[{_S}]+|\z)"
+_BROKEN = rf"(?:[^{_S}]+{_GAP}){{0,2}}(?:[^{_S}]*[^{_S}.!?]{_GAP}){{0,13}}[^{_S}]+(?:[\x20\t\x0b\f\r]*\n[{_S}]*|[{_S}]*\z)"
+_CUT = rf"(?:[^{_S}]+{_GAP}){{2}}(?:[^{_S}]*[^{_S}{_CUTS}]{_GAP}){{0,13}}[^{_S}]+[{_S}]*"
+LINES = rf"""WITH
+l AS (SELECT doc_id, text, regexp_extract_all(text, '[{_S}]*(?:{_SENTENCE}|{_BROKEN}|{_CUT})') AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
-t AS (SELECT doc_id, i, line, regexp_replace(regexp_replace(line, '^\s+', ''), '\s+$', '') AS s FROM x),
+t AS (SELECT doc_id, i, line, regexp_replace(regexp_replace(line, '^[{_S}]+', ''), '[{_S}]+$', '') AS s FROM x),
 c AS (SELECT doc_id, i, s, lead(s) OVER o AS s2, lead(s, 2) OVER o AS s3 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 w AS (SELECT doc_id, i, [s, s2, s3] AS w FROM c WHERE s3 IS NOT NULL),
 f AS (SELECT w, min(doc_id) AS least FROM w GROUP BY w),

@@ -8,7 +8,25 @@ from lorequarry.llm import line_dedup
 
 from .conftest import paragraphs, sentence
 
-LINE = re.compile(r"[ \t\n\x0b\f\r]*(?:[^ \t\n\x0b\f\r]+[ \t\x0b\f\r]+){0,2}(?:[^ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r.!?][ \t\x0b\f\r]+){0,13}[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*")
+SPACE = " \t\n\x0b\f\r"
+
+
+class LINE:
+    @staticmethod
+    def findall(text):
+        """The lines of a text, word by word."""
+        parts = re.findall(f"[{SPACE}]*[^{SPACE}]+[{SPACE}]*", text)
+        out, at = [], 0
+        while at < len(parts):
+            words = [p.strip(SPACE) for p in parts[at : at + 16]]
+            broken = [i + 1 for i in range(len(words)) if at + i + 1 == len(parts) or "\n" in parts[at + i][parts[at + i].index(words[i]) + len(words[i]) :]]
+            n = broken[0] if broken else None
+            ends = [i + 1 for i, w in enumerate(words[:n]) if i >= 2 and w[-1] in ".!?"]
+            cuts = [i + 1 for i, w in enumerate(words) if i >= 2 and w[-1] in line_dedup.CUTS]
+            n = ends[0] if ends else n or (cuts[0] if cuts else 16)
+            out.append("".join(parts[at : at + n]))
+            at += n
+        return out
 
 
 def place(doc, text):
@@ -84,6 +102,28 @@ def test_a_passage_is_found_wherever_it_stands_in_a_paragraph(spark):
     assert sum(passages[i] in out[2 * i + 1] for i in range(100)) == 0
 
 
+def test_a_passage_without_marks_is_found_wherever_it_stands(spark):
+    rng = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for length in (80, 55):
+        passages = [some(length) for _ in range(60)]
+        rows = [(2 * i + k, f"{some(rng.randrange(5, 60))} {p} {some(rng.randrange(5, 60))}") for i, p in enumerate(passages) for k in (0, 1)]
+        found = [d for d, _, n in result(spark.createDataFrame(rows, "doc_id long, text string")) if n]
+        assert len(found) >= 58 and all(d % 2 for d in found)
+
+
+def test_lines_make_up_the_text_and_white_space_is_that_of_ascii(spark):
+    rng = random.Random(23)
+    parts = ["wool", "den.", "is", "x", "ah!", "no?", "ø", "Ω", " ", "  ", "\n", "\t", "\x0b", "\f", "\r", "\xa0", "\x1c"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", line_dedup.lines(line_dedup.F.col("text")).alias("found")).collect()
+    for r in got:
+        assert list(r.found) == LINE.findall(texts[r.i]), texts[r.i]
+        assert "".join(r.found) == texts[r.i] or not texts[r.i].strip(SPACE)
+
+
 def test_very_long_texts_take_linear_time(spark):
     rows = [(1, "the same line again\n" * 250_000), (2, "".join(f"line {i % 1000}\n" for i in range(250_000)))]
     began = time.time()

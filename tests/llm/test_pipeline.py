@@ -21,7 +21,8 @@ def test_stages(spark, tmp_path):
         labels.append((i, int(i % 5 != 1), 0))
     base = sentence(rng, 200).split()
     for i in range(6):  # near copies with an edit in every window of three lines, so that they are left to the join
-        text = " ".join(f"v{i}" if at in (20, 68, 116, 164) else w for at, w in enumerate(base))
+        # sentences of 16 words: in unmarked text what is equal between two edits would be a passage by itself
+        text = " ".join((f"v{i}" if at in (20, 68, 116, 164) else w) + ("." if at % 16 == 15 else "") for at, w in enumerate(base))
         rows.append((200 + i, text, "en", "s1", len(text)))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
