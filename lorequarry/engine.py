@@ -13,7 +13,7 @@ from .errors import KnowledgeError
 from .functions import text
 from .functions.embedders import Embedder, Tokenizer, embedder_for, tokenizer_for
 from .operators import documents as manage
-from .operators import graph, index, ingest, search
+from .operators import cells, graph, index, ingest, search
 from .schema import SCHEMA_VERSION, TABLES, all_of, check_chunks, check_documents
 from .store import Store
 
@@ -38,17 +38,47 @@ class KnowledgeBase:
         if not state["version"] or state["schema"] == SCHEMA_VERSION:
             return False
         tables = {name: df for name, df in self.store.tables(state).items() if state["tables"].get(name)}
+        stats = None
         if "chunk" in tables:
-            tables["chunk"] = ingest.indexed(tables["chunk"])
-            tables["posting"] = ingest.posted(tables["chunk"])
+            chunks = tables["chunk"] = ingest.indexed(tables["chunk"])
+            added, stats = self._index(chunks, state)
+            tables |= added
         if "meta" in tables:
             tables["meta"] = tables["meta"].where("key <> 'schema_version'").unionByName(self.store.meta_table(schema_version=SCHEMA_VERSION))
-        self.store.commit(replace=tables, migrating=True, since=state["version"])
+        self.store.commit(replace=tables, migrating=True, since=state["version"], stats=stats)
         return True
 
+    def _index(self, chunks: DataFrame, state: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
+        """What is stored beside chunks (with embedding and terms) to find them, and their numbers.
+
+        Centers are those of the state that is given, or trained on these chunks, if there are enough of them.
+        """
+        sums = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
+        centers, added = self.centers(state) if state else [], {"posting": ingest.posted(chunks)}
+        if not centers and sums["n"] >= cells.TRAIN_FROM:
+            centers = cells.trained(chunks, sums["n"])
+            added["center"] = self.spark.createDataFrame(list(enumerate(centers, 1)), TABLES["center"])
+        added["vector"] = cells.assigned(chunks, centers)
+        added["reach"] = cells.reach(added["vector"])
+        return added, {"chunks": sums["n"], "terms": sums["terms"]}
+
+    def centers(self, state: dict) -> list[list[float]]:
+        """The trained centers of the cells 1, 2, ...; at most MAX_CELLS."""
+        if not state["tables"].get("center"):
+            return []
+        return [r["center"] for r in self.store.table("center", state).orderBy("cell").collect()]
+
     def compact(self) -> int:
-        """Writes all tables anew, without what was deleted, as one part each; the new version."""
-        return self.store.compacted()
+        """Writes all tables anew, without what was deleted, as one part each, with newly trained cells; the new version."""
+        state = self.store.pointer()
+        anew = {}
+        if state["tables"].get("chunk"):
+            chunks = self.store.table("chunk", state)
+            # indexed by the text, as stored: blocks are full again, and cells are those of all vectors
+            anew, _ = self._index(chunks)
+            if state["tables"].get("center") and "center" not in anew:
+                anew["center"] = self.spark.createDataFrame([], TABLES["center"])
+        return self.store.compacted(anew)
 
     def _meta(self) -> DataFrame:
         return self.store.meta_table(schema_version=SCHEMA_VERSION, embedding_model=self.embedder.name, embedding_dimension=self.embedder.dimension, tokenizer=self.tokenizer.name)
@@ -107,14 +137,21 @@ class KnowledgeBase:
         replaced = new.where(F.col("_known").isNotNull()).select("document_id")
         entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
 
-        added = {"document": new, "chunk": chunks, "mentions": mentions, "entity": entities, "posting": ingest.posted(chunks)}
+        found, stats = self._index(chunks, pointer)
+        added = {"document": new, "chunk": chunks, "mentions": mentions, "entity": entities, **found}
         if self.config.graph.extended:
             added["related_to"] = graph.part_of(new, "document_id").withColumn("weight", F.lit(1.0))
         bad = not failed.isEmpty()
         if bad:
             added["failure"] = failed.select("source", "error", F.current_timestamp().alias("failed_at"))
         if not new.isEmpty() or bad:
-            self.store.commit({t: df for t, df in added.items() if t == "failure" or not new.isEmpty()}, deleted=None if not force or replaced.isEmpty() else replaced, since=pointer["version"])
+            gone = None if not force or replaced.isEmpty() else replaced
+            forgotten = None
+            if gone is not None:
+                forgotten, less = self._forgotten(gone, pointer)
+                stats = {key: stats[key] - less[key] for key in stats}
+            some = not new.isEmpty()
+            self.store.commit({t: df for t, df in added.items() if t == "failure" or some}, deleted=gone, since=pointer["version"], forgotten=forgotten, stats=stats if some else None)
 
         state = F.when(F.col("chunks") == 0, "empty").when(F.col("_known").isNotNull(), "updated").otherwise("created")
         summary = ingest.upload_summary(taken, chunks, mentions)
@@ -131,51 +168,101 @@ class KnowledgeBase:
         self.store.remove(staged)
         return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
+    def _forgotten(self, gone: DataFrame, state: dict) -> tuple[DataFrame, dict]:
+        """(term, df) and the numbers of the stored chunks of documents (document_id) that go; only their text is read again."""
+        chunks = self.store.table("chunk", state).join(gone.select("document_id").distinct(), "document_id", "left_semi")
+        sums = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
+        terms = ingest.plain_postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return terms.repartitionByRange("term").sortWithinPartitions("term"), {"chunks": sums["n"], "terms": sums["terms"]}
+
     # answers out
 
-    def search(self, query: str | Sequence[str], mode: str | None = None, top_k: int | None = None, graph_expand: int = 0, filter: Mapping[str, str] | None = None, prefilter: bool = False) -> DataFrame:
+    def search(self, query: str | Sequence[str], mode: str | None = None, top_k: int | None = None, graph_expand: int = 0, filter: Mapping[str, str] | None = None, prefilter: bool = False, exact: bool = True, probes: int = 8, hops: int = 0) -> DataFrame:
         """query_id, rank, document_id, chunk_id, chunk_idx, content, score, title, source, highlights (stretches around
         query terms, but for vector mode) and matched_entities (of chunks that graph_expand adds) for one query or many.
 
-        Keywords are looked up in the stored postings; of the text only that of the hits is read. The filter is applied after the top k, so fewer rows may come; with prefilter before, to all chunks. Chunks
-        that graph_expand adds come after the hits.
+        Hits are found in the stored blocks of postings and cells of vectors (self.read tells how much of them was
+        read), then their text is read by name. Vectors: exact, or with exact=False from the `probes` nearest cells. The
+        filter is applied after the top k, so fewer rows may come; with prefilter before, to all chunks, whose postings
+        and vectors are then read. Chunks that share an entity with the first hits, graph_expand of them at most, come
+        after the hits; with hops, those of entities so many edges away too, and all are ranked anew by their distance.
         """
         mode, k = mode or self.config.search.default_mode, top_k or self.config.search.top_k
         if mode not in search.MODES:
             raise KnowledgeError("E_VALIDATION", f"unknown mode: {mode}")
         given = search.check_filter(filter)
-        queries = [query] if isinstance(query, str) else list(query)
-        asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+        queries = [query] if isinstance(query, str) else [*query]
+        asked = self.spark.createDataFrame([*enumerate(queries)], "query_id long, query string")
         now = self.store.pointer()
-        documents, chunks, posted = (self.store.table(t, now) for t in ("document", "chunk", "posting"))
+        keep = None
         if prefilter and given:
-            keep = documents.where(all_of([F.col(c) == v for c, v in given.items()])).select("document_id")
-            chunks, posted = (t.join(keep, "document_id", "left_semi") for t in (chunks, posted))
-        terms = asked.select("query_id", F.explode(text.analyzed(F.col("query"))).alias("term"))
-        vectors = asked.select("query_id", self.embedder.embed(F.col("query"), F.lit(0)).alias("vector"))
-        how = {"k1": self.config.search.bm25_k1, "b": self.config.search.bm25_b}
-        by_vector = lambda k: search.vector_search(chunks, vectors, k)
-        by_term = lambda k: search.top_k(index.stored_scores(posted, chunks.select("terms"), terms, **how), k)
+            keep = self.store.table("document", now).where(all_of([F.col(c) == v for c, v in given.items()])).select("document_id")
+        self.read: dict = {}
+        by_vector = lambda k: self._by_vector(asked, k, now, keep, exact, probes)
+        by_term = lambda k: self._by_term(asked, k, now, keep)
         if mode == "vector":
             hits = by_vector(k)
         elif mode == "keyword":
             hits = by_term(k)
         else:
             hits = search.fused(by_vector(3 * k), by_term(3 * k), k, self.config.search.rrf_k)
-        nothing = F.array().cast("array<string>")
-        matched = hits.select("query_id", "id", nothing.alias("matched")).limit(0)
-        if graph_expand > 0:
+        matched = None
+        few = len(queries) * (k + graph_expand) <= search.MAX_HITS
+        if few:  # ranked once; what follows reads by these names
+            hits = self.spark.createDataFrame(hits.collect(), hits.schema)
+        if graph_expand > 0 and hops > 0:
+            mentions = self.store.table("mentions", now)
+            ranked = graph.reranked(hits, mentions, graph.reached(hits, mentions, self.store.table("related_to", now), hops), graph_expand)
+            if few:
+                ranked = self.spark.createDataFrame(ranked.collect(), ranked.schema)
+            hits, matched = ranked.drop("matched"), ranked.select("query_id", "id", "matched")
+        elif graph_expand > 0:
             more = graph.expand_hits(hits, self.store.table("mentions", now), graph_expand)
             hits, matched = graph.appended(hits, more), more.select("query_id", "id", "matched")
-        few = len(queries) * (k + graph_expand) <= search.MAX_HITS
+        return self._told(asked, hits, matched, now, given, mode != "vector", few)
+
+    def _by_vector(self, asked: DataFrame, k: int, now: dict, keep: DataFrame | None, exact: bool, probes: int) -> DataFrame:
+        vectors = asked.select("query_id", self.embedder.embed(F.col("query"), F.lit(0)).alias("vector"))
+        stored = self.store.table("vector", now)
+        if keep is not None:
+            return search.vector_search(stored.join(keep, "document_id", "left_semi"), vectors, k)
+        stats = {r["cell"]: (r["rows"], r["radius"]) for r in self.store.table("reach", now).collect()}  # a row for each cell
+        hits, self.read["vector"] = cells.cell_search(stored, self.centers(now), stats, vectors, k, exact, probes)
+        return hits
+
+    def _by_term(self, asked: DataFrame, k: int, now: dict, keep: DataFrame | None) -> DataFrame:
+        terms = asked.select("query_id", F.explode(text.analyzed(F.col("query"))).alias("term"))
+        how = {"k1": self.config.search.bm25_k1, "b": self.config.search.bm25_b}
+        many = terms.select("term").distinct().limit(index.NAMED_TERMS + 1).count() > index.NAMED_TERMS
+        if keep is None and not many:
+            alive = lambda rows: self.store.alive(rows, "posting", now)
+            scores, self.read["keyword"] = index.block_search(self.store.blocks(now), alive, self.store.forgotten(now), now["stats"]["chunks"], now["stats"]["terms"], terms, k, **how)
+            return search.top_k(scores, k)
+        posted, chunks = self.store.table("posting", now), self.store.table("chunk", now)
+        if keep is not None:
+            posted, chunks = (t.join(keep, "document_id", "left_semi") for t in (posted, chunks))
+        return search.top_k(index.stored_scores(posted, chunks.select("terms"), terms, **how), k)
+
+    def _told(self, asked: DataFrame, hits: DataFrame, matched: DataFrame | None, now: dict, given: dict, marked: bool, few: bool) -> DataFrame:
+        """hits with their text, and what their documents are called. So many hits as can be named are named in the scans."""
+        documents, chunks = self.store.table("document", now), self.store.table("chunk", now)
+        named = [r["id"] for r in hits.select("id").distinct().limit(search.NAMED_HITS + 1).collect()] if few else []
+        if few and len(named) <= search.NAMED_HITS:
+            chunks = chunks.where(F.col("chunk_id").isin(named))
+            documents = documents.where(F.col("document_id").isin(sorted({n.rpartition("#")[0] for n in named})))
         told = chunks.select(F.col("chunk_id").alias("id"), "document_id", F.col("idx").alias("chunk_idx"), "content")
         full = told.join(F.broadcast(hits) if few else hits, "id")
         full = search.filtered(full, documents, given)
-        named = documents.select("document_id", "title", "source").join(F.broadcast(full) if few else full, "document_id")
+        called = documents.select("document_id", "title", "source").join(F.broadcast(full) if few else full, "document_id")
+        nothing = F.array().cast("array<string>")
+        if matched is None:
+            called = called.withColumn("matched", nothing)
+        else:
+            called = called.join(matched, ["query_id", "id"], "left")
         words = asked.select("query_id", F.array_distinct(text.analyzed(F.col("query"))).alias("_words"))
-        named = named.join(F.broadcast(search.check_queries(words)), "query_id").join(matched, ["query_id", "id"], "left")
-        marks = nothing if mode == "vector" else text.highlights(F.col("content"), F.col("_words"))
-        return named.select(
+        called = called.join(F.broadcast(search.check_queries(words)), "query_id")
+        marks = text.highlights(F.col("content"), F.col("_words")) if marked else nothing
+        return called.select(
             "query_id", "rank", "document_id", F.col("id").alias("chunk_id"), "chunk_idx", "content", "score", "title", "source",
             marks.alias("highlights"), F.coalesce("matched", nothing).alias("matched_entities"),
         ).orderBy("query_id", "rank")
@@ -189,12 +276,17 @@ class KnowledgeBase:
     def delete(self, document_id: str | Sequence[str]) -> DataFrame:
         """document_id, chunks_deleted for each id that was given, in one commit; an unknown one has 0. Only the ids are written."""
         ids = [document_id] if isinstance(document_id, str) else [*document_id]
-        gone = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "document_id string")
+        return self.delete_rows(self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "document_id string"))
+
+    def delete_rows(self, gone: DataFrame) -> DataFrame:
+        """delete() of the documents of a table (document_id)."""
+        gone = gone.select("document_id").distinct()
         pointer = self.store.pointer()
         chunks = self.store.table("chunk", pointer)
         counts = chunks.join(gone, "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_deleted"))
         if not self.store.table("document", pointer).join(gone, "document_id", "left_semi").isEmpty():
-            self.store.commit(deleted=gone, since=pointer["version"])
+            forgotten, less = self._forgotten(gone, pointer)
+            self.store.commit(deleted=gone, since=pointer["version"], forgotten=forgotten, stats={key: -n for key, n in less.items()})
         return gone.join(counts, "document_id", "left").select("document_id", F.coalesce("chunks_deleted", F.lit(0)).cast("long").alias("chunks_deleted"))
 
     def stats(self) -> dict:
@@ -247,7 +339,14 @@ class KnowledgeBase:
             return reindex_counts(stored["document"], chunks)
         entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
         new = ingest.indexed(ingest.embedded(chunks, self.embedder))
-        self.store.commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, "posting": ingest.posted(chunks)}, since=pointer["version"])
+        staged = self.store.scratch()
+        new.write.parquet(f"{staged}/chunks")  # embedded once
+        new = self.spark.read.schema(new.schema).parquet(f"{staged}/chunks")
+        found, stats = self._index(new)
+        if "center" not in found:
+            found["center"] = self.spark.createDataFrame([], TABLES["center"])
+        self.store.commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, **found}, since=pointer["version"], stats=stats)
+        self.store.remove(staged)
         done = self.table("chunk").agg(F.count_distinct("document_id").alias("d"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("t")).first()
         return {"dry_run": False, "documents_processed": done["d"], "chunks_created": done["c"], "tokens_total": done["t"], "entities_extracted": self.table("mentions").count()}
 

@@ -21,6 +21,8 @@ class Embedder(Protocol):
 
 
 class Tokenizer(Protocol):
+    """chunks(): (idx, content, token_count, start) of windows; start is where content begins, in code points."""
+
     name: str
 
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column: ...
@@ -113,10 +115,12 @@ class WhitespaceTokenizer:
     name = "whitespace"
 
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column:
-        return text.windows(text.whitespace_tokens(content), max_tokens, overlap_tokens)
+        made = text.windows(text.whitespace_tokens(content), max_tokens, overlap_tokens)
+        lead = F.length(F.regexp_extract(content, r"^\s*", 0))
+        return F.transform(made, lambda w: w.withField("start", w["start"] + lead))
 
 
-CHUNKS = T.ArrayType(T.StructType([T.StructField("idx", T.LongType()), T.StructField("content", T.StringType()), T.StructField("token_count", T.LongType())]))
+CHUNKS = T.ArrayType(T.StructType([T.StructField("idx", T.LongType()), T.StructField("content", T.StringType()), T.StructField("token_count", T.LongType()), T.StructField("start", T.LongType())]))
 
 
 class FileTokenizer:
@@ -139,7 +143,7 @@ class FileTokenizer:
                 spans, rows, start = encoded.offsets, [], 0
                 while start < len(spans):
                     end = min(start + max_tokens, len(spans))
-                    rows.append({"idx": len(rows), "content": text_[spans[start][0] : spans[end - 1][1]], "token_count": end - start})
+                    rows.append({"idx": len(rows), "content": text_[spans[start][0] : spans[end - 1][1]], "token_count": end - start, "start": spans[start][0]})
                     if end == len(spans):
                         break
                     start += step

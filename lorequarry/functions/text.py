@@ -84,23 +84,31 @@ def window_count(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column
 
 
 def windows(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column:
-    """Overlapping windows as (idx, content, token_count): content is the exact stretch of text, without white space at its end."""
+    """Overlapping windows as (idx, content, token_count, start): content is the exact stretch of text, without white space
+    at its end, and start where it begins, in code points from the first token's beginning."""
     check_windows(max_tokens, overlap_tokens)
     step = max_tokens - overlap_tokens
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x)
 
     def cut(tokens: Column) -> Column:
         count = window_count(F.size(tokens), max_tokens, overlap_tokens)
         numbers = F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        # of the tokens between a window's first and the next one's
+        sizes = F.transform(numbers, lambda i: total(F.transform(F.slice(tokens, i * step + 1, F.lit(step)), lambda t: F.length(t))))
 
-        def window(i: Column) -> Column:
+        def window(i: Column, sizes: Column) -> Column:
             part = F.slice(tokens, i * step + 1, F.lit(max_tokens))
             content = F.regexp_replace(F.array_join(part, ""), r"\s+$", "")
-            return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"))
+            return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"), total(F.slice(sizes, 1, i)).alias("start"))
 
-        return F.transform(numbers, window)
+        return once(sizes, lambda sizes: F.transform(numbers, lambda i: window(i, sizes)))
 
-    # tokens become a variable of a lambda: they are made once for a row, not once for each window
-    return F.get(F.transform(F.array(tokens), cut), F.lit(0))
+    return once(tokens, cut)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value as a variable of a lambda: it is made once for a row, not once for each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def clean_name(name: Column) -> Column:
@@ -143,6 +151,41 @@ def headings(text: Column) -> Column:
     return F.filter(split, lambda h: (F.octet_length(h["name"]) > 2) & (clean_name(h["name"]) != ""))
 
 
+#: A Markdown heading with its marks, as HEADING takes it.
+HEADING_LINE = r"(?Udm)^#{1,6}\s+.+"
+
+
+def heading_paths(text: Column) -> Column:
+    """(at, path) of the Markdown headings that entities() takes, in order: at is where one begins, in code points, and
+    path its name after those of the headings that it stands under, as "A > B > C"."""
+    total = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def placed(lines: Column) -> Column:
+        def between(gaps: Column) -> Column:
+            def head(line: Column, i: Column) -> Column:
+                name = F.regexp_replace(line, r"(?U)^#+\s+|\s+$", "")
+                return F.struct((total(gaps, i + 1) + total(lines, i)).alias("at"), F.length(F.regexp_extract(line, r"^(#+)", 1)).alias("level"), name.alias("name"))
+
+            return F.filter(F.transform(lines, head), lambda h: (F.octet_length(h["name"]) > 2) & (clean_name(h["name"]) != ""))
+
+        return once(F.split(text, HEADING_LINE), between)
+
+    def add(state: Column, h: Column) -> Column:
+        above = F.concat(F.filter(state["above"], lambda a: a["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["name"].alias("name"))))
+        path = F.array_join(F.transform(above, lambda a: a["name"]), " > ")
+        return F.struct(above.alias("above"), F.concat(state["found"], F.array(F.struct(h["at"].alias("at"), path.alias("path")))).alias("found"))
+
+    start = F.struct(F.array().cast("array<struct<level:int,name:string>>").alias("above"), F.array().cast("array<struct<at:int,path:string>>").alias("found"))
+    heads = once(F.regexp_extract_all(text, F.lit(f"({HEADING_LINE})"), F.lit(1)), placed)
+    return F.aggregate(heads, start, add, lambda state: state["found"])
+
+
+def heading_of(paths: Column, start: Column) -> Column:
+    """The path of the last heading that begins at start or before; null before the first one."""
+    before = F.filter(paths, lambda h: h["at"] <= start)
+    return F.get(before, F.size(before) - 1)["path"]
+
+
 def highlights(text: Column, terms: Column, most: int = 3, around: int = 40) -> Column:
     """Up to `most` stretches of text around occurrences of index terms (letters or digits alone), with `around` characters on either side."""
     edge = r"[\p{L}\p{N}]"

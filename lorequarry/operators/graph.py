@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import KnowledgeError
 from ..functions import text
+from ..store import shared_folder
 
 MAX_DEPTH = 5
 
@@ -103,7 +104,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the folder that the cluster names, which survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -161,6 +162,50 @@ def expand_hits(hits: DataFrame, mentions: DataFrame, max_expand: int, first: in
     return new.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_expand).select("query_id", "id", F.lit(1.0).alias("score"), "matched")
 
 
+def reached(hits: DataFrame, mentions: DataFrame, edges: DataFrame, hops: int, decay: float = 0.5, first: int = 3) -> DataFrame:
+    """(query_id, entity_id, reach): how much of the first hits' scores comes to an entity, over at most `hops` edges.
+
+    What a hit (query_id, id, rank, score) mentions has its score times decay, and an edge (src, dst, weight) passes on
+    what its source has, times decay and its weight, 1 at most; of several ways the best counts. All queries and all
+    starts go at once: a hop is one equi join with the edges of the frontier, combined to one row for each node before
+    the shuffle, and only nodes whose reach grew go on. Each level is stored before the next is made from it.
+    """
+    seeds = hits.where(F.col("rank") <= first).select("query_id", F.col("id").alias("chunk_id"), "score")
+    best = lambda rows: rows.groupBy("query_id", "entity_id").agg(F.max("reach").alias("reach"))
+    found = best(seeds.join(mentions, "chunk_id").select("query_id", "entity_id", (F.col("score") * decay).alias("reach")))
+    front = found
+    for hop in range(min(hops, MAX_DEPTH)):
+        if hop:
+            found, front = stored(found), stored(front)
+        way = edges.select(F.col("src").alias("entity_id"), "dst", F.least(F.coalesce("weight", F.lit(1.0)), F.lit(1.0)).alias("weight")).where("weight > 0")
+        step = best(front.join(way, "entity_id").select("query_id", F.col("dst").alias("entity_id"), (F.col("reach") * decay * F.col("weight")).alias("reach")))
+        had = found.withColumnRenamed("reach", "had")
+        front = step.join(had, ["query_id", "entity_id"], "left").where("had is null or reach > had").drop("had")
+        found = best(found.unionByName(front))
+    return found
+
+
+def reranked(hits: DataFrame, mentions: DataFrame, reach: DataFrame, max_expand: int, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank, matched): hits and at most max_expand further chunks of each query, ranked anew.
+
+    A chunk's score is its own, 0 if it is no hit, and the best reach (query_id, entity_id, reach) of what it mentions,
+    times decay already; ties go by id. matched: the entities of a further chunk that give it that reach, sorted.
+    Of an entity with very many chunks each task keeps the max_expand first by id, which are the only ones that can be
+    among its best, before anything is shuffled.
+    """
+    near = mentions.select("entity_id", F.col("chunk_id").alias("id")).join(reach, "entity_id")
+    own = hits.select("query_id", "id", F.col("score").alias("own"))
+    of_hits = near.join(own.drop("own"), ["query_id", "id"], "left_semi").groupBy("query_id", "id").agg(F.max("reach").alias("reach"))
+    told = own.join(of_hits, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("own") + F.coalesce("reach", F.lit(0.0)), digits).alias("score"), F.array().cast("array<string>").alias("matched"))
+    per = Window.partitionBy("query_id", "entity_id").orderBy("id")
+    more = near.join(own.drop("own"), ["query_id", "id"], "left_anti").withColumn("n", F.row_number().over(per)).where(F.col("n") <= max_expand)
+    more = more.withColumn("reach", F.round("reach", digits)).groupBy("query_id", "id", "reach").agg(F.sort_array(F.collect_set("entity_id")).alias("matched"))
+    more = more.groupBy("query_id", "id").agg(F.max(F.struct("reach", "matched")).alias("m")).select("query_id", "id", F.col("m.reach").alias("score"), F.col("m.matched").alias("matched"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    more = more.withColumn("n", F.row_number().over(best)).where(F.col("n") <= max_expand).drop("n")
+    return told.unionByName(more).withColumn("rank", F.row_number().over(best)).select("query_id", "id", "score", "rank", "matched")
+
+
 def appended(hits: DataFrame, more: DataFrame) -> DataFrame:
     """hits (query_id, id, score, rank) and then more, whose ranks go on after them."""
     last = hits.groupBy("query_id").agg(F.max("rank").alias("last"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import KnowledgeError
 from ..functions import text
@@ -94,3 +98,125 @@ def stored_scores(posted: DataFrame, lengths: DataFrame, queries: DataFrame, k1:
     hits = held.select("term", F.col("chunk_id").alias("id"), "tf", "length")
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("terms").alias("average"))
     return scored(hits, totals, wanted, k1, b, match_all)
+
+
+#: Postings of a block: of one term, in order of falling impact as far as the range of one task goes.
+BLOCK = 256
+#: A first look reads blocks of each term that hold so many postings for each of the k hits asked for.
+FIRST_LOOK = 8
+#: A search for so many terms at most states the bound of each in the scan.
+PUSHED_TERMS = 64
+POSTING = "struct<chunk_id:string,document_id:string,tf:bigint,length:bigint>"
+
+
+def blocked(posted: DataFrame) -> DataFrame:
+    """(term, n, max_tf, min_length, postings): postings (term, chunk_id, document_id, tf, length) in blocks of one term.
+
+    Dealt by term in one shuffle, in which Spark splits what is too large for a task, so a frequent term may be spread
+    over many. Sorted by falling frequency, then length, so a block's bounds are tight. A block's greatest frequency and least length bound the score of whatever is in it.
+    """
+    dealt = posted.select("term", "chunk_id", "document_id", "tf", "length").hint("rebalance", "term")
+    ordered = dealt.sortWithinPartitions("term", F.desc("tf"), "length", "chunk_id")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms = batch.column(0).dictionary_encode()
+            codes = terms.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[starts[1:], len(codes)]
+            cuts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts, ends)])
+            offsets = np.r_[cuts, len(codes)].astype(np.int32)
+            rows = pa.StructArray.from_arrays(batch.columns[1:], ["chunk_id", "document_id", "tf", "length"])
+            tf, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(cuts)), pa.array(np.diff(offsets), pa.int32()), pa.array(np.maximum.reduceat(tf, cuts)), pa.array(np.minimum.reduceat(length, cuts)), pa.ListArray.from_arrays(pa.array(offsets), rows)],
+                ["term", "n", "max_tf", "min_length", "postings"],
+            )
+
+    return ordered.mapInArrow(run, f"term string, n int, max_tf long, min_length long, postings array<{POSTING}>")
+
+
+@dataclass
+class Pruned:
+    """How many blocks the terms of a search have, and how many of them were read to rank."""
+
+    blocks: int = 0
+    read: int = 0
+
+
+def block_search(blocks: DataFrame, alive: Callable[[DataFrame], DataFrame], forgotten: DataFrame, n: int, length: int, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, match_all: bool = True) -> tuple[DataFrame, Pruned]:
+    """(query_id, id, score) as keyword_scores() gives them, of all rows that may be among the k best; and what was read.
+
+    blocks: as blocked() makes them. alive() drops the postings of deleted documents (document_id, v); forgotten (term,
+    df) are the numbers of those. n rows have `length` terms in all. queries (query_id, term) name NAMED_TERMS at most.
+
+    First the sizes and bounds of the terms' blocks are read, without their postings, as counts for each greatest
+    frequency and scale of length. The blocks of greatest impact give some rows, whose scores can only grow, so the k-th of them is a
+    threshold. A block whose bound, together with the greatest bounds of the query's other terms, stays below it can't
+    hold any of the k best, and isn't read: whatever is lost of another row's score by that, the row is below the
+    threshold anyhow. Ties at the threshold are kept.
+    """
+    spark, wanted = blocks.sparkSession, {}
+    for r in queries.select("query_id", "term").distinct().collect():
+        wanted.setdefault(r["query_id"], set()).add(r["term"])
+    named = sorted(set().union(*wanted.values())) if wanted else []
+    own = blocks.where(F.col("term").isin(named))
+    levels: dict = {}
+    scale = F.floor(2 * F.log2(F.col("min_length") + 1)).alias("scale")
+    told = own.groupBy("term", "max_tf", scale).agg(F.sum("n").alias("n"), F.min("min_length").alias("shortest"), F.max("min_length").alias("longest"), F.count(F.lit(1)).alias("blocks"))
+    for r in told.collect():
+        levels.setdefault(r["term"], []).append(r)
+    gone = {r["term"]: r["df"] for r in forgotten.where(F.col("term").isin(named)).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    df = {t: sum(x["n"] for x in rows) - gone.get(t, 0) for t, rows in levels.items()}
+    idf = {t: log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items() if d > 0}
+    average = length / n if n else 1.0
+    pruned = Pruned(sum(x["blocks"] for t in idf for x in levels[t]))
+    impact = lambda weight, tf, length: weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+    upper = {t: [(impact(idf[t], x["max_tf"], x["shortest"]), impact(idf[t], x["max_tf"], x["longest"]), x) for x in levels[t]] for t in idf}
+    most = {t: max(x[0] for x in rows) for t, rows in upper.items()}
+    asked = {q: [t for t in ts if t in idf] for q, ts in wanted.items() if not match_all or all(t in idf for t in ts)}
+    pairs = [(q, t, idf[t], len(ts)) for q, ts in asked.items() for t in ts]
+    weights = spark.createDataFrame(pairs, T.StructType([queries.schema["query_id"], *T._parse_datatype_string("term string, idf double, terms int")]))
+
+    def scores(need: dict[str, float]) -> DataFrame:
+        """Scores by the blocks whose own bound is need[term] or more."""
+        held = {t: [x for high, _, x in upper[t] if high >= m] for t, m in need.items()}
+        least = {t: (min(x["max_tf"] for x in rows), need[t], idf[t]) for t, rows in held.items() if rows}
+        pruned.read = sum(x["blocks"] for rows in held.values() for x in rows)  # at most
+        if len(least) <= PUSHED_TERMS:  # goes down to the scan, which skips pages whose frequencies are less
+            named = [(F.col("term") == t) & (F.col("max_tf") >= tf) & (impact(F.lit(w), F.col("max_tf"), F.col("min_length")) >= m) for t, (tf, m, w) in sorted(least.items())]
+            read = own.where(reduce(lambda x, y: x | y, named, F.lit(False)))
+        else:
+            floors = spark.createDataFrame([(t, m, w) for t, (_, m, w) in least.items()], "term string, need double, weight double")
+            read = own.join(F.broadcast(floors), "term").where(impact(F.col("weight"), F.col("max_tf"), F.col("min_length")) >= F.col("need"))
+        hits = alive(read.select("term", "v", F.inline("postings"))).join(F.broadcast(weights), "term")
+        summed = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.sum(impact(F.col("idf"), F.col("tf"), F.col("length"))).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("terms").alias("terms"))
+        return summed.where("matched = terms").select("query_id", "id", "score") if match_all else summed.select("query_id", "id", "score")
+
+    all_of_them = {t: 0.0 for t in idf if any(t in ts for ts in asked.values())}
+    look = {}
+    for t in all_of_them:
+        rows = 0
+        for _, low, x in sorted(upper[t], key=lambda x: -x[1]):
+            rows += x["n"]
+            look[t] = low - 1e-9
+            if rows >= FIRST_LOOK * k:
+                break
+        else:
+            look[t] = 0.0
+    if look == all_of_them:
+        return scores(all_of_them), pruned
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = scores(look).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    floor = {r["query_id"]: r["score"] for r in kth.select("query_id", "score").collect()}  # one row for a query
+    need: dict = {}
+    for q, terms in asked.items():
+        for t in terms:
+            others = sum(most[o] for o in terms if o != t)
+            need[t] = min(need.get(t, float("inf")), floor.get(q, 0.0) - others - 3e-6)
+    return scores({t: max(0.0, m) for t, m in need.items()}), pruned

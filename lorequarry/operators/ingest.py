@@ -26,10 +26,14 @@ def replace(existing: DataFrame, new: DataFrame, key: str = "sha256") -> DataFra
 
 
 def chunk_rows(documents: DataFrame, tokenizer: Tokenizer, max_tokens: int, overlap_tokens: int) -> DataFrame:
-    """(chunk_id, document_id, idx, content, token_count, heading): nothing is shuffled."""
-    made = documents.select("document_id", F.inline(tokenizer.chunks(F.col("content"), max_tokens, overlap_tokens)))
+    """(chunk_id, document_id, idx, content, token_count, heading, start): nothing is shuffled.
+
+    heading is the path of the last Markdown heading at or before the chunk's start, looked up within the row.
+    """
+    headed = documents.select("document_id", "content", text.heading_paths(F.col("content")).alias("_heads"))
+    made = headed.select("document_id", "_heads", F.inline(tokenizer.chunks(F.col("content"), max_tokens, overlap_tokens)))
     chunk_id = F.concat("document_id", F.lit("#"), F.col("idx").cast("string"))
-    return made.select(chunk_id.alias("chunk_id"), "document_id", "idx", "content", "token_count", F.lit(None).cast("string").alias("heading"))
+    return made.select(chunk_id.alias("chunk_id"), "document_id", "idx", "content", "token_count", text.heading_of(F.col("_heads"), F.col("start")).alias("heading"), "start")
 
 
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
@@ -42,7 +46,12 @@ def indexed(chunks: DataFrame) -> DataFrame:
 
 
 def posted(chunks: DataFrame) -> DataFrame:
-    """Rows of the table posting."""
+    """Rows of the table posting: blocks."""
+    return index.blocked(plain_postings(chunks))
+
+
+def plain_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, document_id, tf, length)."""
     made = index.postings(chunks, "chunk_id", "content")
     return made.select("term", F.col("id").alias("chunk_id"), F.regexp_replace("id", "#[0-9]+$", "").alias("document_id"), "tf", "length")
 

@@ -18,6 +18,8 @@ MODES = ("vector", "keyword", "hybrid")
 MAX_QUERIES = 10_000
 #: So many hits of all queries together are broadcast to the tables that tell of them.
 MAX_HITS = 1_000_000
+#: So many hits at most are named in the scans of what tells of them, which then skip what can't hold them.
+NAMED_HITS = 2_000
 #: Scores are compared after rounding to so many digits, so that ties don't hang on the order of a sum.
 DIGITS = 6
 
@@ -57,66 +59,87 @@ def vector_scores(rows: DataFrame, queries: DataFrame, id: str = "chunk_id", emb
     return pairs.select("query_id", "id", (vectors.dot(F.col("e"), F.col("q")) / (F.col("en") * F.col("qn"))).alias("score"))
 
 
-def vector_search(rows: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
-    """The k best of each query (query_id, vector) by exact cosine, in double precision, as vector_scores() gives them.
+def vectors_of(queries: DataFrame) -> list:
+    """(query_id, unit vector) of queries (query_id, vector), of a checked number; those that are null, zero or not finite are left out."""
+    import numpy as np
 
-    The queries, of a checked number, are broadcast as a matrix. Each batch of rows takes one matrix product and puts
-    out its k best for a query, and those that tie with them after rounding go by id; the ranking is Spark's.
-    Zero vectors, and those of another length than the query's, are left out.
-    """
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+    rows = asked.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
         raise KnowledgeError("E_VALIDATION", f"more than {MAX_QUERIES} queries at once")
-    given = [r for r in asked.collect() if r["q"] and all(x is not None for x in r["q"])]
-    shared = rows.sparkSession.sparkContext.broadcast(given)
-    base = rows.select(F.col(id).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    made = T.StructType([asked.schema["query_id"], base.schema["id"], T.StructField("score", T.DoubleType())])
+    out = []
+    for r in rows:
+        if r["q"] and all(x is not None for x in r["q"]):
+            v = np.asarray(r["q"], np.float64)
+            size = float(np.linalg.norm(v))
+            if np.isfinite(size) and size > 0:
+                out.append((r["query_id"], v / size))
+    return out
+
+
+def scanned(rows: DataFrame, given: list, wanted: dict[int, list[int]], k: int, query_id: T.StructField) -> DataFrame:
+    """(query_id, id, score): of rows (cell, id, embedding) those that may be among the k best of a query of given.
+
+    wanted: the queries, by their place in given, that a cell is read for. A task takes one matrix product for each
+    batch and cell, and keeps the k best of each query across its batches; ties after rounding go by id. It puts out
+    at most k rows for a query, all at its end.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((given, wanted))
+    base = rows.select("cell", "id", F.col("embedding").cast("array<double>").alias("e"))
+    made = T.StructType([query_id, base.schema["id"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        by_length: dict = {}
-        for r in shared.value:
-            size = float(np.linalg.norm(r["q"]))
-            if size > 0:
-                by_length.setdefault(len(r["q"]), []).append((r["query_id"], np.asarray(r["q"]) / size))
+        queries, asked = shared.value
+        best: dict = {}  # of a query's place: [(-rounded score, id, score)], sorted, at most k
+        by_cell: dict = {}
+        for cell, places in asked.items():
+            for place in places:
+                by_cell.setdefault((cell, len(queries[place][1])), []).append(place)
         for batch in batches:
-            lists, lengths = batch.column(1), np.asarray(batch.column(1).value_lengths().fill_null(0))
-            for length, own in by_length.items():
-                at = np.flatnonzero(lengths == length)
+            lists, cells = batch.column(2), batch.column(0).to_numpy(zero_copy_only=False)
+            lengths = np.asarray(lists.value_lengths().fill_null(0))
+            for (cell, length), places in by_cell.items():
+                at = np.flatnonzero((cells == cell) & (lengths == length))
                 if not len(at):
                     continue
-                flat = lists.take(pa.array(at)).flatten()
-                e = flat.to_numpy(zero_copy_only=False).reshape(-1, length)
+                e = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
                 sizes = np.sqrt(np.einsum("ij,ij->i", e, e))
                 fine = np.flatnonzero(sizes > 0)  # not null, nor zero
                 at, e = at[fine], e[fine] / sizes[fine][:, None]
-                ids = batch.column(0).take(pa.array(at))
-                order = np.empty(len(at), np.int64)
-                order[ids.to_pandas().argsort(kind="stable").to_numpy()] = np.arange(len(at))
-                for first in range(0, len(own), 256):
-                    part = own[first : first + 256]
-                    scores = e @ np.stack([q for _, q in part]).T
-                    for j, (query, _) in enumerate(part):
-                        s = scores[:, j]
-                        best = np.lexsort((order, -np.floor(s * 10.0**DIGITS + 0.5)))[:k] if len(s) <= 4 * k else _best(s, order, k)
-                        yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), batch_type(made[0])), ids.take(pa.array(best)), pa.array(s[best])], ["query_id", "id", "score"])
-
-    def _best(s, order, k):
-        import numpy as np
+                for first in range(0, len(places), 256):
+                    part = places[first : first + 256]
+                    scores = e @ np.stack([queries[p][1] for p in part]).T
+                    rounded = np.floor(scores * 10.0**DIGITS + 0.5)
+                    for j, place in enumerate(part):
+                        own, column = best.setdefault(place, []), rounded[:, j]
+                        near = np.flatnonzero(column >= -own[-1][0]) if len(own) >= k else np.arange(len(column))
+                        if len(near) > 4 * k:
+                            least = np.partition(column[near], len(near) - k)[len(near) - k]
+                            near = near[column[near] >= least]
+                        if len(near):
+                            ids = batch.column(1).take(pa.array(at[near])).to_pylist()
+                            best[place] = sorted([*own, *zip(-column[near], ids, scores[near, j])], key=lambda x: x[:2])[:k]
+        flat = [(queries[place][0], id, score) for place, own in best.items() for _, id, score in own]
+        for first in range(0, len(flat), 10_000):
+            part = list(zip(*flat[first : first + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(part, made)], [f.name for f in made])
+
+    return base.mapInArrow(run, made)
 
-        rounded = np.floor(s * 10.0**DIGITS + 0.5)
-        least = np.partition(rounded, len(s) - k)[len(s) - k]
-        near = np.flatnonzero(rounded >= least)
-        return near[np.lexsort((order[near], -rounded[near]))[:k]]
 
-    def batch_type(field):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        return to_arrow_type(field.dataType)
+def vector_search(rows: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
+    """The k best of each query (query_id, vector) by exact cosine, in double precision, as vector_scores() gives them.
 
-    return top_k(base.mapInArrow(run, made), k)
+    For rows without an index: all of them are read, as one cell. The queries, of a checked number, are broadcast as a
+    matrix. Zero vectors, and those of another length than the query's, are left out.
+    """
+    given = vectors_of(queries)
+    base = rows.select(F.lit(0).alias("cell"), F.col(id).alias("id"), F.col(embedding).alias("embedding"))
+    return top_k(scanned(base, given, {0: list(range(len(given)))}, k, queries.schema["query_id"]), k)
 
 
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from string import ascii_lowercase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Chunking, Config, Embedding, Storage
 from ..engine import KnowledgeBase
 from ..functions import text
-from ..functions.embedders import WhitespaceTokenizer
+from ..functions.embedders import Embedder, WhitespaceTokenizer
 from ..operators import ingest
+from ..store import shared_folder
 
 MAX_TOKENS, OVERLAP = 128, 16
 
@@ -47,14 +49,24 @@ def with_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or in the warehouse where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def knowledge_base(spark: SparkSession, d: str) -> KnowledgeBase:
+class LetterEmbedder:
+    """How often a text has each letter from a to z: an embedder that SQL can follow."""
+
+    name, dimension = "letters", 26
+
+    def embed(self, content: Column, position: Column) -> Column:
+        lower = F.lower(content)
+        return F.array(*[(F.length(lower) - F.length(F.replace(lower, F.lit(c), F.lit("")))).cast("float") for c in ascii_lowercase])
+
+
+def knowledge_base(spark: SparkSession, d: str, embedder: Embedder | None = None) -> KnowledgeBase:
     """A new knowledge base of all documents, in one upload."""
-    base = KnowledgeBase(spark, Config(storage=Storage(path=scratch(spark)), embedding=Embedding(onnx_path="mock", dimension=8), chunking=Chunking(MAX_TOKENS, OVERLAP)))
+    config = Config(storage=Storage(path=scratch(spark)), embedding=Embedding(onnx_path="mock", dimension=8), chunking=Chunking(MAX_TOKENS, OVERLAP))
+    base = KnowledgeBase(spark, config, embedder)
     docs = documents(spark, d)
     base.upload_rows(docs.select(F.col("sha256").alias("document_id"), "title", "source", "source_type", "mime", "sha256", "content", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), "created_at", "updated_at"))
     return base
@@ -69,3 +81,17 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     then = docs.select(name(F.col("doc_id")).alias("src"), name(F.col("doc_id") + 1).alias("dst"), F.lit("next").alias("relation"))
     of = docs.select(name(F.col("doc_id")).alias("src"), F.col("lang").alias("dst"), F.lit("in").alias("relation"))
     return has.unionByName(first).unionByName(then).unionByName(of)
+
+
+def weighted_edges(spark: SparkSession, d: str) -> DataFrame:
+    """edges() with a weight by relation."""
+    weight = F.when(F.col("relation") == "has", 1.0).when(F.col("relation") == "next", 0.9).when(F.col("relation") == "first", 0.8).otherwise(0.5)
+    return edges(spark, d).withColumn("weight", weight)
+
+
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, content): texts under headings of three levels, each text twice."""
+    c = F.col
+    doc, lang = c("doc_id").cast("string"), F.concat(F.lit("\n\n## Lang "), "lang", F.lit("\n\n"))
+    md = F.concat(F.lit("Before all.\n\n# Doc "), doc, lang, c("text"), F.lit("\n\n### Part "), c("source"), F.lit("\n"), c("text"), F.lit("\n\n# The end\n"), c("text"))
+    return table(spark, d, "documents").select(doc.alias("document_id"), md.alias("content"))

@@ -65,6 +65,17 @@ h AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM
 """
 
 
+LETTERS = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace({0}, chr(c::INT), '')))::DOUBLE)"
+_LIKE = "list_cosine_similarity(a.e, b.e)"
+
+
+def _letters(once: str, rows: str) -> str:
+    """CTEs chunk, ce (id, e: letter counts) of CTE once, and qe (query_id, e) of rows (query_id, text)."""
+    return f"""{once}, {_chunks("once", "sha256", "text")},
+cl AS (SELECT id || '#' || idx AS id, lower(content) AS t, content FROM chunk), ce AS (SELECT id, content, {LETTERS.format("t")} AS e FROM cl),
+ql AS (SELECT query_id, lower(text) AS t FROM ({rows})), qe AS (SELECT query_id, {LETTERS.format("t")} AS e FROM ql)"""
+
+
 def _mime(name: str) -> str:
     cases = " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in MIME_TYPES.items())
     return rf"CASE lower(regexp_extract(regexp_extract({name}, '([^/]*)/*$', 1), '^.+\.([^.]*)$', 1)) {cases} END"
@@ -111,6 +122,31 @@ SELECT src, relation, count(*) AS n, sum(weight) AS weight FROM w GROUP BY ALL""
 SELECT name, kind, count(*) AS n FROM x GROUP BY ALL""",
         "kb_keyword": f"""WITH {_once}, {_chunks("once", "sha256", "text")}, c AS (SELECT id || '#' || idx AS id, content FROM chunk),
 {_bm25(PROBE, "c", "id", "content")} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 10""",
+        "kb_vector": f"""WITH {_letters(_once, "SELECT item_id AS query_id, text FROM benchmark")}
+SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, a.id, round({_LIKE}, 6) AS score FROM ce a, qe b) QUALIFY rank <= 5""",
+        "kb_hybrid": f"""WITH {_letters(_once, "SELECT 0 AS query_id, 'ther hein' AS text")}, {_bm25(PROBE, "ce", "id", "content")},
+vs AS (SELECT a.id, round({_LIKE}, 6) AS score FROM ce a, qe b),
+v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 30),
+w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 30),
+r AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM w) GROUP BY id)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 10""",
+        "keyword_blocks_batch": rf"""WITH {_bm25(ITEMS, "documents", "doc_id", "text", False)}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 4) AS score FROM kw QUALIFY rank <= 5""",
+        "expand_nhop": f"""WITH RECURSIVE {_bm25("SELECT 0 AS query_id, unnest(['ther', 'hein']) AS term UNION ALL SELECT 1, unnest(['the', 'and'])", "documents", "doc_id", "text")},
+h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 5),
+{MENTIONS}, mn AS (SELECT DISTINCT doc_id AS id, {clean} AS node FROM f), {EDGES},
+we AS (SELECT src, dst, CASE relation WHEN 'has' THEN 1.0 WHEN 'next' THEN 0.9 WHEN 'first' THEN 0.8 ELSE 0.5 END::DOUBLE AS weight FROM edge),
+r AS (SELECT query_id, node, 0 AS hop, score * 0.5::DOUBLE AS reach FROM h JOIN mn USING (id) WHERE rank <= 3
+  UNION ALL SELECT query_id, dst, hop + 1, reach * 0.5::DOUBLE * weight FROM r JOIN we ON src = node WHERE hop < 2),
+c AS (SELECT query_id, id, max(reach) AS reach FROM r JOIN mn USING (node) GROUP BY ALL),
+x AS (SELECT query_id, id, round(reach, 6) AS score FROM c ANTI JOIN h USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(reach, 6) DESC, id) <= 8)
+SELECT query_id, id, round(score + coalesce(reach, 0), 6) AS score FROM h LEFT JOIN c USING (query_id, id) UNION ALL SELECT * FROM x""",
+        "chunk_headings": f"""WITH p AS (SELECT doc_id, 'Before all.' || chr(10) || chr(10) AS p0, '# Doc ' || doc_id || chr(10) || chr(10) AS p1, '## Lang ' || lang || chr(10) || chr(10) || text || chr(10) || chr(10) AS p2,
+  '### Part ' || source || chr(10) || text || chr(10) || chr(10) AS p3, '# The end' || chr(10) || text AS p4, 'Doc ' || doc_id AS h1, 'Lang ' || lang AS h2, 'Part ' || source AS h3 FROM documents),
+m AS (SELECT doc_id, p0 || p1 || p2 || p3 || p4 AS md FROM p), {_chunks("m", "doc_id", "md")},
+s AS (SELECT id AS doc_id, idx, coalesce(list_sum(list_transform(list_slice(t, 1, idx * 112), lambda x: length(x))), 0)::BIGINT AS start FROM cut)
+SELECT doc_id, idx, start, CASE WHEN start < length(p0) THEN NULL WHEN start < length(p0 || p1) THEN h1 WHEN start < length(p0 || p1 || p2) THEN h1 || ' > ' || h2
+  WHEN start < length(p0 || p1 || p2 || p3) THEN h1 || ' > ' || h2 || ' > ' || h3 ELSE 'The end' END AS heading FROM s JOIN p USING (doc_id)""",
         "kb_reindex": f"WITH {_once}, {_chunks('once', 'sha256', 'text', 64, 8)} SELECT id AS sha256, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM chunk GROUP BY id",
         "kb_delete": rf"""WITH {_once}, {_chunks("once", "sha256", "text")}
 SELECT sha256, count(*) AS n_chunks, coalesce(sum(len(regexp_extract_all(lower(content), '\p{{L}}+|\p{{N}}+'))), 0)::BIGINT AS terms FROM chunk JOIN once ON sha256 = id WHERE source <> 'src1' GROUP BY sha256""",

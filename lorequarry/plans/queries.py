@@ -257,6 +257,49 @@ def kb_keyword(spark, d):
     return hits.select(F.col("chunk_id").alias("id"), "score", "rank")
 
 
+def kb_vector(spark, d):
+    """Search of a knowledge base's stored cells of vectors, for many queries."""
+    base = fixtures.knowledge_base(spark, d, fixtures.LetterEmbedder())
+    asked = table(spark, d, "benchmark").orderBy("item_id").select("item_id", "text").collect()
+    hits = base.search([r["text"] for r in asked], mode="vector", top_k=5)
+    items = F.array(*[F.lit(r["item_id"]) for r in asked])
+    return hits.select(F.get(items, F.col("query_id").cast("int")).alias("query_id"), "score", "rank")
+
+
+def kb_hybrid(spark, d):
+    """Hybrid search of a knowledge base, by stored cells and postings."""
+    hits = fixtures.knowledge_base(spark, d, fixtures.LetterEmbedder()).search(" ".join(TERMS), mode="hybrid", top_k=10)
+    return hits.select(F.col("chunk_id").alias("id"), "score", "rank")
+
+
+def keyword_blocks_batch(spark, d):
+    """keyword_any_batch by stored blocks of postings, of which those that can't matter aren't read."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    at = fixtures.scratch(spark)
+    ingest.posted(docs).write.parquet(at)
+    sums = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(text.analyzed(F.col("content")))).alias("terms")).first()
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(text.analyzed(F.col("text")))).alias("term"))
+    blocks = spark.read.parquet(at).withColumn("v", F.lit(1))
+    scores, _ = index.block_search(blocks, lambda rows: rows, spark.createDataFrame([], "term string, df long"), sums["n"], sums["terms"], asked, 5, match_all=False)
+    return search.top_k(scores.withColumn("id", F.col("id").cast("long")), 5).select("query_id", "rank", F.round("score", 4).alias("score"))
+
+
+def expand_nhop(spark, d):
+    """Hits and what entities up to two edges away mention, ranked anew."""
+    mentions = graph.mention_edges(graph.extract(fixtures.markdown(spark, d), "doc_id", "md"))
+    hits = search.keyword_search(table(spark, d, "documents"), _terms(spark, {0: TERMS, 1: ("the", "and")}), 5, id="doc_id", content="text")
+    reach = graph.reached(hits, mentions, fixtures.weighted_edges(spark, d), 2)
+    return graph.reranked(hits, mentions, reach, 8).select("query_id", "id", "score")
+
+
+def chunk_headings(spark, d):
+    """Where each chunk begins, and the headings that it stands under."""
+    from ..functions.embedders import WhitespaceTokenizer
+
+    chunks = ingest.chunk_rows(fixtures.sections(spark, d), WhitespaceTokenizer(), MAX_TOKENS, OVERLAP)
+    return chunks.select(F.col("document_id").cast("long").alias("doc_id"), "idx", "start", "heading")
+
+
 def kb_reindex(spark, d):
     """The chunks of a knowledge base that was filled with one window and indexed anew with another."""
     base = fixtures.knowledge_base(spark, d)
@@ -268,8 +311,7 @@ def kb_reindex(spark, d):
 def kb_delete(spark, d):
     """What is left of a knowledge base once the documents of one source are deleted."""
     base = fixtures.knowledge_base(spark, d)
-    gone = base.table("document").where("source = 'src1'").select("document_id")
-    base.store.commit(deleted=gone)
+    base.delete_rows(base.table("document").where("source = 'src1'").select("document_id"))
     chunks = base.table("chunk").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     terms = base.table("posting").groupBy("document_id").agg(F.sum("tf").alias("terms"))
     return base.table("document").join(chunks, "document_id").join(terms, "document_id", "left").select("sha256", "n_chunks", F.coalesce("terms", F.lit(0)).alias("terms"))
@@ -326,7 +368,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, kb_keyword, kb_reindex, kb_delete,
+    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_vector, kb_hybrid, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

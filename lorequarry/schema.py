@@ -9,20 +9,27 @@ from pyspark.sql import functions as F
 
 from .errors import KnowledgeError
 
-SCHEMA_VERSION = "2"
+SCHEMA_VERSION = "3"
 
 TABLES = {
     "document": "document_id string, title string, source string, source_type string, mime string, sha256 string, content string, tags array<string>, metadata map<string,string>, created_at timestamp, updated_at timestamp",
-    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>, terms long",
+    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>, terms long, start long",
     "entity": "entity_id string, name string, kind string, description string",
     "mentions": "chunk_id string, entity_id string",
     "related_to": "src string, dst string, relation string, weight double",
     "meta": "key string, meta_value string",
-    "posting": "term string, chunk_id string, document_id string, tf long, length long",
+    "posting": "term string, n int, max_tf long, min_length long, postings array<struct<chunk_id:string,document_id:string,tf:bigint,length:bigint>>",
+    "vector": "chunk_id string, document_id string, embedding array<float>, cell int",
+    "center": "cell int, center array<double>",
+    "reach": "cell int, rows long, radius double",
     "failure": "source string, error string, failed_at timestamp",
 }
 #: Tables whose rows go when their document goes, and how a row tells its document.
-OWNED = {"document": "document_id", "chunk": "document_id", "mentions": "regexp_replace(chunk_id, '#[0-9]+$', '')", "posting": "document_id"}
+OWNED = {"document": "document_id", "chunk": "document_id", "mentions": "regexp_replace(chunk_id, '#[0-9]+$', '')", "posting": "document_id", "vector": "document_id"}
+#: Columns that a table's rows are sorted by in ranges, so that a scan that names values skips what can't hold them; and
+#: the column whose values are folders of a table.
+SORTED = {"document": "document_id", "chunk": "chunk_id"}
+FOLDERS = {"vector": "cell"}
 #: Fixed values.
 SOURCE_TYPES = ["file", "url", "text", "stdin"]
 FILTER_FIELDS = ["title", "source", "source_type", "mime", "sha256"]

@@ -5,18 +5,31 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import KnowledgeError
-from .schema import OWNED, SCHEMA_VERSION, TABLES, shaped
+from .schema import FOLDERS, OWNED, SCHEMA_VERSION, SORTED, TABLES, shaped
 
 #: Times that a commit which doesn't hang on what was read is tried again after another one came in between.
 TRIES = 5
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, one in the warehouse of a local
+    session, whose executors are the driver's threads; anywhere else that is an error, as no folder is known to be shared."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local["):
+            raise KnowledgeError("E_IO", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return path.rstrip("/")
+
+
 class Store:
     """Parts under path, which may be in any store that Spark reads.
 
@@ -24,7 +37,8 @@ class Store:
     have from then on. The entry is made in one step that fails if it is there already (a link, or a rename that
     doesn't overwrite), so of several writers just one makes version N; what the others wrote is never read. Documents
     are deleted by a part of their ids: rows of such a document in older parts are left out when the table is read.
-    compacted() writes what is left anew.
+    compacted() writes what is left anew. The entry holds the number of chunks and of their terms, and names parts of
+    the numbers of terms that were deleted, so a keyword search needs no count over the tables.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -43,14 +57,14 @@ class Store:
             stream.close()
 
     def pointer(self) -> dict:
-        """{"version": n, "schema": s, "tables": {table: [part]}, "deleted": [part]} as of the last commit; version 0 before the first."""
+        """{"version": n, "schema": s, "tables": {table: [part]}, "deleted": [part], "forgotten": [part], "stats": {...}} as of the last commit; version 0 before the first."""
         log = self._at("log")
         fs = log.getFileSystem(self._conf)
         names = [x.getPath().getName() for x in fs.listStatus(log)] if fs.exists(log) else []
         versions = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
         if versions:
             return self._read(self._at(f"log/{max(versions):012d}.json"))
-        return self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": []}
+        return self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": [], "forgotten": [], "stats": {}}
 
     def _first_layout(self) -> dict | None:
         """The pointer of a store of schema 1, whose commits wrote whole tables and replaced a file CURRENT."""
@@ -69,11 +83,30 @@ class Store:
         if state["schema"] == "1":
             return shaped(self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts]), name).withColumn("v", F.lit(0).cast("long"))
         read = self._parts(parts, f"{self.path}/tables/{name}", TABLES[name])
-        if name in OWNED and state["deleted"]:
-            gone = self._parts(state["deleted"], f"{self.path}/tables/_deleted", "document_id string")
-            gone = gone.groupBy(F.col("document_id").alias("_id")).agg(F.max("v").alias("_v"))
-            read = read.join(gone, (F.expr(OWNED[name]) == F.col("_id")) & (F.col("v") < F.col("_v")), "left_anti")
-        return read
+        if name == "posting":
+            read = read.select("term", "v", F.inline("postings")).select("term", "chunk_id", "document_id", "tf", "length", "v")
+        return self.alive(read, name, state)
+
+    def alive(self, rows: DataFrame, name: str, state: dict) -> DataFrame:
+        """rows of a table, with v, without those of documents that were deleted after that version."""
+        if name not in OWNED or not state["deleted"]:
+            return rows
+        gone = self._parts(state["deleted"], f"{self.path}/tables/_deleted", "document_id string")
+        gone = gone.groupBy(F.col("document_id").alias("_id")).agg(F.max("v").alias("_v"))
+        return rows.join(gone, (F.expr(OWNED[name]) == F.col("_id")) & (F.col("v") < F.col("_v")), "left_anti")
+
+    def blocks(self, state: dict) -> DataFrame:
+        """The blocks of postings as they are stored, with v; those of deleted documents among them."""
+        parts = state["tables"].get("posting", [])
+        if not parts:
+            return self.spark.createDataFrame([], f"{TABLES['posting']}, v long")
+        return self._parts(parts, f"{self.path}/tables/posting", TABLES["posting"])
+
+    def forgotten(self, state: dict) -> DataFrame:
+        """(term, df): how many chunks with a term were deleted, in several rows."""
+        if not state.get("forgotten"):
+            return self.spark.createDataFrame([], "term string, df long")
+        return self._parts(state["forgotten"], f"{self.path}/tables/_forgotten", "term string, df long").drop("v")
 
     def _parts(self, parts: list[str], base: str, schema: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, v long, u string").option("basePath", base).parquet(*[f"{self.path}/{p}" for p in parts]).drop("u")
@@ -88,15 +121,20 @@ class Store:
             return merged.select("entity_id", "e.name", "e.kind", F.col("d.description").alias("description"))
         if name == "meta":
             return rows.groupBy("key").agg(F.max_by("meta_value", "v").alias("meta_value"))
+        if name == "reach":
+            return rows.groupBy("cell").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius"))
         return rows.drop("v")
 
     def tables(self, state: dict | None = None) -> dict[str, DataFrame]:
         state = state or self.pointer()
         return {name: self.table(name, state) for name in TABLES}
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None, since: int | None = None, migrating: bool = False) -> int:
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None, since: int | None = None, migrating: bool = False, forgotten: DataFrame | None = None, stats: dict | None = None) -> int:
         """Appends rows to tables, replaces whole ones, and deletes documents (document_id) from all older parts.
 
+        forgotten: (term, df) of what is deleted. stats: what is to be added to the numbers in the log; those of a commit
+        that replaces chunks are the new numbers.
+
         since: the version that what is written was made from; the commit fails if there is a later one. Without it the
         commit is made after whatever came in between. A commit that is migrating replaces all tables that there are.
         """
@@ -107,29 +145,43 @@ class Store:
             if before["schema"] != SCHEMA_VERSION and before["version"] and not migrating:
                 raise KnowledgeError("E_DB", f"the store has schema {before['schema']}; migrate it first")
             version = before["version"] + 1
-            if self._logged(self._written(before, version, append or {}, replace or {}, deleted)):
+            if self._logged(self._written(before, version, append or {}, replace or {}, deleted, forgotten, stats)):
                 return version
             if since is not None or not left:
                 raise KnowledgeError("E_DB", "another commit came in between")
         raise AssertionError
 
-    def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None) -> dict:
+    def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None, forgotten: DataFrame | None = None, stats: dict | None = None) -> dict:
         own = f"v={version}/u={uuid.uuid4().hex}"
         tables = {**before["tables"], **{name: [] for name in replace}}
+        jobs = []
         for name, df in [*replace.items(), *append.items()]:
-            self.write(shaped(df, name), name, own)
+            jobs.append((self.write, shaped(df, name), name, own))
             tables[name] = [*tables.get(name, []), f"tables/{name}/{own}"]
-        gone = before["deleted"]
-        if deleted is not None:
-            deleted.select("document_id").distinct().write.parquet(f"{self.path}/tables/_deleted/{own}")
-            gone = [*gone, f"tables/_deleted/{own}"]
-        return {"version": version, "schema": SCHEMA_VERSION, "tables": tables, "deleted": gone}
+        lists = {"deleted": before["deleted"], "forgotten": [] if "posting" in replace else before.get("forgotten", [])}
+        for kind, df in (("deleted", deleted and deleted.select("document_id").distinct()), ("forgotten", forgotten)):
+            if df is not None:
+                jobs.append((self._write, df, f"tables/_{kind}/{own}"))
+                lists[kind] = [*lists[kind], f"tables/_{kind}/{own}"]
+        with ThreadPoolExecutor(4) as pool:  # jobs of one commit, side by side
+            for done in [pool.submit(*job) for job in jobs]:
+                done.result()
+        sums = {} if "chunk" in replace else before.get("stats", {})
+        sums = {key: sums.get(key, 0) + (stats or {}).get(key, 0) for key in ("chunks", "terms")}
+        return {"version": version, "schema": SCHEMA_VERSION, "tables": tables, **lists, "stats": sums}
+
+    def _write(self, df: DataFrame, part: str) -> None:
+        df.write.parquet(f"{self.path}/{part}")
 
     def write(self, df: DataFrame, name: str, part: str) -> None:
-        """Postings are written in order of their terms, so that a search reads only what may hold its terms."""
-        if name == "posting":
-            df = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
-        df.write.parquet(f"{self.path}/tables/{name}/{part}")
+        """A part of a table: postings as they come, in the order of their terms; vectors in a folder for each cell."""
+        if name in SORTED:
+            df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+        if name in FOLDERS:
+            # a large cell is dealt to several tasks
+            df.hint("rebalance", FOLDERS[name]).write.partitionBy(FOLDERS[name]).parquet(f"{self.path}/tables/{name}/{part}")
+        else:
+            self._write(df, f"tables/{name}/{part}")
 
     def _logged(self, state: dict) -> bool:
         """Whether the entry was made; not, if there is one of that version."""
@@ -152,12 +204,12 @@ class Store:
         finally:
             fs.delete(new, False)
 
-    def compacted(self) -> int:
-        """Every table written anew as one part without deleted rows."""
+    def compacted(self, anew: dict[str, DataFrame] | None = None) -> int:
+        """Every table written anew as one part without deleted rows; anew: what to write for some of them."""
         state = self.pointer()
         version = state["version"] + 1
-        now = {name: self.table(name, state) for name, parts in state["tables"].items() if parts}
-        written = self._written({**state, "deleted": []}, version, {}, now, None)
+        now = {name: self.table(name, state) for name, parts in state["tables"].items() if parts} | (anew or {})
+        written = self._written({**state, "deleted": []}, version, {}, now, None, stats=state["stats"])
         if not self._logged(written):
             raise KnowledgeError("E_DB", "another commit came in between")
         return version

@@ -10,7 +10,7 @@ from lorequarry.engine import KnowledgeBase
 from lorequarry.errors import KnowledgeError
 from lorequarry.functions.embedders import HashingEmbedder
 from lorequarry.operators import graph, index, search
-from lorequarry.schema import TABLES
+from lorequarry.schema import SCHEMA_VERSION, TABLES
 from lorequarry.store import Store
 from lorequarry.streaming import watch
 
@@ -340,7 +340,7 @@ def test_a_store_of_the_first_schema_is_migrated(spark, tmp_path):
     spark.createDataFrame([("schema_version", "1"), ("embedding_model", "mock"), ("embedding_dimension", "8"), ("tokenizer", "whitespace")], TABLES["meta"]).write.parquet(f"{path}/v=3/meta")
     (path / "CURRENT").write_text(json.dumps({"version": 3, "tables": {t: f"v=3/{t}" for t in ("document", "chunk", "entity", "mentions", "related_to", "meta")}}))
     kb = KnowledgeBase(spark, mock(path))
-    assert kb.store.pointer()["version"] == 4 and kb.store.meta()["schema_version"] == "2"
+    assert kb.store.pointer()["version"] == 4 and kb.store.meta()["schema_version"] == SCHEMA_VERSION
     assert kb.stats()["document_count"] == 2 and kb.search("alpha", mode="keyword").count() == 1 and kb.table("entity").count() == 3
     assert not KnowledgeBase(spark, mock(path)).migrate() and kb.store.pointer()["version"] == 4
 
