@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ class KnowledgeBase:
         self.store.commit(replace=tables, migrating=True, since=state["version"], stats=stats)
         return True
 
+    def clean(self, retention: float = 7 * 86400.0) -> int:
+        """Removes files that no version of the last `retention` seconds names; how many parts."""
+        return self.store.clean(retention)
+
+    def as_of(self, version: int) -> KnowledgeBase:
+        """This knowledge base as it was at a version, to read from."""
+        then = copy(self)
+        then.store = Store(self.spark, self.store.path, version)
+        then.store.pointer()
+        return then
+
     def _index(self, chunks: DataFrame, state: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
         """What is stored beside chunks (with embedding and terms) to find them, and their numbers.
 
@@ -115,7 +127,6 @@ class KnowledgeBase:
         Only new rows are written, and the ids of documents that they replace.
         """
         pointer = self.store.pointer()
-        stored = self.store.tables(pointer)
         # written once, so ids and times are the same in all that follows
         staged = self.store.scratch()
         given = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
@@ -124,7 +135,7 @@ class KnowledgeBase:
         failed, batch = every.where("error is not null"), every.where("error is null").drop("error")
         check_documents(batch)
         first = ingest.first_of_each(batch, "_order")
-        known = stored["document"].select("sha256", F.lit(True).alias("_known"))
+        known = self.store.known(first, pointer).select("sha256", F.lit(True).alias("_known"))
         marked = first.join(known, "sha256", "left")
         marked.write.parquet(f"{staged}/marked")
         marked = self.spark.read.parquet(f"{staged}/marked")

@@ -122,6 +122,9 @@ SELECT src, relation, count(*) AS n, sum(weight) AS weight FROM w GROUP BY ALL""
 SELECT name, kind, count(*) AS n FROM x GROUP BY ALL""",
         "kb_keyword": f"""WITH {_once}, {_chunks("once", "sha256", "text")}, c AS (SELECT id || '#' || idx AS id, content FROM chunk),
 {_bm25(PROBE, "c", "id", "content")} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM kw QUALIFY rank <= 10""",
+        "kb_as_of": f"WITH {_once}, {_chunks('once', 'sha256', 'text')} SELECT sha256, count(*) AS n_chunks, source <> 'src1' AS kept FROM chunk JOIN once ON sha256 = id GROUP BY sha256, source",
+        "kb_upload_twice": r"""WITH d AS (SELECT DISTINCT text FROM documents), a AS (SELECT DISTINCT 'again ' || source AS text FROM documents)
+SELECT sha256(text) AS sha256, 'skipped' AS status, 0 AS tokens, 1 AS n_stored FROM d UNION ALL SELECT sha256(text), 'created', len(regexp_extract_all(text, '\S+')), 1 FROM a WHERE text NOT IN (SELECT text FROM d)""",
         "kb_vector": f"""WITH {_letters(_once, "SELECT item_id AS query_id, text FROM benchmark")}
 SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, a.id, round({_LIKE}, 6) AS score FROM ce a, qe b) QUALIFY rank <= 5""",
         "kb_hybrid": f"""WITH {_letters(_once, "SELECT 0 AS query_id, 'ther hein' AS text")}, {_bm25(PROBE, "ce", "id", "content")},

@@ -257,6 +257,29 @@ def kb_keyword(spark, d):
     return hits.select(F.col("chunk_id").alias("id"), "score", "rank")
 
 
+def kb_as_of(spark, d):
+    """A knowledge base as it was before documents were deleted, and which of them are there now."""
+    base = fixtures.knowledge_base(spark, d)
+    before = base.store.pointer()["version"]
+    base.delete_rows(base.table("document").where("source = 'src1'").select("document_id"))
+    then = base.as_of(before)
+    chunks = then.table("chunk").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    now = base.table("document").select("document_id", F.lit(True).alias("kept"))
+    return then.table("document").join(chunks, "document_id").join(now, "document_id", "left").select("sha256", "n_chunks", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def kb_upload_twice(spark, d):
+    """What a second upload, of all texts and of texts that are new, adds and skips."""
+    base = fixtures.knowledge_base(spark, d)
+    docs = fixtures.documents(spark, d)
+    texts = docs.select("content").unionByName(docs.select(F.concat(F.lit("again "), "source").alias("content"))).distinct()
+    tags, none = F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata")
+    rows = texts.select(text.content_hash(F.col("content")).alias("document_id"), *[F.lit("text").alias(c) for c in ("title", "source", "source_type", "mime")], text.content_hash(F.col("content")).alias("sha256"), "content", tags, none, F.timestamp_seconds(F.lit(0)).alias("created_at"), F.timestamp_seconds(F.lit(0)).alias("updated_at"))
+    done = base.upload_rows(rows)
+    stored = base.table("document").groupBy("sha256").agg(F.count(F.lit(1)).alias("n_stored"))
+    return done.select("sha256", "status", "tokens").join(stored, "sha256", "left")
+
+
 def kb_vector(spark, d):
     """Search of a knowledge base's stored cells of vectors, for many queries."""
     base = fixtures.knowledge_base(spark, d, fixtures.LetterEmbedder())
@@ -368,7 +391,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_vector, kb_hybrid, keyword_blocks_batch, expand_nhop, chunk_headings,
+    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

@@ -27,9 +27,9 @@ TABLES = {
 #: Tables whose rows go when their document goes, and how a row tells its document.
 OWNED = {"document": "document_id", "chunk": "document_id", "mentions": "regexp_replace(chunk_id, '#[0-9]+$', '')", "posting": "document_id", "vector": "document_id"}
 #: Columns that a table's rows are sorted by in ranges, so that a scan that names values skips what can't hold them; and
-#: the column whose values are folders of a table.
+#: the column whose values are folders of a table, with the rule that gives it.
 SORTED = {"document": "document_id", "chunk": "chunk_id"}
-FOLDERS = {"vector": "cell"}
+FOLDERS = {"vector": ("cell", "cell"), "document": ("prefix", "substring(sha256, 1, 2)")}
 #: Fixed values.
 SOURCE_TYPES = ["file", "url", "text", "stdin"]
 FILTER_FIELDS = ["title", "source", "source_type", "mime", "sha256"]

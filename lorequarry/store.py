@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .errors import KnowledgeError
 from .schema import FOLDERS, OWNED, SCHEMA_VERSION, SORTED, TABLES, shaped
 
+#: Every so many versions the log has a full state too, and a reader takes the last one and the entries after it.
+CHECKPOINT = 10
 #: Times that a commit which doesn't hang on what was read is tried again after another one came in between.
 TRIES = 5
 
@@ -30,19 +33,40 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: So many hashes are broadcast to the stored ones.
+MAX_NAMED = 1_000_000
+
+
+def applied(state: dict, change: dict) -> dict:
+    """The state after an entry of the log."""
+    tables = {**state["tables"], **{name: [] for name in change["replace"]}}
+    for name, parts in change["add"].items():
+        tables[name] = [*tables.get(name, []), *parts]
+    deleted = [] if change.get("undeleted") else state["deleted"]
+    forgotten = [] if "posting" in change["replace"] else state.get("forgotten", [])
+    sums = {} if "chunk" in change["replace"] else state.get("stats", {})
+    stats = {key: sums.get(key, 0) + change["stats"].get(key, 0) for key in ("chunks", "terms")}
+    lists = {"deleted": [*deleted, *change.get("deleted", [])], "forgotten": [*forgotten, *change.get("forgotten", [])]}
+    return {"version": change["version"], "schema": change["schema"], "at": change["at"], "tables": tables, **lists, "stats": stats}
+
+
 class Store:
     """Parts under path, which may be in any store that Spark reads.
 
-    A commit writes its new rows to tables/NAME/v=N/u=UNIQUE, and then log/N.json, which lists all parts that the tables
-    have from then on. The entry is made in one step that fails if it is there already (a link, or a rename that
-    doesn't overwrite), so of several writers just one makes version N; what the others wrote is never read. Documents
-    are deleted by a part of their ids: rows of such a document in older parts are left out when the table is read.
-    compacted() writes what is left anew. The entry holds the number of chunks and of their terms, and names parts of
-    the numbers of terms that were deleted, so a keyword search needs no count over the tables.
+    A commit writes its new rows to tables/NAME/v=N/u=UNIQUE, and then log/N.json, which names just the parts that it adds,
+    so an entry is as small after a million commits as after one. Every CHECKPOINT versions log/N.full.json has the whole
+    state, which any reader could make again from the entries. The entry is made in one step that fails if it is there
+    already (a link, or a rename that doesn't overwrite), so of several writers just one makes version N; what the others
+    wrote is never read. Documents are deleted by a part of their ids: rows of such a document in older parts are left
+    out when the table is read. compacted() writes what is left anew, and clean() removes what no state of the time of
+    retention names. The entry holds the number of chunks and of their terms, and names parts of the numbers of terms
+    that were deleted, so a keyword search needs no count over the tables.
+
+    A store that is pinned to a version shows the tables as they were then, and can't be written to.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, pinned: int | None = None):
+        self.spark, self.path, self.pinned = spark, path.rstrip("/"), pinned
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
 
@@ -56,15 +80,38 @@ class Store:
         finally:
             stream.close()
 
-    def pointer(self) -> dict:
-        """{"version": n, "schema": s, "tables": {table: [part]}, "deleted": [part], "forgotten": [part], "stats": {...}} as of the last commit; version 0 before the first."""
+    def versions(self) -> tuple[list[int], list[int]]:
+        """The versions that the log has entries of, and those that it has the full state of."""
         log = self._at("log")
         fs = log.getFileSystem(self._conf)
         names = [x.getPath().getName() for x in fs.listStatus(log)] if fs.exists(log) else []
-        versions = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
-        if versions:
-            return self._read(self._at(f"log/{max(versions):012d}.json"))
-        return self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": [], "forgotten": [], "stats": {}}
+        whole = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        return sorted(int(n.removesuffix(".json")) for n in whole if ".full" not in n), sorted(int(n.removesuffix(".full.json")) for n in whole if ".full" in n)
+
+    def pointer(self, version: int | None = None) -> dict:
+        """{"version": n, "schema": s, "tables": {table: [part]}, "deleted": [part], "forgotten": [part], "stats": {...},
+        "at": seconds} as of the last commit, or of that version; version 0 before the first."""
+        version = self.pinned if version is None else version
+        logged, full = self.versions()
+        last = max(logged, default=0) if version is None else version
+        if last and last not in logged:
+            raise KnowledgeError("E_DB", f"no version {last}")
+        if not last:
+            return self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": [], "forgotten": [], "stats": {}}
+        changes, state = [], None
+        for v in reversed([v for v in logged if v <= last]):
+            if v in full:
+                state = self._read(self._at(f"log/{v:012d}.full.json"))
+                break
+            entry = self._read(self._at(f"log/{v:012d}.json"))
+            if "tables" in entry:  # of a log in which each entry has the whole state
+                state = entry
+                break
+            changes.append(entry)
+        state = state or self._first_layout() or {"version": 0, "schema": SCHEMA_VERSION, "tables": {}, "deleted": [], "forgotten": [], "stats": {}}
+        for entry in reversed(changes):
+            state = applied(state, entry)
+        return state
 
     def _first_layout(self) -> dict | None:
         """The pointer of a store of schema 1, whose commits wrote whole tables and replaced a file CURRENT."""
@@ -138,6 +185,8 @@ class Store:
         since: the version that what is written was made from; the commit fails if there is a later one. Without it the
         commit is made after whatever came in between. A commit that is migrating replaces all tables that there are.
         """
+        if self.pinned is not None:
+            raise KnowledgeError("E_DB", f"the store is shown as of version {self.pinned}, and can't be written to")
         for left in reversed(range(TRIES)):
             before = self.pointer()
             if since is not None and before["version"] != since:
@@ -152,23 +201,21 @@ class Store:
         raise AssertionError
 
     def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None, forgotten: DataFrame | None = None, stats: dict | None = None) -> dict:
+        """The state after a commit, whose parts are written; "change" is its entry in the log."""
         own = f"v={version}/u={uuid.uuid4().hex}"
-        tables = {**before["tables"], **{name: [] for name in replace}}
-        jobs = []
+        jobs, add = [], {}
         for name, df in [*replace.items(), *append.items()]:
             jobs.append((self.write, shaped(df, name), name, own))
-            tables[name] = [*tables.get(name, []), f"tables/{name}/{own}"]
-        lists = {"deleted": before["deleted"], "forgotten": [] if "posting" in replace else before.get("forgotten", [])}
+            add.setdefault(name, []).append(f"tables/{name}/{own}")
+        change = {"version": version, "schema": SCHEMA_VERSION, "at": time.time(), "replace": [*replace], "add": add, "stats": stats or {}}
         for kind, df in (("deleted", deleted and deleted.select("document_id").distinct()), ("forgotten", forgotten)):
             if df is not None:
                 jobs.append((self._write, df, f"tables/_{kind}/{own}"))
-                lists[kind] = [*lists[kind], f"tables/_{kind}/{own}"]
+                change[kind] = [f"tables/_{kind}/{own}"]
         with ThreadPoolExecutor(4) as pool:  # jobs of one commit, side by side
             for done in [pool.submit(*job) for job in jobs]:
                 done.result()
-        sums = {} if "chunk" in replace else before.get("stats", {})
-        sums = {key: sums.get(key, 0) + (stats or {}).get(key, 0) for key in ("chunks", "terms")}
-        return {"version": version, "schema": SCHEMA_VERSION, "tables": tables, **lists, "stats": sums}
+        return {**applied(before, change), "change": change}
 
     def _write(self, df: DataFrame, part: str) -> None:
         df.write.parquet(f"{self.path}/{part}")
@@ -178,18 +225,27 @@ class Store:
         if name in SORTED:
             df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
         if name in FOLDERS:
-            # a large cell is dealt to several tasks
-            df.hint("rebalance", FOLDERS[name]).write.partitionBy(FOLDERS[name]).parquet(f"{self.path}/tables/{name}/{part}")
+            column, rule = FOLDERS[name]
+            df = df.withColumn(column, F.expr(rule)) if name in SORTED else df.hint("rebalance", column)  # a large cell is dealt to several tasks
+            df.write.partitionBy(column).parquet(f"{self.path}/tables/{name}/{part}")
         else:
             self._write(df, f"tables/{name}/{part}")
 
     def _logged(self, state: dict) -> bool:
-        """Whether the entry was made; not, if there is one of that version."""
-        new, at = self._at(f"log/.{uuid.uuid4().hex}"), self._at(f"log/{state['version']:012d}.json")
+        """Whether the entry was made; not, if there is one of that version. Then, at times, the full state."""
+        if not self._made(f"log/{state['version']:012d}.json", state["change"]):
+            return False
+        if state["version"] % CHECKPOINT == 0:
+            self._made(f"log/{state['version']:012d}.full.json", {k: v for k, v in state.items() if k != "change"})
+        return True
+
+    def _made(self, name: str, content: dict) -> bool:
+        """Makes a file in one step; False, if it is there."""
+        new, at = self._at(f"log/.{uuid.uuid4().hex}"), self._at(name)
         fs = at.getFileSystem(self._conf)
         stream = fs.create(new, True)
         try:
-            stream.write(bytearray(json.dumps(state).encode()))
+            stream.write(bytearray(json.dumps(content).encode()))
         finally:
             stream.close()
         try:
@@ -209,11 +265,45 @@ class Store:
         state = self.pointer()
         version = state["version"] + 1
         now = {name: self.table(name, state) for name, parts in state["tables"].items() if parts} | (anew or {})
-        written = self._written({**state, "deleted": []}, version, {}, now, None, stats=state["stats"])
+        written = self._written(state, version, {}, now, None, stats=state["stats"])
+        written["change"]["undeleted"], written["deleted"] = True, []
         if not self._logged(written):
             raise KnowledgeError("E_DB", "another commit came in between")
         return version
 
+    def clean(self, retention: float = 7 * 86400.0) -> int:
+        """Removes parts and working files that are older than `retention` seconds, and that neither the last state nor
+        any state since then names; how many. Versions from before can't be shown any more."""
+        limit, (logged, _) = time.time() - retention, self.versions()
+        named, state = set(), None
+        for v in reversed(logged):  # the last state, and those that were the last one at some time since the limit
+            state = self.pointer(v)
+            named |= {p for parts in state["tables"].values() for p in parts} | {*state["deleted"], *state.get("forgotten", [])}
+            if state.get("at", 0) < limit:
+                break
+        removed = 0
+        root = self._at("").getFileSystem(self._conf)
+        base = root.makeQualified(self._at("")).toString().rstrip("/") + "/"
+        for pattern in ("tables/*/v=*/u=*", "staged/*", "uploads/*", "v=*/*"):
+            for found in root.globStatus(self._at(pattern)) or []:
+                part = found.getPath().toString().removeprefix(base)
+                if part not in named and found.getModificationTime() < limit * 1000:
+                    root.delete(found.getPath(), True)
+                    removed += 1
+        return removed
+
+    def known(self, hashes: DataFrame, state: dict) -> DataFrame:
+        """(sha256) of the stored documents with one of hashes (sha256); only the folders of their prefixes are read."""
+        parts = state["tables"].get("document", [])
+        if not parts or state["schema"] == "1":
+            return self.table("document", state).select("sha256")
+        column, rule = FOLDERS["document"]
+        wanted = sorted(r[0] for r in hashes.select(F.expr(rule)).distinct().collect())  # 256 at most
+        read = self._parts(parts, f"{self.path}/tables/document", f"document_id string, sha256 string, {column} string").where(F.col(column).isin(wanted))
+        batch = hashes.select("sha256").distinct()
+        small = batch.limit(MAX_NAMED + 1).count() <= MAX_NAMED
+        return self.alive(read.join(F.broadcast(batch) if small else batch, "sha256", "left_semi"), "document", state).select("sha256").distinct()
+
     def scratch(self) -> str:
         """A folder for what one operation writes on its way; remove() it afterwards."""
         return f"{self.path}/staged/{uuid.uuid4().hex}"
