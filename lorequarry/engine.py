@@ -223,7 +223,7 @@ class KnowledgeBase:
             hits = self.spark.createDataFrame(hits.collect(), hits.schema)
         if graph_expand > 0 and hops > 0:
             mentions = self.store.table("mentions", now)
-            ranked = graph.reranked(hits, mentions, graph.reached(hits, mentions, self.store.table("related_to", now), hops), graph_expand)
+            ranked = graph.reranked(hits, mentions, graph.reached(hits, mentions, self.store.edges(now), hops), graph_expand)
             if few:
                 ranked = self.spark.createDataFrame(ranked.collect(), ranked.schema)
             hits, matched = ranked.drop("matched"), ranked.select("query_id", "id", "matched")
@@ -328,8 +328,9 @@ class KnowledgeBase:
         self.store.commit({"related_to": graph.link(none, *ends, relation, weight)})
 
     def graph_query(self, start: str, relation: str | None = None, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-        t = self.store.tables()
-        return graph.traverse(start, t["document"], t["chunk"], t["entity"], t["mentions"], t["related_to"], relation, depth, limit)
+        now = self.store.pointer()
+        t = self.store.tables(now)
+        return graph.traverse(start, t["document"], t["chunk"], t["entity"], t["mentions"], self.store.edges(now), relation, depth, limit)
 
     def extract_and_save_entities(self, document_id: str) -> DataFrame:
         """Entities of the whole text of one document, saved; name, kind."""

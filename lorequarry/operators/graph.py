@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import KnowledgeError
 from ..functions import text
+from ..schema import FOLDERS
 from ..store import shared_folder
 
 MAX_DEPTH = 5
@@ -83,15 +84,16 @@ def bfs(starts: DataFrame, edges: DataFrame, depth: int = 1, relation: str | Non
 
     Breadth first: a node has its least depth, and of several ways there the least parent. Starts are part of the
     result. A hop is one equi join, and what was visited is anti-joined. Each level is stored before the next one is
-    made from it, so the plan of a hop doesn't hold those before. More hops than MAX_DEPTH are as many as that.
+    made from it, so the plan of a hop doesn't hold those before. Edges with a bucket, as they are stored, are read by
+    the buckets of the level's nodes only. More hops than MAX_DEPTH are as many as that.
     """
     depth = min(depth, MAX_DEPTH)
     way = edges if relation is None else edges.where(F.col("relation") == relation)
-    way = way.select("src", "dst").distinct()
     seen = starts.select("start", "node", F.col("depth").cast("int").alias("depth"), F.lit(None).cast("string").alias("parent"))
     level = seen
     for d in range(1, depth + 1):
-        step = level.where(F.col("depth") == d - 1).select("start", F.col("node").alias("src")).join(way, "src")
+        step = level.where(F.col("depth") == d - 1).select("start", F.col("node").alias("src"))
+        step = step.join(leaving(way, step, "src").select("src", "dst"), "src")
         new = step.groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("parent")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
         level = new.select("start", "node", F.lit(d).alias("depth"), "parent")
         if d < depth:
@@ -100,6 +102,15 @@ def bfs(starts: DataFrame, edges: DataFrame, depth: int = 1, relation: str | Non
     return seen
 
 
+def leaving(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """edges without the folders that hold none of the nodes' edges; the folders' names are all that reaches the driver."""
+    column, rule = FOLDERS["related_to"]
+    if column not in edges.columns:
+        return edges
+    wanted = nodes.select(F.expr(rule.replace("src", node))).distinct().collect()  # as many rows as there are folders, at most
+    return edges.where(F.col(column).isin([r[0] for r in wanted]))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a checkpoint in the folder that the cluster names, which survives lost executors."""
     context = df.sparkSession.sparkContext
@@ -177,7 +188,7 @@ def reached(hits: DataFrame, mentions: DataFrame, edges: DataFrame, hops: int, d
     for hop in range(min(hops, MAX_DEPTH)):
         if hop:
             found, front = stored(found), stored(front)
-        way = edges.select(F.col("src").alias("entity_id"), "dst", F.least(F.coalesce("weight", F.lit(1.0)), F.lit(1.0)).alias("weight")).where("weight > 0")
+        way = leaving(edges, front, "entity_id").select(F.col("src").alias("entity_id"), "dst", F.least(F.coalesce("weight", F.lit(1.0)), F.lit(1.0)).alias("weight")).where("weight > 0")
         step = best(front.join(way, "entity_id").select("query_id", F.col("dst").alias("entity_id"), (F.col("reach") * decay * F.col("weight")).alias("reach")))
         had = found.withColumnRenamed("reach", "had")
         front = step.join(had, ["query_id", "entity_id"], "left").where("had is null or reach > had").drop("had")

@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
     _once = "once AS (SELECT sha256(text) AS sha256, any_value(text) AS text, arg_min(source, doc_id) AS source FROM documents GROUP BY sha256(text))"
     entity = f"SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM f WHERE kind = '{{}}' GROUP BY name"
     clean = r"regexp_replace(name, '[⟨⟩\\'']', '', 'g')"
-    return {
+    found = {
         "dedup_sha256": "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents GROUP BY sha256(text)",
         "html_to_text": f"SELECT page_id, {HTML} AS text FROM pages",
         "extract_by_source": rf"SELECT page_id, md5(CASE WHEN NOT regexp_matches(lower(url), '\.(md|markdown)$') AND NOT contains(url, 'markdown') AND regexp_matches(lower(url), '\.html?$') THEN {HTML} ELSE html END) AS text_md5 FROM pages",
@@ -198,3 +198,4 @@ SELECT count(DISTINCT id) AS documents_processed, count(*) AS chunks_created, su
 SELECT id[1] AS conv_id, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens, max(length(content)) AS longest FROM chunk GROUP BY 1""",
         "ordered_rank": "SELECT vec_id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, label, round(embedding[1]::DOUBLE, 4) AS score FROM embeddings) QUALIFY rank <= 3",
     }
+    return found | {"kb_graph_bfs": found["graph_bfs"]}

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Chunking
+from ..config import Chunking, Config, Embedding, Storage
 from ..engine import KnowledgeBase
 from ..functions import text, vectors
 from ..functions.embedders import FileTokenizer, HashingEmbedder, MockEmbedder
@@ -280,6 +280,14 @@ def kb_upload_twice(spark, d):
     return done.select("sha256", "status", "tokens").join(stored, "sha256", "left")
 
 
+def kb_graph_bfs(spark, d):
+    """graph_bfs over the stored edges of a knowledge base: a hop reads only the folders of its nodes."""
+    base = KnowledgeBase(spark, Config(storage=Storage(path=fixtures.scratch(spark)), embedding=Embedding(onnx_path="mock", dimension=8)))
+    base.store.commit({"related_to": fixtures.weighted_edges(spark, d)})
+    found = graph.bfs(_langs(spark, d), base.store.edges(base.store.pointer()), 4)
+    return found.select("start", "node", F.col("depth").cast("long").alias("depth"), "parent")
+
+
 def kb_vector(spark, d):
     """Search of a knowledge base's stored cells of vectors, for many queries."""
     base = fixtures.knowledge_base(spark, d, fixtures.LetterEmbedder())
@@ -391,7 +399,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
+    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

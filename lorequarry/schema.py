@@ -29,7 +29,7 @@ OWNED = {"document": "document_id", "chunk": "document_id", "mentions": "regexp_
 #: Columns that a table's rows are sorted by in ranges, so that a scan that names values skips what can't hold them; and
 #: the column whose values are folders of a table, with the rule that gives it.
 SORTED = {"document": "document_id", "chunk": "chunk_id"}
-FOLDERS = {"vector": ("cell", "cell"), "document": ("prefix", "substring(sha256, 1, 2)")}
+FOLDERS = {"vector": ("cell", "cell"), "document": ("prefix", "substring(sha256, 1, 2)"), "related_to": ("bucket", "pmod(xxhash64(src), 64)")}
 #: Fixed values.
 SOURCE_TYPES = ["file", "url", "text", "stdin"]
 FILTER_FIELDS = ["title", "source", "source_type", "mime", "sha256"]

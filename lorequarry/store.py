@@ -149,6 +149,14 @@ class Store:
             return self.spark.createDataFrame([], f"{TABLES['posting']}, v long")
         return self._parts(parts, f"{self.path}/tables/posting", TABLES["posting"])
 
+    def edges(self, state: dict) -> DataFrame:
+        """The table related_to with bucket, whose values are folders: that of an edge hangs on its source."""
+        parts = state["tables"].get("related_to", [])
+        column, rule = FOLDERS["related_to"]
+        if not parts or state["schema"] == "1":
+            return self.table("related_to", state).withColumn(column, F.expr(rule))
+        return self._parts(parts, f"{self.path}/tables/related_to", f"{TABLES['related_to']}, {column} int").drop("v")
+
     def forgotten(self, state: dict) -> DataFrame:
         """(term, df): how many chunks with a term were deleted, in several rows."""
         if not state.get("forgotten"):
@@ -226,7 +234,10 @@ class Store:
             df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
         if name in FOLDERS:
             column, rule = FOLDERS[name]
-            df = df.withColumn(column, F.expr(rule)) if name in SORTED else df.hint("rebalance", column)  # a large cell is dealt to several tasks
+            if column not in df.columns:
+                df = df.withColumn(column, F.expr(rule))
+            if name not in SORTED:
+                df = df.hint("rebalance", column)  # a large folder is dealt to several tasks
             df.write.partitionBy(column).parquet(f"{self.path}/tables/{name}/{part}")
         else:
             self._write(df, f"tables/{name}/{part}")
