@@ -22,12 +22,12 @@ def line_pattern(wrap: int = WRAP) -> str:
     """A line with the white space around it; all lines of a text make up the text."""
     space, gap = r"\x20\t\n\x0b\f\r", r"[\x20\t\x0b\f\r]"
     word, least = f"[^{space}]++", min(LEAST, wrap)
-    first, more = f"(?:{word}{gap}++)", f"{{0,{wrap - least}}}"
-    within = lambda marks: f"(?:{word}(?<![{marks}]){gap}++){more}"
-    sentence = f"{first}{{{least - 1}}}{within(ENDS)}{word}(?<=[{ENDS}])[{space}]*+"
-    broken = rf"{first}{{0,{least - 1}}}{within(ENDS)}{word}{gap}*+(?:\n[{space}]*+|\z)"
-    cut = f"{first}{{{least - 1}}}{within(CUTS)}{word}[{space}]*+"
-    return f"[{space}]*+(?:{sentence}|{broken}|{cut})"
+    # a word that isn't the last one before a line break; so no count has to be taken back
+    first = f"(?:{word}{gap}++(?=[^{space}]))"
+    within = lambda marks: f"(?:{word}(?<![{marks}]){gap}++(?=[^{space}])){{0,{wrap - least}}}+"
+    ended = rf"{first}{{0,{least - 1}}}+{within(ENDS)}{word}(?:(?<=[{ENDS}])[{space}]*+|{gap}*+(?:\n[{space}]*+|\z))"
+    cut = f"{first}{{{least - 1}}}+{within(CUTS)}{word}[{space}]*+"
+    return f"[{space}]*+(?:{ended}|{cut})"
 
 
 def lines(text: Column, wrap: int = WRAP) -> Column:
