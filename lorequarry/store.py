@@ -164,7 +164,8 @@ class Store:
         return self._parts(state["forgotten"], f"{self.path}/tables/_forgotten", "term string, df long").drop("v")
 
     def _parts(self, parts: list[str], base: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(f"{schema}, v long, u string").option("basePath", base).parquet(*[f"{self.path}/{p}" for p in parts]).drop("u")
+        read = self.spark.read.schema(f"{schema}, v long, u string").option("basePath", base).parquet(*[f"{self.path}/{p}" for p in parts])
+        return read.select(*[field.split(" ", 1)[0] for field in schema.split(", ")], "v")  # without folders that aren't asked for
 
     def table(self, name: str, state: dict | None = None) -> DataFrame:
         """A table as it is now: an entity has its first name and kind and its last description, a key of meta its last value."""

@@ -1,6 +1,7 @@
 """The log, snapshots, cleaning, and what lookups read."""
 
 import json
+import re
 import time
 from pathlib import Path
 
@@ -96,7 +97,7 @@ def test_a_hop_reads_the_folders_of_its_nodes(spark, base):
     stored = base.store.edges(base.store.pointer())
     front = spark.createDataFrame([("n5",)], "node string")
     shown = plan(graph.leaving(stored, front, "node"))
-    assert "PartitionFilters: [bucket" in shown
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", shown)
     starts = spark.createDataFrame([("a", "n0", 0)], "start string, node string, depth int")
     found = graph.bfs(starts, stored, 4)
     assert sorted((r.node, r.depth) for r in found.collect()) == [(f"n{i}", i) for i in range(5)]
