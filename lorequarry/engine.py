@@ -20,11 +20,11 @@ from .store import Store
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, check_model: bool = True):
-        """Opens the store of the configuration. A store that was made with another embedder can only be opened to reindex it (check_model=False)."""
+    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, check_model: bool = True, extractors: Sequence[graph.Extractor] = ()):
+        """Opens the store of the configuration. extractors find entities besides the rules (see graph.extract). A store that was made with another embedder can only be opened to reindex it (check_model=False)."""
         self.spark, self.config = spark, config or Config()
         self.embedder, self.tokenizer = embedder or embedder_for(self.config), tokenizer or tokenizer_for(self.config)
-        self.store = Store(spark, self.config.storage.path)
+        self.store, self.extractors = Store(spark, self.config.storage.path), extractors
         self.migrate()
         meta = self.store.meta()
         known = (meta.get("embedding_model"), meta.get("embedding_dimension"))
@@ -146,7 +146,7 @@ class KnowledgeBase:
         check_chunks(chunks, self.embedder.dimension)
         new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_order")
         replaced = new.where(F.col("_known").isNotNull()).select("document_id")
-        entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
+        entities, mentions = self._entities(chunks, staged)
 
         found, stats = self._index(chunks, pointer)
         added = {"document": new, "chunk": chunks, "mentions": mentions, "entity": entities, **found}
@@ -179,6 +179,13 @@ class KnowledgeBase:
         self.store.remove(staged)
         return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
+    def _entities(self, chunks: DataFrame, staged: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of entity and of mentions; what they are made of is extracted once, and stored under staged."""
+        found = graph.extract(chunks, "chunk_id", extended=self.config.graph.extended, extractors=self.extractors)
+        found.write.parquet(f"{staged}/found")
+        found = self.spark.read.schema(found.schema).parquet(f"{staged}/found")
+        return graph.entity_rows(found), graph.mention_edges(found)
+
     def _forgotten(self, gone: DataFrame, state: dict) -> tuple[DataFrame, dict]:
         """(term, df) and the numbers of the stored chunks of documents (document_id) that go; only their text is read again."""
         chunks = self.store.table("chunk", state).join(gone.select("document_id").distinct(), "document_id", "left_semi")
@@ -335,7 +342,7 @@ class KnowledgeBase:
     def extract_and_save_entities(self, document_id: str) -> DataFrame:
         """Entities of the whole text of one document, saved; name, kind."""
         own = manage.got(self.table("document"), self.table("chunk"), document_id)
-        found = graph.entity_rows(graph.extract(own, "document_id", extended=self.config.graph.extended))
+        found = graph.entity_rows(graph.extract(own, "document_id", extended=self.config.graph.extended, extractors=self.extractors))
         self.store.commit({"entity": found})
         return found.select("name", "kind")
 
@@ -349,11 +356,11 @@ class KnowledgeBase:
         chunks = ingest.chunk_rows(stored["document"], self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens)
         if dry_run:
             return reindex_counts(stored["document"], chunks)
-        entities, mentions = ingest.entities_of(chunks, self.config.graph.extended)
         new = ingest.indexed(ingest.embedded(chunks, self.embedder))
         staged = self.store.scratch()
         new.write.parquet(f"{staged}/chunks")  # embedded once
         new = self.spark.read.schema(new.schema).parquet(f"{staged}/chunks")
+        entities, mentions = self._entities(new, staged)
         found, stats = self._index(new)
         if "center" not in found:
             found["center"] = self.spark.createDataFrame([], TABLES["center"])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import KnowledgeError
@@ -15,13 +16,38 @@ from ..store import shared_folder
 MAX_DEPTH = 5
 
 
-def extract(rows: DataFrame, id: str, content: str = "content", extended: bool = False) -> DataFrame:
-    """(id, at, name, kind): entity mentions of a row, in the order of extraction; extended: by all rules."""
+#: What an extractor is: from the texts of a batch to the entities of each, as (name, kind), in order.
+Extractor = Callable[[list[str]], list[list[tuple[str, str]]]]
+
+
+def extract(rows: DataFrame, id: str, content: str = "content", extended: bool = False, extractors: Sequence[Extractor] = ()) -> DataFrame:
+    """(id, at, name, kind): entity mentions of a row, in the order of extraction; extended: by all rules.
+
+    extractors come after the rules, in their order; each is called once for a batch of rows, on the executors.
+    """
     rule = text.extended_entities if extended else text.entities
-    found = rows.select(F.col(id).alias("id"), F.posexplode(rule(F.col(content))).alias("at", "e"))
+    every = [rule(F.col(content)), *[plugged(F.col(content), e) for e in extractors]]
+    found = rows.select(F.col(id).alias("id"), *[x.alias(f"_e{i}") for i, x in enumerate(every)])
+    found = found.select("id", F.posexplode(F.concat(*[F.col(f"_e{i}") for i in range(len(every))])).alias("at", "e"))
     return found.select("id", "at", F.col("e.name").alias("name"), F.col("e.kind").alias("kind"))
 
 
+def plugged(content: Column, extractor: Extractor) -> Column:
+    """The entities that an extractor finds, without those whose names clean to nothing; of a null text none."""
+
+    @F.pandas_udf("array<struct<name:string,kind:string>>")
+    def run(texts):
+        import pandas as pd
+
+        given = [t or "" for t in texts]
+        found = extractor(given)
+        if len(found) != len(given):
+            raise ValueError(f"an extractor gave {len(found)} results for {len(given)} texts")
+        return pd.Series([[{"name": str(n), "kind": str(k)} for n, k in own] for own in found])
+
+    return F.filter(run(content), lambda e: text.clean_name(e["name"]) != "")
+
+
 def entity_rows(mentions: DataFrame, order: str = "id") -> DataFrame:
     """Rows of the table entity: identity is the cleaned name, and the first kind in order wins."""
     keyed = mentions.withColumn("entity_id", text.clean_name(F.col("name"))).where("entity_id <> ''")

@@ -251,6 +251,18 @@ def extended_entities(spark, d):
     return found.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def plugged_entities(spark, d):
+    """Links, tags and headings, and the long words that an extractor of one's own finds in batches of texts."""
+
+    def long_words(texts):
+        import re
+
+        return [[(w, "long word") for w in re.findall("[A-Za-z]{14,}", t)] for t in texts]
+
+    found = graph.extract(fixtures.markdown(spark, d), "doc_id", "md", extractors=[long_words])
+    return found.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_doc"))
+
+
 def kb_keyword(spark, d):
     """Search of a knowledge base's stored postings."""
     hits = fixtures.knowledge_base(spark, d).search(" ".join(TERMS), mode="keyword", top_k=10)
@@ -399,7 +411,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
+    extended_entities, plugged_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

@@ -6,10 +6,11 @@ A source that can't be taken has no raw text, but an error: its code and message
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from pathlib import Path
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -21,6 +22,44 @@ SCHEMA = "title string, source string, source_type string, raw string, file_titl
 READERS: dict[str, Callable[[bytes], str]] = {}
 
 
+#: How files that are no text begin, whatever they are called.
+BINARY = {"pdf": "25504446", "zip": "504B0304", "png": "89504E47", "jpeg": "FFD8FF", "gif": "47494638", "gzip": "1F8B", "elf": "7F454C46"}
+
+
+def docx_text(data: bytes) -> str:
+    """The paragraphs of a Word document, one on a line; tabs and breaks within them are kept."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as parts:
+        info = parts.getinfo("word/document.xml")
+        if info.file_size > MAX_XML:
+            raise ValueError("the document's text is too large")
+        body = parts.read(info)
+    if b"<!DOCTYPE" in body or b"<!ENTITY" in body:  # which such documents don't have; entities may grow without bound
+        raise ValueError("a document type isn't allowed")
+    shown = {f"{space}tab": "\t", f"{space}br": "\n", f"{space}cr": "\n"}
+    lines = []
+    for paragraph in ElementTree.fromstring(body).iter(f"{space}p"):
+        lines.append("".join(x.text or "" if x.tag == f"{space}t" else shown.get(x.tag, "") for x in paragraph.iter()))
+    return "\n".join(lines)
+
+
+#: Bytes of XML that a Word document may unpack to.
+MAX_XML = 1 << 28
+READERS["docx"] = docx_text
+
+
+def binary(content: Column) -> Column:
+    """Whether bytes are those of a known format that isn't text, or hold a zero byte in their beginning."""
+    begin = F.hex(F.substring(content, 1, 1024))
+    marks = [begin.startswith(mark) for mark in BINARY.values()]
+    zero = F.regexp_like(begin, F.lit("^(?:..)*?00"))
+    return reduce(lambda a, b: a | b, marks, zero)
+
+
 def check_allowed(path: str, config: Config) -> None:
     """A local path must be in one of upload.allowed_dirs, if there are any, once links are resolved."""
     if not config.upload.allowed_dirs:
@@ -35,8 +74,8 @@ def check_allowed(path: str, config: Config) -> None:
 
 
 def taken(files: DataFrame, config: Config, title: str | None = None) -> DataFrame:
-    """Rows of SCHEMA of files (path, length, content). Larger ones than upload.max_file_mb, PDFs without a reader in
-    READERS, and invalid UTF-8 have errors."""
+    """Rows of SCHEMA of files (path, length, content). Larger ones than upload.max_file_mb, PDFs and other binaries without
+    a reader in READERS, and invalid UTF-8 have errors."""
     limit = config.upload.max_file_mb << 20
     path = F.regexp_replace("path", r"^file:(//)?(?=/)", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -48,6 +87,7 @@ def taken(files: DataFrame, config: Config, title: str | None = None) -> DataFra
         F.when(F.col("length") > limit, F.concat(F.lit("E_VALIDATION: file exceeds max file size: "), path))
         .when(F.lower("path").endswith(".pdf") & ~known, F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), path))
         .when(F.col("_failed").isNotNull(), F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), path, F.lit(": "), F.col("_failed")))
+        .when(~known & binary(F.col("content")), F.concat(F.lit("E_UNSUPPORTED_FORMAT: "), path))
         .when(~F.is_valid_utf8(F.col("_text")), F.concat(F.lit("E_IO: not UTF-8: "), path))
     )
     rows = read.select(F.coalesce(F.lit(title), name).alias("title"), path.alias("source"), F.lit("file").alias("source_type"), F.col("_text").alias("raw"), name.alias("file_title"), error.alias("error"))
@@ -101,7 +141,7 @@ def from_urls(spark: SparkSession, urls: Sequence[str], config: Config, timeout:
     for u in urls:
         if urlsplit(u).scheme not in ("http", "https"):
             raise KnowledgeError("E_VALIDATION", f"not an http(s) URL: {u}")
-    limit = config.upload.max_file_mb << 20
+    limit, readers, marks = config.upload.max_file_mb << 20, dict(READERS), [bytes.fromhex(m) for m in BINARY.values()]
 
     def one(url: str) -> tuple[str | None, str | None]:
         import urllib.request
@@ -111,7 +151,14 @@ def from_urls(spark: SparkSession, urls: Sequence[str], config: Config, timeout:
                 data = answer.read(limit + 1)
                 if len(data) > limit:
                     return None, f"E_VALIDATION: response exceeds max file size: {url}"
-                if url.lower().endswith(".pdf") or "application/pdf" in answer.headers.get("content-type", ""):
+                pdf = "application/pdf" in answer.headers.get("content-type", "")
+                ending = "pdf" if pdf else urlsplit(url).path.rpartition(".")[2].lower()
+                if ending in readers:
+                    try:
+                        return readers[ending](data), None
+                    except Exception as e:
+                        return None, f"E_UNSUPPORTED_FORMAT: {url}: {type(e).__name__}: {e}"
+                if ending == "pdf" or any(data.startswith(m) for m in marks) or b"\0" in data[:1024]:
                     return None, f"E_UNSUPPORTED_FORMAT: {url}"
                 return data.decode("utf-8"), None
         except (OSError, ValueError) as e:

@@ -1,0 +1,101 @@
+"""Formats that are no text, and extractors of one's own."""
+
+import io
+import threading
+import zipfile
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from lorequarry import sources
+from lorequarry.config import Config, Embedding, Storage
+from lorequarry.engine import KnowledgeBase
+from lorequarry.errors import KnowledgeError
+
+W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+BODY = f'<w:document xmlns:w="{W}"><w:body><w:p><w:r><w:t>First part</w:t><w:tab/><w:t xml:space="preserve"> é.</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Second &amp; last</w:t></w:r></w:p></w:body></w:document>'
+FILES = {
+    "note.txt": b"plain words",
+    "image.png": b"\x89PNG\r\n\x1a\n123",
+    "hidden.txt": b"%PDF-1.7 not a text",
+    "zero.md": b"abc\0def",
+    "latin.txt": b"caf\xe9",
+    "broken.docx": b"PK\x03\x04nothing",
+    "late.txt": b"0" * 3 + b" 10 00 text",
+}
+
+
+def docx(body=BODY):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body)
+    return out.getvalue()
+
+
+@pytest.fixture()
+def base(spark, tmp_path):
+    return KnowledgeBase(spark, Config(storage=Storage(path=str(tmp_path / "kb")), embedding=Embedding(onnx_path="mock", dimension=8)))
+
+
+def test_word_documents_are_read_and_other_binaries_refused(base, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (FILES | {"paper.docx": docx()}).items():
+        (folder / name).write_bytes(data)
+    told = {r.title: r for r in base.upload(path=str(folder)).collect()}
+    assert {n: r.status for n, r in told.items()} == {n: "created" if n in ("note.txt", "paper.docx", "late.txt") else "failed" for n in told} and len(told) == 8
+    code = {n: r.error.split(":")[0] for n, r in told.items() if r.error}
+    assert code == {"image.png": "E_UNSUPPORTED_FORMAT", "hidden.txt": "E_UNSUPPORTED_FORMAT", "zero.md": "E_UNSUPPORTED_FORMAT", "broken.docx": "E_UNSUPPORTED_FORMAT", "latin.txt": "E_IO"}
+    text = base.table("document").where("title = 'paper.docx'").first().content
+    assert text == "First part\t é.\n\nSecond & last"
+    assert base.table("failure").count() == 5
+
+
+def test_a_word_document_with_a_document_type_is_refused():
+    with pytest.raises(ValueError):
+        sources.docx_text(docx('<!DOCTYPE x [<!ENTITY a "b">]>' + BODY))
+
+
+def test_pages_of_other_formats_go_through_the_readers(base, monkeypatch):
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            data, kind = {"/a.docx": (docx(), "application/octet-stream"), "/p": (b"%PDF-1 text of it", "application/pdf"), "/x.bin": (b"\x1f\x8b123", "text/plain"), "/t": (b"words", "text/plain")}[self.path]
+            self.send_response(200)
+            self.send_header("content-type", kind)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    told = {r.title.removeprefix(root): (r.status, r.error) for r in base.upload(url=[f"{root}{p}" for p in ("/a.docx", "/p", "/x.bin", "/t")]).collect()}
+    assert {p: s for p, (s, _) in told.items()} == {"/a.docx": "created", "/p": "failed", "/x.bin": "failed", "/t": "created"}
+    assert told["/p"][1].startswith("E_UNSUPPORTED_FORMAT") and told["/x.bin"][1].startswith("E_UNSUPPORTED_FORMAT")
+    monkeypatch.setitem(sources.READERS, "pdf", lambda data: data[7:].decode())
+    assert [r.status for r in base.upload(url=f"{root}/p").collect()] == ["created"]
+    assert base.table("document").where("content = 'text of it'").count() == 1
+    server.shutdown()
+
+
+def test_extractors_of_ones_own_come_after_the_rules(spark, tmp_path):
+    def names(texts):
+        assert isinstance(texts, list)
+        return [[(w, "name") for w in t.split() if w.istitle()] for t in texts]
+
+    def tags(texts):
+        return [[("Ada", "person"), ("", "none")] for _ in texts]
+
+    config = Config(storage=Storage(path=str(tmp_path / "kb")), embedding=Embedding(onnx_path="mock", dimension=8))
+    base = KnowledgeBase(spark, config, extractors=[names, tags])
+    told = base.upload(content=["Ada met Bob #ada", "nobody here"]).collect()
+    assert [sorted(r.entities) for r in told] == [["Ada", "Bob", "ada"], ["Ada"]]
+    assert {(r.name, r.kind) for r in base.table("entity").collect()} >= {("ada", "tag"), ("Bob", "name")}
+    assert base.table("mentions").count() == 4
+    with pytest.raises(KnowledgeError):
+        base.get("unknown")
+    bad = KnowledgeBase(spark, config, extractors=[lambda texts: []])
+    with pytest.raises(Exception, match="0 results for"):
+        bad.upload(content="more text")
