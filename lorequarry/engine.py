@@ -317,7 +317,7 @@ class KnowledgeBase:
             f"store: {self.store.path}, version {self.store.pointer()['version']}",
             f"schema version: {meta.get('schema_version')}",
             f"embedding: {meta.get('embedding_model')}, dimension {meta.get('embedding_dimension')} (configured: {self.embedder.name}, {self.embedder.dimension})",
-            f"tokenizer: {meta.get('tokenizer')} (configured: {self.tokenizer.name})",
+            f"tokenizer: {meta.get('tokenizer')} (configured: {self.tokenizer.name}), vocabulary: {getattr(self.tokenizer, 'vocab_size', None) or 'none'}",
             f"spark: {self.spark.version}",
         ]
 

@@ -21,9 +21,18 @@ class Embedder(Protocol):
 
 
 class Tokenizer(Protocol):
-    """chunks(): (idx, content, token_count, start) of windows; start is where content begins, in code points."""
+    """chunks(): (idx, content, token_count, start) of windows; start is where content begins, in code points.
+
+    encode() gives the ids of a text's tokens, decode() the text of ids; vocab_size is the number of ids, or None for a
+    tokenizer without a vocabulary, whose encode() and decode() are errors.
+    """
 
     name: str
+    vocab_size: int | None
+
+    def encode(self, content: Column) -> Column: ...
+
+    def decode(self, ids: Column) -> Column: ...
 
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column: ...
 
@@ -112,10 +121,15 @@ class OnnxEmbedder:
 class WhitespaceTokenizer:
     """Tokens are runs of non-space. All in the JVM."""
 
-    name = "whitespace"
+    name, vocab_size = "whitespace", None
+
+    def encode(self, content: Column) -> Column:
+        raise KnowledgeError("E_VALIDATION", "the white-space tokenizer has no vocabulary")
+
+    decode = encode
 
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column:
-        made = text.windows(text.whitespace_tokens(content), max_tokens, overlap_tokens)
+        made = text.windows(text.whitespace_tokens(content), max_tokens, overlap_tokens, starts=True)
         lead = F.length(F.regexp_extract(content, r"^\s*", 0))
         return F.transform(made, lambda w: w.withField("start", w["start"] + lead))
 
@@ -129,6 +143,40 @@ class FileTokenizer:
     def __init__(self, path: str):
         self.path, self.name = path, f"file:{path.rsplit('/', 1)[-1]}"
 
+    @property
+    def vocab_size(self) -> int:
+        from tokenizers import Tokenizer as Rules
+
+        return Rules.from_file(self.path).get_vocab_size()
+
+    def encode(self, content: Column) -> Column:
+        """The ids of a text as array<int>, in batches, without tokens that mark begin or end; null for a null text."""
+        path = self.path
+
+        @F.pandas_udf("array<int>")
+        def run(texts):
+            import pandas as pd
+            from tokenizers import Tokenizer as Rules
+
+            encoded = Rules.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return pd.Series([None if t is None else e.ids for t, e in zip(texts, encoded)])
+
+        return run(content)
+
+    def decode(self, ids: Column) -> Column:
+        """The text of ids, special tokens among them; null for null ids."""
+        path = self.path
+
+        @F.pandas_udf("string")
+        def run(lists):
+            import pandas as pd
+            from tokenizers import Tokenizer as Rules
+
+            texts = Rules.from_file(path).decode_batch([[] if x is None else [int(i) for i in x] for x in lists], skip_special_tokens=False)
+            return pd.Series([None if x is None else t for x, t in zip(lists, texts)])
+
+        return run(ids)
+
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column:
         check_windows(max_tokens, overlap_tokens)
         path, step = self.path, max_tokens - overlap_tokens

@@ -83,9 +83,11 @@ def window_count(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column
     return F.when(tokens == 0, 0).when(tokens <= max_tokens, 1).otherwise(F.ceil((tokens - overlap_tokens) / step)).cast("long")
 
 
-def windows(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column:
-    """Overlapping windows as (idx, content, token_count, start): content is the exact stretch of text, without white space
-    at its end, and start where it begins, in code points from the first token's beginning."""
+def windows(tokens: Column, max_tokens: int, overlap_tokens: int, starts: bool = False) -> Column:
+    """Overlapping windows as (idx, content, token_count): content is the exact stretch of text, without white space at its end.
+
+    With starts there is start too: where content begins, in code points from the first token's beginning.
+    """
     check_windows(max_tokens, overlap_tokens)
     step = max_tokens - overlap_tokens
     total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x)
@@ -96,12 +98,14 @@ def windows(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column:
         # of the tokens between a window's first and the next one's
         sizes = F.transform(numbers, lambda i: total(F.transform(F.slice(tokens, i * step + 1, F.lit(step)), lambda t: F.length(t))))
 
-        def window(i: Column, sizes: Column) -> Column:
+        def window(i: Column, *more: Column) -> Column:
             part = F.slice(tokens, i * step + 1, F.lit(max_tokens))
             content = F.regexp_replace(F.array_join(part, ""), r"\s+$", "")
-            return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"), total(F.slice(sizes, 1, i)).alias("start"))
+            return F.struct(i.cast("long").alias("idx"), content.alias("content"), F.size(part).cast("long").alias("token_count"), *more)
 
-        return once(sizes, lambda sizes: F.transform(numbers, lambda i: window(i, sizes)))
+        if not starts:
+            return F.transform(numbers, lambda i: window(i))
+        return once(sizes, lambda sizes: F.transform(numbers, lambda i: window(i, total(F.slice(sizes, 1, i)).alias("start"))))
 
     return once(tokens, cut)
 

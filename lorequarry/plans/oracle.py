@@ -120,6 +120,7 @@ SELECT src, relation, count(*) AS n, sum(weight) AS weight FROM w GROUP BY ALL""
         "extended_entities": f"""WITH {MENTIONS}, x AS (SELECT doc_id, name, kind FROM f UNION SELECT doc_id, source, 'reference' FROM documents
   UNION SELECT doc_id, 'news', 'tag' FROM documents UNION SELECT doc_id, lang, 'tag' FROM documents UNION SELECT doc_id, 'Text ' || doc_id, 'alias' FROM documents)
 SELECT name, kind, count(*) AS n FROM x GROUP BY ALL""",
+        "tokenizer_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
         "plugged_entities": f"""WITH {MENTIONS}, x AS (SELECT doc_id, name, kind FROM f UNION ALL SELECT doc_id, unnest(regexp_extract_all(md, '[A-Za-z]{{14,}}')), 'long word' FROM md)
 SELECT name, kind, count(*) AS n, min(doc_id) AS first_doc FROM x GROUP BY ALL""",
         "kb_keyword": f"""WITH {_once}, {_chunks("once", "sha256", "text")}, c AS (SELECT id || '#' || idx AS id, content FROM chunk),

@@ -395,6 +395,15 @@ def hf_chunking(spark, d):
     return ingest.chunk_rows(docs, FileTokenizer(public_tokenizers.path("word_bpe_49k.json")), 512, 64).select("chunk_id", "idx", "token_count", F.length("content").alias("n_chars"))
 
 
+def tokenizer_roundtrip(spark, d):
+    """The texts that the ids of the texts' tokens give."""
+    import public_tokenizers
+
+    rules = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = table(spark, d, "documents").select("doc_id", rules.encode(F.col("text")).alias("ids"))
+    return coded.select("doc_id", F.md5(rules.decode(F.col("ids")).cast("binary")).alias("text_md5"))
+
+
 def hashing_search(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), HashingEmbedder(64).embed(F.col("text"), F.lit(0)).alias("embedding"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), HashingEmbedder(64).embed(F.col("text"), F.lit(0)).alias("vector"))
@@ -411,7 +420,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, plugged_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
+    extended_entities, tokenizer_roundtrip, plugged_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

@@ -6,6 +6,7 @@ import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorequarry import sources
 from lorequarry.config import Config, Embedding, Storage
@@ -99,3 +100,22 @@ def test_extractors_of_ones_own_come_after_the_rules(spark, tmp_path):
     bad = KnowledgeBase(spark, config, extractors=[lambda texts: []])
     with pytest.raises(Exception, match="0 results for"):
         bad.upload(content="more text")
+
+
+def test_ids_are_the_file_s_and_give_the_text_back(spark, base):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lorequarry.functions.embedders import FileTokenizer, WhitespaceTokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rules, own = Tokenizer.from_file(path), FileTokenizer(path)
+    texts = ["Two  words", "", None, "é 漢字 😀\n\t", "a <|endoftext|> b", "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", own.encode(F.col("t")).alias("ids"))
+    rows = rows.withColumn("back", own.decode(F.col("ids"))).orderBy("i").collect()
+    assert [r.ids for r in rows] == [None if t is None else rules.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r.back for r in rows] == texts and own.vocab_size == 50257
+    with pytest.raises(KnowledgeError):
+        WhitespaceTokenizer().encode(F.col("t"))
+    base.tokenizer = own
+    assert any("vocabulary: 50257" in line for line in base.doctor())
