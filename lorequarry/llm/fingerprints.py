@@ -44,9 +44,15 @@ def log_sample(term: Column, sample: Column, weight: Column) -> Column:
     They are drawn from exponential variables x, e and f, which gives them these very distributions: c = x + e,
     r = ln(c / x) + f and b = f / r. So t = floor((ln weight + f) / r), and ln a = ln x - r t: at weight 1 it is ln x.
     """
+    x, r, t = steps(term, sample, weight)
+    return F.log(x) - r * t
+
+
+def steps(term: Column, sample: Column, weight: Column) -> tuple[Column, Column, Column]:
+    """x, r and t of log_sample()."""
     x, e, f = [exponential(draw(term, sample, i)) for i in range(3)]
     r = F.log1p(e / x) + f
-    return F.log(x) - r * F.floor((F.log(weight) + f) / r)
+    return x, r, F.floor((F.log(weight) + f) / r)
 
 
 def weighted_terms(text: Column) -> Column:
@@ -89,18 +95,18 @@ def signatures(pairs: DataFrame, keys: list[str], one: str, two: str, samples: i
     """keys, _one and _two, the fingerprints of two texts, for each row of pairs. keys must tell rows apart; where pairs
     is dealt by some of them, nothing is shuffled.
 
-    Kept is the largest exp(-a) of a sample: at weight 1, which nearly all terms have, that is the draw itself.
+    Kept is the largest exp(-a) of a sample, that is exp(-x exp(-r t)): at weight 1, and where t is 0, the draw itself.
+    It is written as the draw times exp(x (1 - exp(-r t))), so that it is exactly that, and without functions of arrays,
+    so that it is compiled.
     """
     rows = shared_terms(pairs, keys, one, two)
     term, times = F.col("term"), F.col("times")
 
-    def lifted(j: Column) -> Column:
-        drawn = draw(term, j)
-        return _let(log_sample(term, j, times.cast("double")), lambda a: F.when(a == F.log(exponential(drawn)), level(drawn)).otherwise(F.exp(-F.exp(a))))
+    def value(j: Column) -> Column:
+        x, r, t = steps(term, j, times.cast("double"))
+        return level(draw(term, j)) * F.when(times == 1, 1.0).otherwise(F.exp(x * -F.expm1(-r * t)))
 
-    several = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lifted)
-    rows = rows.select(*keys, "_kind", "term", "times", F.when(times > 1, several).alias("_v"))
-    most = rows.groupBy(*keys, "_kind").agg(*[F.max(F.when(times == 1, level(draw(term, F.lit(j)))).otherwise(F.get("_v", F.lit(j)))).alias(f"_m{j}") for j in range(samples)])
+    most = rows.groupBy(*keys, "_kind").agg(*[F.max(value(F.lit(j))).alias(f"_m{j}") for j in range(samples)])
     held = most.select(*keys, "_kind", F.array(*[f"_m{j}" for j in range(samples)]).alias("_m"))
     of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_m"))).alias(f"_k{kind}")
     each = held.groupBy(*keys).agg(of(0), of(1), of(2))
