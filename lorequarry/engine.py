@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from copy import copy
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import sources
@@ -20,11 +20,11 @@ from .store import Store
 
 
 class KnowledgeBase:
-    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, check_model: bool = True, extractors: Sequence[graph.Extractor] = ()):
-        """Opens the store of the configuration. extractors find entities besides the rules (see graph.extract). A store that was made with another embedder can only be opened to reindex it (check_model=False)."""
+    def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, check_model: bool = True, extractors: Sequence[graph.Extractor] = (), progress: Callable[[str, dict], None] | None = None):
+        """Opens the store of the configuration. extractors find entities besides the rules (see graph.extract). progress is called as each stage of an upload or a reindex ends (see _stage). A store that was made with another embedder can only be opened to reindex it (check_model=False)."""
         self.spark, self.config = spark, config or Config()
         self.embedder, self.tokenizer = embedder or embedder_for(self.config), tokenizer or tokenizer_for(self.config)
-        self.store, self.extractors = Store(spark, self.config.storage.path), extractors
+        self.store, self.extractors, self.progress = Store(spark, self.config.storage.path), extractors, progress
         self.migrate()
         meta = self.store.meta()
         known = (meta.get("embedding_model"), meta.get("embedding_dimension"))
@@ -130,19 +130,15 @@ class KnowledgeBase:
         # written once, so ids and times are the same in all that follows
         staged = self.store.scratch()
         given = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
-        given.withColumn("_order", F.monotonically_increasing_id()).write.parquet(f"{staged}/rows")
-        every = self.spark.read.parquet(f"{staged}/rows")
+        every = self._stage("rows", given.withColumn("_order", F.monotonically_increasing_id()), staged, failed=F.count("error"))
         failed, batch = every.where("error is not null"), every.where("error is null").drop("error")
         check_documents(batch)
         first = ingest.first_of_each(batch, "_order")
         known = self.store.known(first, pointer).select("sha256", F.lit(True).alias("_known"))
-        marked = first.join(known, "sha256", "left")
-        marked.write.parquet(f"{staged}/marked")
-        marked = self.spark.read.parquet(f"{staged}/marked")
+        marked = self._stage("marked", first.join(known, "sha256", "left"), staged, known=F.count("_known"))
         taken = marked if force else marked.where(F.col("_known").isNull())
         chunks = ingest.indexed(ingest.embedded(ingest.chunk_rows(taken, self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens), self.embedder))
-        chunks.write.parquet(f"{staged}/chunks")
-        chunks = self.spark.read.parquet(f"{staged}/chunks")
+        chunks = self._stage("chunks", chunks, staged, tokens=F.sum("token_count"))
         check_chunks(chunks, self.embedder.dimension)
         new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_order")
         replaced = new.where(F.col("_known").isNotNull()).select("document_id")
@@ -162,7 +158,7 @@ class KnowledgeBase:
                 forgotten, less = self._forgotten(gone, pointer)
                 stats = {key: stats[key] - less[key] for key in stats}
             some = not new.isEmpty()
-            self.store.commit({t: df for t, df in added.items() if t == "failure" or some}, deleted=gone, since=pointer["version"], forgotten=forgotten, stats=stats if some else None)
+            self._commit({t: df for t, df in added.items() if t == "failure" or some}, deleted=gone, since=pointer["version"], forgotten=forgotten, stats=stats if some else None)
 
         state = F.when(F.col("chunks") == 0, "empty").when(F.col("_known").isNotNull(), "updated").otherwise("created")
         summary = ingest.upload_summary(taken, chunks, mentions)
@@ -179,11 +175,31 @@ class KnowledgeBase:
         self.store.remove(staged)
         return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
+    def _stage(self, name: str, rows: DataFrame, staged: str, **sums: Column) -> DataFrame:
+        """rows, written under staged and read again. Then progress(name, numbers) is called: the number of rows, and sums.
+
+        Stages are rows (given), marked (of different content, and known ones), chunks and found (entities), and
+        committed, with the version. The numbers are observed as the rows are written, so they take no other job.
+        """
+        seen = Observation(name)
+        if self.progress:
+            given = {key: F.coalesce(value.cast("long"), F.lit(0)).alias(key) for key, value in sums.items()}
+            rows.observe(seen, F.count(F.lit(1)).alias("rows"), *given.values()).write.parquet(f"{staged}/{name}")
+            self.progress(name, seen.get)
+        else:
+            rows.write.parquet(f"{staged}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{staged}/{name}")
+
+    def _commit(self, *given, **more) -> int:
+        version = self.store.commit(*given, **more)
+        if self.progress:
+            self.progress("committed", {"version": version})
+        return version
+
     def _entities(self, chunks: DataFrame, staged: str) -> tuple[DataFrame, DataFrame]:
         """The rows of entity and of mentions; what they are made of is extracted once, and stored under staged."""
         found = graph.extract(chunks, "chunk_id", extended=self.config.graph.extended, extractors=self.extractors)
-        found.write.parquet(f"{staged}/found")
-        found = self.spark.read.schema(found.schema).parquet(f"{staged}/found")
+        found = self._stage("found", found, staged)
         return graph.entity_rows(found), graph.mention_edges(found)
 
     def _forgotten(self, gone: DataFrame, state: dict) -> tuple[DataFrame, dict]:
@@ -358,13 +374,12 @@ class KnowledgeBase:
             return reindex_counts(stored["document"], chunks)
         new = ingest.indexed(ingest.embedded(chunks, self.embedder))
         staged = self.store.scratch()
-        new.write.parquet(f"{staged}/chunks")  # embedded once
-        new = self.spark.read.schema(new.schema).parquet(f"{staged}/chunks")
+        new = self._stage("chunks", new, staged, tokens=F.sum("token_count"))  # embedded once
         entities, mentions = self._entities(new, staged)
         found, stats = self._index(new)
         if "center" not in found:
             found["center"] = self.spark.createDataFrame([], TABLES["center"])
-        self.store.commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, **found}, since=pointer["version"], stats=stats)
+        self._commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, **found}, since=pointer["version"], stats=stats)
         self.store.remove(staged)
         done = self.table("chunk").agg(F.count_distinct("document_id").alias("d"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("t")).first()
         return {"dry_run": False, "documents_processed": done["d"], "chunks_created": done["c"], "tokens_total": done["t"], "entities_extracted": self.table("mentions").count()}

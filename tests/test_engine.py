@@ -151,6 +151,36 @@ def test_reindex(spark, base):
     assert done["chunks_created"] == 5 and done["documents_processed"] == 2 and base.stats()["chunk_count"] == 5
 
 
+def test_progress_tells_the_rows_of_each_stage_without_jobs_of_its_own(spark, tmp_path):
+    told = []
+    kb = KnowledgeBase(spark, mock(tmp_path / "told"), progress=lambda stage, n: told.append((stage, n)))
+    quiet = KnowledgeBase(spark, mock(tmp_path / "quiet"))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(name, base, **given):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            base.upload(**given)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    given = {"content": ["one two three", "one two three", "", MD]}
+    assert jobs("told", kb, **given) == jobs("quiet", quiet, **given)
+    tokens = kb.table("chunk").agg(F.sum("token_count")).first()[0]
+    stages = dict(told)
+    assert [stage for stage, _ in told] == ["rows", "marked", "chunks", "found", "committed"]
+    assert stages["rows"] == {"rows": 4, "failed": 0} and stages["marked"] == {"rows": 3, "known": 0}
+    assert stages["chunks"] == {"rows": 2, "tokens": tokens} and stages["found"]["rows"] >= 3
+    assert stages["committed"] == {"version": kb.store.pointer()["version"]}
+    told.clear()
+    kb.upload(content=["one two three", "four"])
+    assert dict(told)["marked"] == {"rows": 2, "known": 1} and dict(told)["chunks"] == {"rows": 1, "tokens": 1}
+    told.clear()
+    kb.reindex()
+    assert [stage for stage, _ in told] == ["chunks", "found", "committed"] and dict(told)["chunks"]["rows"] == 3
+
+
 def test_a_mismatched_store_can_be_reindexed(spark, base):
     base.upload(content="some text here")
     hashing = HashingEmbedder(32)
