@@ -54,7 +54,9 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("delete").add_argument("id", nargs="+")
     commands.add_parser("stats")
     commands.add_parser("doctor")
-    commands.add_parser("reindex").add_argument("--dry-run", action="store_true")
+    again = commands.add_parser("reindex")
+    again.add_argument("--dry-run", action="store_true")
+    again.add_argument("--stale-only", action="store_true", help="only what was made by another embedder, tokenizer or window")
     commands.add_parser("query", help="SQL over the tables").add_argument("sql")
 
     graph = commands.add_parser("graph").add_subparsers(dest="action", required=True)
@@ -126,7 +128,7 @@ def run(args, spark: SparkSession):
         case "doctor":
             return base.doctor()
         case "reindex":
-            return base.reindex(args.dry_run)
+            return base.reindex(args.dry_run, args.stale_only)
         case "query":
             base.create_views()
             return records(spark.sql(args.sql))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from copy import copy
 
@@ -15,9 +18,12 @@ from .functions import text
 from .functions.embedders import Embedder, Tokenizer, embedder_for, tokenizer_for
 from .operators import documents as manage
 from .operators import cells, graph, index, ingest, search
-from .schema import SCHEMA_VERSION, TABLES, all_of, check_chunks, check_documents
+from .schema import SCHEMA_VERSION, TABLES, all_of, check_chunks, check_documents, shaped
 from .store import Store
 
+#: Folders of documents (see store), and so the most batches that a reindex takes them in.
+MAX_BATCHES = 256
+
 
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None, tokenizer: Tokenizer | None = None, check_model: bool = True, extractors: Sequence[graph.Extractor] = (), progress: Callable[[str, dict], None] | None = None):
@@ -137,8 +143,7 @@ class KnowledgeBase:
         known = self.store.known(first, pointer).select("sha256", F.lit(True).alias("_known"))
         marked = self._stage("marked", first.join(known, "sha256", "left"), staged, known=F.count("_known"))
         taken = marked if force else marked.where(F.col("_known").isNull())
-        chunks = ingest.indexed(ingest.embedded(ingest.chunk_rows(taken, self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens), self.embedder))
-        chunks = self._stage("chunks", chunks, staged, tokens=F.sum("token_count"))
+        chunks = self._stage("chunks", self._chunked(taken), staged, tokens=F.sum("token_count"))
         check_chunks(chunks, self.embedder.dimension)
         new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_order")
         replaced = new.where(F.col("_known").isNotNull()).select("document_id")
@@ -175,11 +180,25 @@ class KnowledgeBase:
         self.store.remove(staged)
         return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
+    def _how(self) -> str:
+        """What chunks and their embeddings hang on besides the content."""
+        windows = self.config.chunking
+        return json.dumps([self.embedder.name, self.embedder.dimension, self.tokenizer.name, windows.max_tokens, windows.overlap_tokens])
+
+    def _marked(self, documents: DataFrame) -> DataFrame:
+        """documents with made: a hash of their content's hash and of how they are chunked and embedded now."""
+        return documents.withColumn("made", F.md5(F.concat(F.lit(self._how()), "sha256")))
+
+    def _chunked(self, documents: DataFrame) -> DataFrame:
+        """The rows of chunk that documents make; made tells from what."""
+        windows = self.config.chunking
+        return ingest.indexed(ingest.embedded(ingest.chunk_rows(self._marked(documents), self.tokenizer, windows.max_tokens, windows.overlap_tokens), self.embedder))
+
     def _stage(self, name: str, rows: DataFrame, staged: str, **sums: Column) -> DataFrame:
         """rows, written under staged and read again. Then progress(name, numbers) is called: the number of rows, and sums.
 
-        Stages are rows (given), marked (of different content, and known ones), chunks and found (entities), and
-        committed, with the version. The numbers are observed as the rows are written, so they take no other job.
+        Stages are rows (given), marked (of different content, and known ones), chunks (of each batch, in a reindex),
+        taken (where a reindex takes up what there is) and found (entities), and committed, with the version. The numbers are observed as the rows are written, so they take no other job.
         """
         seen = Observation(name)
         if self.progress:
@@ -362,25 +381,67 @@ class KnowledgeBase:
         self.store.commit({"entity": found})
         return found.select("name", "kind")
 
-    def reindex(self, dry_run: bool = False) -> dict:
+    def reindex(self, dry_run: bool = False, stale_only: bool = False, resume: bool = True, batch_rows: int = 1_000_000) -> dict:
         """Chunks, embeddings and mentions of all documents anew, in one commit; the store then has this embedder's.
 
-        A dry run counts only; it counts entities of whole texts, not of chunks.
+        Documents are taken in batches of about batch_rows (MAX_BATCHES at most), each some of their folders, and the
+        chunks of a batch are kept as it ends. If the reindex is interrupted, or another commit comes in between, the next
+        one with the same embedder, tokenizer and windows goes on from there: it takes the kept chunks of documents that
+        are stored still with the same content, and makes those of the others. With resume=False nothing kept is taken.
+        Until the commit searches see the old chunks, so never those of two models.
+
+        With stale_only, stored chunks that were made in the way that is asked for are taken too, and nothing is written
+        where all are. A dry run counts only; it counts entities of whole texts, not of chunks.
         """
         check_windows(self.config.chunking.max_tokens, self.config.chunking.overlap_tokens)
-        pointer, stored = self.store.pointer(), self.store.tables()
-        chunks = ingest.chunk_rows(stored["document"], self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens)
+        if batch_rows < 1:
+            raise KnowledgeError("E_VALIDATION", "batch_rows must be at least 1")
+        pointer = self.store.pointer()
+        stored = self.store.tables(pointer)
         if dry_run:
+            chunks = ingest.chunk_rows(stored["document"], self.tokenizer, self.config.chunking.max_tokens, self.config.chunking.overlap_tokens)
             return reindex_counts(stored["document"], chunks)
-        new = ingest.indexed(ingest.embedded(chunks, self.embedder))
-        staged = self.store.scratch()
-        new = self._stage("chunks", new, staged, tokens=F.sum("token_count"))  # embedded once
+        name = f"reindex/{hashlib.md5(self._how().encode()).hexdigest()}"
+        folder, staged = f"{self.store.path}/{name}", self.store.scratch()
+        if not resume:
+            self.store.remove(folder)
+        kept = self.store.finished(f"{name}/*/chunks")
+        read = lambda parts: self.spark.read.schema(TABLES["chunk"]).parquet(*parts)
+        had = [read(kept)] if kept else []
+        if stale_only:
+            had.append(stored["chunk"])
+        documents = self._marked(stored["document"]).select("document_id", "made")
+        done = None
+        for some in had:
+            ids = some.select("document_id", "made").distinct().join(documents, ["document_id", "made"], "left_semi").select("document_id")
+            done = ids if done is None else done.union(ids).distinct()
+        left = documents.count() if done is None else documents.join(done, "document_id", "left_anti").count()
+        if stale_only and not left and not kept and self.store.meta().get("embedding_model") == self.embedder.name:
+            return self._reindexed()
+        made, batches = [], min(MAX_BATCHES, -(-left // batch_rows))
+        for i in range(batches):
+            batch = self.store.filed(pointer, i, batches)
+            if done is not None:
+                batch = batch.join(done, "document_id", "left_anti")
+            own = f"{folder}/{uuid.uuid4().hex}"
+            made.append(f"{own}/chunks")
+            self._stage("chunks", shaped(self._chunked(batch), "chunk"), own, tokens=F.sum("token_count"))
+        new = read([*kept, *made]) if kept or made else self.spark.createDataFrame([], TABLES["chunk"])
+        if had:
+            every = new.unionByName(stored["chunk"]) if stale_only else new
+            # equal rows of a document that was both kept and stored, or kept by two at once, count once
+            current = every.join(documents, ["document_id", "made"], "left_semi").dropDuplicates(["chunk_id"])
+            new = self._stage("taken", shaped(current, "chunk"), staged)
         entities, mentions = self._entities(new, staged)
         found, stats = self._index(new)
         if "center" not in found:
             found["center"] = self.spark.createDataFrame([], TABLES["center"])
         self._commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, **found}, since=pointer["version"], stats=stats)
+        self.store.remove(folder)
         self.store.remove(staged)
+        return self._reindexed()
+
+    def _reindexed(self) -> dict:
         done = self.table("chunk").agg(F.count_distinct("document_id").alias("d"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("t")).first()
         return {"dry_run": False, "documents_processed": done["d"], "chunks_created": done["c"], "tokens_total": done["t"], "entities_extracted": self.table("mentions").count()}
 

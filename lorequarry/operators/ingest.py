@@ -26,14 +26,15 @@ def replace(existing: DataFrame, new: DataFrame, key: str = "sha256") -> DataFra
 
 
 def chunk_rows(documents: DataFrame, tokenizer: Tokenizer, max_tokens: int, overlap_tokens: int) -> DataFrame:
-    """(chunk_id, document_id, idx, content, token_count, heading, start): nothing is shuffled.
+    """(chunk_id, document_id, idx, content, token_count, heading, start), and made if documents have it: nothing is shuffled.
 
     heading is the path of the last Markdown heading at or before the chunk's start, looked up within the row.
     """
-    headed = documents.select("document_id", "content", text.heading_paths(F.col("content")).alias("_heads"))
-    made = headed.select("document_id", "_heads", F.inline(tokenizer.chunks(F.col("content"), max_tokens, overlap_tokens)))
+    more = [c for c in documents.columns if c == "made"]
+    headed = documents.select("document_id", "content", *more, text.heading_paths(F.col("content")).alias("_heads"))
+    made = headed.select("document_id", *more, "_heads", F.inline(tokenizer.chunks(F.col("content"), max_tokens, overlap_tokens)))
     chunk_id = F.concat("document_id", F.lit("#"), F.col("idx").cast("string"))
-    return made.select(chunk_id.alias("chunk_id"), "document_id", "idx", "content", "token_count", text.heading_of(F.col("_heads"), F.col("start")).alias("heading"), "start")
+    return made.select(chunk_id.alias("chunk_id"), "document_id", "idx", "content", "token_count", text.heading_of(F.col("_heads"), F.col("start")).alias("heading"), "start", *more)
 
 
 def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:

@@ -154,6 +154,7 @@ s AS (SELECT id AS doc_id, idx, coalesce(list_sum(list_transform(list_slice(t, 1
 SELECT doc_id, idx, start, CASE WHEN start < length(p0) THEN NULL WHEN start < length(p0 || p1) THEN h1 WHEN start < length(p0 || p1 || p2) THEN h1 || ' > ' || h2
   WHEN start < length(p0 || p1 || p2 || p3) THEN h1 || ' > ' || h2 || ' > ' || h3 ELSE 'The end' END AS heading FROM s JOIN p USING (doc_id)""",
         "kb_reindex": f"WITH {_once}, {_chunks('once', 'sha256', 'text', 64, 8)} SELECT id AS sha256, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM chunk GROUP BY id",
+        "kb_reindex_partial": f"WITH {_once}, {_chunks('once', 'sha256', 'text', 64, 8)} SELECT id AS sha256, count(*) AS n_chunks, sum(token_count)::BIGINT AS tokens FROM chunk JOIN once ON sha256 = id WHERE source <> 'src1' GROUP BY id",
         "kb_delete": rf"""WITH {_once}, {_chunks("once", "sha256", "text")}
 SELECT sha256, count(*) AS n_chunks, coalesce(sum(len(regexp_extract_all(lower(content), '\p{{L}}+|\p{{N}}+'))), 0)::BIGINT AS terms FROM chunk JOIN once ON sha256 = id WHERE source <> 'src1' GROUP BY sha256""",
         "force_replace": """WITH s AS (SELECT doc_id, sha256(text) AS sha256 FROM documents), n AS (SELECT min(doc_id) AS doc_id, sha256 FROM s WHERE doc_id % 3 = 0 GROUP BY sha256)

@@ -351,6 +351,28 @@ def kb_reindex(spark, d):
     return other.table("chunk").groupBy(F.col("document_id").alias("sha256")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
 
 
+def kb_reindex_partial(spark, d):
+    """A reindex that stops after its first batch and goes on once the documents of one source are deleted: the chunks of what is left."""
+
+    class Stopped(Exception):
+        pass
+
+    def stop(stage, numbers):
+        if stage == "chunks":
+            raise Stopped
+
+    base = fixtures.knowledge_base(spark, d)
+    config = replace(base.config, chunking=Chunking(64, 8))
+    try:
+        KnowledgeBase(spark, config, progress=stop).reindex(batch_rows=-(-base.table("document").count() // 4))
+    except Stopped:
+        pass
+    base.delete_rows(base.table("document").where("source = 'src1'").select("document_id"))
+    other = KnowledgeBase(spark, config)
+    other.reindex()
+    return other.table("chunk").groupBy(F.col("document_id").alias("sha256")).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
+
+
 def kb_delete(spark, d):
     """What is left of a knowledge base once the documents of one source are deleted."""
     base = fixtures.knowledge_base(spark, d)
@@ -420,7 +442,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bm25_terms, keyword_topk, keyword_any_batch, hybrid_rrf, hybrid_filtered, entities_links, entities_tags, entities_sections, entity_upsert,
     mentions_edges, entity_description_merge, graph_from_document, graph_bfs, graph_bfs_relation, graph_expand_hits, reindex_dry_run,
     conversation_chunks, ordered_rank, hf_chunking, hashing_search, lsh_topk, delete_mentions, graph_traverse_limit, graph_link, part_of_edges,
-    extended_entities, tokenizer_roundtrip, plugged_entities, kb_keyword, kb_reindex, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
+    extended_entities, tokenizer_roundtrip, plugged_entities, kb_keyword, kb_reindex, kb_reindex_partial, kb_delete, kb_graph_bfs, kb_vector, kb_hybrid, kb_as_of, kb_upload_twice, keyword_blocks_batch, expand_nhop, chunk_headings,
 ]
 
 

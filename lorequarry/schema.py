@@ -13,7 +13,7 @@ SCHEMA_VERSION = "3"
 
 TABLES = {
     "document": "document_id string, title string, source string, source_type string, mime string, sha256 string, content string, tags array<string>, metadata map<string,string>, created_at timestamp, updated_at timestamp",
-    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>, terms long, start long",
+    "chunk": "chunk_id string, document_id string, idx long, content string, token_count long, heading string, embedding array<float>, terms long, start long, made string",
     "entity": "entity_id string, name string, kind string, description string",
     "mentions": "chunk_id string, entity_id string",
     "related_to": "src string, dst string, relation string, weight double",

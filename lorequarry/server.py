@@ -26,7 +26,7 @@ TOOLS = {
     "graph_query": ("Walk the graph from an entity or a document", {"from": TEXT, "relation": TEXT, "depth": WHOLE, "limit": WHOLE}, ["from"]),
     "graph_upsert_entity": ("Create or update an entity", {"name": TEXT, "kind": TEXT, "description": TEXT}, ["name", "kind"]),
     "graph_link": ("Link two entities", {"from": TEXT, "to": TEXT, "relation": TEXT, "weight": NUMBER}, ["from", "to", "relation"]),
-    "reindex": ("Index all documents anew", {"dry_run": YES}, []),
+    "reindex": ("Index all documents anew, or only stale ones", {"dry_run": YES, "stale_only": YES}, []),
 }
 PROMPT = "Answer strictly from the local knowledge base: call the tool search, and name document_id and chunk_idx of all that you use.\n\nQuestion: "
 
@@ -64,7 +64,7 @@ class Server:
                 kb.link_entities(get("from"), get("to"), get("relation"), get("weight", 1.0))
                 return given
             case "reindex":
-                return kb.reindex(get("dry_run", False))
+                return kb.reindex(get("dry_run", False), get("stale_only", False))
 
     def resource(self, uri: str):
         if uri == "kb://documents":

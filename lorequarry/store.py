@@ -296,7 +296,7 @@ class Store:
         removed = 0
         root = self._at("").getFileSystem(self._conf)
         base = root.makeQualified(self._at("")).toString().rstrip("/") + "/"
-        for pattern in ("tables/*/v=*/u=*", "staged/*", "uploads/*", "v=*/*"):
+        for pattern in ("tables/*/v=*/u=*", "staged/*", "uploads/*", "reindex/*", "v=*/*"):
             for found in root.globStatus(self._at(pattern)) or []:
                 part = found.getPath().toString().removeprefix(base)
                 if part not in named and found.getModificationTime() < limit * 1000:
@@ -316,6 +316,21 @@ class Store:
         small = batch.limit(MAX_NAMED + 1).count() <= MAX_NAMED
         return self.alive(read.join(F.broadcast(batch) if small else batch, "sha256", "left_semi"), "document", state).select("sha256").distinct()
 
+    def filed(self, state: dict, share: int, shares: int) -> DataFrame:
+        """One of so many shares of the documents, each of which is some of their folders; only these are read."""
+        parts = state["tables"].get("document", [])
+        column, rule = FOLDERS["document"]
+        if not parts or state["schema"] == "1":
+            read = self.table("document", state).withColumn(column, F.expr(rule))
+        else:
+            read = self.alive(self._parts(parts, f"{self.path}/tables/document", f"{TABLES['document']}, {column} string"), "document", state).drop("v")
+        return read.where(F.expr(f"pmod(xxhash64({column}), {shares}) = {share}")).drop(column)
+
+    def finished(self, pattern: str) -> list[str]:
+        """The folders of a pattern that a job has written to its end."""
+        marks = self._at("").getFileSystem(self._conf).globStatus(self._at(f"{pattern}/_SUCCESS")) or []
+        return sorted(found.getPath().getParent().toString() for found in marks)
+
     def scratch(self) -> str:
         """A folder for what one operation writes on its way; remove() it afterwards."""
         return f"{self.path}/staged/{uuid.uuid4().hex}"

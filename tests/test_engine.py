@@ -151,6 +151,65 @@ def test_reindex(spark, base):
     assert done["chunks_created"] == 5 and done["documents_processed"] == 2 and base.stats()["chunk_count"] == 5
 
 
+def test_an_interrupted_reindex_goes_on_where_it_stopped(spark, base):
+    texts = [" ".join(f"d{i}w{j}" for j in range(20 + i)) for i in range(12)]
+    base.upload(content=texts)
+    config, told = mock(base.config.storage.path, chunking=Chunking(10, 2)), []
+
+    def stop(stage, numbers):
+        told.append((stage, numbers))
+        if [s for s, _ in told].count("chunks") == 2:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        KnowledgeBase(spark, config, progress=stop).reindex(batch_rows=3)
+    kept = base.store.finished("reindex/*/*/chunks")
+    done = {r[0] for r in spark.read.schema(TABLES["chunk"]).parquet(*kept).select("document_id").distinct().collect()}
+    # searches see the old chunks until the commit
+    assert len(kept) == 2 and 0 < len(done) < 12 and base.stats()["chunk_count"] == 12
+    # one of the kept ones goes, and a new one comes, before it is taken up
+    base.delete(min(done))
+    base.upload(content="a new text " * 8)
+    told.clear()
+    again = KnowledgeBase(spark, config, progress=lambda stage, n: told.append((stage, n)))
+    assert again.reindex(batch_rows=3)["documents_processed"] == 12
+    fresh = KnowledgeBase(spark, mock(base.config.storage.path + "_fresh", chunking=Chunking(10, 2)))
+    fresh.upload(content=[r["content"] for r in base.table("document").collect()])
+    names = ["document_id", "idx", "content", "token_count", "heading", "embedding", "terms", "start", "made"]
+    seen = lambda kb: sorted(map(str, rows(kb.table("chunk").select(*names))))
+    assert seen(again) == seen(fresh)
+    for name in ("posting", "mentions", "vector"):
+        assert again.table(name).count() == fresh.table(name).count()
+    # what was kept wasn't made again
+    made = sum(n["rows"] for stage, n in told if stage == "chunks")
+    assert made == again.table("chunk").where(~F.col("document_id").isin([*done])).count()
+    assert not base.store.finished("reindex/*/*/chunks")
+
+
+def test_a_stale_only_reindex_makes_what_was_made_otherwise(spark, base):
+    base.upload(content=[" ".join(f"a{j}" for j in range(30)), MD])
+    told = []
+    other = KnowledgeBase(spark, mock(base.config.storage.path, chunking=Chunking(10, 2)), progress=lambda stage, n: told.append((stage, n)))
+    other.upload(content=" ".join(f"b{j}" for j in range(30)))
+    told.clear()
+    assert other.reindex(stale_only=True)["documents_processed"] == 3
+    counts = {r["c"] for r in other.table("chunk").groupBy("document_id").agg(F.count(F.lit(1)).alias("c")).collect()}
+    assert dict(told)["chunks"]["rows"] == 5 and counts == {4, 1} and dict(told)["taken"]["rows"] == 9
+    version = other.store.pointer()["version"]
+    told.clear()
+    assert other.reindex(stale_only=True)["chunks_created"] == 9 and not told and other.store.pointer()["version"] == version
+    assert other.search("b7", mode="keyword").count() >= 1
+
+
+def test_shares_of_documents_are_whole_and_read_their_folders_only(base):
+    base.upload(content=[f"text {i}" for i in range(9)])
+    now = base.store.pointer()
+    shares = [base.store.filed(now, i, 4) for i in range(4)]
+    ids = [r["document_id"] for s in shares for r in s.collect()]
+    assert sorted(ids) == sorted(r["document_id"] for r in base.table("document").collect())
+    assert "PartitionFilters: [(pmod(xxhash64(prefix" in shares[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_progress_tells_the_rows_of_each_stage_without_jobs_of_its_own(spark, tmp_path):
     told = []
     kb = KnowledgeBase(spark, mock(tmp_path / "told"), progress=lambda stage, n: told.append((stage, n)))
