@@ -44,15 +44,17 @@ def log_sample(term: Column, sample: Column, weight: Column) -> Column:
     They are drawn from exponential variables x, e and f, which gives them these very distributions: c = x + e,
     r = ln(c / x) + f and b = f / r. So t = floor((ln weight + f) / r), and ln a = ln x - r t: at weight 1 it is ln x.
     """
-    x, r, t = steps(term, sample, weight)
-    return F.log(x) - r * t
+    x, q, t = steps(term, sample, F.log(weight))
+    return F.log(x) + F.log(q) * t
 
 
-def steps(term: Column, sample: Column, weight: Column) -> tuple[Column, Column, Column]:
-    """x, r and t of log_sample()."""
-    x, e, f = [exponential(draw(term, sample, i)) for i in range(3)]
-    r = F.log1p(e / x) + f
-    return x, r, F.floor((F.log(weight) + f) / r)
+def steps(term: Column, sample: Column, log_weight: Column) -> tuple[Column, Column, Column]:
+    """x, exp(-r) and t of log_sample(). f is -ln u of a uniform u, so exp(-r) is u x / (x + e) and takes no logarithm of
+    its own: what is compiled for each sample is the shorter for that."""
+    x, e = [exponential(draw(term, sample, i)) for i in range(2)]
+    u = level(draw(term, sample, 2))
+    q = u / (1.0 + e / x)
+    return x, q, F.floor((F.log(u) - log_weight) / F.log(q))
 
 
 def weighted_terms(text: Column) -> Column:
@@ -99,12 +101,12 @@ def signatures(pairs: DataFrame, keys: list[str], one: str, two: str, samples: i
     It is written as the draw times exp(x (1 - exp(-r t))), so that it is exactly that, and without functions of arrays,
     so that it is compiled.
     """
-    rows = shared_terms(pairs, keys, one, two)
+    rows = shared_terms(pairs, keys, one, two).withColumn("_log", F.log("times"))
     term, times = F.col("term"), F.col("times")
 
     def value(j: Column) -> Column:
-        x, r, t = steps(term, j, times.cast("double"))
-        return level(draw(term, j)) * F.when(times == 1, 1.0).otherwise(F.exp(x * -F.expm1(-r * t)))
+        x, q, t = steps(term, j, F.col("_log"))
+        return level(draw(term, j)) * F.when(times == 1, 1.0).otherwise(F.exp(x * (1.0 - F.pow(q, t))))
 
     most = rows.groupBy(*keys, "_kind").agg(*[F.max(value(F.lit(j))).alias(f"_m{j}") for j in range(samples)])
     held = most.select(*keys, "_kind", F.array(*[f"_m{j}" for j in range(samples)]).alias("_m"))
