@@ -18,8 +18,8 @@ from .functions import text
 from .functions.embedders import Embedder, Tokenizer, embedder_for, tokenizer_for
 from .operators import documents as manage
 from .operators import cells, graph, index, ingest, search
-from .schema import SCHEMA_VERSION, TABLES, all_of, check_chunks, check_documents, shaped
-from .store import Store
+from .schema import SCHEMA_VERSION, SORTED, TABLES, all_of, check_chunks, check_documents, shaped
+from .store import MAX_NAMED, Store, few
 
 #: Folders of documents (see store), and so the most batches that a reindex takes them in.
 MAX_BATCHES = 256
@@ -136,35 +136,29 @@ class KnowledgeBase:
         # written once, so ids and times are the same in all that follows
         staged = self.store.scratch()
         given = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+        # rows are named by _order in what follows, so texts are shuffled only to be filed
         every = self._stage("rows", given.withColumn("_order", F.monotonically_increasing_id()), staged, failed=F.count("error"))
         failed, batch = every.where("error is not null"), every.where("error is null").drop("error")
         check_documents(batch)
-        first = ingest.first_of_each(batch, "_order")
+        first = ingest.first_of_each(batch.select("_order", "document_id", "title", "sha256"), "_order")
         known = self.store.known(first, pointer).select("sha256", F.lit(True).alias("_known"))
         marked = self._stage("marked", first.join(known, "sha256", "left"), staged, known=F.count("_known"))
         taken = marked if force else marked.where(F.col("_known").isNull())
-        chunks = self._stage("chunks", self._chunked(taken), staged, tokens=F.sum("token_count"))
+        chunks = self._stage("chunks", sorted_chunks(self._chunked(ordered(batch, taken))), staged, tokens=F.sum("token_count"))
         check_chunks(chunks, self.embedder.dimension)
-        new = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi").drop("_order")
-        replaced = new.where(F.col("_known").isNotNull()).select("document_id")
+        filled = taken.join(chunks.select("document_id").distinct(), "document_id", "left_semi")
+        some = not filled.isEmpty()
+        new = ordered(batch, filled).drop("_order")
+        replaced = filled.where(F.col("_known").isNotNull()).select("document_id")
         entities, mentions = self._entities(chunks, staged)
 
         found, stats = self._index(chunks, pointer)
-        added = {"document": new, "chunk": chunks, "mentions": mentions, "entity": entities, **found}
+        added = {"document": new, "mentions": mentions, "entity": entities, **found}
         if self.config.graph.extended:
             added["related_to"] = graph.part_of(new, "document_id").withColumn("weight", F.lit(1.0))
         bad = not failed.isEmpty()
         if bad:
             added["failure"] = failed.select("source", "error", F.current_timestamp().alias("failed_at"))
-        if not new.isEmpty() or bad:
-            gone = None if not force or replaced.isEmpty() else replaced
-            forgotten = None
-            if gone is not None:
-                forgotten, less = self._forgotten(gone, pointer)
-                stats = {key: stats[key] - less[key] for key in stats}
-            some = not new.isEmpty()
-            self._commit({t: df for t, df in added.items() if t == "failure" or some}, deleted=gone, since=pointer["version"], forgotten=forgotten, stats=stats if some else None)
-
         state = F.when(F.col("chunks") == 0, "empty").when(F.col("_known").isNotNull(), "updated").otherwise("created")
         summary = ingest.upload_summary(taken, chunks, mentions)
         done = summary.join(marked.select("document_id", "_known", "_order"), "document_id").withColumn("status", state)
@@ -177,6 +171,13 @@ class KnowledgeBase:
         # a row for each given one, without its text; it outlives the folder
         told = self.store.scratch().replace("/staged/", "/uploads/")
         result.write.parquet(told)
+        if some or bad:
+            gone = None if not force or replaced.isEmpty() else replaced
+            forgotten = None
+            if gone is not None:
+                forgotten, less = self._forgotten(gone, pointer)
+                stats = {key: stats[key] - less[key] for key in stats}
+            self._commit({t: df for t, df in added.items() if t == "failure" or some}, deleted=gone, since=pointer["version"], forgotten=forgotten, stats=stats if some else None, moved={"chunk": [f"{staged}/chunks"]} if some else None)
         self.store.remove(staged)
         return self.spark.read.schema(result.schema).parquet(told).orderBy("_order").drop("_order")
 
@@ -203,10 +204,10 @@ class KnowledgeBase:
         seen = Observation(name)
         if self.progress:
             given = {key: F.coalesce(value.cast("long"), F.lit(0)).alias(key) for key, value in sums.items()}
-            rows.observe(seen, F.count(F.lit(1)).alias("rows"), *given.values()).write.parquet(f"{staged}/{name}")
+            rows.observe(seen, F.count(F.lit(1)).alias("rows"), *given.values()).write.option("compression", "zstd").parquet(f"{staged}/{name}")
             self.progress(name, seen.get)
         else:
-            rows.write.parquet(f"{staged}/{name}")
+            rows.write.option("compression", "zstd").parquet(f"{staged}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{staged}/{name}")
 
     def _commit(self, *given, **more) -> int:
@@ -223,7 +224,7 @@ class KnowledgeBase:
 
     def _forgotten(self, gone: DataFrame, state: dict) -> tuple[DataFrame, dict]:
         """(term, df) and the numbers of the stored chunks of documents (document_id) that go; only their text is read again."""
-        chunks = self.store.table("chunk", state).join(gone.select("document_id").distinct(), "document_id", "left_semi")
+        chunks = self.store.table("chunk", state).join(few(gone.select("document_id").distinct()), "document_id", "left_semi")
         sums = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
         terms = ingest.plain_postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return terms.repartitionByRange("term").sortWithinPartitions("term"), {"chunks": sums["n"], "terms": sums["terms"]}
@@ -333,7 +334,7 @@ class KnowledgeBase:
 
     def delete_rows(self, gone: DataFrame) -> DataFrame:
         """delete() of the documents of a table (document_id)."""
-        gone = gone.select("document_id").distinct()
+        gone = few(gone.select("document_id").distinct())
         pointer = self.store.pointer()
         chunks = self.store.table("chunk", pointer)
         counts = chunks.join(gone, "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_deleted"))
@@ -425,18 +426,25 @@ class KnowledgeBase:
                 batch = batch.join(done, "document_id", "left_anti")
             own = f"{folder}/{uuid.uuid4().hex}"
             made.append(f"{own}/chunks")
-            self._stage("chunks", shaped(self._chunked(batch), "chunk"), own, tokens=F.sum("token_count"))
+            self._stage("chunks", sorted_chunks(self._chunked(batch)), own, tokens=F.sum("token_count"))
         new = read([*kept, *made]) if kept or made else self.spark.createDataFrame([], TABLES["chunk"])
+        folders = [*kept, *made]
         if had:
             every = new.unionByName(stored["chunk"]) if stale_only else new
-            # equal rows of a document that was both kept and stored, or kept by two at once, count once
-            current = every.join(documents, ["document_id", "made"], "left_semi").dropDuplicates(["chunk_id"])
-            new = self._stage("taken", shaped(current, "chunk"), staged)
+            keys = every.select("chunk_id", "document_id", "made")
+            stale = keys.select("document_id", "made").distinct().join(documents, ["document_id", "made"], "left_anti").select(F.col("document_id").alias("_id"), F.col("made").alias("_made"))
+            if stale_only or not stale.isEmpty() or not twice(keys).isEmpty():
+                same = (F.col("document_id") == F.col("_id")) & F.col("made").eqNullSafe(F.col("_made"))
+                new = every.join(few(stale), same, "left_anti")
+                # equal rows of a document that was both kept and stored, or kept by two at once, count once
+                new = new if twice(new).isEmpty() else new.dropDuplicates(["chunk_id"])
+                new = self._stage("taken", sorted_chunks(new), staged)
+                folders = [f"{staged}/taken"]
         entities, mentions = self._entities(new, staged)
         found, stats = self._index(new)
         if "center" not in found:
             found["center"] = self.spark.createDataFrame([], TABLES["center"])
-        self._commit({"entity": entities, "meta": self._meta()}, replace={"chunk": new, "mentions": mentions, **found}, since=pointer["version"], stats=stats)
+        self._commit({"entity": entities, "meta": self._meta()}, replace={"mentions": mentions, **found}, since=pointer["version"], stats=stats, moved={"chunk": folders}, emptied=["chunk"])
         self.store.remove(folder)
         self.store.remove(staged)
         return self._reindexed()
@@ -446,6 +454,25 @@ class KnowledgeBase:
         return {"dry_run": False, "documents_processed": done["d"], "chunks_created": done["c"], "tokens_total": done["t"], "entities_extracted": self.table("mentions").count()}
 
 
+def sorted_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks in the shape and order of a part of their table."""
+    return shaped(chunks, "chunk").sortWithinPartitions(SORTED["chunk"])
+
+
+def twice(chunks: DataFrame) -> DataFrame:
+    """The chunk_ids that are there more than once."""
+    return chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def ordered(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows with the _order of a row of kept. Whichever are few, those that are kept or the others, are broadcast."""
+    kept = kept.select("_order")
+    n = kept.count()
+    if n > MAX_NAMED and rows.count() - n <= MAX_NAMED:
+        return rows.join(F.broadcast(rows.select("_order").join(kept, "_order", "left_anti")), "_order", "left_anti")
+    return rows.join(F.broadcast(kept) if n <= MAX_NAMED else kept, "_order", "left_semi")
+
+
 def reindex_counts(documents: DataFrame, chunks: DataFrame) -> dict:
     c = chunks.agg(F.count_distinct("document_id").alias("d"), F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("t")).first()
     e = documents.agg(F.coalesce(F.sum(F.size(text.entities(F.col("content")))), F.lit(0)).alias("e")).first()

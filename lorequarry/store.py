@@ -6,10 +6,11 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import KnowledgeError
@@ -33,10 +34,23 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of the different values of a column that a file keeps once: postings name each chunk once for each of its terms.
+DICTIONARY = 1 << 25
+
+
+def packed(writer: DataFrameWriter) -> DataFrameWriter:
+    return writer.option("compression", "zstd").option("parquet.dictionary.page.size", str(DICTIONARY))
+
+
 #: So many hashes are broadcast to the stored ones.
 MAX_NAMED = 1_000_000
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows as a side to broadcast, if there are MAX_NAMED at most, so that what they are joined with isn't shuffled."""
+    return F.broadcast(rows) if rows.limit(MAX_NAMED + 1).count() <= MAX_NAMED else rows
+
+
 def applied(state: dict, change: dict) -> dict:
     """The state after an entry of the log."""
     tables = {**state["tables"], **{name: [] for name in change["replace"]}}
@@ -140,7 +154,7 @@ class Store:
             return rows
         gone = self._parts(state["deleted"], f"{self.path}/tables/_deleted", "document_id string")
         gone = gone.groupBy(F.col("document_id").alias("_id")).agg(F.max("v").alias("_v"))
-        return rows.join(gone, (F.expr(OWNED[name]) == F.col("_id")) & (F.col("v") < F.col("_v")), "left_anti")
+        return rows.join(few(gone), (F.expr(OWNED[name]) == F.col("_id")) & (F.col("v") < F.col("_v")), "left_anti")
 
     def blocks(self, state: dict) -> DataFrame:
         """The blocks of postings as they are stored, with v; those of deleted documents among them."""
@@ -185,12 +199,15 @@ class Store:
         state = state or self.pointer()
         return {name: self.table(name, state) for name in TABLES}
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None, since: int | None = None, migrating: bool = False, forgotten: DataFrame | None = None, stats: dict | None = None) -> int:
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, deleted: DataFrame | None = None, since: int | None = None, migrating: bool = False, forgotten: DataFrame | None = None, stats: dict | None = None, moved: dict[str, list[str]] | None = None, emptied: Sequence[str] = ()) -> int:
         """Appends rows to tables, replaces whole ones, and deletes documents (document_id) from all older parts.
 
         forgotten: (term, df) of what is deleted. stats: what is to be added to the numbers in the log; those of a commit
         that replaces chunks are the new numbers.
 
+        moved: folders that hold rows of a table already, as write() would put them; they are moved, not copied, once all
+        else is written, and back if the commit fails. This needs since. emptied: tables whose rows before the commit go.
+
         since: the version that what is written was made from; the commit fails if there is a later one. Without it the
         commit is made after whatever came in between. A commit that is migrating replaces all tables that there are.
         """
@@ -203,20 +220,23 @@ class Store:
             if before["schema"] != SCHEMA_VERSION and before["version"] and not migrating:
                 raise KnowledgeError("E_DB", f"the store has schema {before['schema']}; migrate it first")
             version = before["version"] + 1
-            if self._logged(self._written(before, version, append or {}, replace or {}, deleted, forgotten, stats)):
+            written = self._written(before, version, append or {}, replace or {}, deleted, forgotten, stats, moved, emptied)
+            if self._logged(written):
                 return version
+            for folder, part in written["moved"]:
+                self._move(f"{self.path}/{part}", folder)
             if since is not None or not left:
                 raise KnowledgeError("E_DB", "another commit came in between")
         raise AssertionError
 
-    def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None, forgotten: DataFrame | None = None, stats: dict | None = None) -> dict:
+    def _written(self, before: dict, version: int, append: dict, replace: dict, deleted: DataFrame | None, forgotten: DataFrame | None = None, stats: dict | None = None, moved: dict[str, list[str]] | None = None, emptied: Sequence[str] = ()) -> dict:
         """The state after a commit, whose parts are written; "change" is its entry in the log."""
         own = f"v={version}/u={uuid.uuid4().hex}"
         jobs, add = [], {}
         for name, df in [*replace.items(), *append.items()]:
             jobs.append((self.write, shaped(df, name), name, own))
             add.setdefault(name, []).append(f"tables/{name}/{own}")
-        change = {"version": version, "schema": SCHEMA_VERSION, "at": time.time(), "replace": [*replace], "add": add, "stats": stats or {}}
+        change = {"version": version, "schema": SCHEMA_VERSION, "at": time.time(), "replace": [*replace, *emptied], "add": add, "stats": stats or {}}
         for kind, df in (("deleted", deleted and deleted.select("document_id").distinct()), ("forgotten", forgotten)):
             if df is not None:
                 jobs.append((self._write, df, f"tables/_{kind}/{own}"))
@@ -224,22 +244,37 @@ class Store:
         with ThreadPoolExecutor(4) as pool:  # jobs of one commit, side by side
             for done in [pool.submit(*job) for job in jobs]:
                 done.result()
-        return {**applied(before, change), "change": change}
+        there = []
+        for name, folders in (moved or {}).items():
+            for folder in folders:
+                part = f"tables/{name}/v={version}/u={uuid.uuid4().hex}"
+                self._move(folder, f"{self.path}/{part}")
+                there.append((folder, part))
+                add.setdefault(name, []).append(part)
+        return {**applied(before, change), "change": change, "moved": there}
+
+    def _move(self, folder: str, to: str) -> None:
+        at, new = self._hadoop.Path(folder), self._hadoop.Path(to)
+        fs = at.getFileSystem(self._conf)
+        fs.mkdirs(new.getParent())
+        if not fs.rename(at, new):
+            raise KnowledgeError("E_IO", f"{folder} can't be moved to {to}")
 
     def _write(self, df: DataFrame, part: str) -> None:
-        df.write.parquet(f"{self.path}/{part}")
+        packed(df.write).parquet(f"{self.path}/{part}")
 
     def write(self, df: DataFrame, name: str, part: str) -> None:
-        """A part of a table: postings as they come, in the order of their terms; vectors in a folder for each cell."""
+        """A part of a table: postings as they come, in segments; vectors in a folder for each cell."""
         if name in SORTED:
-            df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+            # folders are dealt by ranges; in other files rows are in order, and what hash ids are in each is told by its pages
+            df = (df.repartitionByRange(SORTED[name]) if name in FOLDERS else df).sortWithinPartitions(SORTED[name])
         if name in FOLDERS:
             column, rule = FOLDERS[name]
             if column not in df.columns:
                 df = df.withColumn(column, F.expr(rule))
             if name not in SORTED:
                 df = df.hint("rebalance", column)  # a large folder is dealt to several tasks
-            df.write.partitionBy(column).parquet(f"{self.path}/tables/{name}/{part}")
+            packed(df.write.partitionBy(column)).parquet(f"{self.path}/tables/{name}/{part}")
         else:
             self._write(df, f"tables/{name}/{part}")
 
@@ -248,7 +283,7 @@ class Store:
         if not self._made(f"log/{state['version']:012d}.json", state["change"]):
             return False
         if state["version"] % CHECKPOINT == 0:
-            self._made(f"log/{state['version']:012d}.full.json", {k: v for k, v in state.items() if k != "change"})
+            self._made(f"log/{state['version']:012d}.full.json", {k: v for k, v in state.items() if k not in ("change", "moved")})
         return True
 
     def _made(self, name: str, content: dict) -> bool:
@@ -313,8 +348,7 @@ class Store:
         wanted = sorted(r[0] for r in hashes.select(F.expr(rule)).distinct().collect())  # 256 at most
         read = self._parts(parts, f"{self.path}/tables/document", f"document_id string, sha256 string, {column} string").where(F.col(column).isin(wanted))
         batch = hashes.select("sha256").distinct()
-        small = batch.limit(MAX_NAMED + 1).count() <= MAX_NAMED
-        return self.alive(read.join(F.broadcast(batch) if small else batch, "sha256", "left_semi"), "document", state).select("sha256").distinct()
+        return self.alive(read.join(few(batch), "sha256", "left_semi"), "document", state).select("sha256").distinct()
 
     def filed(self, state: dict, share: int, shares: int) -> DataFrame:
         """One of so many shares of the documents, each of which is some of their folders; only these are read."""

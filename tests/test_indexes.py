@@ -125,6 +125,26 @@ def test_blocks_hold_all_postings_and_their_bounds(blocks, texts):
     assert r["n"] == index.postings(texts, "chunk_id", "content").count() and not r["a"] and not r["b"] and r["most"] <= index.BLOCK
 
 
+def test_blocks_are_made_where_postings_are_and_name_a_chunk_once(spark, tmp_path, monkeypatch):
+    """Before, all postings were shuffled by term, and a part had the names of a chunk for each of its terms."""
+    from lorequarry.store import Store
+
+    ids = [f"{i:064x}" for i in range(1, 401)]
+    posted = spark.createDataFrame([(f"t{j:03d}", f"{d}#0", d, 1 + (i * j) % 3, 200) for i, d in enumerate(ids) for j in range(200)], "term string, chunk_id string, document_id string, tf long, length long")
+    posted = posted.select("term", F.sha2("chunk_id", 256).alias("chunk_id"), F.sha2("document_id", 256).alias("document_id"), "tf", "length").repartition(2, "document_id")
+    posted.write.parquet(str(tmp_path / "posted"))
+    posted = spark.read.parquet(str(tmp_path / "posted"))
+    assert "Exchange" not in plan(index.blocked(posted))
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit({"posting": index.blocked(posted)})
+    assert sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet")) < 80_000 * 16
+    monkeypatch.setattr(index, "SEGMENT", 10_000)  # in several segments
+    for made in (store.blocks(store.pointer()), index.blocked(posted)):
+        rows = made.select("term", F.inline("postings"))
+        assert rows.count() == 80_000 and rows.exceptAll(posted.select(*rows.columns)).isEmpty()
+        assert made.where("n <> size(postings) or n > 256").isEmpty()
+
+
 def test_a_knowledge_base_keeps_its_indexes_right(spark, tmp_path):
     """Uploads, replacement, deletion and compaction: both indexes give what the tables themselves give."""
     rng = random.Random(6)
