@@ -1 +1,7 @@
 """Functions as columns, for use in any DataFrame."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -137,6 +138,33 @@ class WhitespaceTokenizer:
 CHUNKS = T.ArrayType(T.StructType([T.StructField("idx", T.LongType()), T.StructField("content", T.StringType()), T.StructField("token_count", T.LongType()), T.StructField("start", T.LongType())]))
 
 
+#: Characters, or ids, that a tokenizer takes at once, about: what the library holds for each token is far larger than the text.
+AT_ONCE = 1 << 18
+
+
+def parted(items: list, limit: int | None = None) -> Iterator[list]:
+    """items in runs of about `limit` characters (or ids) together; one that is longer is alone or ends a run."""
+    limit, held, size = limit or AT_ONCE, [], 0
+    for item in items:
+        held.append(item)
+        size += len(item)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def rules_of(path: str):
+    """The tokenizer of a file, to be used by the one core of a task."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer as Rules
+
+    return Rules.from_file(path)
+
+
 class FileTokenizer:
     """A tokenizer.json that every executor can read; windows are cut at its tokens' offsets."""
 
@@ -153,52 +181,77 @@ class FileTokenizer:
         """The ids of a text as array<int>, in batches, without tokens that mark begin or end; null for a null text."""
         path = self.path
 
-        @F.pandas_udf("array<int>")
-        def run(texts):
-            import pandas as pd
-            from tokenizers import Tokenizer as Rules
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
 
-            encoded = Rules.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
-            return pd.Series([None if t is None else e.ids for t, e in zip(texts, encoded)])
+            rules = rules_of(path)
+            for batch in batches:
+                lengths, flat = [], []
+                for texts in parted([t or "" for t in batch.to_pylist()]):
+                    for ids in (e.ids for e in rules.encode_batch_fast(texts, add_special_tokens=False)):
+                        lengths.append(len(ids))
+                        flat.append(np.asarray(ids, np.int32))
+                offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32), pa.int32(), mask=np.r_[batch.is_null().to_numpy(zero_copy_only=False), False])
+                yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*flat, np.empty(0, np.int32)])))
 
-        return run(content)
+        return F.arrow_udf(annotated(run), "array<int>")(content)
 
     def decode(self, ids: Column) -> Column:
         """The text of ids, special tokens among them; null for null ids."""
         path = self.path
 
-        @F.pandas_udf("string")
-        def run(lists):
-            import pandas as pd
-            from tokenizers import Tokenizer as Rules
-
-            texts = Rules.from_file(path).decode_batch([[] if x is None else [int(i) for i in x] for x in lists], skip_special_tokens=False)
-            return pd.Series([None if x is None else t for x, t in zip(lists, texts)])
-
-        return run(ids)
+        def run(batches):
+            import pyarrow as pa
+
+            rules = rules_of(path)
+            for batch in batches:
+                texts, held, size = [], [], 0
+                for ids in batch:
+                    held.append(ids.as_py() or [])
+                    size += len(held[-1])
+                    if size >= AT_ONCE:
+                        texts += rules.decode_batch(held, skip_special_tokens=False)
+                        held, size = [], 0
+                texts += rules.decode_batch(held, skip_special_tokens=False)
+                yield pa.array(texts, pa.string(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+
+        return F.arrow_udf(annotated(run), "string")(ids)
 
     def chunks(self, content: Column, max_tokens: int, overlap_tokens: int) -> Column:
         check_windows(max_tokens, overlap_tokens)
         path, step = self.path, max_tokens - overlap_tokens
 
-        @F.pandas_udf(CHUNKS)
-        def cut(texts):
-            import pandas as pd
-            from tokenizers import Tokenizer as Rules
+        def cut(batches):
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            rules, made = rules_of(path), to_arrow_type(CHUNKS)
+            for batch in batches:
+                out = []
+                for texts in parted([t or "" for t in batch.to_pylist()]):
+                    for text_, encoded in zip(texts, rules.encode_batch(texts, add_special_tokens=False)):
+                        spans, rows, start = encoded.offsets, [], 0
+                        while start < len(spans):
+                            end = min(start + max_tokens, len(spans))
+                            rows.append({"idx": len(rows), "content": text_[spans[start][0] : spans[end - 1][1]], "token_count": end - start, "start": spans[start][0]})
+                            if end == len(spans):
+                                break
+                            start += step
+                        out.append(rows)
+                yield pa.array(out, made)
+
+        return F.arrow_udf(annotated(cut), CHUNKS)(content)
+
+
+def annotated(run):
+    """run as an Arrow function of batches; pyarrow is loaded only where one is made."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
 
-            rules, out = Rules.from_file(path), []
-            for text_, encoded in zip(texts, rules.encode_batch([t or "" for t in texts], add_special_tokens=False)):
-                spans, rows, start = encoded.offsets, [], 0
-                while start < len(spans):
-                    end = min(start + max_tokens, len(spans))
-                    rows.append({"idx": len(rows), "content": text_[spans[start][0] : spans[end - 1][1]], "token_count": end - start, "start": spans[start][0]})
-                    if end == len(spans):
-                        break
-                    start += step
-                out.append(rows)
-            return pd.Series(out)
-
-        return cut(content)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
 
 
 def embedder_for(config: Config) -> Embedder:

@@ -110,3 +110,23 @@ def test_embedders(spark):
     rows = df.select(MockEmbedder(8, 32).embed(F.col("c"), F.col("i")).alias("m"), HashingEmbedder(16).embed(F.col("c"), F.col("i")).alias("h")).collect()
     assert [r.m.index(1.0) for r in rows] == [0, 1, 1, 1]
     assert rows[0].h == rows[1].h and abs(sum(x * x for x in rows[0].h) - 1) < 1e-6 and not any(rows[2].h) and not any(rows[3].h)
+
+
+def test_a_tokenizer_file_takes_few_texts_at_once(spark, monkeypatch):
+    """Before, a whole Arrow batch of texts was encoded at once, and all that the library holds for its tokens kept."""
+    import public_tokenizers
+
+    from lorequarry.functions import embedders
+
+    monkeypatch.setattr(embedders, "AT_ONCE", 40)
+    assert [len(x) for x in embedders.parted(["a" * 30] * 5 + ["b" * 100])] == [2, 2, 2]
+    texts = ["", None, "one two three", "x" * 200, "Ünï – 中文 <|endoftext|> end", *["word " * i for i in range(30)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string").coalesce(1)
+    rules = FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = df.select("i", rules.encode(F.col("c")).alias("ids"), rules.chunks(F.col("c"), 7, 2).alias("w")).select("*", rules.decode(F.col("ids")).alias("t")).orderBy("i").collect()
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for row, text in zip(rows, texts):
+        assert row.t == text and row.ids == (None if text is None else own.encode(text, add_special_tokens=False).ids)
+        assert sum(w.token_count for w in row.w) - 2 * max(0, len(row.w) - 1) == len(row.ids or [])
