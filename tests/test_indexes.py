@@ -211,3 +211,15 @@ def test_chunks_tell_where_they_begin_and_their_heading(spark, tmp_path):
     paths = [r.heading for r in rows if r.document_id == "0"]
     assert paths[0] is None and {"One", "One > Two #", "One > Two # > Deep", "One > Two # > Three", "One > Last"} >= set(paths[1:]) and paths[-1] == "One > Last"
     assert {r.heading for r in rows if r.document_id == "1"} == {None}
+
+
+def test_hyperplanes_shuffle_no_vectors(spark, vectors):
+    """Before, each vector was shuffled once for each of 20 tables, and pairs were scored by Spark's array functions."""
+    few = vectors.where("chunk_id like 'c00%' or chunk_id in ('zero', 'none', 'null', 'like')")
+    asked = few.where("chunk_id like 'c000%'").select(F.substring("chunk_id", 2, 5).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = search.lsh_search(few, asked, 5)
+    assert plan(hits).count("Exchange hashpartitioning") == 1 and "embedding" not in plan(hits).split("MapInArrow")[0]
+    want = {(r.query_id, r.id): r.score for r in search.vector_search(few.where("chunk_id not in ('none', 'null')"), asked, 5).collect()}
+    found = {(r.query_id, r.id): r.score for r in hits.collect()}
+    assert len(found) == len(want) and len(found.keys() & want) >= 0.9 * len(want)
+    assert all(abs(found[x] - want[x]) < 2e-6 for x in found.keys() & want)
