@@ -231,7 +231,7 @@ class KnowledgeBase:
 
     # answers out
 
-    def search(self, query: str | Sequence[str], mode: str | None = None, top_k: int | None = None, graph_expand: int = 0, filter: Mapping[str, str] | None = None, prefilter: bool = False, exact: bool = True, probes: int = 8, hops: int = 0) -> DataFrame:
+    def search(self, query: str | Sequence[str], mode: str | None = None, top_k: int | None = None, graph_expand: int = 0, filter: Mapping[str, str] | None = None, prefilter: bool = False, exact: bool = True, probes: int = 8, hops: int = 0, undefined: bool = False) -> DataFrame:
         """query_id, rank, document_id, chunk_id, chunk_idx, content, score, title, source, highlights (stretches around
         query terms, but for vector mode) and matched_entities (of chunks that graph_expand adds) for one query or many.
 
@@ -240,6 +240,9 @@ class KnowledgeBase:
         filter is applied after the top k, so fewer rows may come; with prefilter before, to all chunks, whose postings
         and vectors are then read. Chunks that share an entity with the first hits, graph_expand of them at most, come
         after the hits; with hops, those of entities so many edges away too, and all are ranked anew by their distance.
+
+        Chunks whose cosine isn't defined, as their vector or the query's is zero, are no hits of a vector; with
+        undefined they are, with the score NaN, which comes first in the order of SQL.
         """
         mode, k = mode or self.config.search.default_mode, top_k or self.config.search.top_k
         if mode not in search.MODES:
@@ -252,7 +255,7 @@ class KnowledgeBase:
         if prefilter and given:
             keep = self.store.table("document", now).where(all_of([F.col(c) == v for c, v in given.items()])).select("document_id")
         self.read: dict = {}
-        by_vector = lambda k: self._by_vector(asked, k, now, keep, exact, probes)
+        by_vector = lambda k: self._by_vector(asked, k, now, keep, exact, probes, undefined)
         by_term = lambda k: self._by_term(asked, k, now, keep)
         if mode == "vector":
             hits = by_vector(k)
@@ -275,14 +278,20 @@ class KnowledgeBase:
             hits, matched = graph.appended(hits, more), more.select("query_id", "id", "matched")
         return self._told(asked, hits, matched, now, given, mode != "vector", few)
 
-    def _by_vector(self, asked: DataFrame, k: int, now: dict, keep: DataFrame | None, exact: bool, probes: int) -> DataFrame:
+    def _by_vector(self, asked: DataFrame, k: int, now: dict, keep: DataFrame | None, exact: bool, probes: int, undefined: bool = False) -> DataFrame:
         vectors = asked.select("query_id", self.embedder.embed(F.col("query"), F.lit(0)).alias("vector"))
         stored = self.store.table("vector", now)
         if keep is not None:
-            return search.vector_search(stored.join(keep, "document_id", "left_semi"), vectors, k)
-        stats = {r["cell"]: (r["rows"], r["radius"]) for r in self.store.table("reach", now).collect()}  # a row for each cell
-        hits, self.read["vector"] = cells.cell_search(stored, self.centers(now), stats, vectors, k, exact, probes)
-        return hits
+            hits = search.vector_search(stored.join(keep, "document_id", "left_semi"), vectors, k)
+        else:
+            stats = {r["cell"]: (r["rows"], r["radius"]) for r in self.store.table("reach", now).collect()}  # a row for each cell
+            hits, self.read["vector"] = cells.cell_search(stored, self.centers(now), stats, vectors, k, exact, probes)
+        if not undefined:
+            return hits
+        chunks = self.store.table("chunk", now)
+        if keep is not None:
+            chunks = chunks.join(keep, "document_id", "left_semi")
+        return search.top_k(hits.select("query_id", "id", "score").unionByName(search.undefined_pairs(chunks, vectors, k)), k)
 
     def _by_term(self, asked: DataFrame, k: int, now: dict, keep: DataFrame | None) -> DataFrame:
         terms = asked.select("query_id", F.explode(text.analyzed(F.col("query"))).alias("term"))

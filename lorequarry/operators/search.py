@@ -142,6 +142,17 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int, id: str = "chunk_
     return top_k(scanned(base, given, {0: list(range(len(given)))}, k, queries.schema["query_id"]), k)
 
 
+def undefined_pairs(rows: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, id, score): of each query (query_id, vector) the k first rows, by id, whose cosine isn't defined, as one of
+    the two vectors is zero; the score is NaN. Of either side just the k first are paired."""
+    zero = lambda v: ~F.exists(v, lambda x: x != 0)
+    asked = check_queries(queries.select("query_id", zero(F.col("vector")).alias("none")))
+    every = rows.select(F.col(id).alias("id"), zero(F.col(embedding)).alias("zero"))
+    lame = every.where("zero").orderBy("id").limit(k).select("id").crossJoin(asked.where("not none"))
+    whole = every.where("zero is not null").orderBy("id").limit(k).select("id").crossJoin(asked.where("none"))
+    return lame.unionByName(whole).select("query_id", "id", F.lit(float("nan")).alias("score"))
+
+
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
     return top_k(keyword_scores(rows, queries, **how), k)
 
