@@ -128,7 +128,8 @@ class KnowledgeBase:
         """Uploads rows of the table document; a row with an error (column error, if there is one) is not taken.
 
         Returns document_id, title, sha256, status, chunks, tokens, entities, error: "created"; "skipped", where the
-        same content is stored already or came first in rows; "updated", with force; "empty", where there are no
+        same content is stored already or came first in rows, by their column order, if there is one, else as they are
+        read, which for several files needn't be as they are named; "updated", with force; "empty", where there are no
         tokens, which is not stored and replaces nothing; "failed", with the error, which the table failure has too.
         Only new rows are written, and the ids of documents that they replace.
         """
@@ -140,7 +141,8 @@ class KnowledgeBase:
         every = self._stage("rows", given.withColumn("_order", F.monotonically_increasing_id()), staged, failed=F.count("error"))
         failed, batch = every.where("error is not null"), every.where("error is null").drop("error")
         check_documents(batch)
-        first = ingest.first_of_each(batch.select("_order", "document_id", "title", "sha256"), "_order")
+        by = [F.asc_nulls_last("order")] if "order" in batch.columns else []
+        first = ingest.first_of_each(batch.select("_order", "document_id", "title", "sha256", *(["order"] if by else [])), *by, "_order").drop("order")
         known = self.store.known(first, pointer).select("sha256", F.lit(True).alias("_known"))
         marked = self._stage("marked", first.join(known, "sha256", "left"), staged, known=F.count("_known"))
         taken = marked if force else marked.where(F.col("_known").isNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,9 +10,9 @@ from ..functions.embedders import Embedder, Tokenizer
 from . import graph, index
 
 
-def first_of_each(documents: DataFrame, order: str) -> DataFrame:
+def first_of_each(documents: DataFrame, *order: str | Column) -> DataFrame:
     """Of rows with one sha256 the first by order; the others are dropped."""
-    w = Window.partitionBy("sha256").orderBy(order)
+    w = Window.partitionBy("sha256").orderBy(*order)
     return documents.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

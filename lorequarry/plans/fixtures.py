@@ -64,11 +64,11 @@ class LetterEmbedder:
 
 
 def knowledge_base(spark: SparkSession, d: str, embedder: Embedder | None = None) -> KnowledgeBase:
-    """A new knowledge base of all documents, in one upload."""
+    """A new knowledge base of all documents, in one upload; of equal texts that of the least doc_id is taken."""
     config = Config(storage=Storage(path=scratch(spark)), embedding=Embedding(onnx_path="mock", dimension=8), chunking=Chunking(MAX_TOKENS, OVERLAP))
     base = KnowledgeBase(spark, config, embedder)
     docs = documents(spark, d)
-    base.upload_rows(docs.select(F.col("sha256").alias("document_id"), "title", "source", "source_type", "mime", "sha256", "content", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), "created_at", "updated_at"))
+    base.upload_rows(docs.select(F.col("sha256").alias("document_id"), "title", "source", "source_type", "mime", "sha256", "content", F.array().cast("array<string>").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), "created_at", "updated_at", F.col("doc_id").alias("order")))
     return base
 
 

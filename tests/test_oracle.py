@@ -103,3 +103,18 @@ def test_ties_of_vector_search_go_by_id(spark):
     assert got == [(0, f"c{i:04d}", 1.0) for i in (1, 2, 4, 5)] + [(1, f"c{i:04d}", 0.8) for i in (0, 3, 6, 9)]
     pairs = search.top_k(search.vector_scores(rows, asked), 4).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id, r.score) for r in pairs] == got
+
+
+@pytest.mark.parametrize("name", ["kb_as_of", "kb_delete", "kb_reindex_partial"])
+def test_of_equal_texts_that_of_the_least_id_is_stored_whichever_file_is_read_first(spark, tmp_path, name):
+    at = tmp_path / "documents.parquet"
+    at.mkdir()
+    con = duckdb.connect()
+    rows = "SELECT i AS doc_id, 'text ' || i % 10 AS text, 'en' AS lang, 'src' || (i // 10 % 2 = {0})::INT AS source, 6::BIGINT AS n_chars FROM range({1}, {2}) r(i)"
+    con.sql(f"COPY ({rows.format(0, 0, 5)}) TO '{at}/a.parquet'")
+    con.sql(f"COPY ({rows.format(0, 5, 10)}) TO '{at}/b.parquet'")
+    con.sql(f"COPY ({rows.format(0, 10, 40)}) TO '{at}/c.parquet'")  # the largest is read first
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{at}/*.parquet'")
+    got = sorted(tuple(sorted(r.asDict().items())) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+    rel = con.sql(oracle.oracle_sql()[name])
+    assert got == sorted(tuple(sorted(zip(rel.columns, r))) for r in rel.fetchall())
