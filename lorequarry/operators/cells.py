@@ -7,6 +7,7 @@ from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import search
 
@@ -14,6 +15,8 @@ from . import search
 TRAIN_FROM = 512
 #: At most so many cells, and so many vectors for each to train on: what reaches the driver is one vector for a cell.
 MAX_CELLS, SAMPLE = 4096, 64
+#: Values that ids are hashed to, to choose the sample.
+HASHES = 1 << 40
 #: The cell of vectors that came before the centers; it is always read.
 UNASSIGNED = 0
 STATS = "cell int, rows long, radius double"
@@ -22,16 +25,20 @@ STATS = "cell int, rows long, radius double"
 def trained(rows: DataFrame, count: int, seed: int = 7) -> list[list[float]]:
     """Unit centers for rows (chunk_id, embedding), about as many as the root of their number, by k-means over a sample.
 
-    The sample is SAMPLE vectors for each center, by the least hash of their ids.
+    The sample is about SAMPLE vectors for each center, those whose ids have the least hashes. They are chosen where they
+    are read, by a limit that follows from the number, and the rounds run there too: nothing is sorted, and no task has
+    them all.
     """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    from ..functions import vectors
-
     k = max(2, min(MAX_CELLS, isqrt(count)))
-    fine = rows.select("chunk_id", vectors.l2_normalize(F.col("embedding")).alias("e")).where(F.exists("e", lambda x: x != 0))
-    chosen = fine.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(k * SAMPLE).select(array_to_vector("e").alias("features"))
+    some = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(HASHES)) < HASHES * k * SAMPLE // max(count, 1))
+    fine = some.where(F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    chosen = Normalizer(inputCol="e", outputCol="features").transform(fine.select(array_to_vector("embedding").alias("e"))).select("features")
+    if chosen.isEmpty():
+        return []
     found = KMeans(k=k, seed=seed, maxIter=8, initMode="random").fit(chosen).clusterCenters()
     out = []
     for center in found:
@@ -44,29 +51,41 @@ def trained(rows: DataFrame, count: int, seed: int = 7) -> list[list[float]]:
 def assigned(rows: DataFrame, centers: list[list[float]]) -> DataFrame:
     """rows (chunk_id, document_id, embedding) with cell, the nearest center's (from 1), and angle, to that center.
 
-    Vectors that no query can be like, zero ones and those with null components, are left out.
+    Vectors that no query can be like, zero ones and those with null components, are left out. Those of another length
+    than the centers', or too large to tell their angle, come to the cell that is always read.
     """
     import numpy as np
 
-    usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    fine = rows.select("chunk_id", "document_id", "embedding").where(usable)
+    fine = rows.select("chunk_id", "document_id", "embedding")
     if not centers:
-        return fine.withColumns({"cell": F.lit(UNASSIGNED), "angle": F.lit(np.pi)})
+        usable = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+        return fine.where(usable).withColumns({"cell": F.lit(UNASSIGNED), "angle": F.lit(np.pi)})
     shared = rows.sparkSession.sparkContext.broadcast(np.array(centers))
-
-    @F.pandas_udf("cell int, angle double")
-    def nearest(embedding):
-        import pandas as pd
-
-        if not len(embedding):
-            return pd.DataFrame({"cell": [], "angle": []})
-        e = np.stack(embedding.to_list()).astype(np.float64)
-        e /= np.linalg.norm(e, axis=1, keepdims=True)
-        near = e @ shared.value.T
-        cell = near.argmax(1)
-        return pd.DataFrame({"cell": cell.astype(np.int32) + 1, "angle": np.arccos(np.clip(near[np.arange(len(e)), cell], -1, 1))})
-
-    return fine.withColumn("near", nearest("embedding")).select("chunk_id", "document_id", "embedding", "near.cell", "near.angle")
+    made = T.StructType([*fine.schema, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, c = batch.column(2), shared.value
+            lengths = np.asarray(lists.value_lengths().fill_null(0))
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            bad, any_ = (np.bincount(owner, x, len(lengths)) > 0 for x in (np.isnan(flat), flat != 0))
+            cell, angle = np.full(len(lengths), UNASSIGNED, np.int32), np.full(len(lengths), np.pi)
+            sizes = np.sqrt(np.bincount(owner, flat * flat, len(lengths)))
+            at = np.flatnonzero((lengths == c.shape[1]) & any_ & ~bad & np.isfinite(sizes) & (sizes > 0))
+            if len(at):
+                e = flat[np.isin(owner, at)].reshape(-1, c.shape[1]) / sizes[at][:, None]
+                for first in range(0, len(at), 2048):
+                    part = slice(first, first + 2048)
+                    near = e[part] @ c.T
+                    best = near.argmax(1)
+                    cell[at[part]], angle[at[part]] = best + 1, np.arccos(np.clip(near[np.arange(len(best)), best], -1, 1))
+            kept = pa.array(np.flatnonzero(any_ & ~bad))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(kept) for i in range(3)], pa.array(cell).take(kept), pa.array(angle).take(kept)], [f.name for f in made])
+
+    return fine.mapInArrow(run, made)
 
 
 def reach(placed: DataFrame) -> DataFrame:

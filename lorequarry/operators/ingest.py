@@ -48,7 +48,7 @@ def indexed(chunks: DataFrame) -> DataFrame:
 
 def posted(chunks: DataFrame) -> DataFrame:
     """Rows of the table posting: blocks."""
-    return index.blocked(plain_postings(chunks))
+    return index.text_blocks(chunks)
 
 
 def plain_postings(chunks: DataFrame) -> DataFrame:

@@ -102,10 +102,12 @@ def scanned(rows: DataFrame, given: list, wanted: dict[int, list[int]], k: int,
         for batch in batches:
             lists, cells = batch.column(2), batch.column(0).to_numpy(zero_copy_only=False)
             lengths = np.asarray(lists.value_lengths().fill_null(0))
-            for (cell, length), places in by_cell.items():
-                at = np.flatnonzero((cells == cell) & (lengths == length))
-                if not len(at):
+            there, which = np.unique(np.stack([cells, lengths]), axis=1, return_inverse=True)
+            for i, key in enumerate(zip(*there.tolist())):
+                if key not in by_cell:
                     continue
+                places, length = by_cell[key], key[1]
+                at = np.flatnonzero(which.ravel() == i)
                 e = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
                 sizes = np.sqrt(np.einsum("ij,ij->i", e, e))
                 fine = np.flatnonzero(sizes > 0)  # not null, nor zero

@@ -59,8 +59,18 @@ class LetterEmbedder:
     name, dimension = "letters", 26
 
     def embed(self, content: Column, position: Column) -> Column:
-        lower = F.lower(content)
-        return F.array(*[(F.length(lower) - F.length(F.replace(lower, F.lit(c), F.lit("")))).cast("float") for c in ascii_lowercase])
+        first, n = ord(ascii_lowercase[0]), self.dimension
+
+        @F.pandas_udf("array<float>")
+        def counted(texts):
+            import numpy as np
+            import pandas as pd
+
+            # a byte below 128 is a character of its own in UTF-8
+            counts = lambda t: np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=first + n)[first : first + n].astype(np.float32)
+            return pd.Series([None if t is None else counts(t) for t in texts])
+
+        return counted(F.lower(content))
 
 
 def knowledge_base(spark: SparkSession, d: str, embedder: Embedder | None = None) -> KnowledgeBase:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorequarry.config import Chunking, Config, Embedding, Storage
 from lorequarry.engine import KnowledgeBase
-from lorequarry.operators import cells, index, search
+from lorequarry.operators import cells, index, ingest, search
 from lorequarry.plans.fixtures import LetterEmbedder
 
 
@@ -249,3 +249,38 @@ def test_texts_are_searched_and_extracted_once(spark, name):
     from lorequarry.plans import queries
 
     assert "text:string" not in plan(queries.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_centers_are_trained_without_a_sort_and_on_vectors_that_have_a_direction(spark, monkeypatch):
+    from pyspark.ml.feature import Normalizer
+
+    rows = [(f"c{i:04d}", f"d{i}", [float(i % 7 - 3), float(i % 5 - 2)]) for i in range(2000)] + [("inf", "d", [float("inf"), 1.0]), ("nan", "d", [float("nan"), 1.0]), ("half", "d", [1.0, None])]
+    given = spark.createDataFrame(rows, "chunk_id string, document_id string, embedding array<float>").repartition(8)
+    fitted, own = [], Normalizer.transform
+    monkeypatch.setattr(Normalizer, "transform", lambda self, df: fitted.append(df) or own(self, df))
+    centers = cells.trained(given, len(rows))
+    assert 2 <= len(centers) <= 44 and all(abs(x * x + y * y - 1) < 1e-9 for x, y in centers)
+    assert "Sort" not in plan(fitted[0]) and "TakeOrdered" not in plan(fitted[0]) and "Limit" not in plan(fitted[0])
+    assert 0 < fitted[0].count() <= len(rows)
+    assert cells.trained(given.where("chunk_id = 'inf'"), 600) == []
+    placed = {r.chunk_id: r for r in cells.assigned(given, centers).collect()}
+    assert placed["inf"].cell == cells.UNASSIGNED and "nan" not in placed and "half" not in placed
+    for i in range(100):
+        v = np.array(rows[i][2]) / (np.linalg.norm(rows[i][2]) or 1)
+        if v.any():
+            r = placed[f"c{i:04d}"]
+            assert abs(np.cos(r.angle) - max(v @ np.array(centers).T)) < 1e-9 and abs(v @ np.array(centers[r.cell - 1]) - np.cos(r.angle)) < 1e-9
+        else:
+            assert f"c{i:04d}" not in placed
+
+
+def test_a_row_hands_over_its_terms_once_and_segments_hold_all_postings(spark, texts, monkeypatch):
+    docs = texts.unionByName(spark.createDataFrame([("e#0", "e", ""), ("n#0", "n", None), ("m#0", "m", " ".join(f"w{i % 50} x" for i in range(1000)))], texts.schema)).repartition(2)
+    monkeypatch.setattr(index, "SEGMENT", 500)
+    made = ingest.posted(docs)
+    assert "Generate" not in plan(made) and "Exchange" not in plan(made).split("MapInArrow")[0]
+    got = sorted(tuple(r) for r in made.select(F.col("term").alias("t"), F.inline("postings")).collect())
+    assert got == sorted(tuple(r) for r in ingest.plain_postings(docs).select("term", "chunk_id", "document_id", "tf", "length").collect())
+    blocks = made.collect()
+    assert {b.n for b in blocks if b.n != len(b.postings)} == set() and all(b.n <= index.BLOCK for b in blocks)
+    assert all(b.max_tf == max(p.tf for p in b.postings) and b.min_length == min(p.length for p in b.postings) for b in blocks)
