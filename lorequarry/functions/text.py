@@ -26,6 +26,9 @@ LINK = ("reference", r"\[([^\]]+)\]\(([^)]+)\)")
 TAG = ("tag", r"(?U)(?:^|\s)#([a-zA-Z][\w-]{1,})")
 HEADING = ("section", r"(?Udm)^#{1,6}\s+(.+)")
 
+#: What a text holds if it has a match of one of these rules.
+MARKS = {LINK[0]: "](", TAG[0]: "#", HEADING[0]: "#"}
+
 #: What the extended rules extract besides.
 WIKI_LINK = ("reference", r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]")
 FRONT = r"\A---\s*\n([\s\S]*?)\n---\s*(?:\n|\z)"
@@ -69,12 +72,13 @@ def decode_base64(encoded: Column) -> Column:
 
 def analyzed(text: Column) -> Column:
     """Index terms: runs of letters and runs of digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
+    # a-z and 0-9 are named as most characters are among them; nothing follows a run, so none is tried shorter
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z\p{L}]++|[0-9\p{N}]++"), F.lit(0))
 
 
 def whitespace_tokens(text: Column) -> Column:
     """Tokens with the white space after them; together they are the text from its first token on."""
-    return F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"\S++\s*+"), F.lit(0))
 
 
 def window_count(tokens: Column, max_tokens: int, overlap_tokens: int) -> Column:
@@ -115,6 +119,11 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def with_mark(text: Column, mark: str, found: Column, kind: str) -> Column:
+    """found, which is empty for a text without the mark; that is searched first, as most texts have none. Null stays null."""
+    return F.when(~F.contains(text, F.lit(mark)), F.array().cast(kind)).otherwise(found)
+
+
 def clean_name(name: Column) -> Column:
     """An entity's identity: its name without the characters that quote identifiers."""
     return F.regexp_replace(name, r"[⟨⟩\\']", "")
@@ -122,7 +131,7 @@ def clean_name(name: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """(name, kind) of links, then tags, then headings, each in order of occurrence; names that clean to nothing are left out."""
-    pick = lambda rule: F.regexp_extract_all(text, F.lit(rule[1]), F.lit(1))
+    pick = lambda rule: with_mark(text, MARKS[rule[0]], F.regexp_extract_all(text, F.lit(rule[1]), F.lit(1)), "array<string>")
     named = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
     headings = F.transform(F.filter(pick(HEADING), lambda h: F.octet_length(h) > 2), lambda h: F.regexp_replace(h, r"(?U)^\s+|\s+$", ""))
     every = F.concat(named(pick(LINK), LINK[0]), named(pick(TAG), TAG[0]), named(headings, HEADING[0]))
@@ -181,7 +190,7 @@ def heading_paths(text: Column) -> Column:
 
     start = F.struct(F.array().cast("array<struct<level:int,name:string>>").alias("above"), F.array().cast("array<struct<at:int,path:string>>").alias("found"))
     heads = once(F.regexp_extract_all(text, F.lit(f"({HEADING_LINE})"), F.lit(1)), placed)
-    return F.aggregate(heads, start, add, lambda state: state["found"])
+    return with_mark(text, MARKS[HEADING[0]], F.aggregate(heads, start, add, lambda state: state["found"]), "array<struct<at:int,path:string>>")
 
 
 def heading_of(paths: Column, start: Column) -> Column:

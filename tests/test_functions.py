@@ -130,3 +130,33 @@ def test_a_tokenizer_file_takes_few_texts_at_once(spark, monkeypatch):
     for row, text in zip(rows, texts):
         assert row.t == text and row.ids == (None if text is None else own.encode(text, add_special_tokens=False).ids)
         assert sum(w.token_count for w in row.w) - 2 * max(0, len(row.w) - 1) == len(row.ids or [])
+
+
+def test_texts_without_the_marks_of_links_and_headings_are_not_searched_for_them(spark):
+    """What is found is that of the rules alone, also in texts that hold a mark without a match, and in null ones."""
+    given = ["", None, "no mark", "# A\nx [b](c) #tag", "a](b [c] (d)", "#", "# ", "#1 x\n##  B ", "[a](b)", "x#y", "[x]\n(y) #z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+
+    def found():
+        made = rows.select("i", text.entities(F.col("t")).alias("e"), text.heading_paths(F.col("t")).alias("h"))
+        return [tuple(map(str, r)) for r in made.orderBy("i").collect()], made._jdf.queryExecution().optimizedPlan().toString()
+
+    got, plan = found()
+    assert "contains(t" in plan.lower()
+    keep, text.with_mark = text.with_mark, lambda t, mark, found, kind: found
+    try:
+        want, _ = found()
+    finally:
+        text.with_mark = keep
+    assert got == want and len({r[1] for r in got}) == 4
+
+
+def test_terms_and_tokens_are_runs_of_letters_digits_and_others(spark):
+    import re
+
+    given = ["Ab1c2 d_E", "été ÉTÉ x٣٤½y", "a b c  d\te\n", "", "İstanbul ΣΑΣ", "９９ａｂ", "ab" * 3000 + "1" * 3000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    plain = lambda t, rule: F.regexp_extract_all(t, F.lit(rule), F.lit(0))
+    made = rows.select("t", text.analyzed(F.col("t")).alias("a"), plain(F.lower("t"), r"\p{L}+|\p{N}+").alias("pa"), text.whitespace_tokens(F.col("t")).alias("w"), plain(F.col("t"), r"\S+\s*").alias("pw"))
+    for r in made.collect():
+        assert list(r.a) == list(r.pa) and list(r.w) == list(r.pw) == re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*", r.t)
