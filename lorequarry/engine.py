@@ -228,7 +228,7 @@ class KnowledgeBase:
         """(term, df) and the numbers of the stored chunks of documents (document_id) that go; only their text is read again."""
         chunks = self.store.table("chunk", state).join(few(gone.select("document_id").distinct()), "document_id", "left_semi")
         sums = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
-        terms = ingest.plain_postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = chunks.select(F.explode(F.array_distinct(text.analyzed(F.col("content")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return terms.repartitionByRange("term").sortWithinPartitions("term"), {"chunks": sums["n"], "terms": sums["terms"]}
 
     # answers out
@@ -441,16 +441,18 @@ class KnowledgeBase:
         new = read([*kept, *made]) if kept or made else self.spark.createDataFrame([], TABLES["chunk"])
         folders = [*kept, *made]
         if had:
-            every = new.unionByName(stored["chunk"]) if stale_only else new
+            # what was made now is of the documents as they are, so only what was kept may be stale, and written again
+            every = new.unionByName(stored["chunk"]) if stale_only else read(kept)
             keys = every.select("chunk_id", "document_id", "made")
             stale = keys.select("document_id", "made").distinct().join(documents, ["document_id", "made"], "left_anti").select(F.col("document_id").alias("_id"), F.col("made").alias("_made"))
             if stale_only or not stale.isEmpty() or not twice(keys).isEmpty():
                 same = (F.col("document_id") == F.col("_id")) & F.col("made").eqNullSafe(F.col("_made"))
-                new = every.join(few(stale), same, "left_anti")
+                fresh = every.join(few(stale), same, "left_anti")
                 # equal rows of a document that was both kept and stored, or kept by two at once, count once
-                new = new if twice(new).isEmpty() else new.dropDuplicates(["chunk_id"])
-                new = self._stage("taken", sorted_chunks(new), staged)
-                folders = [f"{staged}/taken"]
+                fresh = fresh if twice(fresh).isEmpty() else fresh.dropDuplicates(["chunk_id"])
+                self._stage("taken", sorted_chunks(fresh), staged)
+                folders = [f"{staged}/taken", *([] if stale_only else made)]
+                new = read(folders)
         entities, mentions = self._entities(new, staged)
         found, stats = self._index(new)
         if "center" not in found:

@@ -186,6 +186,28 @@ def test_an_interrupted_reindex_goes_on_where_it_stopped(spark, base):
     assert not base.store.finished("reindex/*/*/chunks")
 
 
+def test_a_reindex_that_goes_on_writes_only_what_was_kept_again(spark, base):
+    texts = [" ".join(f"d{i}w{j}" for j in range(20 + i)) for i in range(12)]
+    base.upload(content=texts)
+    config, told = mock(base.config.storage.path, chunking=Chunking(10, 2)), []
+
+    def stop(stage, numbers):
+        if stage == "chunks":
+            raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        KnowledgeBase(spark, config, progress=stop).reindex(batch_rows=3)
+    kept = spark.read.schema(TABLES["chunk"]).parquet(*base.store.finished("reindex/*/*/chunks"))
+    done = sorted({r[0] for r in kept.select("document_id").distinct().collect()})
+    base.delete(done[0])
+    left = kept.where(F.col("document_id") != done[0]).count()
+    again = KnowledgeBase(spark, config, progress=lambda stage, n: told.append((stage, n)))
+    assert again.reindex(batch_rows=3)["documents_processed"] == 11
+    assert dict(told)["taken"]["rows"] == left and left + sum(n["rows"] for stage, n in told if stage == "chunks") == again.table("chunk").count()
+    terms = again.table("posting").groupBy("document_id").agg(F.sum("tf").alias("n"))
+    assert {r.document_id for r in terms.collect()} == {r.document_id for r in again.table("document").collect()}
+
+
 def test_a_stale_only_reindex_makes_what_was_made_otherwise(spark, base):
     base.upload(content=[" ".join(f"a{j}" for j in range(30)), MD])
     told = []
